@@ -38,3 +38,47 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        run.source AS source
 FROM run JOIN targets ON run.source IS NOT DISTINCT FROM targets.source
 """
+
+SQL["op4_decontaminate"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win
+  FROM b, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM windows),
+starts AS (
+  SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS win
+  FROM d, sizes, unnest(generate_series(1, len(w) - size + 1)) AS t(i) WHERE len(w) >= size),
+hits AS (SELECT doc_id, starts.size, i, item_id FROM starts JOIN windows USING (size, win)),
+words AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + size - 1)) AS at FROM hits),
+counted AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+items AS (SELECT doc_id, list(DISTINCT CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+       sha256(array_to_string(list_sort(coalesce(ids, [])), ',')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+# DuckDB has no base32, so the digits are taken from the hex form of its sha1.
+SQL["op5_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+digits AS (
+  SELECT h, list_transform(generate_series(0, 7), lambda k: CAST('0x' || substr(h, 1 + 5 * k, 5) AS INTEGER)) AS n
+  FROM (SELECT DISTINCT h FROM p)),
+named AS (
+  SELECT h, array_to_string(list_transform(n, lambda x:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 15) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 10) & 31) + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x & 31) + 1, 1)), '') AS digest
+  FROM digits),
+firsts AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p JOIN named USING (h) JOIN firsts USING (h)
+"""

@@ -23,4 +23,21 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_matroska": op2_matroska}
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narae.llm.decontaminate import leak_digest
+
+    return leak_digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narae.llm.warc import warc_digest
+
+    return warc_digest(_read(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_matroska": op2_matroska,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_warc": op5_warc,
+}
