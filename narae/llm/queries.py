@@ -35,9 +35,16 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_digest(_read(spark, sf_dir, "pages"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narae.llm.quality import quality_scores
+
+    return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_matroska": op2_matroska,
     "op4_decontaminate": op4_decontaminate,
     "op5_warc": op5_warc,
+    "op8_quality": op8_quality,
 }
