@@ -41,10 +41,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narae.llm.secrets import secret_digest
+
+    return secret_digest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_matroska": op2_matroska,
     "op4_decontaminate": op4_decontaminate,
     "op5_warc": op5_warc,
     "op8_quality": op8_quality,
+    "op10_secrets": op10_secrets,
 }
