@@ -35,6 +35,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_digest(_read(spark, sf_dir, "pages"))
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from narae.llm.tokens import token_digest
+
+    return token_digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from narae.llm.quality import quality_scores
 
@@ -52,6 +60,7 @@ QUERIES = {
     "op2_matroska": op2_matroska,
     "op4_decontaminate": op4_decontaminate,
     "op5_warc": op5_warc,
+    "op7_tokens": op7_tokens,
     "op8_quality": op8_quality,
     "op10_secrets": op10_secrets,
 }
