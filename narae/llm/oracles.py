@@ -56,7 +56,7 @@ starts AS (
   SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS win
   FROM d, sizes, unnest(generate_series(1, len(w) - size + 1)) AS t(i) WHERE len(w) >= size),
 hits AS (SELECT doc_id, starts.size, i, item_id FROM starts JOIN windows USING (size, win)),
-words AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + size - 1)) AS at FROM hits),
+words AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + size - 1)) AS pos FROM hits),
 counted AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
 items AS (SELECT doc_id, list(DISTINCT CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_hit,
@@ -82,3 +82,20 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, digest AS payload
        CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM p JOIN named USING (h) JOIN firsts USING (h)
 """
+
+SQL["op9_substring"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win
+  FROM d, unnest(generate_series(1, len(w) - 12)) AS t(i)),
+firsts AS (SELECT win, min(doc_id) AS first FROM starts GROUP BY win),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS pos
+  FROM starts JOIN firsts USING (win) WHERE first < doc_id),
+lists AS (SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
+         list_transform(list_filter(generate_series(1, len(w)), lambda k: NOT list_contains(gone, k)), lambda k: w[k]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN lists USING (doc_id)
+"""

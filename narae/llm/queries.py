@@ -49,6 +49,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narae.llm.substring import dedup_digest
+
+    return dedup_digest(_read(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from narae.llm.secrets import secret_digest
 
@@ -62,5 +68,6 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op7_tokens": op7_tokens,
     "op8_quality": op8_quality,
+    "op9_substring": op9_substring,
     "op10_secrets": op10_secrets,
 }

@@ -140,3 +140,46 @@ def windows_inside(first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+#: Bytes of text that numpy steps take at once (a longer text is taken alone).
+PIECE = 8 << 20
+#: Identifiers that are broadcast at most; beyond that they are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+#: Stands for a null identifier: after all others.
+NO_ID = 2**63 - 1
+
+
+def row_key(name: str = "doc_id") -> Column:
+    """An identifier as a long, null last."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
+
+
+def pieces(texts: list[bytes]) -> list[tuple[int, int]]:
+    """Row ranges of about PIECE bytes."""
+    out, start, held = [], 0, 0
+    for k, text in enumerate(texts):
+        if held and held + len(text) > PIECE:
+            out.append((start, k))
+            start, held = k, 0
+        held += len(text)
+    return [*out, (start, len(texts))] if len(texts) > start else out
+
+
+def only_listed(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is listed: by a broadcast where the list is short, else by a shuffle."""
+    if keys.count() <= MOST_BROADCAST:
+        keys = F.broadcast(keys)
+    return rows.join(keys, key, "left_semi")
+
+
+def runs_of(values: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal neighbours, and the length of all at the end."""
+    if not len(values):
+        return np.zeros(1, dtype=np.int64)
+    return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
+
+
+def raw_texts(column) -> list[bytes]:
+    """The bytes of a binary Arrow column; null counts as empty."""
+    return [v.as_buffer().to_pybytes() if v.is_valid else b"" for v in column]
