@@ -35,6 +35,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_digest(_read(spark, sf_dir, "pages"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narae.llm.jaccard import jaccard_components
+
+    return jaccard_components(_read(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,6 +72,7 @@ QUERIES = {
     "op2_matroska": op2_matroska,
     "op4_decontaminate": op4_decontaminate,
     "op5_warc": op5_warc,
+    "op6_jaccard": op6_jaccard,
     "op7_tokens": op7_tokens,
     "op8_quality": op8_quality,
     "op9_substring": op9_substring,
