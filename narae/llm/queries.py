@@ -23,6 +23,12 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(_read(spark, sf_dir, "documents"))
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narae.llm.pitman_yor import language_scores
+
+    return language_scores(_read(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from narae.llm.decontaminate import leak_digest
 
@@ -70,6 +76,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_matroska": op2_matroska,
+    "op3_pitman_yor": op3_pitman_yor,
     "op4_decontaminate": op4_decontaminate,
     "op5_warc": op5_warc,
     "op6_jaccard": op6_jaccard,
