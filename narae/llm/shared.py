@@ -143,7 +143,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text that numpy steps take at once (a longer text is taken alone).
-PIECE = 8 << 20
+PIECE = 4 << 20
 #: Identifiers that are broadcast at most; beyond that they are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Stands for a null identifier: after all others.

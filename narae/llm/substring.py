@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narae.llm.shared import NO_ID, join_texts, materialise, only_listed, pieces, raw_texts, row_key, runs_of, window_hashes, windows_inside, word_bounds, word_hashes
+from narae.llm.shared import NO_ID, join_texts, materialise, mix, only_listed, pieces, raw_texts, row_key, runs_of, window_hashes, windows_inside, word_bounds, word_hashes
 
 WINDOW = 13
 
@@ -57,7 +57,7 @@ def _ask(low: np.ndarray, high: np.ndarray, keys: np.ndarray, parts: int, settle
     first = np.ones(len(low), dtype=bool)
     first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
     here = settled(first)
-    rows = _findings(keys[here], low[here])
+    rows = _findings(keys[here], low[here], parts)
     low, high, keys = low[first], high[first], keys[first]
     part = (low % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
@@ -68,14 +68,19 @@ def _ask(low: np.ndarray, high: np.ndarray, keys: np.ndarray, parts: int, settle
     return rows
 
 
-def _findings(keys: np.ndarray, low: np.ndarray) -> list[tuple]:
-    """One row a document with its found windows. The part spreads them."""
-    order = np.argsort(keys, kind="stable")
-    edge = runs_of(keys[order])
-    return [(FOUND, int(keys[order[a]]) & 0x7FFFFFFF, int(keys[order[a]]), None, None, None, low[order[a:b]].tobytes()) for a, b in zip(edge, edge[1:])]
+def _findings(keys: np.ndarray, low: np.ndarray, parts: int) -> list[tuple]:
+    """Found windows with their documents, one row a destination."""
+    part = (mix(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edge = runs_of(part[order])
+    rows = []
+    for a, b in zip(edge, edge[1:]):
+        some = order[a:b]
+        rows.append((FOUND, int(part[some[0]]), None, None, None, None, np.stack([keys[some].view(np.uint64), low[some]]).tobytes()))
+    return rows
 
 
-def _answer(found: Callable) -> Callable:
+def _answer(found: Callable, parts: int) -> Callable:
     """Passes rows on, but counts the windows that all pieces asked about."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +97,7 @@ def _answer(found: Callable) -> Callable:
             first = np.ones(len(low), dtype=bool)
             first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
             here = found(first, keys)
-            yield _batch(_findings(keys[here], low[here]))
+            yield _batch(_findings(keys[here], low[here], parts))
 
     return rows
 
@@ -108,12 +113,28 @@ def _group_last(first: np.ndarray) -> np.ndarray:
 
 
 def _exchange(rows: DataFrame, found: Callable, parts: int, name: str) -> DataFrame:
-    return materialise(rows.repartition(parts, "part").mapInArrow(_answer(found), _ROWS), name)
+    return materialise(rows.repartition(parts, "part").mapInArrow(_answer(found, parts), _ROWS), name)
+
+
+def _collected(rows: DataFrame, parts: int) -> DataFrame:
+    """(_key, found): the packed findings of each document that has any."""
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [np.frombuffer(v.as_buffer(), np.uint64).reshape(2, -1) for batch in batches for v in batch.column(0)]
+        if not got:
+            return
+        keys, low = np.concatenate(got, axis=1)
+        keys = keys.view(np.int64)
+        order = np.lexsort((low, keys))
+        keys, low = keys[order], low[order]
+        edge = runs_of(keys)
+        for at in range(0, len(edge) - 1, 4096):
+            some = edge[at : at + 4097]
+            found = [np.unique(low[a:b]).tobytes() for a, b in zip(some, some[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some[:-1]]), pa.array(found, pa.binary())], names=["_key", "found"])
 
-def _collected(rows: DataFrame) -> DataFrame:
-    """(_key, found): all findings of each document."""
-    return rows.where(F.col("kind") == FOUND).groupBy(F.col("key").alias("_key")).agg(F.collect_list("payload").alias("found"))
+    found = rows.where(F.col("kind") == FOUND).select("payload", "part").repartition(parts, "part").select("payload")
+    return found.mapInArrow(gather, "_key long, found binary")
 
 
 def _several(first: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -149,7 +170,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, parts: int | None =
                 yield _batch(rows)
 
     counted = _exchange(texts.mapInArrow(first_level, _ROWS), _several, parts, "substring-1")
-    candidates = materialise(_collected(counted), "substring-candidates")
+    candidates = materialise(_collected(counted, parts), "substring-candidates")
 
     def last_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +181,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, parts: int | None =
                     buf, starts = join_texts([text])
                     begin, end, _ = word_bounds(buf, starts)
                     words = word_hashes(buf, begin, end)
-                    known = np.unique(np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in known.values]))
+                    known = np.frombuffer(known.as_buffer(), np.uint64)
                     at = np.flatnonzero(_member(_least_hashes(words, length, window), known))
                     low.append(window_hashes(words, window)[at])
                     high.append(window_hashes(word_hashes(buf, begin, end, 1), window, 1)[at])
@@ -171,7 +192,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, parts: int | None =
 
     wanted = only_listed(texts, candidates.select("_key"), "_key").join(candidates, "_key").select("_key", "_text", "found")
     removals = _exchange(wanted.mapInArrow(last_level, _ROWS), lambda first, keys: keys != keys[_group_start(first)], parts, "substring-2")
-    return counted.where(F.col("kind") == DOCUMENT), _collected(removals)
+    return counted.where(F.col("kind") == DOCUMENT), _collected(removals, parts)
 
 
 def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -206,7 +227,7 @@ def dedup_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             out = []
             for key, text, found in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2)):
-                removed = np.unique(np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in found.values]))
+                removed = np.frombuffer(found.as_buffer(), np.uint64)
                 words, covered = covered_words(text, removed, window)
                 kept = b" ".join([w for w, c in zip(words, covered.tolist()) if not c])
                 out.append((DOCUMENT, 0, key, len(words), int(covered.sum()), hashlib.sha256(kept).hexdigest(), None))
@@ -231,7 +252,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             at, texts = batch.schema.names.index("text"), batch.column("text").to_pylist()
             for k, found in enumerate(batch.column("found")):
                 if found.is_valid and texts[k] is not None:
-                    removed = np.unique(np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in found.values]))
+                    removed = np.frombuffer(found.as_buffer(), np.uint64)
                     words, covered = covered_words(texts[k].encode(), removed, window)
                     texts[k] = b" ".join([w for w, c in zip(words, covered.tolist()) if not c]).decode()
             yield batch.set_column(at, "text", pa.array(texts, pa.string()))
