@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from narae.llm.components import components
 from narae.llm.shared import (
-    NO_ID, join_texts, lower_ascii, materialise, mix, only_listed, pieces, raw_texts, row_key, runs_of, signed, window_hashes, windows_inside, word_bounds, word_hashes,
+    MOST_BROADCAST, NO_ID, join_texts, lower_ascii, materialise, mix, only_listed, pieces, raw_texts, row_key, runs_of, signed, window_hashes, windows_inside, word_bounds, word_hashes,
 )
 
 #: Ranges beyond k + 1: so many may be empty in a document before empty ranges count as contents.
@@ -230,32 +230,50 @@ def _blocks(representatives: DataFrame, parts: int) -> DataFrame:
             for a, b in pieces(values):
                 found = np.frombuffer(b"".join(values[a:b]), np.uint64)
                 nodes = np.repeat(batch.column(0).to_numpy()[a:b], [len(v) // 8 for v in values[a:b]])
-                part = (found % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                edge = runs_of(part[order])
-                rows = [(int(part[order[x]]), np.stack([found[order[x:y]], nodes[order[x:y]].view(np.uint64)]).tobytes()) for x, y in zip(edge, edge[1:])]
-                columns = list(zip(*rows)) if rows else [[], []]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], names=["part", "payload"])
+                yield _dealt(found, nodes.view(np.uint64), parts)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [np.frombuffer(v.as_buffer(), np.uint64).reshape(2, -1) for batch in batches for v in batch.column(1)]
-        if got:
-            found, nodes = np.concatenate(got, axis=1)
-            nodes = nodes.view(np.int64)
-            order = np.lexsort((nodes, found))
-            found, nodes = found[order], nodes[order]
-            edge = runs_of(found)
-            hub = np.repeat(nodes[edge[:-1]], np.diff(edge))
-            several = np.repeat(nodes[edge[1:] - 1], np.diff(edge)) != hub
-            hub, nodes = hub[several], nodes[several]
-            order = np.lexsort((nodes, hub))
-            hub, nodes = hub[order], nodes[order]
-            new = np.ones(len(hub), dtype=bool)
-            new[1:] = (hub[1:] != hub[:-1]) | (nodes[1:] != nodes[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(hub[new]), pa.array(nodes[new])], names=["hub", "node"])
-
-    dealt = representatives.select("key", "signatures").mapInArrow(deal, "part int, payload binary")
-    return dealt.repartition(parts, "part").mapInArrow(gather, "hub long, node long").distinct()
+        found, nodes = _payloads(batches)
+        order = np.lexsort((nodes, found))
+        found, nodes = found[order], nodes[order].view(np.int64)
+        edge = runs_of(found)
+        hub = np.repeat(nodes[edge[:-1]], np.diff(edge))
+        several = np.repeat(nodes[edge[1:] - 1], np.diff(edge)) != hub
+        yield _dealt(*_distinct(hub[several].view(np.uint64), nodes[several].view(np.uint64)), parts)
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, nodes = _distinct(*_payloads(batches))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(hub)), pa.array(signed(nodes))], names=["hub", "node"])
+
+    dealt = representatives.select("key", "signatures").mapInArrow(deal, _DEALT).repartition(parts, "part")
+    return dealt.mapInArrow(gather, _DEALT).repartition(parts, "part").mapInArrow(members, "hub long, node long")
+
+
+_DEALT = "part int, payload binary"
+
+
+def _dealt(first: np.ndarray, second: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Pairs of numbers packed by destination, which the first decides."""
+    part = (mix(first, 41) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edge = runs_of(part[order])
+    rows = [(int(part[order[a]]), np.stack([first[order[a:b]], second[order[a:b]]]).tobytes()) for a, b in zip(edge, edge[1:])]
+    columns = list(zip(*rows)) if rows else [[], []]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], names=["part", "payload"])
+
+
+def _payloads(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    got = [np.frombuffer(v.as_buffer(), np.uint64).reshape(2, -1) for batch in batches for v in batch.column(1)]
+    first, second = np.concatenate(got, axis=1) if got else np.empty((2, 0), np.uint64)
+    return first, second
+
+
+def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    new = np.ones(len(first), dtype=bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    return first[new], second[new]
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -374,7 +392,7 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     found = materialise(jaccard_components(docs, n, num, den), "jaccard-components")
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(row_key().alias("_key")).distinct()
     keyed = docs.withColumn("_key", row_key())
-    if gone.count() <= 1_000_000:
+    if gone.count() <= MOST_BROADCAST:
         gone = F.broadcast(gone)
     kept = keyed.join(gone, "_key", "left_anti")
     if found.groupBy(row_key()).count().where("count > 1").limit(1).count():
