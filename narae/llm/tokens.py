@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from narae.llm.shared import scratch_path
+from narae.llm.shared import lower_ascii, materialise, pieces, raw_texts, scratch_path
 
 END_ID = 2
 MAGIC = b"NRNS1\0"
@@ -31,7 +32,9 @@ LANES, BLOCK = 1024, 1 << 18
 #: Ids of a file, beyond which it ends after the current document.
 FILE_IDS = 1 << 22
 #: Words that a worker remembers the ids of.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
+#: Stands between words that are encoded together; words that have it in them are encoded alone.
+DIVIDER = b"|"
 
 
 # --- coding ----------------------------------------------------------------------------------
@@ -39,7 +42,9 @@ CACHE_WORDS = 1_000_000
 
 def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids and frequencies of 1 or more that sum to 2 ** SCALE."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    counts = counts[symbols]
     if len(symbols) > 1 << SCALE:
         raise ValueError("more distinct ids than a table holds")
     if not len(symbols):
@@ -96,7 +101,9 @@ def write_file(place: tuple[int, int], doc_ids: list[int | None], counts: np.nda
     """
     symbols, freq = frequency_table(ids)
     start = (np.cumsum(freq) - freq).astype(np.uint64)
-    codes, freq64 = np.searchsorted(symbols, ids), freq.astype(np.uint64)
+    places = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 0, dtype=np.int64)
+    places[symbols] = np.arange(len(symbols))
+    codes, freq64 = places[ids], freq.astype(np.uint64)
     directory, blocks, at = [], [], 0
     for first in range(0, len(ids), BLOCK):
         part = ids[first : first + BLOCK]
@@ -146,6 +153,43 @@ def read_file(data: bytes) -> tuple[tuple[int, int], list[int | None], np.ndarra
 # --- tokenising ------------------------------------------------------------------------------
 
 
+class _Numbers(dict):
+    """Numbers words in order of their first sight, and keeps the new ones."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = number = len(self)
+        return number
+
+
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP = np.zeros(256, dtype=bool)
+_STOP[[ord("."), ord(",")]] = True
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
+
+def plain_form(text: bytes) -> bytes:
+    """A text with the same ids and fewer distinct words.
+
+    A stop between a letter (A-Z) and white space is a piece of its own, so it may as well be set off.
+    Letters may be lower-cased ahead of the tokenizer, unless a combining mark (U+0300 to U+037F)
+    could first compose with one.
+    """
+    data = np.frombuffer(text, np.uint8)
+    if len(data) > 2:
+        stops = np.flatnonzero(_STOP[data])
+        inner = stops[(stops > 0) & (stops < len(data) - 1)]
+        inner = inner[_LETTER[data[inner - 1]] & _WHITE[data[inner + 1]]]
+        if len(inner):
+            text = np.insert(data, inner, 32).tobytes()
+    return text if b"\xcc" in text or b"\xcd" in text else lower_ascii(text)
+
+
 class WordEncoder:
     """Ids of whole texts, with the ids of words remembered.
 
@@ -157,27 +201,22 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        alone = self.tokenizer.encode(DIVIDER.decode(), add_special_tokens=False).ids
+        self.divider = alone[0] if len(alone) == 1 else -1
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.numbers = _Numbers()
         self.first, self.ids = np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.uint32)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text with the end id, and all those ids."""
-        if len(self.number) > CACHE_WORDS:
+        if len(self.numbers) > CACHE_WORDS:
             self.clear()
-        words = [t.split() for t in texts]
-        new = list(dict.fromkeys(w for row in words for w in row if w not in self.number))
-        if new:
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for ids in coded for i in ids), np.uint32, int(sizes.sum()))])
+        words = [plain_form(t).split() for t in texts]
         n_words = np.fromiter(map(len, words), np.int64, len(words))
-        number = self.number.__getitem__
-        numbers = np.fromiter((n for row in words for n in map(number, row)), np.int64, int(n_words.sum()))
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, int(n_words.sum()))
+        self._learn()
         sizes = (self.first[1:] - self.first[:-1])[numbers]
         total = np.concatenate([[0], np.cumsum(sizes)])
         edge = np.concatenate([[0], np.cumsum(n_words)])
@@ -185,6 +224,29 @@ class WordEncoder:
         flat = self.ids[np.arange(total[-1]) + np.repeat(self.first[numbers] - total[:-1], sizes)]
         return of_text + 1, np.insert(flat, total[edge[1:]], END_ID)
 
+    def _learn(self) -> None:
+        """Encodes new words, many in a text, told apart by a word that is one id of its own."""
+        new, self.numbers.new = self.numbers.new, []
+        firsts, ids = [self.first], [self.ids]
+        for at in range(0, len(new), 1 << 14):
+            some = new[at : at + (1 << 14)]
+            apart = self.divider < 0 or DIVIDER in b"".join(some)
+            coded = self._apart(some) if apart else self._together(some)
+            ids.append(coded[0])
+            firsts.append(firsts[-1][-1] + coded[1])
+        self.first, self.ids = np.concatenate(firsts), np.concatenate(ids)
+
+    def _apart(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(coded), np.uint32), np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
+
+    def _together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        between = b" " + DIVIDER + b" "
+        texts = [(between.join(words[k : k + 512]) + between).decode() for k in range(0, len(words), 512)]
+        coded = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
+        divides = coded == self.divider
+        return coded[~divides], np.flatnonzero(divides) - np.arange(len(words))
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -209,10 +271,10 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, file_ids: int = FI
         names, counts, ids, held = [], [], [], 0
         coder = encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                own, flat = coder.encode([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in piece.column(1)])
-                names += piece.column(0).to_pylist()
+            all_names, texts = batch.column(0).to_pylist(), raw_texts(batch.column(1))
+            for a, b in pieces(texts):
+                own, flat = coder.encode(texts[a:b])
+                names += all_names[a:b]
                 counts.append(own)
                 ids.append(flat)
                 held += len(flat)
@@ -262,7 +324,7 @@ def token_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
     path = scratch_path(docs.sparkSession, "tokens")
     write_tokens(docs, vocabulary, path)
-    found = read_tokens(docs.sparkSession, path)
+    found = materialise(read_tokens(docs.sparkSession, path), "token-index")
     files = found.groupBy("part", "number").agg(F.sum("n_tokens").alias("n"))
     earlier = W.orderBy("part", "number").rowsBetween(W.unboundedPreceding, -1)
     files = files.select("part", "number", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
