@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from narae.functions.catalogue import PROFILES, RULES, Config, PackRule, enabled, is_dictionary_rule, literal_table
 from narae.functions.hangul import BIEUP, NIEUN, RIEUL, final, is_syllable, with_final
-from narae.sources.tokens import tokens
+from narae.session import materialise
+from narae.sources.tokens import range_table, tokens
 
 COLUMNS = ["doc_id", "start", "end", "byte_start", "byte_end", "original", "suggestion", "rule_id", "severity", "safe", "turn"]
 
@@ -293,9 +294,9 @@ def without_known_words(findings: DataFrame, config: Config) -> DataFrame:
 def lint(docs: DataFrame, config: Config = Config(), packs: list[PackRule] | None = None) -> DataFrame:
     """All findings in (doc_id, text[, source_kind]) rows. Order them by start, end, rule_id, turn.
 
-    Tokens are made once and shared by all detectors through Spark's cache, which spills to disk.
+    Tokens are made once and written to the shared folder; each detector reads the columns it needs.
     """
-    found = tokens(docs).persist()
+    found = materialise(tokens(docs), "tokens")
     every = reduce(DataFrame.unionByName, [d(found, config) for d in DETECTORS.values()]).select(*COLUMNS)
     if packs:
         every = every.unionByName(pack_findings(docs, packs, config).select(*COLUMNS))
@@ -310,8 +311,6 @@ def pack_findings(docs: DataFrame, packs: list[PackRule], config: Config = Confi
         (r.id, r.severity, PROFILES[r.profile], r.safe_fix, p.wrong, p.right, p.boundary) for r in packs for p in r.patterns if PROFILES[r.profile] <= config.level and r.id not in config.disabled
     ]
     rules = spark.createDataFrame(rows, "rule_id string, severity string, level int, safe boolean, wrong string, right string, boundary string")
-    from narae.sources.tokens import range_table
-
     ranges = range_table(docs).join(docs.select("doc_id", "text"), "doc_id")
     prose = ranges.select("doc_id", F.col("start").alias("_at"), F.col("byte_start").alias("_byte"), F.expr("substring(text, cast(start + 1 as int), cast(end - start as int))").alias("prose"))
     joined = prose.join(F.broadcast(rules), F.col("prose").contains(F.col("wrong")))
