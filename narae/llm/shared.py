@@ -1,57 +1,18 @@
-"""Shared plumbing of the training-data operators: scratch tables, word hashing, Arrow rows.
-
-Scratch tables go below ``spark.checkpoint.dir`` as read from the session; a folder of our own is
-used only where that setting is absent (plain local sessions).
-"""
+"""Shared plumbing of the training-data operators: word hashing, Arrow rows, joins of checked size."""
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import tempfile
-import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from narae.session import materialise, scratch_path  # noqa: F401
+
 #: Words of most operators: runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_ROOTS: dict[str, str] = {}
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="narae-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        _ROOTS[app] = f"{base.rstrip('/')}/narae-{app}"
-        atexit.register(_drop, spark, _ROOTS[app])
-    return f"{_ROOTS[app]}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None or spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it from there.
-
-    Cuts the lineage: lost executors only cost a re-read, never a recomputation of what came before.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def word_count(text: Column) -> Column:
     """Words of a text; null counts 0. JVM side."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
