@@ -73,9 +73,9 @@ def normalised(text: Column) -> Column:
 
 def grams(text: Column, n: int) -> Column:
     """The set of character n-grams; a shorter text is its own only one."""
-    letters = F.split(text, "")
     size = F.char_length(text)
-    several = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(letters, i, n), ""))
+    # The letters are bound as a variable: within the inner function they would be split off anew for each place.
+    several = F.get(F.transform(F.array(F.split(text, "")), lambda x: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(x, i, n), ""))), F.lit(0))
     return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(text)).otherwise(F.array_distinct(several))
 
 
@@ -106,12 +106,16 @@ def byte_offset(text: Column, start: Column) -> Column:
 
 def changed_span(before: Column, after: Column) -> Column:
     """(start, end, before, after) of what is left without the common begin and end, in code points."""
-    a, b = F.split(before, ""), F.split(after, "")
     n, m = F.char_length(before), F.char_length(after)
-    equal = lambda limit, pair: F.aggregate(
-        F.when(limit > 0, F.sequence(F.lit(1), limit)).otherwise(F.array().cast("array<int>")), F.lit(0), lambda s, k: F.when((s == k - 1) & pair(k), k).otherwise(s)
-    )
-    head = equal(F.least(n, m), lambda k: F.get(a, k - 1) == F.get(b, k - 1))
-    tail = equal(F.least(n, m) - head, lambda k: F.get(a, n - k) == F.get(b, m - k))
+    letters = F.array(F.struct(F.split(before, "").alias("a"), F.split(after, "").alias("b")))
+    places = lambda limit: F.when(limit > 0, F.sequence(F.lit(1), limit)).otherwise(F.array().cast("array<int>"))
+
+    def equal(limit: Column, same) -> Column:
+        """How many places from the first on are the same."""
+        count = lambda x: F.aggregate(places(limit), F.lit(0), lambda s, k: F.when((s == k - 1) & same(x, k), k).otherwise(s))
+        return F.get(F.transform(letters, count), F.lit(0))
+
+    head = equal(F.least(n, m), lambda x, k: F.get(x["a"], k - 1) == F.get(x["b"], k - 1))
+    tail = equal(F.least(n, m) - head, lambda x, k: F.get(x["a"], n - k) == F.get(x["b"], m - k))
     cut = lambda text, size: F.substring(text, head + 1, size - head - tail)
     return F.struct(head.alias("start"), (n - tail).alias("end"), cut(before, n).alias("before"), cut(after, m).alias("after"))

@@ -316,7 +316,7 @@ def pack_findings(docs: DataFrame, packs: list[PackRule], config: Config = Confi
     joined = prose.join(F.broadcast(rules), F.col("prose").contains(F.col("wrong")))
     pieces = F.split(F.col("prose"), F.concat(F.lit("\\Q"), F.col("wrong"), F.lit("\\E")), -1)
     places = joined.withColumn("pieces", pieces).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("pieces") - 1)))
-    head = F.array_join(F.slice(F.col("pieces"), F.lit(1), F.col("k")), F.col("wrong"))
+    head = F.expr("array_join(slice(pieces, 1, k), wrong)")
     places = places.withColumn("head", head)
     begin, stop = F.substring("wrong", 1, 1), F.substring("wrong", -1, 1)
     following = F.expr("substring(prose, char_length(head) + char_length(wrong) + 1, 1)")
