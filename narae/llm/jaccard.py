@@ -1,11 +1,11 @@
 """N-gram Jaccard join: blocked sparse products of the document by n-gram incidence matrix.
 
 A document's row of the matrix is its set of hashed word n-grams. Equal rows collapse to one. Blocks
-come from an exact bound: linked sets differ in at most k elements, k by their size band, so of k + 3
-ranges of the hash space at least three hold the same elements; documents that share the contents of
-a range share a block, named by its smallest document. Within a block, products of matrix rows
-accumulate overlap counts; pairs beyond the size bound, or whose parity sketches differ in more bits
-than the bound allows, are discarded before, and pairs already connected are not multiplied again.
+come from an exact bound: linked sets differ in at most k elements, k by their size band, so of more than k
+ranges of the hash space some hold the same elements; documents that share the contents of a range
+share a block, named by its smallest document. Parity sketches, which differ in no more bits than sets
+do in elements, leave out what links to nothing in its block before rows are fetched. Within a block, products of matrix rows
+accumulate overlap counts; pairs beyond the bounds of sizes and sketches are discarded before, and pairs already connected are not multiplied again.
 Large blocks are split, with the few rows that do not link to the block's own document compared
 across the parts. Every link between different rows is found or implied by others, so components
 are exact.
@@ -23,15 +23,15 @@ from pyspark.sql import functions as F
 
 from narae.llm.components import components
 from narae.llm.shared import (
-    MOST_BROADCAST, NO_ID, join_texts, lower_ascii, materialise, mix, only_listed, pieces, raw_texts, row_key, runs_of, signed, window_hashes, windows_inside, word_bounds, word_hashes,
+    MOST_BROADCAST, NO_ID, join_texts, lower_ascii, materialise, mix, only_listed, pieces, raw_texts, release, row_key, runs_of, signed, window_hashes, windows_inside, word_bounds, word_hashes,
 )
 
-#: Ranges beyond k + 1: so many may be empty in a document before empty ranges count as contents.
-SPARE = 2
 #: Elements of the rows of a block at most; larger blocks are split.
 BLOCK_ELEMENTS = 2_000_000
+#: Members of a block whose sketches are compared with one another before their rows are fetched.
+MOST_COMPARED = 4096
 #: Ratio of a size band's borders.
-BAND = 1.5
+BAND = 1.3
 
 
 class Bounds:
@@ -41,6 +41,7 @@ class Bounds:
         if not 0 < num <= den:
             raise ValueError("the similarity must be in (0, 1]")
         self.num, self.den = num, den
+        self._ranges: dict[int, tuple[int, int]] = {}
         ratio = max(BAND, 1.05 * den / num)
         self.borders = [1]
         while self.borders[-1] < 1 << 40:
@@ -51,9 +52,19 @@ class Bounds:
         own = bisect_right(self.borders, size) - 1
         return [own, own + 1] if size * self.den >= self.num * self.borders[own + 1] else [own]
 
-    def ranges(self, band: int) -> int:
-        largest = self.borders[band + 1] - 1
-        return 2 * largest * (self.den - self.num) // (self.den + self.num) + 1 + SPARE
+    def ranges(self, band: int) -> tuple[int, int]:
+        """Ranges of a band, and how many of them beyond k + 1: so many may be empty in a document
+        before empty ranges count as contents. A document of the band hardly ever has more."""
+        if band not in self._ranges:
+            most = self.most_apart(self.borders[band + 1] - 1, self.borders[band + 1] - 1)
+            least = max(1, -(-self.borders[band] * self.num // self.den))
+            spare = 2
+            for _ in range(8):
+                n = most + 1 + spare
+                empty = n * (1 - 1 / n) ** least
+                spare = max(spare, int(empty + 3 * empty**0.5 + 2))
+            self._ranges[band] = (most + 1 + spare, spare)
+        return self._ranges[band]
 
     def linked(self, common, a, b):
         return self.den * common >= self.num * (a + b - common)
@@ -89,7 +100,7 @@ def signatures(hashes: np.ndarray, edge: np.ndarray, bounds: Bounds) -> tuple[np
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     owner = np.array([k for k, _ in tasks])
     band = np.array([b for _, b in tasks])
-    n_ranges = np.array([bounds.ranges(int(b)) for b in band])
+    n_ranges, spare = np.array([bounds.ranges(int(b)) for b in band]).T
     n = size[owner]
     task = np.repeat(np.arange(len(tasks)), n)
     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + edge[owner][task]
@@ -103,8 +114,9 @@ def signatures(hashes: np.ndarray, edge: np.ndarray, bounds: Bounds) -> tuple[np
     out, of = mix(content + mix(name, 5), 7), owner[task[run]]
     full = np.bincount(task[run], minlength=len(tasks))
     extra, extra_of = [], []
-    for k in np.flatnonzero(n_ranges - full > SPARE):
-        empty = np.setdiff1d(np.arange(n_ranges[k]), part[run][task[run] == k].astype(np.int64)).astype(np.uint64)
+    at = np.searchsorted(task[run], np.arange(len(tasks) + 1))
+    for k in np.flatnonzero(n_ranges - full > spare):
+        empty = np.setdiff1d(np.arange(n_ranges[k]), part[run[at[k] : at[k + 1]]].astype(np.int64)).astype(np.uint64)
         extra.append(mix(mix(band[k : k + 1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + empty * np.uint64(0xC2B2AE3D27D4EB4F), 5), 11))
         extra_of.append(np.full(len(empty), owner[k]))
     return np.concatenate([out, *extra]), np.concatenate([of, *extra_of])
@@ -132,13 +144,45 @@ class Forest:
         return a != b
 
 
-def _sketches(hashes: np.ndarray, size: np.ndarray, bits: int) -> np.ndarray:
-    """Parities of the elements in each of ``bits`` classes: sets differ in as many elements at least
-    as their sketches do in bits."""
+def sketch_bits(size: int, bounds: Bounds) -> int:
+    """Bits of a set's sketch: a power of two, several times the differences that a link allows."""
+    return min(1 << 16, max(64, 1 << (6 * int(bounds.most_apart(size, size))).bit_length()))
+
+
+def sketches(hashes: np.ndarray, edge: np.ndarray, bounds: Bounds) -> list[bytes]:
+    """Parities of the elements of each set in each of its classes: sets differ in as many elements at
+    least as their sketches do in bits. Halves of a sketch, one on the other, make a shorter one."""
+    size = np.diff(edge)
+    bits = np.array([sketch_bits(int(n), bounds) for n in size], dtype=np.int64)
+    offset = np.concatenate([[0], np.cumsum(bits)])
     owner = np.repeat(np.arange(len(size)), size)
-    bit = (mix(hashes, 13) % np.uint64(bits)).astype(np.int64)
-    odd = np.bincount(owner * bits + bit, minlength=len(size) * bits) & 1
-    return np.packbits(odd.astype(np.uint8)).reshape(len(size), bits // 8).view(np.uint64)
+    place = offset[owner] + (mix(hashes, 13) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(place, minlength=int(offset[-1])) & 1
+    packed = np.packbits(odd.astype(np.uint8)).tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(offset, offset[1:])]
+
+
+def folded(sketch: bytes, width: int) -> np.ndarray:
+    out = np.frombuffer(sketch, np.uint8)
+    while len(out) > width:
+        half = len(out) // 2
+        out = out[:half] ^ out[half:]
+    return out
+
+
+def may_link(size: list[int], sketch: list[bytes], bounds: Bounds) -> np.ndarray:
+    """Which sets may link to another of those given, by sizes and sketches."""
+    n, width = np.array(size, dtype=np.int64), min(map(len, sketch))
+    rows = np.stack([folded(x, width) for x in sketch]).view(np.uint64)
+    out = np.zeros(len(n), dtype=bool)
+    for a in range(0, len(n), 128):
+        some = slice(a, a + 128)
+        apart = np.bitwise_count(rows[some, None, :] ^ rows[None, :, :]).sum(axis=2, dtype=np.int64)
+        close = apart <= bounds.most_apart(n[some, None], n[None, :])
+        close &= bounds.den * np.minimum(n[some, None], n[None, :]) >= bounds.num * np.maximum(n[some, None], n[None, :])
+        close[np.arange(len(close)), np.arange(a, a + len(close))] = False
+        out[some] |= close.any(axis=1)
+    return out
 
 
 def block_links(rows: list[np.ndarray], bounds: Bounds, labels: list[int] | None = None, probes: list[int] | None = None) -> list[tuple[int, int]]:
@@ -155,7 +199,7 @@ def block_links(rows: list[np.ndarray], bounds: Bounds, labels: list[int] | None
     edge = np.concatenate([[0], np.cumsum(size)])
     forest = Forest(labels or list(range(len(rows))))
     out: list[tuple[int, int]] = []
-    sketches, roots, known = None, forest.roots(), 0
+    parities, roots, known = None, forest.roots(), 0
     for turn, p in enumerate(range(len(rows)) if probes is None else probes):
         if len(out) > known:
             roots, known = forest.roots(), len(out)
@@ -167,10 +211,10 @@ def block_links(rows: list[np.ndarray], bounds: Bounds, labels: list[int] | None
                 others = others[(others > p) | (roots[others] == roots[0])]  # each pair once
             if not len(others):
                 continue
-            if sketches is None:
-                most = int(bounds.most_apart(size.max(), size.max()))
-                sketches = _sketches(hashes, size, min(8192, max(64, 1 << (4 * most).bit_length())))
-            apart = np.bitwise_count(sketches[others] ^ sketches[p]).sum(axis=1)
+            if parities is None:
+                own = sketches(hashes, edge, bounds)
+                parities = np.stack([folded(x, min(map(len, own))) for x in own]).view(np.uint64)
+            apart = np.bitwise_count(parities[others] ^ parities[p]).sum(axis=1)
             others = others[apart <= bounds.most_apart(size[others], size[p])]
         if not len(others):
             continue
@@ -199,73 +243,92 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(row_key().alias("_key"), F.encode("text", "UTF-8").alias("_text"))
 
 
-def _rows_of(docs: DataFrame, n: int, bounds: Bounds) -> DataFrame:
-    """Per row of docs: key, size and digest of its set, packed signatures."""
+#: Rows of the first exchange: documents, and packed signatures or block members for a part.
+DOCUMENT, PACKED = 0, 1
+_FIRST = "kind int, part int, key long, n_shingles long, d1 long, d2 long, payload binary"
+_NAMES = [c.split()[0] for c in _FIRST.split(", ")]
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_texts = raw_texts(batch.column(1))
-            for a, b in pieces(all_texts):
-                hashes, edge = shingle_sets(all_texts[a:b], n)
-                size = np.diff(edge)
-                sums = [np.concatenate([[0], np.cumsum(mix(hashes, seed))]).astype(np.uint64) for seed in (21, 22)]
-                digests = [signed(s[edge[1:]] - s[edge[:-1]]) for s in sums]
-                found, of = signatures(hashes, edge, bounds)
-                order = np.argsort(of, kind="stable")
-                cut = np.searchsorted(of[order], np.arange(b - a + 1))
-                found = found[order]
-                packed = [found[x:y].tobytes() for x, y in zip(cut, cut[1:])]
-                arrays = [batch.column(0).slice(a, b - a), pa.array(size), *map(pa.array, digests), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "n_shingles", "d1", "d2", "signatures"])
 
-    return _texts(docs).mapInArrow(rows, "key long, n_shingles long, d1 long, d2 long, signatures binary")
+def _batch(columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], names=_NAMES)
+
 
+def _packed(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    n = len(rows)
+    return _batch([[PACKED] * n, [r[0] for r in rows], *[[None] * n] * 4, [r[1] for r in rows]])
 
-def _blocks(representatives: DataFrame, parts: int) -> DataFrame:
-    """(hub, node): the members of each block, its smallest document included."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _deal(found: np.ndarray, of: np.ndarray, nodes: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """Signatures by part: each payload has its nodes, the signatures, and whose each is (two bytes)."""
+    part = (found % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edge = runs_of(part[order])
+    rows = []
+    for a, b in zip(edge, edge[1:]):
+        some = order[a:b]
+        own, where = np.unique(of[some], return_inverse=True)
+        head = np.array([len(own), len(some)], dtype=np.int64)
+        rows.append((int(part[some[0]]), head.tobytes() + nodes[own].tobytes() + found[some].tobytes() + where.astype(np.uint16).tobytes()))
+    return rows
+
+
+def _dealt(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and nodes of payloads."""
+    found, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for data in payloads:
+        n, m = np.frombuffer(data, np.int64, 2)
+        own = np.frombuffer(data, np.int64, n, 16)
+        found.append(np.frombuffer(data, np.uint64, m, 16 + 8 * n))
+        nodes.append(own[np.frombuffer(data, np.uint16, m, 16 + 8 * n + 8 * m)])
+    return np.concatenate(found), np.concatenate(nodes)
+
+
+def _first_pass(docs: DataFrame, n: int, bounds: Bounds, parts: int) -> DataFrame:
+    """Documents (key, size and digest of the set, sketch) and block members of all rows of docs.
+
+    Signatures go to their part; there, documents with a signature in common become members (hub,
+    node) of a block, dealt out by hub. Of what repeats, each part sends on one pair.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = raw_texts(batch.column(1))
-            for a, b in pieces(values):
-                found = np.frombuffer(b"".join(values[a:b]), np.uint64)
-                nodes = np.repeat(batch.column(0).to_numpy()[a:b], [len(v) // 8 for v in values[a:b]])
-                yield _dealt(found, nodes.view(np.uint64), parts)
+            keys, all_texts = batch.column(0).to_numpy(), raw_texts(batch.column(1))
+            for start, stop in pieces(all_texts):
+                for a in range(start, stop, 1 << 16):
+                    b = min(stop, a + (1 << 16))
+                    hashes, edge = shingle_sets(all_texts[a:b], n)
+                    sums = [np.concatenate([[0], np.cumsum(mix(hashes, seed))]).astype(np.uint64) for seed in (21, 22)]
+                    digests = [signed(s[edge[1:]] - s[edge[:-1]]) for s in sums]
+                    spread = keys[a:b] & 0x7FFFFFFF
+                    yield _batch([np.zeros(b - a, np.int32), spread.astype(np.int32), keys[a:b], np.diff(edge), *digests, sketches(hashes, edge, bounds)])
+                    found, of = signatures(hashes, edge, bounds)
+                    yield _packed(_deal(found, of, keys[a:b], parts))
+        release()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, nodes = _payloads(batches)
+        payloads: list[bytes] = []
+        for batch in batches:
+            packed = batch.column(0).to_numpy() == PACKED
+            payloads += batch.filter(pa.array(packed)).column(6).to_pylist()
+            yield batch.filter(pa.array(~packed))
+        found, nodes = _dealt(payloads)
         order = np.lexsort((nodes, found))
-        found, nodes = found[order], nodes[order].view(np.int64)
+        found, nodes = found[order], nodes[order]
         edge = runs_of(found)
         hub = np.repeat(nodes[edge[:-1]], np.diff(edge))
         several = np.repeat(nodes[edge[1:] - 1], np.diff(edge)) != hub
-        yield _dealt(*_distinct(hub[several].view(np.uint64), nodes[several].view(np.uint64)), parts)
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, nodes = _distinct(*_payloads(batches))
-        yield pa.RecordBatch.from_arrays([pa.array(signed(hub)), pa.array(signed(nodes))], names=["hub", "node"])
-
-    dealt = representatives.select("key", "signatures").mapInArrow(deal, _DEALT).repartition(parts, "part")
-    return dealt.mapInArrow(gather, _DEALT).repartition(parts, "part").mapInArrow(members, "hub long, node long")
+        yield _packed(_pairs(*_distinct(hub[several], nodes[several]), parts))
+        release()
 
+    return _texts(docs).mapInArrow(rows, _FIRST).repartition(parts, "part").mapInArrow(gather, _FIRST)
 
-_DEALT = "part int, payload binary"
 
-
-def _dealt(first: np.ndarray, second: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Pairs of numbers packed by destination, which the first decides."""
-    part = (mix(first, 41) % np.uint64(parts)).astype(np.int64)
+def _pairs(hub: np.ndarray, nodes: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    part = (mix(hub.view(np.uint64), 41) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     edge = runs_of(part[order])
-    rows = [(int(part[order[a]]), np.stack([first[order[a:b]], second[order[a:b]]]).tobytes()) for a, b in zip(edge, edge[1:])]
-    columns = list(zip(*rows)) if rows else [[], []]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], names=["part", "payload"])
-
-
-def _payloads(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    got = [np.frombuffer(v.as_buffer(), np.uint64).reshape(2, -1) for batch in batches for v in batch.column(1)]
-    first, second = np.concatenate(got, axis=1) if got else np.empty((2, 0), np.uint64)
-    return first, second
+    return [(int(part[order[a]]), np.stack([hub[order[a:b]], nodes[order[a:b]]]).tobytes()) for a, b in zip(edge, edge[1:])]
 
 
 def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,6 +339,51 @@ def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.nda
     return first[new], second[new]
 
 
+def _members(first: DataFrame, parts: int) -> DataFrame:
+    """(hub, node): the distinct members of blocks, the hub of each included."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [np.frombuffer(v.as_buffer(), np.int64).reshape(2, -1) for batch in batches for v in batch.column(1)]
+        hub, nodes = _distinct(*np.concatenate(got, axis=1)) if got else np.empty((2, 0), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(hub), pa.array(nodes)], names=["hub", "node"])
+
+    packed = first.where(F.col("kind") == PACKED).select("part", "payload")
+    return packed.repartition(parts, "part").mapInArrow(members, "hub long, node long")
+
+
+def _promising(members: DataFrame, bounds: Bounds, parts: int) -> DataFrame:
+    """The members (hub, node) of (hub, node, size, sketch) rows that may link to another of their block.
+
+    Sketches of a block are compared with one another where sizes allow a link; blocks beyond
+    MOST_COMPARED members pass whole.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[tuple] = []
+        hub = None
+
+        def done() -> pa.RecordBatch:
+            keep = block
+            if 1 < len(block) <= MOST_COMPARED:
+                near = may_link([r[1] for r in block], [r[2] for r in block], bounds)
+                keep = [r for r, k in zip(block, near) if k]
+            nodes = {r[0] for r in keep} | ({hub} if keep else set())
+            return pa.RecordBatch.from_arrays([pa.array([hub] * len(nodes), pa.int64()), pa.array(sorted(nodes), pa.int64())], names=["hub", "node"])
+
+        for batch in batches:
+            for name, node, size, sketch in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                if name != hub:
+                    if block:
+                        yield done()
+                    block, hub = [], name
+                block.append((node, size, sketch))
+        if block:
+            yield done()
+
+    placed = members.select("hub", "node", "size", "sketch").repartition(parts, "hub").sortWithinPartitions("hub", "node")
+    return placed.mapInArrow(rows, "hub long, node long")
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     """(_key, set): packed sorted n-gram hashes of each row."""
 
@@ -334,15 +442,17 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = Bounds(num, den)
-    rows = materialise(_rows_of(docs, n, bounds), "jaccard-rows")
+    first = materialise(_first_pass(docs, n, bounds, parts), "jaccard-first")
+    rows = first.where(F.col("kind") == DOCUMENT).select("key", "n_shingles", "d1", "d2", F.col("payload").alias("sketch"))
     full = rows.where("n_shingles > 0")
-    classes = full.groupBy("d1", "d2", "n_shingles").agg(F.min("key").alias("rep"))
-    classes = materialise(classes, "jaccard-classes")
+    classes = materialise(full.groupBy("d1", "d2", "n_shingles").agg(F.min("key").alias("rep")), "jaccard-classes")
     own = full.select("key", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"]).select("key", "rep")
     links = own.where("key != rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
 
-    first = classes.select(F.col("rep").alias("key"), "d1", "d2")
-    blocks = materialise(_blocks(full.join(first, ["key", "d1", "d2"], "left_semi"), parts), "jaccard-blocks")
+    # Of equal rows the first alone takes part in blocks; it is the hub wherever they share one.
+    chosen = full.join(classes.select(F.col("rep").alias("key"), "d1", "d2"), ["key", "d1", "d2"], "left_semi").dropDuplicates(["key", "d1", "d2"])
+    chosen = chosen.select(F.col("key").alias("node"), F.col("n_shingles").alias("size"), "sketch")
+    blocks = materialise(_promising(_members(first, parts).join(chosen, "node"), bounds, parts), "jaccard-blocks")
     wanted = blocks.select(F.col("node").alias("_key")).distinct()
     sets = materialise(_sets(only_listed(_texts(docs), wanted, "_key"), n), "jaccard-sets", "lz4").withColumnRenamed("_key", "node")
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narae.llm.shared import materialise
+from narae.llm.shared import materialise, release
 
 FEATURES = (
     "log_words", "log_word_length", "word_length_spread", "letters", "upper", "digits", "stops", "marks", "symbols",
@@ -91,6 +91,7 @@ def document_statistics(docs: DataFrame, columns: list[str]) -> DataFrame:
             keep = [i for i in range(batch.num_columns) if i != k]
             arrays = [batch.column(i) for i in keep] + [pa.array(stats, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[batch.schema.names[i] for i in keep] + ["stats"])
+        release()
 
     source = docs.select(*[F.col(f"`{c}`") for c in columns], F.encode("text", "UTF-8").alias("_text"))
     schema = source.drop("_text").schema.add("stats", T.ArrayType(T.DoubleType()))
@@ -231,5 +232,6 @@ def keep_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, thresho
             texts = batch.column(batch.schema.names.index("text"))
             x = np.array([statistics(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.value.scores(x) >= threshold))
+        release()
 
     return docs.mapInArrow(rows, docs.schema)
