@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narae.llm.shared import materialise
+from narae.llm.shared import materialise, text_batches
 
 WINDOW = 10
 #: Words of one automaton at most; beyond that, items go to several blocks.
@@ -170,6 +170,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_wor
     """
     columns = columns or ["doc_id"]
     automata = _blocks(items, window, most_words)
+    text_batches(docs.sparkSession)
     out = docs.select(*[F.col(f"`{c}`") for c in columns], F.encode("text", "UTF-8").alias("_text"))
     out = out.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<begin:int,end:int>>").alias("hits"), F.array().cast("array<string>").alias("items"))
     for k, shared in enumerate(automata):

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from narae.llm.components import components
 from narae.llm.shared import (
-    MOST_BROADCAST, NO_ID, join_texts, lower_ascii, materialise, mix, only_listed, pieces, raw_texts, release, row_key, runs_of, signed, window_hashes, windows_inside, word_bounds, word_hashes,
+    MOST_BROADCAST, NO_ID, PIECE, join_texts, lower_ascii, materialise, mix, only_listed, pieces, raw_texts, release, row_key, runs_of, signed, text_batches, window_hashes, windows_inside, word_bounds, word_hashes,
 )
 
 #: Elements of the rows of a block at most; larger blocks are split.
@@ -294,7 +294,7 @@ def _first_pass(docs: DataFrame, n: int, bounds: Bounds, parts: int) -> DataFram
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, all_texts = batch.column(0).to_numpy(), raw_texts(batch.column(1))
-            for start, stop in pieces(all_texts):
+            for start, stop in pieces(all_texts, PIECE // 2):
                 for a in range(start, stop, 1 << 16):
                     b = min(stop, a + (1 << 16))
                     hashes, edge = shingle_sets(all_texts[a:b], n)
@@ -442,6 +442,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = Bounds(num, den)
+    text_batches(spark)
     first = materialise(_first_pass(docs, n, bounds, parts), "jaccard-first")
     rows = first.where(F.col("kind") == DOCUMENT).select("key", "n_shingles", "d1", "d2", F.col("payload").alias("sketch"))
     full = rows.where("n_shingles > 0")

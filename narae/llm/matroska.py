@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narae.llm.shared import materialise
+from narae.llm.shared import materialise, text_batches
 
 # Element identifiers, as the format fixes them.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -336,4 +336,5 @@ def media_digest(docs: DataFrame) -> DataFrame:
     A null text counts as empty; an empty text is one packet of bytes 255. Repeated rows give
     repeated rows, equal texts equal values. Other columns are ignored; no rows give no rows.
     """
+    text_batches(docs.sparkSession)
     return media_features(materialise(media_column(docs), "media"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narae.llm.shared import materialise, release
+from narae.llm.shared import materialise, release, text_batches
 
 FEATURES = (
     "log_words", "log_word_length", "word_length_spread", "letters", "upper", "digits", "stops", "marks", "symbols",
@@ -93,6 +93,7 @@ def document_statistics(docs: DataFrame, columns: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=[batch.schema.names[i] for i in keep] + ["stats"])
         release()
 
+    text_batches(docs.sparkSession)
     source = docs.select(*[F.col(f"`{c}`") for c in columns], F.encode("text", "UTF-8").alias("_text"))
     schema = source.drop("_text").schema.add("stats", T.ArrayType(T.DoubleType()))
     return source.mapInArrow(rows, schema)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from narae.llm.shared import text_batches
+
 KINDS = ("assign", "access", "hex", "crf")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -336,6 +338,7 @@ def secret_digest(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty and have no spans; repeated rows give repeated rows.
     """
+    text_batches(docs.sparkSession)
     found = secret_spans(docs, fit_field(docs))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

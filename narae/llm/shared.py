@@ -7,7 +7,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narae.session import materialise, scratch_path  # noqa: F401
@@ -118,11 +118,12 @@ def row_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 
 
-def pieces(texts: list[bytes]) -> list[tuple[int, int]]:
-    """Row ranges of about PIECE bytes."""
+def pieces(texts: list[bytes], most: int = 0) -> list[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes (by default PIECE)."""
+    most = most or PIECE
     out, start, held = [], 0, 0
     for k, text in enumerate(texts):
-        if held and held + len(text) > PIECE:
+        if held and held + len(text) > most:
             out.append((start, k))
             start, held = k, 0
         held += len(text)
@@ -148,6 +149,13 @@ def raw_texts(column) -> list[bytes]:
     return [v.as_buffer().to_pybytes() if v.is_valid else b"" for v in column]
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Rows with whole texts go to Python workers some hundreds at a time, unless the session says otherwise."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # the default
+        spark.conf.set(name, "1000")
+
+
 def release() -> None:
     """Gives freed memory back to the system: workers outlive their tasks, and share an executor's memory."""
     pa.default_memory_pool().release_unused()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narae.llm.shared import NO_ID, join_texts, materialise, mix, only_listed, pieces, raw_texts, row_key, runs_of, window_hashes, windows_inside, word_bounds, word_hashes
+from narae.llm.shared import NO_ID, join_texts, materialise, mix, only_listed, pieces, raw_texts, release, row_key, runs_of, text_batches, window_hashes, windows_inside, word_bounds, word_hashes
 
 WINDOW = 13
 
@@ -147,6 +147,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, parts: int | None =
     of its windows that also start in a document with a smaller key."""
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     length = -(-window // 2)  # doubled, it covers the window
+    text_batches(docs.sparkSession)
     texts = docs.select(row_key().alias("_key"), F.encode("text", "UTF-8").alias("_text"))
 
     def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,6 +169,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, parts: int | None =
                     low, own = low[new], keys[text[new]]
                     rows += _ask(low, np.zeros_like(low), own, parts, lambda first: _group_start(first) != _group_last(first))
                 yield _batch(rows)
+        release()
 
     counted = _exchange(texts.mapInArrow(first_level, _ROWS), _several, parts, "substring-1")
     candidates = materialise(_collected(counted, parts), "substring-candidates")
@@ -189,6 +191,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, parts: int | None =
                 low, high, own = np.concatenate(low), np.concatenate(high), np.concatenate(own)
                 if len(low):
                     yield _batch(_ask(low, high, own, parts, lambda first: ~first))
+        release()
 
     wanted = only_listed(texts, candidates.select("_key"), "_key").join(candidates, "_key").select("_key", "_text", "found")
     removals = _exchange(wanted.mapInArrow(last_level, _ROWS), lambda first, keys: keys != keys[_group_start(first)], parts, "substring-2")

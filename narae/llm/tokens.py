@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from narae.llm.shared import lower_ascii, materialise, pieces, raw_texts, scratch_path
+from narae.llm.shared import lower_ascii, materialise, pieces, raw_texts, release, scratch_path, text_batches
 
 END_ID = 2
 MAGIC = b"NRNS1\0"
@@ -30,9 +30,9 @@ LOWEST = 1 << 16
 #: Lanes of a block, and ids of a block at most.
 LANES, BLOCK = 1024, 1 << 18
 #: Ids of a file, beyond which it ends after the current document.
-FILE_IDS = 1 << 22
+FILE_IDS = 1 << 21
 #: Words that a worker remembers the ids of.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 300_000
 #: Stands between words that are encoded together; words that have it in them are encoded alone.
 DIVIDER = b"|"
 
@@ -283,6 +283,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, file_ids: int = FI
                     names, counts, ids, held, number = [], [], [], 0, number + 1
         if names:
             yield _row(write_file((part, number), names, np.concatenate(counts), np.concatenate(ids)))
+        release()
 
     texts = docs.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8").alias("text"))
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -323,6 +324,7 @@ def token_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
     of all documents before: those of earlier files (a sum over one row a file) and of the same file.
     """
     path = scratch_path(docs.sparkSession, "tokens")
+    text_batches(docs.sparkSession)
     write_tokens(docs, vocabulary, path)
     found = materialise(read_tokens(docs.sparkSession, path), "token-index")
     files = found.groupBy("part", "number").agg(F.sum("n_tokens").alias("n"))
