@@ -151,3 +151,43 @@ def style(text: Column) -> Column:
         profile = F.when(holds, name).otherwise(profile)
     count = F.greatest(F.char_length(text) - F.char_length(F.translate(text, ".?!。？！", "")), F.lit(1))
     return F.struct(profile.alias("profile"), count.alias("sentence_count"), (F.char_length(text) / count).alias("average_sentence_length"))
+
+
+def exact_candidates(words: DataFrame, rules: DataFrame) -> DataFrame:
+    """Candidates for words that a rule (rule_id, wrong, right) lists, with score 1; the best of a document."""
+    joined = words.join(F.broadcast(rules), words["surface"] == rules["wrong"])  # a rule table is small
+    rows = joined.select("doc_id", "start", (F.col("start") + F.char_length("surface")).alias("end"), F.col("surface").alias("original"), F.col("right").alias("replacement"), F.lit(0).alias("edits"), F.lit(0).cast("long").alias("freq"), F.lit(1.0).alias("score"), "rule_id")
+    return _per_document(rows, "start", "replacement")
+
+
+def plain_score(original: Column, replacement: Column) -> Column:
+    """Score without a ranker: nothing for no change, a quarter for a deletion, else a half."""
+    return F.when(original == replacement, 0.0).when(replacement == "", 0.25).otherwise(0.5)
+
+
+def correction_plan(candidates: DataFrame) -> DataFrame:
+    """(doc_id, edits): candidates by start, end and rule, none overlapping the last one taken."""
+    from narae.operators.fix import accepted
+
+    rows = candidates.withColumn("turn", F.lit(0)).withColumnRenamed("replacement", "suggestion")
+    return accepted(rows, review=True)
+
+
+def with_evidence(findings: DataFrame) -> DataFrame:
+    """Findings with nested suggestions: safe ones of high confidence and score 1, reviews of medium
+    and 0.5, and without a suggestion low and 0.5."""
+    some = F.col("suggestion").isNotNull()
+    safety = F.when(~some, "none").when(F.col("safe"), "safe").otherwise("review")
+    sure = F.when(safety == "safe", "high").when(safety == "review", "medium").otherwise("low")
+    score = F.when(safety == "safe", 1.0).otherwise(0.5)
+    evidence = F.array(F.struct(F.lit("rule").alias("code"), F.col("rule_id").alias("value"), score.alias("score")))
+    suggestion = F.struct(F.col("suggestion").alias("text"), safety.alias("safety"), sure.alias("confidence"), evidence.alias("evidence"))
+    return findings.withColumn("safety", safety).withColumn("confidence", sure).withColumn("evidence", evidence).withColumn("suggestions", F.when(some, F.array(suggestion)).otherwise(F.array().cast(F_SUGGESTIONS)))
+
+
+F_SUGGESTIONS = "array<struct<text:string,safety:string,confidence:string,evidence:array<struct<code:string,value:string,score:double>>>>"
+
+
+def without_evidence(findings: DataFrame) -> DataFrame:
+    """Nested suggestions as plain texts again."""
+    return findings.withColumn("suggestions", F.transform("suggestions", lambda s: s["text"])).drop("safety", "confidence", "evidence")

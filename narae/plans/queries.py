@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from narae.functions import hangul
 from narae.functions.catalogue import PROFILES, RULES, Config, boundary_of, literal_table, rule_pack, rule_table
 from narae.functions.rule_tables import FORMS, LITERALS
-from narae.operators import candidates, curate, detect, evaluate
+from narae.operators import authoring, candidates, curate, detect, evaluate
 from narae.operators.fix import accepted, applied
 from narae.plans.fixture import KOREAN, korean_documents
 from narae.session import materialise
@@ -655,3 +655,63 @@ def rule_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def role_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets to compare: the turns of each role."""
     return _read(spark, sf_dir, "conversations").groupBy("role").agg(F.array_join(F.array_sort(F.collect_set("turn")).cast("array<string>"), ",").alias("turns"))
+
+
+# --- authoring -------------------------------------------------------------------------------
+
+_SEEDS = [(n.rsplit(".", 1)[0], a, b, "high" if f == "safe" else "medium", p) for n, _, p, f, pairs in LITERALS for a, b in pairs]
+
+
+def _seeds(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_SEEDS, "family string, wrong string, right string, confidence string, profile string")
+
+
+def _letters(names, k: str) -> str:
+    return "[" + ", ".join("''" if n == "-" else f"'{n}'" for n in names) + f"][CAST({k} AS INTEGER) + 1]"
+
+
+_SLUG = f"""trim(regexp_replace(array_to_string(list_transform(string_split(good, ''), lambda c: CASE WHEN ord(c) BETWEEN 44032 AND 55203
+  THEN {_letters(authoring.INITIALS, 'floor((ord(c) - 44032) / 588)')} || {_letters(authoring.MEDIALS, 'floor((ord(c) - 44032) / 28) % 21')} || {_letters(authoring.FINALS, '(ord(c) - 44032) % 28')}
+  ELSE lower(c) END), ''), '[^a-z0-9]+', '-', 'g'), '-')"""
+
+
+@query(f"""SELECT family || '.' || {_SLUG} AS rule_id, CASE WHEN starts_with(family, 'spelling.') THEN 'error' WHEN starts_with(family, 'style.') OR starts_with(family, 'advanced.') THEN 'info' ELSE 'warning' END AS severity,
+confidence, profile, profile = 'default' AS default_enabled, confidence = 'high' AND profile = 'default' AS safe, wrong, good AS "right" FROM (VALUES {_table(_SEEDS)}) s(family, wrong, good, confidence, profile)""")
+def seed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue rows made from seeds, with romanised ids."""
+    return authoring.rules_of_seeds(_seeds(spark))
+
+
+@query("WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS t FROM part) SELECT a.t AS wrong, b.t AS other FROM w a JOIN w b ON a.t <> b.t AND contains(a.t, b.t)")
+def contained_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of part names with another in them, as seeds that are not apart."""
+    words = _read(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("wrong")).where("wrong != ''").distinct()
+    return authoring.contained_seeds(words)
+
+
+@query(f"""WITH {_CASES}, f AS (SELECT count(*) AS n, count(*) FILTER (case_type = 'error') AS e FROM k), t AS (SELECT count(*) - count(DISTINCT trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS d FROM documents)
+SELECT 'total' AS problem, 'cases' AS subject, n AS found, 1000000000 AS wanted FROM f UNION ALL SELECT 'total', 'duplicates', d, 3 FROM t WHERE d > 3
+UNION ALL SELECT 'genre', 'ko', 0, 5 UNION ALL SELECT 'rule', 'q', 0, 2 UNION ALL SELECT 'profile', 'strict', 0, 1""")
+def policy_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What documents as a corpus lack for a policy."""
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("case_id"), "text")
+    cases = _cases(spark, sf_dir).join(docs, "case_id").withColumn("source_kind", F.lit("plain_text")).withColumn("profile", F.lit("default"))
+    wanted = authoring.Policy(least_cases=10**9, most_duplicates=3, genres=("en", "ko"), least_per_genre=5, source_kinds=("plain_text",), rule_minimums=(("r", 1), ("q", 2)), profile_minimums=(("strict", 1),))
+    return authoring.policy_problems(cases, wanted)
+
+
+@query(f"""WITH {KOREAN} SELECT doc_id, start AS start_cp, word AS original, good AS replacement, 1.0::DOUBLE AS score, CASE WHEN word = good THEN 0.0 ELSE 0.5 END::DOUBLE AS plain
+FROM words JOIN (VALUES {_table([(n, a, b) for n, a, b, _ in _LITERALS])}) r(rule_id, wrong, good) ON word = wrong""")
+def exact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole words that a literal rule lists."""
+    rules = literal_table(spark).select("rule_id", "wrong", "right")
+    found = candidates.exact_candidates(_words(spark, sf_dir), rules)
+    return found.select("doc_id", F.col("start").alias("start_cp"), "original", "replacement", "score", candidates.plain_score(F.col("original"), F.col("replacement")).alias("plain"))
+
+
+@query(f"""WITH {KOREAN}, f AS ({_body_sql(BODY)}), r(rule_id, safety) AS (VALUES {_table([(r.id, r.safety) for r in RULES.values()])})
+SELECT safety, CASE safety WHEN 'safe' THEN 'high' ELSE 'medium' END AS confidence, CASE safety WHEN 'safe' THEN 1.0 ELSE 0.5 END::DOUBLE AS score, count(*) AS findings FROM f JOIN r USING (rule_id) GROUP BY safety""")
+def findings_with_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in the nested form, by what their suggestions say."""
+    rows = candidates.with_evidence(detect.lint(korean_documents(spark, sf_dir), ALL)).withColumn("s", F.explode("suggestions"))
+    return rows.groupBy("s.safety", "s.confidence", F.get("s.evidence", F.lit(0))["score"].alias("score")).agg(F.count(F.lit(1)).alias("findings"))
