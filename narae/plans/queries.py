@@ -604,11 +604,11 @@ def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.training_pairs(rows).select("case_id", "chosen", "rejected")
 
 
-@query("""SELECT CAST(conv_id AS VARCHAR) AS id, trim(regexp_replace(regexp_replace(string_agg(text, ' ' ORDER BY turn), ' +([.,!?;:)\\]}”’])', '\\1', 'g'), '([(\\[{“‘]) +', '\\1', 'g')) AS text FROM conversations GROUP BY conv_id HAVING conv_id % 2 = 0""")
+@query("""SELECT CAST(conv_id AS VARCHAR) AS id, trim(regexp_replace(regexp_replace(string_agg(text, ' ' ORDER BY turn), ' +([.,!?;:)\\]}”’])', '\\1', 'g'), '([(\\[{“‘]) +', '\\1', 'g')) AS text FROM conversations GROUP BY conv_id HAVING count(*) > 4""")
 def unchanged_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as annotated sentences; those that all annotators left alone (even ones)."""
-    rows = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("s"))
-    noop = F.when(F.col("conv_id") % 2 == 0, "A -1 -1|||noop|||-NONE-|||REQUIRED|||-NONE-|||0\nA -1 -1|||noop|||-NONE-|||REQUIRED|||-NONE-|||1").otherwise("A 0 1|||R:NOUN|||x|||REQUIRED|||-NONE-|||0")
+    """Conversations as annotated sentences; those that all annotators left alone (those of more than four turns)."""
+    rows = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("s"), F.count(F.lit(1)).alias("turns"))
+    noop = F.when(F.col("turns") > 4, "A -1 -1|||noop|||-NONE-|||REQUIRED|||-NONE-|||0\nA -1 -1|||noop|||-NONE-|||REQUIRED|||-NONE-|||1").otherwise("A 0 1|||R:NOUN|||x|||REQUIRED|||-NONE-|||0")
     groups = rows.select(F.col("conv_id").cast("string").alias("id"), F.concat(F.lit("S "), F.replace("s", F.lit("\n"), F.lit(" ")), F.lit("\n"), noop).alias("lines"))
     return curate.unchanged_cases(curate.annotations(groups))
 
@@ -638,11 +638,11 @@ def sarif_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(files.sarif_level(F.col("severity")).alias("level"), "lang").agg(F.count(F.lit(1)).alias("findings"))
 
 
-@query("SELECT doc_id, sha256('rules-1' || chr(10) || text) AS key FROM documents WHERE doc_id % 2 = 1")
+@query("SELECT doc_id, sha256('rules-1' || chr(10) || text) AS key FROM documents WHERE lang <> 'en'")
 def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose results a cache of the even ones lacks."""
+    """Documents whose results a cache of the English ones lacks."""
     docs = _read(spark, sf_dir, "documents").withColumn("path", F.col("doc_id").cast("string"))
-    cache = docs.where("doc_id % 2 = 0").select("path", files.cache_key(F.col("text"), "rules-1").alias("key"))
+    cache = docs.where("lang = 'en'").select("path", files.cache_key(F.col("text"), "rules-1").alias("key"))
     return files.cache_split(docs, cache, "rules-1")[1].select("doc_id", "key")
 
 
