@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narae.llm.shared import materialise, text_batches
+from narae.llm.shared import materialise, small_batches, tidy
 
 WINDOW = 10
 #: Words of one automaton at most; beyond that, items go to several blocks.
@@ -170,13 +170,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_wor
     """
     columns = columns or ["doc_id"]
     automata = _blocks(items, window, most_words)
-    text_batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
     out = docs.select(*[F.col(f"`{c}`") for c in columns], F.encode("text", "UTF-8").alias("_text"))
     out = out.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<begin:int,end:int>>").alias("hits"), F.array().cast("array<string>").alias("items"))
     for k, shared in enumerate(automata):
         if k:
             out = materialise(out, "leaks")  # one automaton at a time in a worker
-        out = out.mapInArrow(_finder(shared), out.schema)
+        out = out.mapInArrow(tidy(_finder(shared)), out.schema)
     return out.drop("_text")
 
 
@@ -250,7 +250,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, most
                 columns["n_chars"] = pa.array([len(t) if len(h) else n for t, h, n in zip(texts, hits, old)], kind)
             yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(k)) for k, c in enumerate(names)], names=names)
 
-    return kept.mapInArrow(rows, kept.schema).select(*[F.col(f"`{c}`") for c in columns])
+    return kept.mapInArrow(tidy(rows), kept.schema).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def _without(text: str, ranges: list[tuple[int, int]]) -> str:

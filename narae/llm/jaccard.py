@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 
 from narae.llm.components import components
 from narae.llm.shared import (
-    MOST_BROADCAST, NO_ID, PIECE, join_texts, lower_ascii, materialise, mix, only_listed, pieces, raw_texts, release, row_key, runs_of, signed, text_batches, window_hashes, windows_inside, word_bounds, word_hashes,
+    MOST_BROADCAST, NO_ID, PIECE, join_texts, lower_ascii, materialise, mix, only_listed, pieces, raw_texts, row_key, runs_of, signed, small_batches, window_hashes, windows_inside, word_bounds, word_hashes, tidy,
 )
 
 #: Elements of the rows of a block at most; larger blocks are split.
-BLOCK_ELEMENTS = 2_000_000
+BLOCK_ELEMENTS = 1_000_000
 #: Members of a block whose sketches are compared with one another before their rows are fetched.
 MOST_COMPARED = 4096
+#: Sketch words that a comparison holds at once.
+MOST_WORDS = 1 << 21
 #: Ratio of a size band's borders.
 BAND = 1.3
 
@@ -175,8 +177,9 @@ def may_link(size: list[int], sketch: list[bytes], bounds: Bounds) -> np.ndarray
     n, width = np.array(size, dtype=np.int64), min(map(len, sketch))
     rows = np.stack([folded(x, width) for x in sketch]).view(np.uint64)
     out = np.zeros(len(n), dtype=bool)
-    for a in range(0, len(n), 128):
-        some = slice(a, a + 128)
+    step = max(1, MOST_WORDS // rows.size)
+    for a in range(0, len(n), step):
+        some = slice(a, a + step)
         apart = np.bitwise_count(rows[some, None, :] ^ rows[None, :, :]).sum(axis=2, dtype=np.int64)
         close = apart <= bounds.most_apart(n[some, None], n[None, :])
         close &= bounds.den * np.minimum(n[some, None], n[None, :]) >= bounds.num * np.maximum(n[some, None], n[None, :])
@@ -304,7 +307,6 @@ def _first_pass(docs: DataFrame, n: int, bounds: Bounds, parts: int) -> DataFram
                     yield _batch([np.zeros(b - a, np.int32), spread.astype(np.int32), keys[a:b], np.diff(edge), *digests, sketches(hashes, edge, bounds)])
                     found, of = signatures(hashes, edge, bounds)
                     yield _packed(_deal(found, of, keys[a:b], parts))
-        release()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         payloads: list[bytes] = []
@@ -319,9 +321,8 @@ def _first_pass(docs: DataFrame, n: int, bounds: Bounds, parts: int) -> DataFram
         hub = np.repeat(nodes[edge[:-1]], np.diff(edge))
         several = np.repeat(nodes[edge[1:] - 1], np.diff(edge)) != hub
         yield _packed(_pairs(*_distinct(hub[several], nodes[several]), parts))
-        release()
 
-    return _texts(docs).mapInArrow(rows, _FIRST).repartition(parts, "part").mapInArrow(gather, _FIRST)
+    return _texts(docs).mapInArrow(tidy(rows), _FIRST).repartition(parts, "part").mapInArrow(tidy(gather), _FIRST)
 
 
 def _pairs(hub: np.ndarray, nodes: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
@@ -348,7 +349,7 @@ def _members(first: DataFrame, parts: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(hub), pa.array(nodes)], names=["hub", "node"])
 
     packed = first.where(F.col("kind") == PACKED).select("part", "payload")
-    return packed.repartition(parts, "part").mapInArrow(members, "hub long, node long")
+    return packed.repartition(parts, "part").mapInArrow(tidy(members), "hub long, node long")
 
 
 def _promising(members: DataFrame, bounds: Bounds, parts: int) -> DataFrame:
@@ -381,7 +382,7 @@ def _promising(members: DataFrame, bounds: Bounds, parts: int) -> DataFrame:
             yield done()
 
     placed = members.select("hub", "node", "size", "sketch").repartition(parts, "hub").sortWithinPartitions("hub", "node")
-    return placed.mapInArrow(rows, "hub long, node long")
+    return placed.mapInArrow(tidy(rows), "hub long, node long")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -395,7 +396,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 packed = [hashes[x:y].tobytes() for x, y in zip(edge, edge[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(packed, pa.binary())], names=["_key", "set"])
 
-    return docs.mapInArrow(rows, "_key long, set binary")
+    return docs.mapInArrow(tidy(rows), "_key long, set binary")
 
 
 def _multiply(rows: DataFrame, bounds: Bounds, parts: int) -> DataFrame:
@@ -428,7 +429,7 @@ def _multiply(rows: DataFrame, bounds: Bounds, parts: int) -> DataFrame:
 
     placed = rows.select("hub", "sub", "node", "label", "probe", "set").withColumn("_first", F.col("node") != F.col("hub"))
     placed = placed.repartition(parts, "hub", "sub").sortWithinPartitions("hub", "sub", "_first", "node").drop("_first")
-    return placed.mapInArrow(links, "a long, b long")
+    return placed.mapInArrow(tidy(links), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -442,7 +443,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = Bounds(num, den)
-    text_batches(spark)
+    small_batches(spark)
     first = materialise(_first_pass(docs, n, bounds, parts), "jaccard-first")
     rows = first.where(F.col("kind") == DOCUMENT).select("key", "n_shingles", "d1", "d2", F.col("payload").alias("sketch"))
     full = rows.where("n_shingles > 0")

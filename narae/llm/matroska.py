@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narae.llm.shared import materialise, text_batches
+from narae.llm.shared import materialise, small_batches, tidy
 
 # Element identifiers, as the format fixes them.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -271,7 +271,7 @@ def packet_table(media: DataFrame, key: str = "doc_id", column: str = "media") -
             columns = list(zip(*out)) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return media.select(F.col(key).cast("long"), F.col(column)).mapInArrow(rows, PACKETS)
+    return media.select(F.col(key).cast("long"), F.col(column)).mapInArrow(tidy(rows), PACKETS)
 
 
 def pad(data: bytes, unit: int = FRAME) -> bytes:
@@ -288,7 +288,7 @@ def media_column(docs: DataFrame, lacing: int = FIXED) -> DataFrame:
             media = pa.array((write_matroska(pad(t), lacing) for t in texts), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), media], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(rows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def _feature(data: bytes, samples: np.ndarray, packets: list[Packet], cues: list[Cue]) -> str:
@@ -327,7 +327,7 @@ def media_features(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *[f.split()[0] for f in MEDIA.split(", ")]])
 
     ident = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(rows, f"doc_id {ident}, {MEDIA}")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(rows), f"doc_id {ident}, {MEDIA}")
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
@@ -336,5 +336,5 @@ def media_digest(docs: DataFrame) -> DataFrame:
     A null text counts as empty; an empty text is one packet of bytes 255. Repeated rows give
     repeated rows, equal texts equal values. Other columns are ignored; no rows give no rows.
     """
-    text_batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
     return media_features(materialise(media_column(docs), "media"))

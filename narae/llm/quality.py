@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narae.llm.shared import materialise, release, text_batches
+from narae.llm.shared import materialise, small_batches, tidy
 
 FEATURES = (
     "log_words", "log_word_length", "word_length_spread", "letters", "upper", "digits", "stops", "marks", "symbols",
@@ -91,12 +91,11 @@ def document_statistics(docs: DataFrame, columns: list[str]) -> DataFrame:
             keep = [i for i in range(batch.num_columns) if i != k]
             arrays = [batch.column(i) for i in keep] + [pa.array(stats, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[batch.schema.names[i] for i in keep] + ["stats"])
-        release()
 
-    text_batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
     source = docs.select(*[F.col(f"`{c}`") for c in columns], F.encode("text", "UTF-8").alias("_text"))
     schema = source.drop("_text").schema.add("stats", T.ArrayType(T.DoubleType()))
-    return source.mapInArrow(rows, schema)
+    return source.mapInArrow(tidy(rows), schema)
 
 
 def standardised(stats: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -160,7 +159,7 @@ def _moments(stats: DataFrame, centre: np.ndarray | None = None, scale: np.ndarr
         out = [pa.array(np.repeat([0, 1], len(i)), pa.int32()), pa.array(np.tile(i, 2), pa.int32()), pa.array(np.tile(j, 2), pa.int32()), pa.array(np.concatenate([sums[0][i, j], sums[1][i, j]]))]
         yield pa.RecordBatch.from_arrays(out, names=["label", "i", "j", "value"])
 
-    table = stats.select("label", "stats").mapInArrow(rows, "label int, i int, j int, value double")
+    table = stats.select("label", "stats").mapInArrow(tidy(rows), "label int, i int, j int, value double")
     out = {c: np.zeros((d + 1, d + 1)) for c in (0, 1)}
     for r in table.groupBy("label", "i", "j").agg(F.sum("value").alias("value")).collect():  # 2 * 153 rows
         out[r.label][r.i, r.j] = out[r.label][r.j, r.i] = r.value
@@ -201,7 +200,7 @@ def _scored(stats: DataFrame, model: Discriminant | Constant) -> DataFrame:
             arrays = [batch.column(i) for i in range(len(names)) if i != k]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(shared.value.scores(x))], names=[c for c in names if c != "stats"] + ["score"])
 
-    return stats.mapInArrow(rows, stats.drop("stats").schema.add("score", "double"))
+    return stats.mapInArrow(tidy(rows), stats.drop("stats").schema.add("score", "double"))
 
 
 def _training(stats: DataFrame, labels: DataFrame, folds: int) -> DataFrame:
@@ -233,6 +232,5 @@ def keep_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, thresho
             texts = batch.column(batch.schema.names.index("text"))
             x = np.array([statistics(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.value.scores(x) >= threshold))
-        release()
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(tidy(rows), docs.schema)

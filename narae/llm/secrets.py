@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narae.llm.shared import text_batches
+from narae.llm.shared import small_batches, tidy
 
 KINDS = ("assign", "access", "hex", "crf")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
@@ -287,7 +287,7 @@ def training_runs(docs: DataFrame, most: int = MOST_RUNS) -> list[tuple[list[lis
                             found.append((hashlib.md5(sample.encode() + run[0][2]).hexdigest(), sample))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (list(zip(*found)) or [[], []])], names=["key", "sample"])
 
-    sampled = docs.select(F.encode("text", "UTF-8").alias("text")).mapInArrow(rows, "key string, sample string")
+    sampled = docs.select(F.encode("text", "UTF-8").alias("text")).mapInArrow(tidy(rows), "key string, sample string")
     out = []
     for r in sampled.orderBy("key", "sample").limit(most).collect():
         rows_, mask, tags = json.loads(r.sample)
@@ -330,7 +330,7 @@ def secret_spans(docs: DataFrame, field: Field) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
 
     ident = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(rows, f"doc_id {ident}, spans array<struct<kind:string,start:int,end:int>>")
+    return docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(tidy(rows), f"doc_id {ident}, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
@@ -338,7 +338,7 @@ def secret_digest(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty and have no spans; repeated rows give repeated rows.
     """
-    text_batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
     found = secret_spans(docs, fit_field(docs))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

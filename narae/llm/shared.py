@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -149,11 +150,15 @@ def raw_texts(column) -> list[bytes]:
     return [v.as_buffer().to_pybytes() if v.is_valid else b"" for v in column]
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Rows with whole texts go to Python workers some hundreds at a time, unless the session says otherwise."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":  # the default
-        spark.conf.set(name, "1000")
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers some megabytes at a time, unless the session has its own setting.
+
+    Spark's default of 64 MB a batch is held several times over: by the JVM outside its heap, by the
+    worker, and as the rows made of it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "67108864", "64MB", "64m"):
+        spark.conf.set(name, "8m")
 
 
 def release() -> None:
@@ -162,3 +167,13 @@ def release() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
+
+
+def tidy(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over Arrow batches that ends with release()."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from rows(batches)
+        release()
+
+    return run

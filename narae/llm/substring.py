@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narae.llm.shared import NO_ID, join_texts, materialise, mix, only_listed, pieces, raw_texts, release, row_key, runs_of, text_batches, window_hashes, windows_inside, word_bounds, word_hashes
+from narae.llm.shared import NO_ID, join_texts, materialise, mix, only_listed, pieces, raw_texts, row_key, runs_of, small_batches, tidy, window_hashes, windows_inside, word_bounds, word_hashes
 
 WINDOW = 13
 
@@ -113,7 +113,7 @@ def _group_last(first: np.ndarray) -> np.ndarray:
 
 
 def _exchange(rows: DataFrame, found: Callable, parts: int, name: str) -> DataFrame:
-    return materialise(rows.repartition(parts, "part").mapInArrow(_answer(found, parts), _ROWS), name)
+    return materialise(rows.repartition(parts, "part").mapInArrow(tidy(_answer(found, parts)), _ROWS), name)
 
 
 def _collected(rows: DataFrame, parts: int) -> DataFrame:
@@ -134,7 +134,7 @@ def _collected(rows: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys[some[:-1]]), pa.array(found, pa.binary())], names=["_key", "found"])
 
     found = rows.where(F.col("kind") == FOUND).select("payload", "part").repartition(parts, "part").select("payload")
-    return found.mapInArrow(gather, "_key long, found binary")
+    return found.mapInArrow(tidy(gather), "_key long, found binary")
 
 
 def _several(first: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -147,7 +147,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, parts: int | None =
     of its windows that also start in a document with a smaller key."""
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     length = -(-window // 2)  # doubled, it covers the window
-    text_batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
     texts = docs.select(row_key().alias("_key"), F.encode("text", "UTF-8").alias("_text"))
 
     def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +169,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, parts: int | None =
                     low, own = low[new], keys[text[new]]
                     rows += _ask(low, np.zeros_like(low), own, parts, lambda first: _group_start(first) != _group_last(first))
                 yield _batch(rows)
-        release()
 
-    counted = _exchange(texts.mapInArrow(first_level, _ROWS), _several, parts, "substring-1")
+    counted = _exchange(texts.mapInArrow(tidy(first_level), _ROWS), _several, parts, "substring-1")
     candidates = materialise(_collected(counted, parts), "substring-candidates")
 
     def last_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +190,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, parts: int | None =
                 low, high, own = np.concatenate(low), np.concatenate(high), np.concatenate(own)
                 if len(low):
                     yield _batch(_ask(low, high, own, parts, lambda first: ~first))
-        release()
 
     wanted = only_listed(texts, candidates.select("_key"), "_key").join(candidates, "_key").select("_key", "_text", "found")
-    removals = _exchange(wanted.mapInArrow(last_level, _ROWS), lambda first, keys: keys != keys[_group_start(first)], parts, "substring-2")
+    removals = _exchange(wanted.mapInArrow(tidy(last_level), _ROWS), lambda first, keys: keys != keys[_group_start(first)], parts, "substring-2")
     return counted.where(F.col("kind") == DOCUMENT), _collected(removals, parts)
 
 
@@ -237,7 +235,7 @@ def dedup_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield _batch(out)
 
     wanted = only_listed(texts, removals.select("_key"), "_key").join(removals, "_key").select("_key", "_text", "found")
-    cut = wanted.mapInArrow(rows, _ROWS)
+    cut = wanted.mapInArrow(tidy(rows), _ROWS)
     whole = documents.join(removals.select(F.col("_key").alias("key")), "key", "left_anti")
     out = whole.select("key", "n_words", "n_removed", "sha").unionByName(cut.select("key", "n_words", "n_removed", "sha"))
     ident = F.when(F.col("key") != NO_ID, F.col("key")).cast(docs.schema["doc_id"].dataType)
@@ -260,4 +258,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     texts[k] = b" ".join([w for w, c in zip(words, covered.tolist()) if not c]).decode()
             yield batch.set_column(at, "text", pa.array(texts, pa.string()))
 
-    return rows.mapInArrow(cut, rows.schema).select(*[F.col(f"`{c}`") for c in columns])
+    return rows.mapInArrow(tidy(cut), rows.schema).select(*[F.col(f"`{c}`") for c in columns])

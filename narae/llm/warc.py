@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narae.llm.shared import scratch_path
+from narae.llm.shared import scratch_path, tidy
 
 CHUNK = 1 << 20
 #: Payloads of fewer bytes are never deduplicated.
@@ -228,7 +228,7 @@ def read_warc(spark, path: str, chunk: int = CHUNK, keep_data: bool = True) -> D
 
     # Whole-file gzip is never split, so a task sees each archive from its start, in order.
     lines = spark.read.option("lineSep", END.decode()).text(path).select(F.col("value").cast("binary"))
-    return lines.mapInArrow(rows, CHUNKS)
+    return lines.mapInArrow(tidy(rows), CHUNKS)
 
 
 def _batch(parser: Parser) -> pa.RecordBatch:
