@@ -9,6 +9,7 @@ system that Spark reaches.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from narae.llm.shared import lower_ascii, materialise, pieces, raw_texts, release, scratch_path, text_batches
+from narae.llm.shared import PIECE, lower_ascii, materialise, pieces, raw_texts, scratch_path, small_batches, tidy
 
 END_ID = 2
 MAGIC = b"NRNS1\0"
@@ -31,8 +32,8 @@ LOWEST = 1 << 16
 LANES, BLOCK = 1024, 1 << 18
 #: Ids of a file, beyond which it ends after the current document.
 FILE_IDS = 1 << 21
-#: Words that a worker remembers the ids of.
-CACHE_WORDS = 300_000
+#: Words that a worker remembers the ids of; of more it keeps the first, which are the frequent ones.
+CACHE_WORDS, KEPT_WORDS = 600_000, 200_000
 #: Stands between words that are encoded together; words that have it in them are encoded alone.
 DIVIDER = b"|"
 
@@ -197,22 +198,40 @@ class WordEncoder:
     of its words (as split at ASCII blanks) in turn. Each distinct word is encoded by the tokenizer.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str, most: int = 0, kept: int = 0):
+        self.path, self._tokenizer = path, None
+        self.most, self.kept = most or CACHE_WORDS, kept or KEPT_WORDS
         alone = self.tokenizer.encode(DIVIDER.decode(), add_special_tokens=False).ids
         self.divider = alone[0] if len(alone) == 1 else -1
-        self.clear()
-
-    def clear(self) -> None:
         self.numbers = _Numbers()
         self.first, self.ids = np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.uint32)
 
+    @property
+    def tokenizer(self):
+        if self._tokenizer is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel; threads hold memory each
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+        return self._tokenizer
+
+    def rest(self) -> None:
+        """Between tasks the tokenizer goes, and words beyond those to be kept if they are few."""
+        self._tokenizer = None
+        if self.most < CACHE_WORDS and len(self.numbers) > self.kept:
+            self.forget()
+
+    def forget(self) -> None:
+        """Keeps the first words."""
+        kept = _Numbers()
+        kept.update((w, n) for w, n in self.numbers.items() if n < self.kept)
+        self.numbers, self.first = kept, self.first[: self.kept + 1].copy()
+        self.ids = self.ids[: self.first[-1]].copy()
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text with the end id, and all those ids."""
-        if len(self.numbers) > CACHE_WORDS:
-            self.clear()
+        if len(self.numbers) > self.most:
+            self.forget()
         words = [plain_form(t).split() for t in texts]
         n_words = np.fromiter(map(len, words), np.int64, len(words))
         numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, int(n_words.sum()))
@@ -248,31 +267,35 @@ class WordEncoder:
         return coded[~divides], np.flatnonzero(divides) - np.arange(len(words))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, most: int = 0, kept: int = 0) -> WordEncoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, most, kept) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, most, kept] = WordEncoder(path, most, kept)
+    return _ENCODERS[path, most, kept]
 
 
 # --- DataFrames ------------------------------------------------------------------------------
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, path: str, file_ids: int = FILE_IDS) -> None:
-    """Token files of all whole texts, in ascending doc_id order (null first, equal ids by text)."""
+def write_tokens(docs: DataFrame, vocabulary: str, path: str, file_ids: int = FILE_IDS, words: tuple[int, int] = (0, 0)) -> None:
+    """Token files of all whole texts, in ascending doc_id order (null first, equal ids by text).
+
+    words: how many words a worker remembers, and keeps when there are more (0: the usual numbers).
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
         names, counts, ids, held = [], [], [], 0
-        coder = encoder(vocabulary)
+        coder = encoder(vocabulary, *words)
         for batch in batches:
             all_names, texts = batch.column(0).to_pylist(), raw_texts(batch.column(1))
-            for a, b in pieces(texts):
+            for a, b in pieces(texts, PIECE // 4):
                 own, flat = coder.encode(texts[a:b])
                 names += all_names[a:b]
                 counts.append(own)
@@ -283,11 +306,11 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, file_ids: int = FI
                     names, counts, ids, held, number = [], [], [], 0, number + 1
         if names:
             yield _row(write_file((part, number), names, np.concatenate(counts), np.concatenate(ids)))
-        release()
+        coder.rest()
 
     texts = docs.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8").alias("text"))
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = ordered.mapInArrow(rows, "data binary")
+    files = ordered.mapInArrow(tidy(rows), "data binary")
     files.select(F.col("data").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
@@ -314,18 +337,18 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     schema = "doc_id long, n_tokens long, ids_crc32 long, part int, number int, place long" + ", ids array<long>" * with_ids
     fields = [c.split()[0] for c in schema.split(", ")]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(rows, schema)
+    return files.select("content").mapInArrow(tidy(rows), schema)
 
 
-def token_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
+def token_digest(docs: DataFrame, vocabulary: str, words: tuple[int, int] = (0, 0)) -> DataFrame:
     """Writes token files to the shared folder and reads them back: (doc_id, start, n_tokens, ids_crc32).
 
     Null and empty texts are the end id alone; repeated rows follow one another. start counts the ids
     of all documents before: those of earlier files (a sum over one row a file) and of the same file.
     """
     path = scratch_path(docs.sparkSession, "tokens")
-    text_batches(docs.sparkSession)
-    write_tokens(docs, vocabulary, path)
+    small_batches(docs.sparkSession)
+    write_tokens(docs, vocabulary, path, words=words)
     found = materialise(read_tokens(docs.sparkSession, path), "token-index")
     files = found.groupBy("part", "number").agg(F.sum("n_tokens").alias("n"))
     earlier = W.orderBy("part", "number").rowsBetween(W.unboundedPreceding, -1)

@@ -541,3 +541,13 @@ def test_decoding_equals_enumeration():
         field = secrets.Field({}, np.zeros((1, 3)), move)
         best = max(itertools.product(range(3), repeat=n), key=lambda p: sum(scores[t, p[t]] for t in range(n)) + sum(move[a, b] for a, b in zip([0, *p], [*p, 0])))
         assert field.decode(scores) == list(best)
+
+
+def test_forgotten_words(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 5)
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 3)
+    coder = tokens.WordEncoder(VOCABULARY)
+    for turn in range(4):
+        text = " ".join(f"word{k} again{turn}" for k in range(4 * turn, 4 * turn + 4))
+        counts, ids = coder.encode([text.encode()])
+        assert ids.tolist() == [*coder.tokenizer.encode(text, add_special_tokens=False).ids, 2] and counts.tolist() == [len(ids)]
