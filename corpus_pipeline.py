@@ -34,8 +34,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token-id files of the mix, and where each document stands in them."""
-    return token_digest(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Token-id files of the mix, and where each document stands in them.
+
+    Workers of all stages share an executor's memory, so few words are remembered here.
+    """
+    return token_digest(docs, public_tokenizers.path("word_bpe_49k.json"), words=(150_000, 50_000))
 
 
 STAGES = [
