@@ -13,32 +13,42 @@ from narae.llm.shared import materialise, table_path
 from narae.llm.tokens import token_digest
 
 
+def _frugal(spark: SparkSession) -> None:
+    """Stages follow one another in the same executors: what they hand to Python goes by the megabyte."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
+    _frugal(spark)
     return keep_quality(docs, spark.read.parquet(table_path(sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more)."""
+    _frugal(spark)
     return one_of_each(docs, n=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without benchmark passages; documents that are mostly such passages go."""
+    _frugal(spark)
     return decontaminated(docs, spark.read.parquet(table_path(sf_dir, "benchmark")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: repeated whole, then cut."""
+    _frugal(spark)
     return mixed_documents(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-id files of the mix, and where each document stands in them.
 
-    Workers of all stages share an executor's memory, so few words are remembered here.
+    Workers of all stages share an executor's memory, so files are smaller and few words remembered here.
     """
-    return token_digest(docs, public_tokenizers.path("word_bpe_49k.json"), words=(150_000, 50_000))
+    _frugal(spark)
+    return token_digest(docs, public_tokenizers.path("word_bpe_49k.json"), file_ids=1 << 19, words=(100_000, 50_000))
 
 
 STAGES = [

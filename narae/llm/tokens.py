@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from narae.llm.shared import PIECE, lower_ascii, materialise, pieces, raw_texts, scratch_path, small_batches, tidy
+from narae.llm.shared import PIECE, lower_ascii, materialise, pieces, raw_texts, release, scratch_path, small_batches, tidy
 
 END_ID = 2
 MAGIC = b"NRNS1\0"
@@ -62,7 +62,7 @@ def encode_block(codes: np.ndarray, freq: np.ndarray, start: np.ndarray) -> tupl
     """Lane states (uint32) and 16-bit words of symbol indexes, filled up with index 0 to whole steps."""
     lanes = min(LANES, max(1, len(codes)))
     steps = -(-len(codes) // lanes)
-    grid = np.zeros(steps * lanes, dtype=np.int64)
+    grid = np.zeros(steps * lanes, dtype=np.int32)
     grid[: len(codes)] = codes
     grid = grid.reshape(steps, lanes)
     state = np.full(lanes, LOWEST, dtype=np.uint64)
@@ -102,7 +102,7 @@ def write_file(place: tuple[int, int], doc_ids: list[int | None], counts: np.nda
     """
     symbols, freq = frequency_table(ids)
     start = (np.cumsum(freq) - freq).astype(np.uint64)
-    places = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 0, dtype=np.int64)
+    places = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 0, dtype=np.int32)
     places[symbols] = np.arange(len(symbols))
     codes, freq64 = places[ids], freq.astype(np.uint64)
     directory, blocks, at = [], [], 0
@@ -304,6 +304,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, file_ids: int = FI
                 if held >= file_ids:
                     yield _row(write_file((part, number), names, np.concatenate(counts), np.concatenate(ids)))
                     names, counts, ids, held, number = [], [], [], 0, number + 1
+                    release()
         if names:
             yield _row(write_file((part, number), names, np.concatenate(counts), np.concatenate(ids)))
         coder.rest()
@@ -340,7 +341,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     return files.select("content").mapInArrow(tidy(rows), schema)
 
 
-def token_digest(docs: DataFrame, vocabulary: str, words: tuple[int, int] = (0, 0)) -> DataFrame:
+def token_digest(docs: DataFrame, vocabulary: str, file_ids: int = FILE_IDS, words: tuple[int, int] = (0, 0)) -> DataFrame:
     """Writes token files to the shared folder and reads them back: (doc_id, start, n_tokens, ids_crc32).
 
     Null and empty texts are the end id alone; repeated rows follow one another. start counts the ids
@@ -348,7 +349,7 @@ def token_digest(docs: DataFrame, vocabulary: str, words: tuple[int, int] = (0,
     """
     path = scratch_path(docs.sparkSession, "tokens")
     small_batches(docs.sparkSession)
-    write_tokens(docs, vocabulary, path, words=words)
+    write_tokens(docs, vocabulary, path, file_ids, words)
     found = materialise(read_tokens(docs.sparkSession, path), "token-index")
     files = found.groupBy("part", "number").agg(F.sum("n_tokens").alias("n"))
     earlier = W.orderBy("part", "number").rowsBetween(W.unboundedPreceding, -1)
