@@ -1,7 +1,8 @@
 """Hierarchical Pitman-Yor language model.
 
-A restaurant of words has all training tokens as customers; its dishes are drawn from a hierarchy of
-restaurants over the bytes of a word, where a context's parent is the context without its farthest
+Each word (and the start of a text, which is the end of another) has a restaurant of the tokens that
+follow it in training texts. Its tables send their customers to one restaurant of words, where no
+word before counts; the dishes there are drawn from a hierarchy of restaurants over the bytes of a word, where a context's parent is the context without its farthest
 byte, down to no context and then to even odds. Every table of the word restaurant sends one customer
 for each byte of its word (and the word's end) to the deepest byte restaurants, their tables send
 customers to their parents, and so on. The end of a text is the empty word. All words that training
@@ -11,7 +12,8 @@ Seating is resampled level by level: all customers of a dish leave and come back
 restaurant's rule, given everyone else (for dishes with many customers, later ones in groups with the
 expected number of new tables, randomly rounded). Predictive probabilities are averaged over samples.
 
-Word counts over all training texts and word seatings stay distributed. The byte hierarchy is
+Counts of words and of pairs (word before, token) over all training texts and their seatings stay
+distributed; words are joined by 64-bit hashes (``word_hashes``) in pairs and scores. The byte hierarchy is
 gathered: its size is bounded by MOST_WINDOWS, and contexts get shorter where the corpus has more.
 """
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narae.llm.shared import release, join_texts, lower_ascii, materialise, mix, raw_texts, small_batches, tidy, word_hashes
+from narae.llm.shared import join_texts, lower_ascii, materialise, mix, pieces, raw_texts, release, signed, small_batches, tidy, word_bounds, word_hashes
 
 FOLDS, HELD_OUT = 5, 1
 #: Bytes of context at most, and distinct (context, byte) pairs of the byte hierarchy at most.
@@ -35,6 +37,10 @@ CONTEXT, MOST_WINDOWS = 4, 2_000_000
 ROUNDS, SWEEPS, KEPT = 3, 3, 2
 #: Concentration of byte and word restaurants.
 BYTE_STRENGTH, WORD_STRENGTH = 1.0, 10.0
+#: Concentration of the restaurants after a word, and how often their customers are seated anew.
+PAIR_STRENGTH, PAIR_ROUNDS = 1.0, 2
+#: The end of a text, and what stands before its first word.
+END = mix(np.zeros(1, dtype=np.uint64))[0]
 #: Even odds over what may follow: all bytes but white space, and the end.
 EVEN = 1.0 / 251
 #: Customers of a dish that are seated one by one.
@@ -206,16 +212,25 @@ class WordSample:
         """Probability of the next token being any word that training texts don't have."""
         return (WORD_STRENGTH + self.taken * self.seated) * max(1.0 - self.known, 1e-12) / (WORD_STRENGTH + self.tokens)
 
-    def probabilities(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        base = self.base(words)
+    @property
+    def fresh(self) -> float:
+        """Probability of another table."""
+        return (WORD_STRENGTH + self.taken * self.seated) / (WORD_STRENGTH + self.tokens)
+
+    def probabilities(self, words: list[bytes], counts: np.ndarray, base: np.ndarray | None = None) -> np.ndarray:
+        base = self.base(words) if base is None else base
         tables = self.seat(words, counts, base, self.tables)
         own = (counts - self.taken * tables + (WORD_STRENGTH + self.taken * self.seated) * base) / (WORD_STRENGTH + self.tokens)
         return np.where(counts > 0, own, self.unseen)
 
     def base(self, words: list[bytes]) -> np.ndarray:
+        return np.exp(self.log_base(words))
+
+    def log_base(self, words: list[bytes]) -> np.ndarray:
+        """Natural log probability of the spelling of each word."""
         windows, edge = word_windows(words, self.model.context)
         logs = np.concatenate([[0.0], np.cumsum(self.model.log_odds(windows))])
-        return np.exp(logs[edge[1:]] - logs[edge[:-1]])
+        return logs[edge[1:]] - logs[edge[:-1]]
 
     def seat(self, words: list[bytes], counts: np.ndarray, base: np.ndarray, tables: float) -> np.ndarray:
         buf, starts = join_texts(words)
@@ -230,6 +245,89 @@ def _held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
+def _ids(words: list[bytes]) -> np.ndarray:
+    buf, starts = join_texts(words)
+    return word_hashes(buf, starts[:-1], starts[1:] - 1)
+
+
+def text_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the tokens of lower-cased texts with their ends, of the tokens before, and each text's begin."""
+    buf, starts = join_texts(texts)
+    begin, end, first = word_bounds(buf, starts)
+    edge = np.concatenate([[0], np.cumsum(np.diff(first) + 1)])
+    tokens = np.full(edge[-1], END, dtype=np.uint64)
+    inner = np.ones(len(tokens), dtype=bool)
+    inner[edge[1:] - 1] = False
+    tokens[inner] = word_hashes(buf, begin, end)
+    return tokens, np.concatenate([[END], tokens[:-1]]).astype(np.uint64)[: len(tokens)], edge
+
+
+def pair_keys(contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair."""
+    return mix(mix(contexts, 7) * np.uint64(0x9FB21C651E98DF25) + tokens)
+
+
+def _lowered(column) -> list[bytes]:
+    return [lower_ascii(t) for t in raw_texts(column)]
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(pair, context, token, count) of all neighbouring tokens of training texts, as ids."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _lowered(batch.column(0))
+            for a, b in pieces(texts):
+                tokens, contexts, _ = text_tokens(texts[a:b])
+                keys, at, count = np.unique(pair_keys(contexts, tokens), return_index=True, return_counts=True)
+                columns = [signed(keys), signed(contexts[at]), signed(tokens[at]), count.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pair", "context", "token", "count"])
+
+    texts = docs.where(~_held_out()).select(F.encode("text", "UTF-8").alias("text"))
+    found = texts.mapInArrow(tidy(rows), "pair long, context long, token long, count long")
+    return found.groupBy("pair").agg(F.first("context").alias("context"), F.first("token").alias("token"), F.sum("count").alias("count"))
+
+
+def pair_discount(pairs: DataFrame) -> float:
+    ones, twos = pairs.agg(F.count_if(F.col("count") == 1), F.count_if(F.col("count") == 2)).first()
+    return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+
+
+def _tables_by(column: str, single: DataFrame, several: DataFrame) -> DataFrame:
+    """(id, tables) of the pairs' restaurants or dishes. ``single``: counts of pairs met once."""
+    both = single.where(F.col("side") == column).select("id", F.col("n").cast("double").alias("tables")).unionByName(several.select(F.col(column).alias("id"), "tables"))
+    return both.groupBy("id").agg(F.sum("tables").alias("tables"))
+
+
+def seat_pairs(several: DataFrame, contexts: DataFrame, odds: DataFrame, discount: float, number: int) -> DataFrame:
+    """The pairs met more than once with their tables, seated anew given the words' probabilities.
+
+    contexts: (id, tables) of the restaurants; odds: (id, log_odds) of the words.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair, count, of_context, log_odds = (batch.column(k).to_numpy() for k in (0, 3, 4, 5))
+            weight = (PAIR_STRENGTH + discount * of_context) * 10.0**log_odds
+            tables = seat(count, weight, discount, mix(pair.view(np.uint64), 91 + number)) if len(count) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(tables)], names=["pair", "context", "token", "count", "tables"])
+
+    joined = several.select("pair", "context", "token", "count").join(contexts.select(F.col("id").alias("context"), F.col("tables").alias("of_context")), "context")
+    joined = joined.join(odds.select(F.col("id").alias("token"), "log_odds"), "token")
+    return joined.select("pair", "context", "token", "count", "of_context", "log_odds").mapInArrow(tidy(rows), "pair long, context long, token long, count long, tables double")
+
+
+def with_ids(counts: DataFrame) -> DataFrame:
+    """(id, word, seen) of word counts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = _ids(raw_texts(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(ids)), *batch.columns], names=["id", "word", "seen"])
+
+    return counts.select("word", "count").mapInArrow(tidy(rows), "id long, word binary, seen long")
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, count) of all words of all texts, counting those of training texts only."""
 
@@ -282,7 +380,7 @@ def _windows(counts: DataFrame, context: int, sample=None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(customers)], names=["window", "customers"])
         yield pa.RecordBatch.from_arrays([pa.array([-1, -2], pa.int64()), pa.array([tables, known])], names=["window", "customers"])
 
-    found = counts.where("count > 0").mapInArrow(tidy(rows), "window long, customers double")
+    found = counts.where("count > 0").select("word", "count").mapInArrow(tidy(rows), "window long, customers double")
     return found.groupBy("window").agg(F.sum("customers").alias("customers"))
 
 
@@ -295,8 +393,8 @@ def _gathered(windows: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]
     return keys[order].astype(np.uint64), np.round(customers[order]), float(customers[keys == -1].sum()), float(customers[keys == -2].sum())
 
 
-def fit(counts: DataFrame) -> tuple[list[WordSample], int, int]:
-    """Samples of the model, the training tokens and the distinct training words."""
+def fit(counts: DataFrame, rounds: int = ROUNDS) -> tuple[list[WordSample], int, int]:
+    """Samples of the model of single words, its customers and the distinct training words."""
     spark = counts.sparkSession
     seen = counts.where("count > 0")
     n, types, ones, twos = seen.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("count") == 1), F.count_if(F.col("count") == 2)).first()
@@ -309,7 +407,7 @@ def fit(counts: DataFrame) -> tuple[list[WordSample], int, int]:
     keys, customers, tables, _ = _gathered(first)
     restaurants = ByteRestaurants(context, keys, customers)  # all passes meet the same windows
     samples: list[WordSample] = []
-    for number in range(ROUNDS):
+    for number in range(rounds):
         for sweep in range(SWEEPS):
             restaurants.sweep(number * SWEEPS + sweep)
         sample = WordSample(restaurants.predict(), discount, n, number, tables)
@@ -322,65 +420,130 @@ def fit(counts: DataFrame) -> tuple[list[WordSample], int, int]:
 
 
 def predictions(counts: DataFrame, samples: list[WordSample]) -> DataFrame:
-    """(word, count, log_odds): log10 of the averaged predictive probability of each word."""
+    """Word counts (word and count first) with log_odds and spelled: log10 of the averaged predictive
+    probability of each word, where words that training texts lack are one event, and by their spelling."""
     shared = counts.sparkSession.sparkContext.broadcast(samples)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, count = raw_texts(batch.column(0)), batch.column(1).to_numpy()
-            total = sum(s.probabilities(words, count) for s in shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.log10(total / len(shared.value)))], names=["word", "count", "log_odds"])
+            total, spelled = 0.0, np.full(len(words), -np.inf)
+            for s in shared.value:
+                logs = s.log_base(words)
+                total = total + s.probabilities(words, count, np.exp(logs))
+                spelled = np.logaddexp(spelled, logs + np.log(s.fresh))
+            log_odds = np.log10(total / len(shared.value))
+            spelled = np.where(count > 0, log_odds, (spelled - np.log(len(shared.value))) / np.log(10))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log_odds), pa.array(spelled)], names=[*batch.schema.names, "log_odds", "spelled"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema)
+    return counts.mapInArrow(tidy(rows), f"{fields}, log_odds double, spelled double")
+
 
-    return counts.mapInArrow(tidy(rows), "word binary, count long, log_odds double")
+def fit_pairs(counts: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """The words with log_odds, spelled, seen (count in training texts) and tables (of the restaurant after
+    them), the pairs met more than once with their tables, and the discount of pairs.
+
+    Pairs met once have one table. Seatings start from one table a pair; those of pairs are averaged.
+    """
+    words = materialise(with_ids(counts), "word-ids")
+    discount = pair_discount(pairs)
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("id")) for c in ("context", "token")])).alias("s")
+    single = materialise(pairs.where("count = 1").select(sides).groupBy("s.side", "s.id").agg(F.count(F.lit(1)).alias("n")), "pairs-once")
+    several = pairs.where("count > 1").withColumn("tables", F.lit(1.0))
+    kept: list[DataFrame] = []
+    for number in range(PAIR_ROUNDS + 1):
+        customers = _tables_by("token", single, several).select("id", F.col("tables").cast("long").alias("count"))
+        eaten = words.join(customers, "id", "left").select("word", F.coalesce("count", F.lit(0)).alias("count"), "id", "seen")
+        eaten = materialise(eaten, "word-customers")
+        last = number == PAIR_ROUNDS
+        samples, _, _ = fit(eaten, ROUNDS if last else 1)
+        odds = predictions(eaten, samples)
+        if not last:
+            several = materialise(seat_pairs(several, _tables_by("context", single, several), odds.where("count > 0"), discount, number), "pairs-seated")
+            kept = [*kept, several][-KEPT:]
+    mean = kept[0]
+    for more in kept[1:]:
+        mean = mean.unionByName(more)
+    mean = mean.groupBy("pair", "context").agg(F.first("count").alias("count"), F.avg("tables").alias("tables"))
+    mean = materialise(mean, "pair-tables")
+    odds = materialise(odds.join(_tables_by("context", single, mean), "id", "left"), "word-odds")
+    return odds, mean, discount
 
 
 def language_scores(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each text.
 
-    Tokens are the lower-cased (A-Z) words and one end. A null text is empty: its end is its only
-    token. A null doc_id is training text. Repeated rows count and score each. Without training texts
-    both scores are 0, as all words are unseen.
+    Tokens are the lower-cased (A-Z) words and one end; score is by the token before each. Words that
+    training texts lack are one event. A null text is empty: its end is its only token. A null doc_id is training
+    text. Repeated rows count and score each. Without training texts base_score and score are 0, as all
+    words are unseen.
     """
     spark = docs.sparkSession
     small_batches(spark)
     counts = materialise(word_counts(docs), "word-counts")
-    samples, n, types = fit(counts)
-    odds = materialise(predictions(counts, samples), "word-odds")
+    n, types = counts.where("count > 0").agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
+    pairs = materialise(pair_counts(docs), "pair-counts")
+    odds, several, discount = fit_pairs(counts, pairs)
     blocks = max(1, -(-n * FOLDS // ((FOLDS - 1) * BLOCK_TOKENS)))
 
     texts = docs.select("doc_id", _held_out().alias("held_out"), F.encode("text", "UTF-8").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
     texts = texts.repartition(max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, set[bytes]] = {}
+        """The words of each block (asked 0) and its pairs (asked 1)."""
+        held: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
-                own = held.setdefault(block, {b""})
-                own.update(lower_ascii(text).split())
-        for block, words in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int32()), pa.array(list(words), pa.binary())], names=["block", "word"])
-
-    asked = texts.select("block", "text").mapInArrow(tidy(distinct), "block int, word binary")
-    answers = asked.join(odds, "word").select("block", "word", "count", F.col("log_odds").cast("float").alias("log_odds"))
+            block, every = batch.column(0).to_numpy(), _lowered(batch.column(1))
+            for one in np.unique(block).tolist():
+                texts = [every[k] for k in np.flatnonzero(block == one)]
+                for a, b in pieces(texts):
+                    tokens, contexts, _ = text_tokens(texts[a:b])
+                    for asked, keys in enumerate((np.append(tokens, END), pair_keys(contexts, tokens))):
+                        held.setdefault((one, asked), []).append(np.unique(keys))
+                        if len(held[one, asked]) >= 8:
+                            held[one, asked] = [np.unique(np.concatenate(held[one, asked]))]
+        for (one, asked), keys in held.items():
+            keys = signed(np.unique(np.concatenate(keys)))
+            for k in range(0, len(keys), 500_000):
+                part = keys[k : k + 500_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), one, np.int32)), pa.array(np.full(len(part), asked, np.int32)), pa.array(part)], names=["block", "asked", "key"])
+
+    asked = materialise(texts.select("block", "text").mapInArrow(tidy(distinct), "block int, asked int, key long"), "asked")
+    of_word = odds.select(F.col("id").alias("key"), F.col("seen").alias("count"), F.coalesce("tables", F.lit(0.0)).alias("tables"), "log_odds", "spelled")
+    none = F.lit(0.0)
+    of_pair = several.select(F.col("pair").alias("key"), "count", "tables").unionByName(pairs.where("count = 1").select(F.col("pair").alias("key"), "count", F.lit(1.0).alias("tables")))
+    answers = asked.where("asked = 0").join(of_word, "key").unionByName(asked.where("asked = 1").join(of_pair, "key").withColumns({"log_odds": none, "spelled": none}))
+    answers = answers.select("block", "asked", "key", "count", "tables", "log_odds", "spelled")
     unit = n + 0.5 * (types + 1)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        words = right.column("word").to_pylist()
-        place = dict(zip(words, range(len(words))))
-        count = right.column("count").to_numpy()
-        values = np.stack([count > 0, np.log10((count + 0.5) / unit), right.column("log_odds").to_numpy().astype(float)]) if len(words) else np.zeros((3, 0))
-        out = []
-        for text in raw_texts(left.column("text").combine_chunks()):
-            own = lower_ascii(text).split()
-            own.append(b"")
-            at = np.fromiter(map(place.get, own), np.int64, len(own)) if len(words) else np.empty(0, np.int64)
-            out.append((len(own), *values[:, at].sum(axis=1)))
-        size, known, base, model = (np.array(c) for c in zip(*out)) if out else [np.empty(0)] * 4
-        del place, values, words
+        kind = right.column("asked").to_numpy()
+        table = []
+        for asked, names in enumerate((("count", "tables", "log_odds", "spelled"), ("count", "tables"))):
+            mine = np.flatnonzero(kind == asked)
+            keys = right.column("key").to_numpy()[mine].view(np.uint64)
+            order = np.argsort(keys)
+            table.append((keys[order], [right.column(c).to_numpy()[mine[order]].astype(float) for c in names]))
+        (words, (seen, of_context, log_odds, spelled)), (known_pairs, (pair_count, pair_tables)) = table
+        every, out = _lowered(left.column("text").combine_chunks()), []
+        for a, b in pieces(every):
+            tokens, contexts, edge = text_tokens(every[a:b])
+            at, before = np.searchsorted(words, tokens), np.searchsorted(words, contexts)
+            pair, met = _find(known_pairs, pair_keys(contexts, tokens))
+            own = np.where(met, pair_count[pair] - discount * pair_tables[pair], 0.0) if len(known_pairs) else np.zeros(len(tokens))
+            new, total = PAIR_STRENGTH + discount * of_context[before], PAIR_STRENGTH + seen[before]
+            known = seen[at] > 0
+            model = np.log10((own + new * 10.0 ** log_odds[at]) / total)
+            by_bytes = np.where(known, model, np.log10(new / total) + spelled[at])
+            values = np.stack([known, np.log10((seen[at] + 0.5) / unit), model, by_bytes])
+            out.append(np.vstack([np.diff(edge), np.add.reduceat(values, edge[:-1], axis=1)]))
+        size, known, base, model, by_bytes = np.concatenate(out, axis=1) if out else np.zeros((5, 0))
+        del table, words, known_pairs
         release()
         return pa.table({
             "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(size.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(size), n, dtype=np.int64)), "base_score": pa.array(base.astype(float)), "score": pa.array(model.astype(float)),
+            "train_tokens": pa.array(np.full(len(size), n, dtype=np.int64)), "base_score": pa.array(base), "score": pa.array(model),
         })
 
     ident = docs.schema["doc_id"].dataType.simpleString()

@@ -185,6 +185,34 @@ def test_language_scores(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_order_of_words_counts(spark):
+    rng = random.Random(4)
+    after = {w: rng.sample([f"w{k}" for k in range(30)], 3) for w in [f"w{k}" for k in range(30)]}
+
+    def walk():
+        out = [f"w{rng.randrange(30)}"]
+        while len(out) < 40:
+            out.append(rng.choice(after[out[-1]]))
+        return out
+
+    prose = [walk() for _ in range(200)]
+    shuffled = rng.sample(prose[0], 40)
+    tests = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    trained = [i for i in range(10_000) if i not in set(tests)]
+    rows = [(i, " ".join(p), "a") for i, p in zip(trained, prose[1:])] + [(tests[0], " ".join(prose[0]), "a"), (tests[1], " ".join(shuffled), "a")]
+    out = by_id(pitman_yor.language_scores(docs(spark, rows)))
+    assert abs(out[tests[0]].base_score - out[tests[1]].base_score) < 1e-6
+    assert out[tests[0]].score > out[tests[1]].score + 10
+    counts, pairs = pitman_yor.word_counts(docs(spark, rows)), pitman_yor.pair_counts(docs(spark, rows))
+    odds, several, discount = pitman_yor.fit_pairs(counts, pairs)
+    own, tables = Counter(), Counter()
+    for r in pairs.where("count = 1").collect() + several.collect():
+        own[r.context] += r["count"]
+        tables[r.context] += r["tables"] if "tables" in r else 1
+    known = {r.id: r for r in odds.collect()}  # what is left of one after a word is spread over single words
+    assert all(known[u].seen == own[u] and abs(known[u].tables - tables[u]) < 1e-6 for u in own) and 0 < discount < 1
+
+
 def test_word_probabilities_sum_to_one(spark):
     rows = [(k, " ".join(f"a{j % (k + 1)}b" for j in range(40)), "a") for k in range(40)]
     counts = pitman_yor.word_counts(docs(spark, rows)).cache()
