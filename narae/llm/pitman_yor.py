@@ -472,10 +472,11 @@ def fit_pairs(counts: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def language_scores(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each text.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, spelled_score, perplexity) of each text.
 
-    Tokens are the lower-cased (A-Z) words and one end; score is by the token before each. Words that
-    training texts lack are one event. A null text is empty: its end is its only token. A null doc_id is training
+    Tokens are the lower-cased (A-Z) words and one end; score is by the token before each. In base_score
+    and score, words that training texts lack are one event; spelled_score, and the perplexity by it,
+    tell them by their bytes. A null text is empty: its end is its only token. A null doc_id is training
     text. Repeated rows count and score each. Without training texts base_score and score are 0, as all
     words are unseen.
     """
@@ -543,9 +544,10 @@ def language_scores(docs: DataFrame) -> DataFrame:
         release()
         return pa.table({
             "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(size.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(size), n, dtype=np.int64)), "base_score": pa.array(base), "score": pa.array(model),
+            "train_tokens": pa.array(np.full(len(size), n, dtype=np.int64)), "base_score": pa.array(base), "score": pa.array(model), "spelled_score": pa.array(by_bytes),
+            "perplexity": pa.array(10.0 ** (-by_bytes / np.maximum(size, 1))),
         })
 
     ident = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {ident}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"doc_id {ident}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double, perplexity double"
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)

@@ -213,6 +213,21 @@ def test_order_of_words_counts(spark):
     assert all(known[u].seen == own[u] and abs(known[u].tables - tables[u]) < 1e-6 for u in own) and 0 < discount < 1
 
 
+def test_unseen_words_are_told_by_their_bytes(spark):
+    rng = random.Random(6)
+    vocabulary = [a + b + c for a in ("th", "an", "er", "ou") for b in ("in", "on", "es", "at") for c in ("ing", "er", "ed")]
+    tests = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    trained = [i for i in range(600) if i not in set(tests)]
+    rows = [(i, " ".join([*rng.choices(vocabulary[:-1], k=20), f"thin{i}er"]), "a") for i in trained]
+    rows += [(tests[0], vocabulary[-1], "a"), (tests[1], "zqxjkvwq", "a"), (tests[2], "\ufffdÃ©" * 200, "a")]
+    out = by_id(pitman_yor.language_scores(docs(spark, rows)))
+    word, junk, long = (out[t] for t in tests[:3])
+    assert word.n_known == junk.n_known == long.n_known == 1 and abs(word.score - junk.score) < 1e-9
+    assert word.spelled_score > junk.spelled_score + 2 > long.spelled_score and np.isfinite(long.spelled_score)
+    assert word.perplexity < junk.perplexity
+    assert all(abs(r.score - r.spelled_score) < 1e-9 for r in out.values() if r.n_known == r.n_tokens)
+
+
 def test_word_probabilities_sum_to_one(spark):
     rows = [(k, " ".join(f"a{j % (k + 1)}b" for j in range(40)), "a") for k in range(40)]
     counts = pitman_yor.word_counts(docs(spark, rows)).cache()
