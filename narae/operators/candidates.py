@@ -70,8 +70,7 @@ def split_candidates(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def join_candidates(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Neighbouring words with white space between that are one known word together."""
-    gap = F.regexp_extract("ahead", "^([^가-힣]*)", 1)
-    pairs = words.where("next != ''").select("doc_id", "start", F.concat("surface", gap, "next").alias("original"), F.concat("surface", "next").alias("replacement"))
+    pairs = words.where("next != ''").select("doc_id", "start", F.concat("surface", "gap", "next").alias("original"), F.concat("surface", "next").alias("replacement"))
     joined = pairs.join(lexicon.select(F.col("surface").alias("replacement"), "freq"), "replacement")
     score = F.least(F.log(F.col("freq") + 1) / 16, F.lit(1.0))
     return joined.select("doc_id", "start", (F.col("start") + F.char_length("original")).alias("end"), "original", "replacement", F.lit(0).alias("edits"), "freq", score.alias("score"), F.lit(SPACING).alias("rule_id"))

@@ -173,7 +173,7 @@ def dependent_nouns(found: DataFrame, config: Config) -> DataFrame:
         ("mankeum", "만큼", ~stem.isin("마을", "가을", "노을", "은") & adnominal),
         ("daero", "대로", ~stem.isin("마을", "가을", "노을") & adnominal),
         ("beop", "법", stem.endswith("는") & rest.rlike("^[이입도]")),
-        ("ri", "리", ~stem.isin("물", "멀", "빨", "랠", "칼") & (final(last) == RIEUL) & rest.rlike("^[가는도]") & F.col("ahead").rlike("(?U)^\\s+없")),
+        ("ri", "리", ~stem.isin("물", "멀", "빨", "랠", "칼") & (final(last) == RIEUL) & rest.rlike("^[가는도]") & (F.col("gap") != "") & F.col("next").startswith("없")),
     ]
     out = []
     for key, noun, holds in rules:
@@ -269,8 +269,7 @@ def repeated_words(found: DataFrame, config: Config) -> DataFrame:
     if name in config.disabled:
         return _empty(found)
     rows = _words(found).where((F.col("next") == F.col("surface")) & (F.col("repeats") % 2 == 0) & (F.col("surface") != "그때"))
-    gap = F.regexp_extract("ahead", "^([^가-힣]*)", 1)
-    both = F.concat(F.col("surface"), gap, F.col("surface"))
+    both = F.concat(F.col("surface"), F.col("gap"), F.col("surface"))
     return _finding(rows, name, F.lit(0), both, F.col("surface"), 20)
 
 

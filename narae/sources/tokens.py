@@ -16,16 +16,16 @@ from pyspark.sql import functions as F
 
 from narae.sources.ranges import WHITE, prose_ranges
 
-#: Characters after a word that rules may look at.
+#: Characters after a word that literal patterns may look at.
 AHEAD = 24
 
 _MARKS = re.compile(r"(?P<word>[가-힣]+)|(?P<comma>,+)|(?P<blank>[ \t]+)(?=[.!?])|(?P<mark>[.!?])(?=[가-힣])")
 _LEAD = re.compile("[가-힣]*$")
 _FIELDS = [
     ("doc_id", pa.int64()), ("range_no", pa.int32()), ("token_no", pa.int32()), ("kind", pa.string()), ("start", pa.int64()), ("byte_start", pa.int64()), ("surface", pa.string()),
-    ("lead", pa.string()), ("before", pa.string()), ("ahead", pa.string()), ("after", pa.string()), ("previous", pa.string()), ("next", pa.string()), ("repeats", pa.int32()),
+    ("lead", pa.string()), ("before", pa.string()), ("ahead", pa.string()), ("after", pa.string()), ("previous", pa.string()), ("next", pa.string()), ("repeats", pa.int32()), ("gap", pa.string()),
 ]
-SCHEMA = "doc_id long, range_no int, token_no int, kind string, start long, byte_start long, surface string, lead string, before string, ahead string, after string, previous string, next string, repeats int"
+SCHEMA = "doc_id long, range_no int, token_no int, kind string, start long, byte_start long, surface string, lead string, before string, ahead string, after string, previous string, next string, repeats int, gap string"
 
 
 def tokens_of(text: str, kind: str) -> list[tuple]:
@@ -35,7 +35,7 @@ def tokens_of(text: str, kind: str) -> list[tuple]:
     before the range that the word continues; before: the character before, ahead: the text that
     follows, both within the range; after: the character that follows in the whole text. previous and
     next: the neighbouring words, where only white space lies between; repeats: how many equal words
-    precede in an unbroken row.
+    precede in an unbroken row; gap: all of the white space after a word, within the range and of any length.
     """
     out = []
     size = at = 0
@@ -49,7 +49,7 @@ def tokens_of(text: str, kind: str) -> list[tuple]:
             size += len(text[at:start].encode())
             at = start
             before = text[start - 1] if start > begin else ""
-            lead = previous = following = ""
+            lead = previous = following = gap = ""
             if m.lastgroup == "word":
                 if start == begin and begin:
                     lead = _LEAD.search(text[max(0, begin - 64) : begin]).group()
@@ -57,13 +57,15 @@ def tokens_of(text: str, kind: str) -> list[tuple]:
                     previous = words[turn - 1].group()
                 if turn < len(near) and near[turn]:
                     following = words[turn + 1].group()
+                gap = _GAP.match(text, stop, end).group()
                 repeats = repeats + 1 if previous == m.group() else 0
                 turn += 1
-            out.append((number, len(out), m.lastgroup, start, size, m.group(), lead, before, text[stop : min(end, stop + AHEAD)], text[stop : stop + 1], previous, following, repeats))
+            out.append((number, len(out), m.lastgroup, start, size, m.group(), lead, before, text[stop : min(end, stop + AHEAD)], text[stop : stop + 1], previous, following, repeats, gap))
     return out
 
 
 _STRIP = WHITE.replace("\u2000-\u200a", "".join(map(chr, range(0x2000, 0x200B))))
+_GAP = re.compile(f"[{re.escape(_STRIP)}]*")
 
 
 def tokens(docs: DataFrame) -> DataFrame:

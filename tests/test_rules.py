@@ -36,6 +36,21 @@ def test_each_literal_is_found_and_its_correction_is_quiet(spark):
         assert not any(i == k + len(pairs) and rule == name for i, rule, _, _ in found), name
 
 
+def test_findings_across_wide_gaps(spark):
+    from narae.operators.candidates import join_candidates
+    from narae.sources.tokens import tokens
+
+    wide = " " * 38 + "\n\u3000"
+    table = docs(spark, [f"그는 학교{wide}학교 앞", f"잊을리가{wide}없다", f"사과{wide}나무", f"잊을리가{wide}있다"])
+    found = {(r.doc_id, r.rule_id): r for r in lint(table, ALL).collect()}
+    twice = found[0, "repetition.adjacent-word"]
+    assert (twice.original, twice.start, twice.end, twice.byte_end) == (f"학교{wide}학교", 3, 47, 7 + 6 + 42 + 6)
+    assert (1, "spacing.dependent-noun.ri") in found and (3, "spacing.dependent-noun.ri") not in found
+    lexicon_ = spark.createDataFrame([("사과나무", 5)], "surface string, freq long")
+    pair = join_candidates(tokens(table).where("kind = 'word'"), lexicon_).first()
+    assert (pair.doc_id, pair.original, pair.start, pair.end) == (2, f"사과{wide}나무", 0, 44)
+
+
 def test_each_conditional_rule_is_found(spark):
     follow = {"spacing.dependent-noun.ri": "잊을리가 없다"}
     texts = [follow.get(name, wrong) for name, _, _, _, wrong, _ in CONDITIONAL]
