@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that adds to them.
 
 The field tags tokens as secret begin, inside or outside from their shape, neighbouring tokens and
-features of the file, and is decoded by Viterbi. Only a token of eight or more characters with a
-digit may begin a secret, and only a token that touches the one before may continue it; all others
-are outside by construction. So the best path of a text falls apart into those of its short runs of
+features of the file, and is decoded by Viterbi. A token may begin a secret if it has eight or more
+characters and a digit, changes from lower to upper case, is long and of high entropy, follows a
+credential name within NAMED tokens or an assignment mark within MARKED; only a token that touches
+the one before may continue it; all others are outside by construction. So the best path of a text falls apart into those of its short runs of
 free tokens, each between two outside tokens, and decoding runs one by one is exact.
 
 Trained on tags that the patterns give (a bounded sample of runs, by hash of the document).
@@ -43,12 +44,20 @@ LONGEST_RUN = 64
 
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 _TOKEN = re.compile(rb"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
-_DIGIT_WORD = re.compile(rb"[^\s0-9]*[0-9]\S*")
+#: Tokens after a credential name and after an assignment mark that are free to begin a secret.
+NAMED, MARKED = 5, 2
+#: Least length and bits a character of tokens that are free by their entropy.
+LEAST_LONG, LEAST_BITS = 16, 3.5
+_NUMBER = re.compile(rb"[0-9]+")
+_CASED = re.compile(rb"[a-z][A-Z]")
+_LONG = re.compile(rb"[A-Za-z0-9+/_-]{%d,}" % LEAST_LONG)
+_ASSIGNED = re.compile(rb"[:=]")
+_WORD = re.compile(rb"\S+")
 _DIGITS = b"0123456789"
 _HEX_FLAG = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
 
 Span = tuple[int, int]
-Token = tuple[int, int, bytes]
+Token = tuple[int, int, bytes, bool]
 
 
 # --- patterns --------------------------------------------------------------------------------
@@ -70,22 +79,54 @@ def base_matches(text: bytes) -> list[tuple[int, int, int, int]]:
 # --- tokens and features ---------------------------------------------------------------------
 
 
+_NAMES = re.compile(rb"(?<![A-Za-z0-9+/_-])(?:%s)(?![A-Za-z0-9+/_-])" % b"|".join(sorted(NAMES, key=len, reverse=True)))
+
+
+def _bits(token: bytes) -> float:
+    """Entropy of a token's bytes."""
+    n = len(token)
+    return -sum(k / n * math.log2(k / n) for k in Counter(token).values())
+
+
 def may_begin(token: bytes) -> bool:
-    return len(token) >= 8 and any(c in _DIGITS for c in token)
+    """Whether a token may begin a secret wherever it stands."""
+    if len(token) >= 8 and any(c in _DIGITS for c in token):
+        return True
+    return _CASED.search(token) is not None or len(token) >= LEAST_LONG and _bits(token) >= LEAST_BITS
+
+
+def _announced(text: bytes) -> set[int]:
+    """Starts of the tokens that a name or an assignment mark announces; single marks are none."""
+    low = text.lower()
+    after = [(m.end(), MARKED) for m in _ASSIGNED.finditer(text)]
+    if any(n in low for n in NAMES):
+        after += [(m.end(), NAMED) for m in _NAMES.finditer(low)]
+    out = set()
+    for at, most in after:
+        for _, m in zip(range(most), _TOKEN.finditer(text, at)):
+            if m.group()[:1].isalnum() or m.end() - m.start() > 1:
+                out.add(m.start())
+    return out
 
 
 def runs(text: bytes) -> list[list[Token]]:
-    """The maximal runs of tokens that are free to be other than outside."""
-    if len(text.translate(None, _DIGITS)) == len(text):
-        return []
+    """The maximal runs of tokens that are free to be other than outside; the last field: free to begin."""
+    announced = _announced(text)
+    places = sorted({*announced, *(m.start() for p in (_CASED, _LONG, _NUMBER) for m in p.finditer(text))})
     out: list[list[Token]] = []
-    for word in _DIGIT_WORD.finditer(text):
-        # A digit word starts after white space, or after text without digits that it does not touch.
+    done = 0
+    for place in places:
+        if place < done:
+            continue
+        start = place
+        while start > done and not text[start - 1 : start].isspace():
+            start -= 1
+        done = _WORD.match(text, place).end()
         run: list[Token] = []
-        for m in _TOKEN.finditer(text, word.start(), word.end()):
-            token = (m.start(), m.end(), m.group())
-            if run or may_begin(token[2]):
-                run.append(token)
+        for m in _TOKEN.finditer(text, start, done):
+            begins = m.start() in announced or may_begin(m.group())
+            if run or begins:
+                run.append((m.start(), m.end(), m.group(), begins))
         if run:
             gap = out and text[out[-1][-1][1] : run[0][0]]
             if out and not gap.strip() and run[0][0] > out[-1][-1][1]:
@@ -109,7 +150,7 @@ def _shape(token: bytes) -> list[str]:
     lower = sum(97 <= c <= 122 for c in token)
     kinds = [0 if 48 <= c <= 57 else 1 if 65 <= c <= 90 else 2 if 97 <= c <= 122 else 3 for c in token]
     switches = sum(a != b for a, b in zip(kinds, kinds[1:])) / n
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(token).values())
+    entropy = _bits(token)
     out = [f"length={min(7, n.bit_length() * 2 + (n >> (n.bit_length() - 2) & 1) - 6)}" if n > 1 else "length=1", f"switches={min(4, int(switches * 8))}", f"entropy={min(8, int(entropy * 2))}"]
     out.append("case=" + "".join(name for name, k in (("d", digits), ("U", upper), ("l", lower), ("s", n - digits - upper - lower)) if k))
     if all(c in b"0123456789abcdef" for c in token) and digits < n:
@@ -146,8 +187,8 @@ def allowed(run: list[Token]) -> np.ndarray:
     """For each token, the tags it may have, as penalties."""
     out = np.full((len(run), 3), -np.inf)
     out[:, OUTSIDE] = 0
-    for k, (start, _, token) in enumerate(run):
-        if may_begin(token):
+    for k, (start, _, _, begins) in enumerate(run):
+        if begins:
             out[k, BEGIN] = 0
         if k and run[k - 1][1] == start:
             out[k, INSIDE] = 0
@@ -159,11 +200,11 @@ def weak_tags(run: list[Token], matches: list[tuple[int, int, int, int]]) -> lis
     tags = [OUTSIDE] * len(run)
     for kind, _, end, start in matches:
         inside = False
-        for k, (a, b, token) in enumerate(run):
+        for k, (a, b, token, begins) in enumerate(run):
             if a >= start and b <= end and not (kind == 2 and token.isdigit()):
                 if inside and run[k - 1][1] == a:
                     tags[k] = INSIDE
-                elif may_begin(token):
+                elif begins:
                     tags[k] = BEGIN
                 inside = tags[k] != OUTSIDE
             else:
@@ -255,7 +296,7 @@ def field_spans(text: bytes, field: Field) -> list[Span]:
     for run in runs(text):
         of_file = of_file or file_features(text)
         tags = field.decode(field.unary(features(text, run, of_file), allowed(run)))
-        for (start, end, _), tag in zip(run, tags):
+        for (start, end, *_), tag in zip(run, tags):
             if tag == BEGIN:
                 out.append((start, end))
             elif tag == INSIDE:

@@ -570,6 +570,20 @@ def test_secret_digest(spark):
     assert not any("crf" in out[k].spans for k in range(3, 160, 4))
 
 
+def test_announced_secrets_without_digits(spark):
+    free = lambda text: {t[2] for run in secrets.runs(text) for t in run if t[3]}
+    assert b"CorrectHorseBatteryStaple" in free(b"pwd: CorrectHorseBatteryStaple") and b"hunter2" in free(b"the auth key = hunter2.")
+    assert b"kXwRtQpZnVbLmHsJdYcG" in free(b"a bearer kXwRtQpZnVbLmHsJdYcG") and b"xkqwrtypzvbnmghsd" in free(b"so xkqwrtypzvbnmghsd")
+    assert not free(b"plain words, International ones and BASIC ones") and not free(b"")
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    rows = [(k, f"some words before password: {letters(20)} and a token of words" if k % 2 else "Note: plain words, the key to it and JavaScript", "s") for k in range(160)]
+    rows += [(200, f"here pwd: {letters(20)} ends", "s"), (201, "Note: plain words and the key", "s")]
+    out = by_id(secrets.secret_digest(docs(spark, rows)))
+    assert out[200].spans == "crf:10:30" and out[201].spans == ""
+    assert not any("crf" in out[k].spans for k in range(160))
+
+
 def test_decoding_equals_enumeration():
     import itertools
 
