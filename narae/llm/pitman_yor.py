@@ -13,15 +13,17 @@ restaurant's rule, given everyone else (for dishes with many customers, later on
 expected number of new tables, randomly rounded). Predictive probabilities are averaged over samples.
 
 Counts of words and of pairs (word before, token) over all training texts and their seatings stay
-distributed; words are joined by 64-bit hashes (``word_hashes``) in pairs and scores. The byte hierarchy is
-gathered: its size is bounded by MOST_WINDOWS, and contexts get shorter where the corpus has more.
+distributed; words are joined by 64-bit hashes (``word_hashes``) in pairs and scores. Up to MOST_WINDOWS
+windows, the byte hierarchy is gathered. Beyond, it stays distributed in blocks of contexts with the same
+two nearest bytes, each with its own discounts; only the contexts of one byte and none are gathered, and
+the blocks' predictions are broadcast in turn. Contexts have the same length either way.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 from narae.llm.shared import join_texts, lower_ascii, materialise, mix, pieces, raw_texts, release, signed, small_batches, tidy, word_bounds, word_hashes
 
 FOLDS, HELD_OUT = 5, 1
-#: Bytes of context at most, and distinct (context, byte) pairs of the byte hierarchy at most.
+#: Bytes of context, and distinct (context, byte) pairs of the byte hierarchy that are held at once.
 CONTEXT, MOST_WINDOWS = 4, 2_000_000
+#: Bytes of context that blocks of the hierarchy share.
+SPLIT = 2
 #: Rounds of sampling (the words' seating, then SWEEPS of the bytes'), of which the last KEPT are averaged.
 ROUNDS, SWEEPS, KEPT = 3, 3, 2
 #: Concentration of byte and word restaurants.
@@ -91,19 +95,28 @@ class ByteModel:
     odds: list[np.ndarray]
     contexts: list[np.ndarray]
     shares: list[np.ndarray]
+    #: A block of a larger hierarchy has levels from SPLIT on, and the model of those above.
+    above: ByteModel | None = None
+    block: int = 0
+    blocks: int = 1
 
     def log_odds(self, windows: np.ndarray) -> np.ndarray:
         """Natural log probability of the last byte of each window, given those before."""
+        if self.blocks > 1:  # windows of other blocks count nothing
+            mine, out = block_of(windows, self.context, self.blocks) == self.block, np.zeros(len(windows))
+            out[mine] = replace(self, blocks=1).log_odds(windows[mine])
+            return out
         out = np.empty(len(windows))
         at, known = _find(self.pairs[-1], windows)
         out[known] = self.odds[-1][at[known]]
         rest = windows[~known]
         if len(rest):
-            p = np.full(len(rest), EVEN)
-            for level in range(self.context + 1):
+            lowest = self.context + 1 - len(self.pairs)
+            p = np.exp(self.above.log_odds(rest >> np.uint64(8 * (self.context + 1 - lowest)))) if self.above else np.full(len(rest), EVEN)
+            for k, level in enumerate(range(lowest, self.context + 1)):
                 key = rest >> np.uint64(8 * (self.context - level))
-                p *= _take(self.contexts[level], self.shares[level], key & np.uint64((1 << (8 * level)) - 1), 1.0)
-                p = _take(self.pairs[level], self.odds[level], key, p)
+                p *= _take(self.contexts[k], self.shares[k], key & np.uint64((1 << (8 * level)) - 1), 1.0)
+                p = _take(self.pairs[k], self.odds[k], key, p)
             out[~known] = p
         return np.log(out)
 
@@ -121,18 +134,28 @@ def _find(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == values
 
 
+def block_of(windows: np.ndarray, context: int, blocks: int) -> np.ndarray:
+    """The block of each window: by the two nearest bytes of its context."""
+    nearest = (windows >> np.uint64(8 * (context - SPLIT))) & np.uint64((1 << (8 * SPLIT)) - 1)
+    return (mix(nearest, 5) % np.uint64(blocks)).astype(np.int32)
+
+
 class ByteRestaurants:
-    """The byte hierarchy's seating, from the customers of its deepest restaurants."""
+    """The byte hierarchy's seating, from the customers of its deepest restaurants.
 
-    def __init__(self, context: int, windows: np.ndarray, customers: np.ndarray):
-        self.context = context
+    With a model of the levels above, only those from SPLIT on.
+    """
+
+    def __init__(self, context: int, windows: np.ndarray, customers: np.ndarray, top: ByteModel | None = None):
+        self.context, self.top = context, top
         self.levels: list[dict] = []
         keys = windows
-        for level in range(context, -1, -1):
+        for level in range(context, SPLIT - 1 if top else -1, -1):
             names, restaurant = np.unique(keys & np.uint64((1 << (8 * level)) - 1), return_inverse=True)
             above, parent = np.unique(keys >> np.uint64(8), return_inverse=True) if level else (np.empty(0, np.uint64), np.zeros(len(keys), np.int64))
             self.levels.insert(0, {"keys": keys, "contexts": names, "restaurant": restaurant, "parent": parent})
             keys = above
+        self.first = np.exp(top.log_odds(above)) if top else np.full(1, EVEN)
         self.seats(customers)
 
     def seats(self, customers: np.ndarray) -> None:
@@ -149,25 +172,25 @@ class ByteRestaurants:
         return BYTE_STRENGTH + discount * tables, BYTE_STRENGTH + customers
 
     def predict(self) -> ByteModel:
-        odds, shares, above = [], [], np.full(1, EVEN)
+        odds, shares, above = [], [], self.first
         for k, level in enumerate(self.levels):
             d = _discount(level["customers"])
             new, total = self._shares(level, d)
             r = level["restaurant"]
-            base = above[level["parent"]] if k else np.full(len(level["keys"]), EVEN)
+            base = above[level["parent"]]
             above = (level["customers"] - d * level["tables"] + new[r] * base) / total[r]
             odds.append(above)
             shares.append(new / total)
-        return ByteModel(self.context, [x["keys"] for x in self.levels], odds, [x["contexts"] for x in self.levels], shares)
+        return ByteModel(self.context, [x["keys"] for x in self.levels], odds, [x["contexts"] for x in self.levels], shares, self.top)
 
     def sweep(self, seed: int) -> None:
         """Resamples all seatings, deepest first, so that each level's customers follow."""
         model = self.predict()
-        for k in range(self.context, -1, -1):
+        for k in range(len(self.levels) - 1, -1, -1):
             level = self.levels[k]
             d = _discount(level["customers"])
             new, _ = self._shares(level, d)
-            base = model.odds[k - 1][level["parent"]] if k else np.full(len(level["keys"]), EVEN)
+            base = (model.odds[k - 1] if k else self.first)[level["parent"]]
             level["tables"] = seat(level["customers"], new[level["restaurant"]] * base, d, mix(level["keys"], 31 + seed))
             if k:
                 self.levels[k - 1]["customers"] = np.bincount(level["parent"], level["tables"], minlength=len(self.levels[k - 1]["keys"]))
@@ -187,11 +210,34 @@ def word_windows(words: list[bytes], context: int) -> tuple[np.ndarray, np.ndarr
     return wide[at] & np.uint64((1 << (8 * (context + 1))) - 1), edge
 
 
+@dataclass
+class Blocks:
+    """One sample of a distributed byte hierarchy: (block, kind, level, key, value) rows, and the model above."""
+
+    tables: DataFrame
+    blocks: int
+    top: ByteModel
+    context: int
+
+    def model(self, block: int) -> ByteModel:
+        rows = self.tables.where((F.col("block") == block) & (F.col("kind") < 2)).select("kind", "level", "key", "value").toArrow()
+        kind, level, key, value = (c.to_numpy() for c in rows.columns)
+        parts: list[list[np.ndarray]] = [[], [], [], []]
+        for at in range(SPLIT, self.context + 1):
+            for k in (0, 1):
+                mine = np.flatnonzero((kind == k) & (level == at))
+                keys = key[mine].astype(np.uint64)
+                order = np.argsort(keys)
+                parts[2 * k].append(keys[order])
+                parts[2 * k + 1].append(value[mine][order])
+        return ByteModel(self.context, *parts, self.top, block, self.blocks)
+
+
 @dataclass
 class WordSample:
     """What the predictive probability of a word needs of one sample."""
 
-    model: ByteModel
+    model: ByteModel | Blocks
     discount: float
     tokens: int
     number: int
@@ -371,7 +417,7 @@ def _windows(counts: DataFrame, context: int, sample=None) -> DataFrame:
             if sample is None:
                 own = np.ones(len(words))
             else:
-                base = sample.value.base(words)
+                base = np.exp(batch.column(2).to_numpy()) if batch.num_columns > 2 else sample.value.base(words)
                 own = sample.value.seat(words, count, base, sample.value.tables)
                 known += base.sum()
             tables += own.sum()
@@ -380,10 +426,71 @@ def _windows(counts: DataFrame, context: int, sample=None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(customers)], names=["window", "customers"])
         yield pa.RecordBatch.from_arrays([pa.array([-1, -2], pa.int64()), pa.array([tables, known])], names=["window", "customers"])
 
-    found = counts.where("count > 0").select("word", "count").mapInArrow(tidy(rows), "window long, customers double")
+    found = counts.where("count > 0").select("word", "count", *[c for c in counts.columns if c == "log_base"]).mapInArrow(tidy(rows), "window long, customers double")
     return found.groupBy("window").agg(F.sum("customers").alias("customers"))
 
 
+def seat_blocks(windows: DataFrame, context: int, blocks: int, top: ByteModel, sweeps: int) -> DataFrame:
+    """(block, kind, level, key, value) of each block's restaurants after so many sweeps: the odds of
+    pairs (kind 0), the shares of contexts (1) and the customers that go to the level above (2)."""
+    names = ["block", "kind", "level", "key", "value"]
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = block_of(batch.column(0).to_numpy().astype(np.uint64), context, blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(block), *batch.columns], names=["block", "window", "customers"])
+
+    def seated(table: pa.Table) -> pa.Table:
+        keys, customers = table.column("window").to_numpy().astype(np.uint64), np.round(table.column("customers").to_numpy())
+        order = np.argsort(keys)
+        restaurants = ByteRestaurants(context, keys[order], customers[order], top)
+        for sweep in range(sweeps):
+            restaurants.sweep(sweep)
+        model, low = restaurants.predict(), restaurants.levels[0]
+        upper, where = np.unique(low["keys"] >> np.uint64(8), return_inverse=True)
+        found = [(0, SPLIT + k, a, b) for k, (a, b) in enumerate(zip(model.pairs, model.odds))] + [(1, SPLIT + k, a, b) for k, (a, b) in enumerate(zip(model.contexts, model.shares))]
+        found.append((2, SPLIT - 1, upper, np.bincount(where, low["tables"], minlength=len(upper))))
+        block = table.column("block")[0].as_py()
+        size = [len(f[2]) for f in found]
+        columns = [np.full(sum(size), block, np.int32), np.repeat([f[0] for f in found], size).astype(np.int32), np.repeat([f[1] for f in found], size).astype(np.int32), signed(np.concatenate([f[2] for f in found])), np.concatenate([f[3] for f in found])]
+        return pa.table({n: pa.array(c) for n, c in zip(names, columns)})
+
+    rows = windows.where("window >= 0").mapInArrow(tidy(numbered), "block int, window long, customers double")
+    return rows.groupBy("block").applyInArrow(seated, "block int, kind int, level int, key long, value double")
+
+
+def with_bases(counts: DataFrame, model: Blocks, name: str) -> DataFrame:
+    """Word counts with the natural log probability of each word's spelling, block by block."""
+
+    def added(rows: DataFrame, shared) -> DataFrame:
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                windows, edge = word_windows(raw_texts(batch.column(0)), shared.value.context)
+                logs = np.concatenate([[0.0], np.cumsum(shared.value.log_odds(windows))])
+                total = batch.column(batch.num_columns - 1).to_numpy() + logs[edge[1:]] - logs[edge[:-1]]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total)], names=batch.schema.names)
+
+        return rows.mapInArrow(tidy(one), rows.schema)
+
+    out = counts.withColumn(name, F.lit(0.0))
+    for block in range(model.blocks):
+        shared = counts.sparkSession.sparkContext.broadcast(model.model(block))
+        out = materialise(added(out, shared), "word-bases")
+        shared.unpersist()
+    return out
+
+
+def _top(rows: DataFrame) -> ByteRestaurants:
+    """The restaurants of the short contexts, from the (key, value) customers of the deepest."""
+    found = rows.toArrow()
+    keys, customers = found.column(0).to_numpy().astype(np.uint64), np.round(found.column(1).to_numpy())
+    order = np.argsort(keys)
+    top = ByteRestaurants(SPLIT - 1, keys[order], customers[order])
+    for sweep in range(SWEEPS):
+        top.sweep(sweep)
+    return top
+
+
 def _gathered(windows: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
     """Sorted windows and their customers; the words' tables and their probability by their bytes."""
     rows = windows.toArrow()
@@ -399,19 +506,32 @@ def fit(counts: DataFrame, rounds: int = ROUNDS) -> tuple[list[WordSample], int,
     seen = counts.where("count > 0")
     n, types, ones, twos = seen.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("count") == 1), F.count_if(F.col("count") == 2)).first()
     discount = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
-    context = CONTEXT
-    first = materialise(_windows(counts, context), "windows")
-    while context and first.count() > MOST_WINDOWS:
-        context -= 1
-        first = materialise(_windows(counts, context), "windows")
-    keys, customers, tables, _ = _gathered(first)
-    restaurants = ByteRestaurants(context, keys, customers)  # all passes meet the same windows
+    first = materialise(_windows(counts, CONTEXT), "windows")
+    blocks = max(1, -(-first.count() // MOST_WINDOWS))
     samples: list[WordSample] = []
+    if blocks > 1:
+        lower = first.where("window >= 0").select(F.shiftright("window", 8 * (CONTEXT - SPLIT)).alias("key")).distinct()
+        top = _top(lower.groupBy(F.shiftright("key", 8).alias("key")).agg(F.count(F.lit(1)).cast("double").alias("value")))
+        windows, tables = first, float(types)
+        for number in range(rounds):
+            drawn = materialise(seat_blocks(windows, CONTEXT, blocks, top.predict(), SWEEPS * (number + 1)), "byte-tables")
+            sample = WordSample(Blocks(drawn, blocks, top.predict(), CONTEXT), discount, n, number, tables)
+            based = with_bases(seen.select("word", "count"), sample.model, "log_base")
+            windows = materialise(_windows(based, CONTEXT, spark.sparkContext.broadcast(replace(sample, model=None))), "windows")
+            found = dict(windows.where("window < 0").select("window", "customers").collect())
+            tables = found.get(-1, 0.0)
+            sample.settle(tables, found.get(-2, 0.0), ones)
+            discount = sample.taken
+            samples.append(sample)
+            top = _top(drawn.where("kind = 2").groupBy("key").agg(F.sum("value").alias("value")))
+        return samples[-KEPT:], n, types
+    keys, customers, tables, _ = _gathered(first)
+    restaurants = ByteRestaurants(CONTEXT, keys, customers)  # all passes meet the same windows
     for number in range(rounds):
         for sweep in range(SWEEPS):
             restaurants.sweep(number * SWEEPS + sweep)
         sample = WordSample(restaurants.predict(), discount, n, number, tables)
-        _, customers, tables, known = _gathered(_windows(counts, context, spark.sparkContext.broadcast(sample)))
+        _, customers, tables, known = _gathered(_windows(counts, CONTEXT, spark.sparkContext.broadcast(sample)))
         sample.settle(tables, known, ones)
         discount = sample.taken
         samples.append(sample)
@@ -422,21 +542,25 @@ def fit(counts: DataFrame, rounds: int = ROUNDS) -> tuple[list[WordSample], int,
 def predictions(counts: DataFrame, samples: list[WordSample]) -> DataFrame:
     """Word counts (word and count first) with log_odds and spelled: log10 of the averaged predictive
     probability of each word, where words that training texts lack are one event, and by their spelling."""
-    shared = counts.sparkSession.sparkContext.broadcast(samples)
+    width = len(counts.columns)
+    for k, s in enumerate(samples):
+        if isinstance(s.model, Blocks):
+            counts = with_bases(counts, s.model, f"log_base_{k}")
+    shared = counts.sparkSession.sparkContext.broadcast([replace(s, model=None) if isinstance(s.model, Blocks) else s for s in samples])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, count = raw_texts(batch.column(0)), batch.column(1).to_numpy()
             total, spelled = 0.0, np.full(len(words), -np.inf)
-            for s in shared.value:
-                logs = s.log_base(words)
+            for k, s in enumerate(shared.value):
+                logs = s.log_base(words) if s.model else batch.column(width + k).to_numpy()
                 total = total + s.probabilities(words, count, np.exp(logs))
                 spelled = np.logaddexp(spelled, logs + np.log(s.fresh))
             log_odds = np.log10(total / len(shared.value))
             spelled = np.where(count > 0, log_odds, (spelled - np.log(len(shared.value))) / np.log(10))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log_odds), pa.array(spelled)], names=[*batch.schema.names, "log_odds", "spelled"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(log_odds), pa.array(spelled)], names=[*batch.schema.names[:width], "log_odds", "spelled"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema[:width])
     return counts.mapInArrow(tidy(rows), f"{fields}, log_odds double, spelled double")
 
 

@@ -237,6 +237,27 @@ def test_word_probabilities_sum_to_one(spark):
     assert len(odds) == types and abs(sum(10**r.log_odds for r in odds) + unseen - 1) < 1e-6
 
 
+def test_long_contexts_of_many_windows(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(20)), "a") for k in range(60)]
+    counts = pitman_yor.word_counts(docs(spark, rows)).cache()
+    one, n, types = pitman_yor.fit(counts)
+    whole = {r.word: r for r in pitman_yor.predictions(counts, one).collect()}
+    monkeypatch.setattr(pitman_yor, "MOST_WINDOWS", 800)
+    samples, n, types = pitman_yor.fit(counts)
+    assert all(s.model.context == pitman_yor.CONTEXT and s.model.blocks > 2 for s in samples)
+    odds = {r.word: r for r in pitman_yor.predictions(counts, samples).collect()}
+    seen = [r for r in odds.values() if r["count"] > 0]
+    assert len(seen) == types and abs(sum(10**r.log_odds for r in seen) + np.mean([s.unseen for s in samples]) - 1) < 1e-6
+    assert odds.keys() == whole.keys() and np.mean([abs(odds[w].spelled - whole[w].spelled) for w in odds]) < 0.2
+    # Within the blocks, too, the odds of all bytes after a context sum to one.
+    models = [samples[-1].model.model(b) for b in range(samples[-1].model.blocks)]
+    for context in (b"    ", b" abc", b"zzzz"):
+        base = int.from_bytes(context, "little")
+        after = np.array([base | b << 32 for b in range(256) if b == 32 or b not in b" \t\n\r\x0b\x0c"], np.uint64)
+        assert abs(np.exp(sum(m.log_odds(after) for m in models)).sum() - 1) < 1e-9
+
+
 def test_byte_odds_sum_to_one():
     windows, _ = pitman_yor.word_windows([b"then", b"thin", b"an", b""], 4)
     keys, counts = np.unique(windows, return_counts=True)
