@@ -7,7 +7,8 @@ credential name within NAMED tokens or an assignment mark within MARKED; only a
 the one before may continue it; all others are outside by construction. So the best path of a text falls apart into those of its short runs of
 free tokens, each between two outside tokens, and decoding runs one by one is exact.
 
-Trained on tags that the patterns give (a bounded sample of runs, by hash of the document).
+Trained on tags that the patterns give, by a bounded sample of distinct runs: one half of it is for runs
+with a tagged secret, the other for runs without.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narae.llm.shared import small_batches, tidy
+from narae.llm.shared import materialise, small_batches, tidy
 
 KINDS = ("assign", "access", "hex", "crf")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
@@ -37,7 +38,7 @@ NAMES = frozenset(b"password passwd pwd secret token key api apikey api_key acce
 #: Begins of well-known credential forms.
 PREFIXES = (b"AKIA", b"ASIA", b"ghp_", b"gho_", b"sk-", b"xox", b"eyJ", b"AIza", b"glpat")
 
-#: Training runs at most, epochs, step and L2 weight.
+#: Distinct training runs at most (a half each with and without a secret), epochs, step and L2 weight.
 MOST_RUNS, EPOCHS, STEP, L2 = 4000, 12, 0.2, 1e-3
 #: Runs longer than this are decoded in the same way but not trained on.
 LONGEST_RUN = 64
@@ -58,6 +59,8 @@ _HEX_FLAG = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
 
 Span = tuple[int, int]
 Token = tuple[int, int, bytes, bool]
+#: Features, penalties and tags of a run, and how often it occurs.
+Sample = tuple[list[list[str]], np.ndarray, list[int], int]
 
 
 # --- patterns --------------------------------------------------------------------------------
@@ -253,14 +256,17 @@ def _transitions(free: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(samples: list[tuple[list[list[str]], np.ndarray, list[int]]]) -> Field:
-    """Maximum conditional likelihood with an L2 penalty, by per-run gradient steps in a fixed order."""
-    names = {f: k for k, f in enumerate(sorted({f for rows, _, _ in samples for row in rows for f in row}))}
+def train(samples: list[Sample]) -> Field:
+    """Maximum conditional likelihood with an L2 penalty, by per-run gradient steps in a fixed order.
+
+    A run that occurs n times counts 1 + ln(n), so that steps stay small.
+    """
+    names = {f: k for k, f in enumerate(sorted({f for rows, *_ in samples for row in rows for f in row}))}
     emit, free = np.zeros((len(names) + 1, 3)), np.zeros((3, 3))
-    coded = [([[names[f] for f in row] for row in rows], mask, tags) for rows, mask, tags in samples]
+    coded = [([[names[f] for f in row] for row in rows], mask, tags, 1 + math.log(n)) for rows, mask, tags, n in samples]
     for epoch in range(EPOCHS):
-        step = STEP / (1 + epoch)
-        for known, mask, tags in coded:
+        for known, mask, tags, weight in coded:
+            step = STEP * weight / (1 + epoch)
             move = _transitions(free)
             scores = np.array([emit[k].sum(axis=0) for k in known]) + mask
             n = len(scores)
@@ -312,8 +318,9 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
         yield v.as_buffer().to_pybytes() if v.is_valid else b""
 
 
-def training_runs(docs: DataFrame, most: int = MOST_RUNS) -> list[tuple[list[list[str]], np.ndarray, list[int]]]:
-    """At most ``most`` runs with their weak tags, those of the smallest hash of id and place."""
+def training_runs(docs: DataFrame, most: int = MOST_RUNS) -> list[Sample]:
+    """At most ``most`` distinct runs (by features and weak tags) with their numbers, those of the smallest
+    hash: up to a half of them with a tagged secret, and as many without. Copies take no further place."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,15 +331,19 @@ def training_runs(docs: DataFrame, most: int = MOST_RUNS) -> list[tuple[list[lis
                     matches, of_file = base_matches(text), file_features(text)
                     for run in own:
                         if len(run) <= LONGEST_RUN:
-                            sample = json.dumps([features(text, run, of_file), np.isfinite(allowed(run)).astype(int).tolist(), weak_tags(run, matches)])
-                            found.append((hashlib.md5(sample.encode() + run[0][2]).hexdigest(), sample))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (list(zip(*found)) or [[], []])], names=["key", "sample"])
-
-    sampled = docs.select(F.encode("text", "UTF-8").alias("text")).mapInArrow(tidy(rows), "key string, sample string")
+                            tags = weak_tags(run, matches)
+                            sample = json.dumps([features(text, run, of_file), np.isfinite(allowed(run)).astype(int).tolist(), tags])
+                            found.append((hashlib.md5(sample.encode()).hexdigest(), any(tags), sample))
+            kinds = (pa.string(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*found)) or [[]] * 3, kinds)], names=["key", "secret", "sample"])
+
+    sampled = docs.select(F.encode("text", "UTF-8").alias("text")).mapInArrow(tidy(rows), "key string, secret boolean, sample string")
+    sampled = materialise(sampled.groupBy("key", "secret").agg(F.first("sample").alias("sample"), F.count(F.lit(1)).alias("n")), "training-runs")
+    half = lambda secret, size: sampled.where(F.col("secret") == secret).orderBy("key").limit(size)
     out = []
-    for r in sampled.orderBy("key", "sample").limit(most).collect():
+    for r in sorted(half(True, most // 2).unionByName(half(False, most - most // 2)).collect(), key=lambda r: r.key):
         rows_, mask, tags = json.loads(r.sample)
-        out.append((rows_, np.where(np.array(mask, dtype=bool), 0.0, -np.inf), tags))
+        out.append((rows_, np.where(np.array(mask, dtype=bool), 0.0, -np.inf), tags, r.n))
     return out
 
 

@@ -605,6 +605,16 @@ def test_announced_secrets_without_digits(spark):
     assert not any("crf" in out[k].spans for k in range(160))
 
 
+def test_training_runs_are_distinct_and_of_both_kinds(spark):
+    rows = [(k, "order 20240101 of the day", "s") for k in range(300)] + [(1000 + k, f"v{'x' * (k % 9)}1234567 {'a b ' * (k % 5)}", "s") for k in range(60)]
+    rows += [(2000, "the password=Zx81kQpLm27sTw here", "s")]
+    samples = secrets.training_runs(docs(spark, rows), 6)
+    assert len(samples) <= 6 and sum(any(tags) for _, _, tags, _ in samples) == 1
+    assert len({str((a, c)) for a, _, c, _ in samples}) == len(samples)
+    every = secrets.training_runs(docs(spark, rows))
+    assert max(n for *_, n in every) == 300 and sum(n for *_, n in every) == len(rows)
+
+
 def test_decoding_equals_enumeration():
     import itertools
 
