@@ -32,9 +32,35 @@ def matched(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return both.select("case_id", "rule_id", tp.alias("tp"), (F.col("actual") - tp).alias("fp"), (F.col("expected") - tp).alias("fn"))
 
 
-def matched_in_detail(expected: DataFrame, actual: DataFrame) -> DataFrame:
+def resolved_ranges(expected: DataFrame, cases: DataFrame) -> DataFrame:
+    """Expectations (case_id, rule_id, start, end, original, ...) with the range of an original that occurs
+    once in its case's text (overlapping places count each), and the problem if there is one.
+
+    Ranges are UTF-8 bytes.
+    """
+    rows = expected.join(cases.select("case_id", F.coalesce("text", F.lit("")).alias("_text")), "case_id", "left").withColumn("_bytes", F.encode("_text", "UTF-8"))
+    ranged = F.col("start").isNotNull() & F.col("end").isNotNull()
+    inside = lambda c: F.hex(F.expr(f"substring(_bytes, cast({c} + 1 as int), 1)")).rlike("^[89AB]")
+    invalid = (F.col("start") < 0) | (F.col("start") > F.col("end")) | (F.col("end") > F.octet_length("_bytes")) | inside("start") | inside("`end`")
+    part = F.expr("substring(_bytes, cast(start + 1 as int), cast(`end` - start as int))")
+    first = F.expr("locate(original, _text, 1)")
+    second = F.expr("locate(original, _text, locate(original, _text, 1) + 1)")
+    problem = (
+        F.when(F.col("_text").isNull(), "expectation without a case").when(ranged & invalid, "invalid range").when(F.col("original") == "", "empty original")
+        .when(ranged & (part != F.encode("original", "UTF-8")), "range is not the original").when(~ranged & (first == 0), "absent original").when(~ranged & (second > 0), "repeated original")
+    )
+    begin = F.octet_length(F.expr("substring(_text, 1, locate(original, _text, 1) - 1)")).cast("long")
+    found = rows.withColumn("problem", problem).withColumn("_new", ~ranged & F.col("original").isNotNull() & F.col("problem").isNull())
+    found = found.withColumn("_begin", begin)
+    start = F.when(F.col("_new"), F.col("_begin")).otherwise(F.col("start").cast("long"))
+    end = F.when(F.col("_new"), F.col("_begin") + F.octet_length("original")).otherwise(F.col("end").cast("long"))
+    return found.withColumns({"start": start, "end": end}).select(*expected.columns, "problem")
+
+
+def matched_in_detail(expected: DataFrame, actual: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     """As matched(), where expectations may name ranges, originals and suggestions too.
 
+    With the cases' texts, an original that occurs once stands for its range; ranges are then UTF-8 bytes.
     Within a case, expectations with more conditions come first and each takes the first finding
     left that meets them. Cases are small; each is settled alone.
     """
@@ -57,6 +83,8 @@ def matched_in_detail(expected: DataFrame, actual: DataFrame) -> DataFrame:
             counts.setdefault(a["rule_id"], [0, 0, 0])[1] += 1
         return pd.DataFrame([(key[0], rule, *c) for rule, c in counts.items()], columns=["case_id", "rule_id", "tp", "fp", "fn"])
 
+    if cases is not None:
+        expected = resolved_ranges(expected, cases).drop("problem")
     return expected.groupBy("case_id").cogroup(actual.groupBy("case_id")).applyInPandas(settle, "case_id string, rule_id string, tp long, fp long, fn long")
 
 
@@ -128,8 +156,9 @@ def quality_slices(cases: DataFrame) -> DataFrame:
     return rows.groupBy("s.dimension", "s.value").agg(F.count(F.lit(1)).alias("cases"), count("error").alias("errors"), count("normal").alias("normals"))
 
 
-def corpus_problems(cases: DataFrame) -> DataFrame:
-    """(case_id, problem) of a corpus: repeated or blank ids, contradicting types, missing provenance."""
+def corpus_problems(cases: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """(case_id, problem) of a corpus: repeated or blank ids, contradicting types, missing provenance; with
+    expectations as of resolved_ranges(), their problems too."""
     ident = F.trim("case_id")
     rows = cases.withColumn("copies", F.count(F.lit(1)).over(W.partitionBy(ident)))
     expects = F.coalesce(F.size("expected_rule_ids"), F.lit(0)) > 0
@@ -139,7 +168,10 @@ def corpus_problems(cases: DataFrame) -> DataFrame:
         F.when((F.col("case_type") == "normal") & expects, "normal case with expectations"), F.when((F.col("case_type") == "error") & ~expects, "error case without expectations"),
         F.when((origin != "project") & (F.col("genre").isNull() | F.col("document_id").isNull() | F.col("split").isNull()), "no provenance"),
     ))
-    return rows.select("case_id", F.explode(problems).alias("problem"))
+    out = rows.select("case_id", F.explode(problems).alias("problem"))
+    if expected is not None:
+        out = out.unionByName(resolved_ranges(expected, cases).where("problem is not null").select("case_id", "problem"))
+    return out
 
 
 def latency(samples: DataFrame, size: float) -> DataFrame:

@@ -14,6 +14,26 @@ def test_matching_in_detail(spark):
     assert found == {("c", "r"): (2, 0, 0), ("c", "q"): (0, 1, 0), ("d", "s"): (0, 1, 1)}
 
 
+def test_ranges_of_originals(spark):
+    kinds = "case_id string, rule_id string, start int, end int, original string, suggestions array<string>"
+    cases = spark.createDataFrame([("a", "가나 다나", "error", ["r"]), ("b", "aaa 가", "error", ["r"])], "case_id string, text string, case_type string, expected_rule_ids array<string>")
+    for c in ("origin", "genre", "document_id", "split"):
+        cases = cases.withColumn(c, F.lit(None).cast("string"))
+    rows = [("a", "r", None, None, "다나", None), ("a", "r", None, None, "나", None), ("a", "r", None, None, "라", None), ("b", "r", None, None, "aa", None), ("b", "r", 4, 5, None, None), ("b", "r", 4, 7, "나", None)]
+    rows += [("b", "r", 4, 7, "가", None), ("b", "r", 4, 99, None, None), ("b", "r", 3, 2, None, None), ("b", "r", None, None, "", None), ("b", "r", None, None, None, None), ("a", "r", 14, 14, None, None)]
+    expected = spark.createDataFrame(rows, kinds)
+    found = {(r.case_id, r.original, (r.start, r.end) if r.start is not None else None): r.problem for r in evaluate.resolved_ranges(expected, cases).collect()}
+    assert found == {
+        ("a", "다나", (7, 13)): None, ("a", "나", None): "repeated original", ("a", "라", None): "absent original", ("b", "aa", None): "repeated original", ("b", None, (4, 5)): "invalid range",
+        ("b", "나", (4, 7)): "range is not the original", ("b", "가", (4, 7)): None, ("b", None, (4, 99)): "invalid range", ("b", None, (3, 2)): "invalid range", ("b", "", None): "empty original",
+        ("b", None, None): None, ("a", None, (14, 14)): "invalid range",
+    }
+    assert sorted(r.problem for r in evaluate.corpus_problems(cases, expected).collect()) == sorted(p for p in found.values() if p)
+    twice = spark.createDataFrame([("a", "r", 0, 6, "다나", "x")], "case_id string, rule_id string, start int, end int, original string, suggestion string")
+    counts = evaluate.matched_in_detail(expected.where("original = '다나'"), twice, cases).first()
+    assert (counts.tp, counts.fp, counts.fn) == (0, 1, 1)
+
+
 def test_undefined_ratios_are_null(spark):
     counts = spark.createDataFrame([("c", "a", 0, 0, 2), ("c", "b", 0, 3, 0), ("c", "d", 4, 0, 0)], "case_id string, rule_id string, tp long, fp long, fn long")
     rules = {r.rule_id: r for r in evaluate.per_rule(counts).collect()}
