@@ -6,12 +6,13 @@ words are hit, and the automaton names the items that contain it. Items shorter
 as one window each; their states are found on the suffix chain of the current state.
 
 The automaton is broadcast. Its size is bounded: items are dealt into blocks of a limited number of
-words, each block has an automaton of its own (at most two states a word), and blocks take turns.
+words, each block has an automaton of its own (at most two states a word, in flat arrays), and blocks take
+turns. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narae.llm.shared import materialise, small_batches, tidy
+from narae.llm.shared import join_texts, materialise, pieces, raw_texts, small_batches, tidy, word_bounds, word_hashes
 
 WINDOW = 10
 #: Words of one automaton at most; beyond that, items go to several blocks.
@@ -36,94 +37,131 @@ def item_words(text: bytes) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton of word sequences, with the items of each window."""
+    """Generalised suffix automaton of word sequences, with the items of each window, in flat arrays.
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    Words are numbered by the order of their 64-bit hashes (``word_hashes``). Most states have one edge, held
+    in ``code`` and ``to``; the edges of states with more are in ``more``.
+    """
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.window = window
-        self.words: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        coded = [(name, [self.words.setdefault(w, len(self.words)) for w in words]) for name, words in items if words]
-        for _, codes in coded:
+        hashes, first = normal_hashes([text for _, text in items])
+        self.words, codes = np.unique(hashes, return_inverse=True)
+        self.names = [name for name, _ in items]
+        coded = [(k, codes[first[k] : first[k + 1]].tolist()) for k in range(len(items)) if first[k + 1] > first[k]]
+        self.code, self.to, self.link, self.length = array("i", [-1]), array("i", [0]), array("i", [-1]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {}
+        for _, own in coded:
             last = 0
-            for c in codes:
+            for c in own:
                 last = self._extend(last, c)
-        size = len(self.next)
         #: The shortest matching suffix with at least a window's length, by state (-1: none).
-        self.at_window = [-1] * size
-        for v in sorted(range(size), key=self.length.__getitem__):
+        self.at_window = array("i", [-1]) * len(self.link)
+        by_length = np.argsort(np.frombuffer(self.length, np.intc), kind="stable").tolist()
+        for v in by_length:
             if self.length[v] >= window:
                 up = self.at_window[self.link[v]]
                 self.at_window[v] = v if up < 0 else up
-        self.items: dict[int, set[str]] = {}
-        short: dict[int, list[tuple[int, str]]] = {}
-        for name, codes in coded:
+        places: dict[tuple[int, int], None] = {}
+        short: dict[int, list[tuple[int, int]]] = {}
+        for k, own in coded:
             v = 0
-            for k, c in enumerate(codes):
-                v = self.next[v][c]
-                if k + 1 >= window:
-                    self.items.setdefault(self.at_window[v], set()).add(name)
-            if len(codes) < window:
-                short.setdefault(v, []).append((len(codes), name))
+            for at, c in enumerate(own, 1):
+                v = self._step(v, c)
+                if at >= window:
+                    places[self.at_window[v], k] = None
+            if len(own) < window:
+                short.setdefault(v, []).append((len(own), k))
+        pairs = np.array(sorted(places), dtype=np.int32).reshape(-1, 2)
+        #: Items of the windows, one after another, and the first of each state's.
+        self.items = pairs[:, 1].copy()
+        self.item_from = np.searchsorted(pairs[:, 0], np.arange(len(self.link) + 1)).astype(np.int32)
         #: (length, item) of the short items that end where a state's strings end.
-        self.short: dict[int, tuple[tuple[int, str], ...]] = {}
+        self.short: dict[int, tuple[tuple[int, int], ...]] = {}
         if short:
-            for v in sorted(range(1, size), key=self.length.__getitem__):
+            for v in by_length[1:]:
                 found = (*self.short.get(self.link[v], ()), *short.get(v, ()))
                 if found:
                     self.short[v] = found
-        self.least = min([window, *(len(codes) for _, codes in coded)])
+        self.least = min([window, *(len(own) for _, own in coded)])
+
+    def _step(self, v: int, c: int) -> int:
+        """The state behind v's edge c; 0 if there is none (no edge leads to the start)."""
+        if self.code[v] == c:
+            return self.to[v]
+        return self.more[v].get(c, 0) if v in self.more else 0
+
+    def _set(self, v: int, c: int, target: int) -> None:
+        if self.code[v] in (-1, c):
+            self.code[v], self.to[v] = c, target
+        else:
+            self.more.setdefault(v, {})[c] = target
 
-    def _state(self, length: int, edges: dict[int, int], link: int) -> int:
+    def _state(self, length: int, link: int, like: int = -1) -> int:
+        new = len(self.link)
         self.length.append(length)
-        self.next.append(edges)
         self.link.append(link)
-        return len(self.next) - 1
+        self.code.append(self.code[like] if like >= 0 else -1)
+        self.to.append(self.to[like] if like >= 0 else 0)
+        if like in self.more:
+            self.more[new] = dict(self.more[like])
+        return new
 
     def _split(self, p: int, c: int) -> int:
         """The target of p's edge c, cut to the strings that p reaches."""
-        q = self.next[p][c]
+        q = self._step(p, c)
         if self.length[q] == self.length[p] + 1:
             return q
-        clone = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
+        clone = self._state(self.length[p] + 1, self.link[q], q)
         self.link[q] = clone
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = clone
+        while p >= 0 and self._step(p, c) == q:
+            self._set(p, c, clone)
             p = self.link[p]
         return clone
 
     def _extend(self, last: int, c: int) -> int:
-        if c in self.next[last]:
+        if self._step(last, c):
             return self._split(last, c)
-        new = self._state(self.length[last] + 1, {}, 0)
+        new = self._state(self.length[last] + 1, 0)
         p = last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = new
+        while p >= 0 and not self._step(p, c):
+            self._set(p, c, new)
             p = self.link[p]
         if p >= 0:
             self.link[new] = self._split(p, c)
         return new
 
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Hit word ranges (merged, in order) and the items with occurring windows."""
-        ranges: list[tuple[int, int]] = []
-        found: set[str] = set()
-        known = self.words.get
-        codes = np.fromiter((known(w, -1) for w in words), dtype=np.int64, count=len(words))
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], codes >= 0, [0]]).astype(np.int8)))
-        begin, end = edge[0::2], edge[1::2]
-        for k in np.flatnonzero(end - begin >= self.least):  # no window spans an unknown word
-            self._stream(int(begin[k]), codes[begin[k] : end[k]].tolist(), ranges, found)
-        return ranges, found
-
-    def _stream(self, start: int, codes: list[int], ranges: list[tuple[int, int]], found: set[str]) -> None:
-        edges, link, length, window, short = self.next, self.link, self.length, self.window, self.short
+    def find(self, texts: list[bytes]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[int]]]:
+        """Of each text: its number of words, hit word ranges (merged, in order), and the items with occurring windows."""
+        hashes, first = normal_hashes(texts)
+        at = np.searchsorted(self.words, hashes)
+        at[at == len(self.words)] = 0
+        known = self.words[at] == hashes if len(self.words) else np.zeros(len(hashes), bool)
+        border = np.zeros(len(hashes) + 1, bool)
+        border[first] = True
+        # Runs of known words within one text: no window spans an unknown word.
+        begin = np.flatnonzero(known & (border[:-1] | ~np.concatenate([[False], known[:-1]])))
+        end = np.flatnonzero(known & (border[1:] | ~np.concatenate([known[1:], [False]]))) + 1
+        wide = end - begin >= self.least
+        begin, end = begin[wide], end[wide]
+        owner = np.searchsorted(first, begin, side="right") - 1
+        hits: list[list[tuple[int, int]]] = [[] for _ in texts]
+        items: list[set[int]] = [set() for _ in texts]
+        for a, b, k in zip(begin.tolist(), end.tolist(), owner.tolist()):
+            self._stream(a - int(first[k]), at[a:b].tolist(), hits[k], items[k])
+        return np.diff(first).tolist(), hits, items
+
+    def _stream(self, start: int, codes: list[int], ranges: list[tuple[int, int]], found: set[int]) -> None:
+        code, to, more, link, length, window, short = self.code, self.to, self.more, self.link, self.length, self.window, self.short
         v = matched = 0
         for at, c in enumerate(codes, start + 1):
-            while v and c not in edges[v]:
+            while True:
+                next_ = to[v] if code[v] == c else more[v].get(c, 0) if v in more else 0
+                if next_ or not v:
+                    break
                 v = link[v]
                 matched = length[v]
-            v = edges[v].get(c, 0)
+            v = next_
             if not v:
                 matched = 0
                 continue
@@ -131,12 +169,13 @@ class Automaton:
             hit = 0
             if matched >= window:
                 hit = window
-                found |= self.items[self.at_window[v]]
+                state = self.at_window[v]
+                found.update(self.items[self.item_from[state] : self.item_from[state + 1]].tolist())
             if short and v in short:
-                for size, name in short[v]:
+                for size, item in short[v]:
                     if size <= matched:
                         hit = max(hit, size)
-                        found.add(name)
+                        found.add(item)
             if hit:
                 begin = at - hit
                 while ranges and ranges[-1][1] >= begin:
@@ -144,65 +183,110 @@ class Automaton:
                 ranges.append((begin, at))
 
 
-def _blocks(items: DataFrame, window: int, most_words: int) -> list:
-    """One broadcast automaton for each block of items; blocks have ``most_words`` words or so."""
-    spark = items.sparkSession
-    rows = items.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.encode("text", "UTF-8").alias("text")).distinct()
+def normal_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the normalised words of all texts, and the index of each text's first (n + 1 of them)."""
+    if not texts:
+        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+    buf, starts = join_texts([t.translate(_BLANK) for t in texts])
+    begin, end, first = word_bounds(buf, starts)
+    return word_hashes(buf, begin, end), first
+
+
+def _item_rows(items: DataFrame) -> DataFrame:
+    """Distinct (item_id, text); a null id stays null."""
+    return items.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.encode("text", "UTF-8").alias("text")).distinct()
+
+
+def _item_blocks(rows: DataFrame, most_words: int = MOST_WORDS) -> int:
+    """How many blocks of some ``most_words`` words the items make up."""
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 2 + 1  # a word takes two bytes at least
-    count = -(-size // most_words)
-    out = []
-    for k in range(count):
-        block = rows if count == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
-        coded = sorted((r[0], item_words(bytes(r[1]))) for r in block.collect())
-        out.append(spark.sparkContext.broadcast(Automaton(coded, window)))
-    return out
+    return -(-size // most_words)
+
+
+def _automaton(rows: DataFrame, window: int, block: int, blocks: int) -> Automaton:
+    """The automaton of one block of items. Only that block, of bounded size, comes to the driver."""
+    mine = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+    coded = sorted(("null" if r[0] is None else r[0], bytes(r[1])) for r in mine.collect())
+    return Automaton(coded, window)
 
 
 _HITS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-_FOUND = "n_words long, hits array<struct<begin:int,end:int>>, items array<string>"
+#: Columns that a pass adds; a text comes in as ``_text``.
+_FOUND = {"_n_words": "long", "_hits": "array<struct<begin:int,end:int>>", "_items": "array<string>"}
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS, columns: list[str] | None = None) -> DataFrame:
-    """Adds n_words, hits (word ranges, end exclusive) and items (sorted ids) to ``columns`` of docs.
+def _passes(docs: DataFrame, items: DataFrame, window: int, last, schema: str | None) -> DataFrame:
+    """Streams ``docs`` (with the columns of _FOUND) through the automata, one a pass.
 
-    Null texts have no words. Items without words are never found; repeated items count once, a null
-    id reads "null". Texts of any length are streamed whole. No items: nothing is hit.
+    ``last`` makes the rows of the last pass from (batch, n_words, hits, items). Passes before it are written
+    down, so that there is one automaton at a time on the driver and in a worker, and one worker a task.
     """
-    columns = columns or ["doc_id"]
-    automata = _blocks(items, window, most_words)
-    small_batches(docs.sparkSession)
-    out = docs.select(*[F.col(f"`{c}`") for c in columns], F.encode("text", "UTF-8").alias("_text"))
-    out = out.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<begin:int,end:int>>").alias("hits"), F.array().cast("array<string>").alias("items"))
-    for k, shared in enumerate(automata):
-        if k:
-            out = materialise(out, "leaks")  # one automaton at a time in a worker
-        out = out.mapInArrow(tidy(_finder(shared)), out.schema)
-    return out.drop("_text")
-
-
-def _finder(shared):
+    spark = docs.sparkSession
+    rows = _item_rows(items)
+    blocks = _item_blocks(rows)
+    small_batches(spark)
+    for k in range(blocks):
+        shared = spark.sparkContext.broadcast(_automaton(rows, window, k, blocks))
+        if k + 1 == blocks:
+            return docs.mapInArrow(tidy(_streamed(shared, last)), schema)
+        docs = materialise(docs.mapInArrow(tidy(_streamed(shared, _kept)), docs.schema), "leaks")
+        shared.unpersist()
+    raise AssertionError("there is at least one block")
+
+
+def _streamed(shared, out):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         for batch in batches:
             names = batch.schema.names
-            before_hits, before_items = (batch.column(names.index(c)).to_pylist() for c in ("hits", "items"))
-            n_words, hits, items = [], [], []
-            for text, old, had in zip(batch.column(names.index("_text")), before_hits, before_items):
-                words = item_words(text.as_buffer().to_pybytes()) if text.is_valid else []
-                ranges, found = automaton.find(words)
-                n_words.append(len(words))
-                hits.append(merge_ranges([*ranges, *((h["begin"], h["end"]) for h in old)]) if old else ranges)
-                items.append(sorted(found.union(had)))
-            columns = {
-                "n_words": pa.array(n_words, pa.int64()),
-                "hits": pa.array([[{"begin": a, "end": b} for a, b in r] for r in hits], _HITS),
-                "items": pa.array(items, pa.list_(pa.string())),
-            }
-            yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(k)) for k, c in enumerate(names)], names=names)
+            texts = batch.column(names.index("_text"))
+            old_hits, old_items = batch.column(names.index("_hits")), batch.column(names.index("_items"))
+            n_words, hits, found = [], [], []
+            raw = raw_texts(texts)
+            for a, b in pieces(raw):
+                for part, more in zip((n_words, hits, found), automaton.find(raw[a:b])):
+                    part += more
+            items = []
+            for k, own in enumerate(found):
+                named = {automaton.names[i] for i in own}
+                if len(old_hits[k]):
+                    hits[k] = merge_ranges([*hits[k], *((h["begin"], h["end"]) for h in old_hits[k].as_py())])
+                    named.update(old_items[k].as_py())
+                items.append(sorted(named))
+            yield out(batch, raw, n_words, hits, items)
 
     return rows
 
 
+def _kept(batch: pa.RecordBatch, raw: list[bytes], n_words: list, hits: list, items: list) -> pa.RecordBatch:
+    columns = {
+        "_n_words": pa.array(n_words, pa.int64()), "_hits": pa.array([[{"begin": a, "end": b} for a, b in r] for r in hits], _HITS), "_items": pa.array(items, pa.list_(pa.string())),
+    }
+    names = batch.schema.names
+    return pa.RecordBatch.from_arrays([columns.get(c, batch.column(k)) for k, c in enumerate(names)], names=names)
+
+
+def _prepared(docs: DataFrame, columns: list[str]) -> DataFrame:
+    nothing = [F.lit(0).cast("long").alias("_n_words"), *[F.array().cast(_FOUND[c]).alias(c) for c in ("_hits", "_items")]]
+    return docs.select(*[F.col(f"`{c}`") for c in columns], F.encode("text", "UTF-8").alias("_text"), *nothing)
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, n_words, hits (word ranges, end exclusive), items (sorted ids)) of each row of docs.
+
+    Null texts have no words. Items without words are never found; repeated items count once, a null
+    id reads "null". Texts of any length are streamed whole. No items: nothing is hit.
+    """
+    prepared = _prepared(docs, ["doc_id"])
+    ident = docs.schema["doc_id"].dataType.simpleString()
+
+    def last(batch, raw, n_words, hits, found) -> pa.RecordBatch:
+        full = _kept(batch, raw, n_words, hits, found)
+        return pa.RecordBatch.from_arrays([full.column(full.schema.names.index(c)) for c in ("doc_id", "_n_words", "_hits", "_items")], names=["doc_id", "n_words", "hits", "items"])
+
+    return _passes(prepared, items, window, last, f"doc_id {ident}, n_words long, hits array<struct<begin:int,end:int>>, items array<string>")
+
+
 def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
@@ -228,33 +312,33 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, most
     """``docs`` without hit spans, and without documents that are hit beyond ``most_coverage``.
 
     Of a span, its words and what stands between them go; the rest of the text stays as it is.
-    ``n_chars`` follows. Clean documents come through unchanged, null texts included.
+    ``n_chars`` follows. Clean documents come through unchanged, null texts included; repeated rows are
+    judged each. Spans are removed in the pass that finds them.
     """
     columns = docs.columns
-    found = find_leaks(docs, items, window, columns=columns)
-    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["begin"])
-    kept = found.where(n_hit <= F.lit(most_coverage) * F.col("n_words"))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            texts = batch.column(names.index("text")).to_pylist()
-            for k, ranges in enumerate(batch.column(names.index("hits"))):
-                if len(ranges):
-                    texts[k] = _without(texts[k], [(r["begin"], r["end"]) for r in ranges.as_py()])
-            columns = {"text": pa.array(texts, pa.string())}
-            if "n_chars" in names:
-                kind = batch.schema.field("n_chars").type
-                old = batch.column(names.index("n_chars")).to_pylist()
-                hits = batch.column(names.index("hits"))
-                columns["n_chars"] = pa.array([len(t) if len(h) else n for t, h, n in zip(texts, hits, old)], kind)
-            yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(k)) for k, c in enumerate(names)], names=names)
-
-    return kept.mapInArrow(tidy(rows), kept.schema).select(*[F.col(f"`{c}`") for c in columns])
-
-
-def _without(text: str, ranges: list[tuple[int, int]]) -> str:
-    data = text.encode()
+    prepared = _prepared(docs, [c for c in columns if c != "text"])
+    plain = docs.schema["n_chars"].dataType.typeName() in ("byte", "short", "integer", "long") if "n_chars" in columns else False
+
+    def last(batch: pa.RecordBatch, raw: list[bytes], n_words: list, hits: list, found: list) -> pa.RecordBatch:
+        names = batch.schema.names
+        kept = [sum(b - a for a, b in h) <= most_coverage * n for h, n in zip(hits, n_words)]
+        texts = batch.column(names.index("_text"))
+        changed = any(hits)
+        if changed:
+            valid = texts.is_valid().to_pylist()
+            raw = [_without(t, h) if h else t for t, h in zip(raw, hits)]
+            texts = pa.array([t if v else None for t, v in zip(raw, valid)], pa.binary())
+        out = {"text": texts.cast(pa.string())}
+        if plain and changed:
+            old = batch.column(names.index("n_chars"))
+            out["n_chars"] = pa.array([len(t.decode()) if h else n for t, h, n in zip(raw, hits, old.to_pylist())], old.type)
+        rows = pa.RecordBatch.from_arrays([out[c] if c in out else batch.column(names.index(c)) for c in columns], names=columns)
+        return rows if all(kept) else rows.filter(pa.array(kept))
+
+    return _passes(prepared, items, window, last, docs.schema)
+
+
+def _without(data: bytes, ranges: list[tuple[int, int]]) -> bytes:
     flags = np.frombuffer(data.translate(_BLANK), np.uint8) != 32
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags, [0]]).astype(np.int8)))
     begin, end = edge[0::2], edge[1::2]
@@ -262,8 +346,4 @@ def _without(text: str, ranges: list[tuple[int, int]]) -> str:
     for a, b in ranges:
         out.append(data[at : begin[a]])
         at = end[b - 1]
-    return b"".join([*out, data[at:]]).decode()
-
-
-def items_digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+    return b"".join([*out, data[at:]])

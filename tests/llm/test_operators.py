@@ -303,7 +303,7 @@ def test_leaks_equal_brute_force(spark, monkeypatch, most_words):
     text = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
     items = [(k, text(rng.choice([0, 1, 3, 4, 6, 9])), "x") for k in range(25)] + [(3, "A, b; c. D", "x"), (99, None, "x")]
     rows = [(k, text(rng.randint(0, 30)), "x") for k in range(60)] + [(60, "A-b-c-d! É a b", "x"), (61, None, "x")]
-    monkeypatch.setattr(decontaminate, "_blocks", lambda i, w, m, f=decontaminate._blocks: f(i, w, most_words))
+    monkeypatch.setattr(decontaminate, "_item_blocks", lambda r, f=decontaminate._item_blocks: f(r, most_words))
     out = by_id(decontaminate.leak_digest(docs(spark, rows), docs(spark, items).select(F.col("doc_id").alias("item_id"), "text"), 5))
     for i, t, _ in rows:
         assert tuple(out[i])[1:] == brute_leaks(t, [(k, x) for k, x, _ in items], 5), i
