@@ -350,6 +350,38 @@ def test_chunk_table(spark, tmp_path):
     assert rows[0].digest == base64.b32encode(hashlib.sha1(b"ab" * 50).digest()).decode()
 
 
+@pytest.mark.parametrize("body", ["", "\r\n", "x\r\n", "\r\n\r\n", "\r\n\r\n\r\n", "x\r\n\r\n\r\n", "x\r", "x\n", "\r", "\n\r\n\r", "y" * 100 + "\r\n"])
+def test_endings_as_last_record(spark, body):
+    rows = [(1, None, "first\r\n", "t", "d"), (2, None, body, "t", "d")]
+    for own in (rows[1:], rows):
+        pages = spark.createDataFrame(own, PAGES).coalesce(1)
+        out = {r.page_id: r for r in warc.warc_digest(pages, chunk=100).collect()}
+        assert len(out) == len(own) and out[2].payload_bytes == len(body)
+        assert out[2].payload_digest == base64.b32encode(hashlib.sha1(body.encode()).digest()).decode()
+
+
+def test_no_pages_and_odd_ids(spark):
+    assert warc.warc_digest(spark.createDataFrame([], PAGES)).count() == 0
+    pages = spark.createDataFrame([("null", "u", "a"), (None, "u", "b"), ("a>\r\nb%20+c", "u", "a"), ("#", "u", "z" * 350)], "page_id string, url string, html string")
+    out = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.warc_digest(pages, chunk=100).collect()}
+    assert out == {"a>\r\nb%20+c": (1, "response", None), "null": (1, "revisit", "a>\r\nb%20+c"), None: (1, "response", None), "#": (350, "response", None)}
+
+
+def test_archives_of_others(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    body = b"line\n" * 700_000
+    records = [(b"warcinfo", b"application/warc-fields", b"software: x\r\n"), (b"response", b"application/http;msgtype=response", http + body), (b"resource", b"image/png", b"\r\n\r\n")]
+    with open(tmp_path / "a.warc", "wb") as f:
+        for k, (kind, form, block) in enumerate(records):
+            f.write(b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:uuid:%d>\r\nContent-Type: %s\r\nContent-Length:%d\r\n\r\n" % (kind, k, form, len(block)) + block + b"\r\n\r\n")
+    rows = warc.read_warc(spark, str(tmp_path / "a.warc")).collect()
+    last = {r.record_id: r for r in rows if r["last"]}
+    assert [last[f"urn:uuid:{k}"].payload_bytes for k in range(3)] == [13, len(body), 4]
+    assert last["urn:uuid:1"].digest == base64.b32encode(hashlib.sha1(body).digest()).decode() and last["urn:uuid:1"].chunk_no == 3
+    assert b"".join(r.data for r in sorted(rows, key=lambda r: r.chunk_no) if r.record_id == "urn:uuid:1") == body
+    assert max(r.byte_length for r in rows) <= warc.CHUNK
+
+
 def test_least_payload(spark):
     pages = spark.createDataFrame([(1, "u", "ab", "t", "d"), (2, "u", "ab", "t", "d")], PAGES)
     assert {r.record_type for r in warc.warc_digest(pages, least=3).collect()} == {"response"}
