@@ -1,12 +1,15 @@
 """Scratch tables in the folder that driver and executors share.
 
-The folder is ``spark.checkpoint.dir`` as the session has it; one of our own is used only where that
-setting is absent (plain local sessions).
+The folder is ``spark.checkpoint.dir`` as the session has it. Where that setting is absent, a session on a
+cluster uses a folder below its warehouse, which is shared as well; a local session uses one of its own.
+The session's settings are never changed.
 """
 
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -15,25 +18,34 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOTS: dict[str, str] = {}
 
 
+def _base(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="narae-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/narae-scratch"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="narae-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        _ROOTS[app] = f"{base.rstrip('/')}/narae-{app}"
-        atexit.register(_drop, spark, _ROOTS[app])
+        _ROOTS[app] = f"{_base(spark).rstrip('/')}/narae-{app}"
+        _drop_at_exit(spark, _ROOTS[app])
     return f"{_ROOTS[app]}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    context = spark.sparkContext
-    if context._jvm is None or context._jsc is None or context._jsc.sc().isStopped():
-        return
-    target = context._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+def _drop_at_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver ends, whether or not the session was stopped before."""
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.deleteOnExit(target)  # by the driver's JVM, on any file system
+    local = path.removeprefix("file://").removeprefix("file:")
+    if os.path.isdir(local):
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
 
 
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
