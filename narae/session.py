@@ -23,7 +23,9 @@ def _base(spark: SparkSession) -> str:
     if base:
         return base
     if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="narae-")
+        own = tempfile.mkdtemp(prefix="narae-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        return own
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/narae-scratch"
 
 
