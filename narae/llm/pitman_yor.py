@@ -21,16 +21,18 @@ the blocks' predictions are broadcast in turn. Contexts have the same length eit
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narae.llm.shared import join_texts, lower_ascii, materialise, mix, pieces, raw_texts, release, signed, small_batches, tidy, word_bounds, word_hashes
+from narae.llm.shared import (
+    byte_slices, join_texts, lower_ascii, materialise, merged, mix, pack, range_cuts, raw_texts, release, signed, small_batches, squeeze, tidy, tight, unpack, unsqueeze, word_bounds, word_hashes,
+)
 
 FOLDS, HELD_OUT = 5, 1
 #: Bytes of context, and distinct (context, byte) pairs of the byte hierarchy that are held at once.
@@ -49,8 +51,10 @@ END = mix(np.zeros(1, dtype=np.uint64))[0]
 EVEN = 1.0 / 251
 #: Customers of a dish that are seated one by one.
 ONE_BY_ONE = 48
-#: Words that a task counts before it passes them on, and tokens of a scoring block.
-HELD_WORDS, BLOCK_TOKENS = 400_000, 4_000_000
+#: Bits of the hash that stands for a pair.
+PAIR_BITS = 56
+#: Bytes of text of a block, and for each range of words and pairs.
+BLOCK_BYTES, PART_BYTES = 16 << 20, 24 << 20
 SEED = 20
 
 
@@ -196,20 +200,39 @@ class ByteRestaurants:
                 self.levels[k - 1]["customers"] = np.bincount(level["parent"], level["tables"], minlength=len(self.levels[k - 1]["keys"]))
 
 
-def word_windows(words: list[bytes], context: int) -> tuple[np.ndarray, np.ndarray]:
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a binary column, each value's begin and size."""
+    _, offsets, data = words.buffers()
+    edge = np.frombuffer(offsets, np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
+    return np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8), edge[:-1], np.diff(edge)
+
+
+def word_windows(words: pa.Array | list[bytes], context: int) -> tuple[np.ndarray, np.ndarray]:
     """The (context, byte) windows of words with their ends, and where each word's begin.
 
     Blanks stand before a word's start and as its end.
     """
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    buf = np.frombuffer(b" " * context + (b" " * (context + 1)).join(words) + b" " * 9, np.uint8)
+    words = pa.array(words, pa.binary()) if isinstance(words, list) else words
+    data, begin, size = _bytes_of(words)
     start = np.cumsum(size + context + 1) - size - context - 1
+    buf = np.full(int(size.sum()) + (context + 1) * len(size) + 9, 32, np.uint8)
+    if len(size):
+        skip = np.cumsum(size) - size
+        buf[np.arange(int(size.sum())) + np.repeat(start + context - skip, size)] = byte_slices(data, begin, size)
     edge = np.concatenate([[0], np.cumsum(size + 1)])
     at = np.arange(edge[-1]) - np.repeat(edge[:-1] - start, size + 1)
     wide = np.ndarray(shape=(len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
     return wide[at] & np.uint64((1 << (8 * (context + 1))) - 1), edge
 
 
+def log_spelling(model: ByteModel, words: pa.Array | list[bytes]) -> np.ndarray:
+    """Natural log probability of the bytes of each word."""
+    windows, edge = word_windows(words, model.context)
+    known, where = np.unique(windows, return_inverse=True)
+    logs = np.concatenate([[0.0], np.cumsum(model.log_odds(known)[where])])
+    return logs[edge[1:]] - logs[edge[:-1]]
+
+
 @dataclass
 class Blocks:
     """One sample of a distributed byte hierarchy: (block, kind, level, key, value) rows, and the model above."""
@@ -263,25 +286,14 @@ class WordSample:
         """Probability of another table."""
         return (WORD_STRENGTH + self.taken * self.seated) / (WORD_STRENGTH + self.tokens)
 
-    def probabilities(self, words: list[bytes], counts: np.ndarray, base: np.ndarray | None = None) -> np.ndarray:
-        base = self.base(words) if base is None else base
-        tables = self.seat(words, counts, base, self.tables)
+    def probabilities(self, ids: np.ndarray, counts: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Of words with these ids and customers, given the probabilities of their spelling."""
+        tables = self.seat(ids, counts, base)
         own = (counts - self.taken * tables + (WORD_STRENGTH + self.taken * self.seated) * base) / (WORD_STRENGTH + self.tokens)
         return np.where(counts > 0, own, self.unseen)
 
-    def base(self, words: list[bytes]) -> np.ndarray:
-        return np.exp(self.log_base(words))
-
-    def log_base(self, words: list[bytes]) -> np.ndarray:
-        """Natural log probability of the spelling of each word."""
-        windows, edge = word_windows(words, self.model.context)
-        logs = np.concatenate([[0.0], np.cumsum(self.model.log_odds(windows))])
-        return logs[edge[1:]] - logs[edge[:-1]]
-
-    def seat(self, words: list[bytes], counts: np.ndarray, base: np.ndarray, tables: float) -> np.ndarray:
-        buf, starts = join_texts(words)
-        seeds = mix(word_hashes(buf, starts[:-1], starts[1:] - 1), 61 + self.number)
-        return seat(counts, (WORD_STRENGTH + self.discount * tables) * base, self.discount, seeds)
+    def seat(self, ids: np.ndarray, counts: np.ndarray, base: np.ndarray) -> np.ndarray:
+        return seat(counts, (WORD_STRENGTH + self.discount * self.tables) * base, self.discount, mix(ids, 61 + self.number))
 
 
 # --- distributed -----------------------------------------------------------------------------
@@ -291,11 +303,6 @@ def _held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def _ids(words: list[bytes]) -> np.ndarray:
-    buf, starts = join_texts(words)
-    return word_hashes(buf, starts[:-1], starts[1:] - 1)
-
-
 def text_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of the tokens of lower-cased texts with their ends, of the tokens before, and each text's begin."""
     buf, starts = join_texts(texts)
@@ -309,98 +316,262 @@ def text_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def pair_keys(contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each pair."""
-    return mix(mix(contexts, 7) * np.uint64(0x9FB21C651E98DF25) + tokens)
+    """A hash of each pair, of PAIR_BITS bits."""
+    return mix(mix(contexts, 7) * np.uint64(0x9FB21C651E98DF25) + tokens) >> np.uint64(64 - PAIR_BITS)
 
 
 def _lowered(column) -> list[bytes]:
     return [lower_ascii(t) for t in raw_texts(column)]
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """(pair, context, token, count) of all neighbouring tokens of training texts, as ids."""
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(block, size, data): the rows of docs in blocks of some BLOCK_BYTES, numbered by task, each compressed.
+
+    Everything later refers to blocks, so they are written once.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        block, size = TaskContext.get().partitionId() << 24, 0
+
+        def out() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                for batch in held:
+                    stream.write_batch(batch)
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "size", "data"])
+
         for batch in batches:
-            texts = _lowered(batch.column(0))
-            for a, b in pieces(texts):
-                tokens, contexts, _ = text_tokens(texts[a:b])
-                keys, at, count = np.unique(pair_keys(contexts, tokens), return_index=True, return_counts=True)
-                columns = [signed(keys), signed(contexts[at]), signed(tokens[at]), count.astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pair", "context", "token", "count"])
+            if len(batch):
+                held.append(batch)
+                size += batch.nbytes
+            if size >= BLOCK_BYTES:
+                yield out()
+                block, size = block + 1, 0
+                held.clear()
+        if held:
+            yield out()
 
-    texts = docs.where(~_held_out()).select(F.encode("text", "UTF-8").alias("text"))
-    found = texts.mapInArrow(tidy(rows), "pair long, context long, token long, count long")
-    return found.groupBy("pair").agg(F.first("context").alias("context"), F.first("token").alias("token"), F.sum("count").alias("count"))
+    texts = docs.select("doc_id", _held_out().alias("held_out"), F.encode("text", "UTF-8").alias("text"))
+    return texts.mapInArrow(tidy(rows), "block long, size long, data binary")
 
 
-def pair_discount(pairs: DataFrame) -> float:
-    ones, twos = pairs.agg(F.count_if(F.col("count") == 1), F.count_if(F.col("count") == 2)).first()
-    return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+def _block(data: bytes) -> tuple[pa.Table, list[bytes]]:
+    """The rows of a block, and its texts in lower case."""
+    table = pa.ipc.open_stream(data).read_all().combine_chunks()
+    return table, [lower_ascii(t) for c in table.column("text").chunks for t in raw_texts(c)]
+
 
+def _rows(names: list[str], columns: list) -> pa.RecordBatch:
+    kinds = {"block": pa.int64(), "part": pa.int32(), "kind": pa.int32(), "data": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for n, c in zip(names, columns)], names=names)
 
-def _tables_by(column: str, single: DataFrame, several: DataFrame) -> DataFrame:
-    """(id, tables) of the pairs' restaurants or dishes. ``single``: counts of pairs met once."""
-    both = single.where(F.col("side") == column).select("id", F.col("n").cast("double").alias("tables")).unionByName(several.select(F.col(column).alias("id"), "tables"))
-    return both.groupBy("id").agg(F.sum("tables").alias("tables"))
 
+def _spread(keys: np.ndarray, values: list[np.ndarray], parts: int, bits: int = 64) -> Iterator[tuple[int, bytes]]:
+    """(range, packed keys and values) of sorted keys."""
+    for part, a, b in range_cuts(keys, parts, bits):
+        yield part, pack(squeeze(keys[a:b]), np.array([b - a]), *[tight(v[a:b]) for v in values])
 
-def seat_pairs(several: DataFrame, contexts: DataFrame, odds: DataFrame, discount: float, number: int) -> DataFrame:
-    """The pairs met more than once with their tables, seated anew given the words' probabilities.
 
-    contexts: (id, tables) of the restaurants; odds: (id, log_odds) of the words.
+def _training(table: pa.Table, edge: np.ndarray) -> np.ndarray:
+    """Whether each token belongs to a training text."""
+    held_out = np.array(table.column("held_out").combine_chunks().to_numpy(zero_copy_only=False), dtype=bool)
+    return np.repeat(~held_out, np.diff(edge))
+
+
+def word_counts(blocks: DataFrame, parts: int) -> DataFrame:
+    """(part, id, word, seen) of all words of all texts, counting those of training texts only.
+
+    Words travel by the ranges of their ids, once a block. Words with equal ids count as one.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pair, count, of_context, log_odds = (batch.column(k).to_numpy() for k in (0, 3, 4, 5))
-            weight = (PAIR_STRENGTH + discount * of_context) * 10.0**log_odds
-            tables = seat(count, weight, discount, mix(pair.view(np.uint64), 91 + number)) if len(count) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(tables)], names=["pair", "context", "token", "count", "tables"])
+            for data in batch.column("data"):
+                table, texts = _block(data.as_buffer())
+                buf, starts = join_texts(texts)
+                begin, end, first = word_bounds(buf, starts)
+                ids, at, where = np.unique(word_hashes(buf, begin, end), return_index=True, return_inverse=True)
+                training = _training(table, first)
+                count = np.bincount(where[training], minlength=len(ids))
+                size = (end - begin)[at]
+                found = [(part, pack(np.array([b - a]), squeeze(ids[a:b]), tight(count[a:b]), tight(size[a:b]), byte_slices(buf, begin[at[a:b]], size[a:b]))) for part, a, b in range_cuts(ids, parts)]
+                ends = len(texts) - sum(table.column("held_out").to_pylist())
+                found.append((range_cuts(np.array([END]), parts)[0][0], pack(np.array([1]), squeeze(np.array([END])), tight(np.array([ends])), np.zeros(1, np.uint8), np.empty(0, np.uint8))))
+                yield _rows(["part", "data"], list(zip(*found)))
+
+    def reduce(table: pa.Table) -> pa.Table:
+        found = [unpack(d.as_buffer()) for d in table.column("data")]
+        ids = np.concatenate([unsqueeze(f[1], int(f[0][0])) for f in found])
+        count, size, data = (np.concatenate([f[k] for f in found]) for k in (2, 3, 4))
+        size = size.astype(np.int64)
+        ids, at, where = np.unique(ids, return_index=True, return_inverse=True)
+        offsets = np.concatenate([[0], np.cumsum(size[at])])
+        chars = byte_slices(data, (np.cumsum(size) - size)[at], size[at])
+        words = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(chars)])
+        part = np.full(len(ids), table.column("part")[0].as_py(), np.int32)
+        return pa.table({"part": part, "id": signed(ids), "word": words, "seen": np.bincount(where, count).astype(np.int64)})
+
+    packed = blocks.select("data").mapInArrow(tidy(rows), "part int, data binary")
+    return packed.groupBy("part").applyInArrow(reduce, "part int, id long, word binary, seen long")
+
+
+def _pairs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Tokens, the tokens before, each text's begin; distinct pairs, a place of each, and the pair of each token."""
+    tokens, contexts, edge = text_tokens(texts)
+    pairs, at, where = np.unique(pair_keys(contexts, tokens), return_index=True, return_inverse=True)
+    return tokens, contexts, edge, pairs, at, where
+
+
+def pair_counts(blocks: DataFrame, parts: int) -> DataFrame:
+    """(block, part, data) with, for the distinct pairs of a block in order, their count in all training texts
+    and whether the block is the first to have them; with block -1, how many pairs occur once and twice."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
+                table, texts = _block(data.as_buffer())
+                _, _, edge, pairs, _, where = _pairs(texts)
+                count = np.bincount(where[_training(table, edge)], minlength=len(pairs))
+                part, found = zip(*_spread(pairs, [count], parts, PAIR_BITS))
+                yield _rows(["block", "part", "data"], [[block] * len(part), part, found])
+
+    def reduce(table: pa.Table) -> pa.Table:
+        blocks = table.column("block").to_numpy()
+        order = np.argsort(blocks)
+        found = [unpack(table.column("data")[int(k)].as_buffer()) for k in order]
+        size = np.array([int(f[1][0]) for f in found])
+        pairs = np.concatenate([unsqueeze(f[0], n) for f, n in zip(found, size)])
+        _, first, where = np.unique(pairs, return_index=True, return_inverse=True)
+        total = np.bincount(where, np.concatenate([f[2] for f in found])).astype(np.int64)
+        owner = np.zeros(len(pairs), bool)
+        owner[first] = True
+        edge = np.concatenate([[0], np.cumsum(size)])
+        out = [pack(tight(total[where[a:b]]), np.packbits(owner[a:b])) for a, b in zip(edge, edge[1:])]
+        part = table.column("part")[0].as_py()
+        out.append(pack(np.array([(total == 1).sum(), (total == 2).sum()])))
+        return pa.Table.from_batches([_rows(["block", "part", "data"], [[*blocks[order], -1], [part] * len(out), out])])
+
+    packed = blocks.select("block", "data").mapInArrow(tidy(rows), "block long, part int, data binary")
+    return packed.groupBy("part").applyInArrow(reduce, "block long, part int, data binary")
+
+
+def _replies(table: pa.Table, kind: int) -> list[list[np.ndarray]]:
+    """The packed replies of one kind to a block, by range."""
+    mine = sorted((p.as_py(), k) for k, (p, c) in enumerate(zip(table.column("part"), table.column("kind"))) if c.as_py() == kind)
+    return [unpack(table.column("data")[k].as_buffer()) for _, k in mine]
+
+
+def _counted(replies: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of a block's pairs, and which are its own."""
+    count = np.concatenate([r[0].astype(np.int64) for r in replies])
+    return count, np.concatenate([np.unpackbits(r[1], count=len(r[0])).astype(bool) for r in replies])
+
+
+def owned_pairs(blocks: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
+    """(block, kind, part, data) of the pairs that each block is the first to have, so of each pair once.
+
+    Kind 0, by range of word ids: pairs met once after each word and with each token, and those met more
+    often. Kind 1: the latter by (ids, their number, context, token, count), the middle two as places in ids.
+    """
 
-    joined = several.select("pair", "context", "token", "count").join(contexts.select(F.col("id").alias("context"), F.col("tables").alias("of_context")), "context")
-    joined = joined.join(odds.select(F.col("id").alias("token"), "log_odds"), "token")
-    return joined.select("pair", "context", "token", "count", "of_context", "log_odds").mapInArrow(tidy(rows), "pair long, context long, token long, count long, tables double")
+    def split(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = left.column("block")[0].as_py()
+        _, texts = _block(left.column("data")[0].as_buffer())
+        tokens, contexts, _, _, at, _ = _pairs(texts)
+        count, own = _counted(_replies(right, 0))
+        out = []
+        once, more = at[own & (count == 1)], at[own & (count > 1)]
+        ids = np.unique(np.concatenate([contexts[once], tokens[once], contexts[more], tokens[more]]))
+        sums = [np.bincount(np.searchsorted(ids, side[some]), minlength=len(ids)) for some in (once, more) for side in (contexts, tokens)]
+        out += [(0, part, data) for part, data in _spread(ids, sums, parts)]
+        ids = np.unique(np.concatenate([contexts[more], tokens[more]]))
+        if len(ids):
+            places = [np.searchsorted(ids, side[more]) for side in (contexts, tokens)]
+            out.append((1, 0, pack(squeeze(ids), np.array([len(ids)]), *[tight(x) for x in places], tight(count[own & (count > 1)]))))
+        kind, part, data = list(zip(*out)) if out else ([], [], [])
+        release()
+        return pa.Table.from_batches([_rows(["block", "kind", "part", "data"], [[block] * len(out), kind, part, data])])
 
+    replies = counts.where("block >= 0").select("block", F.lit(0).alias("kind"), "part", "data")
+    return blocks.select("block", "data").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(split, "block long, kind int, part int, data binary")
 
-def with_ids(counts: DataFrame) -> DataFrame:
-    """(id, word, seen) of word counts."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = _ids(raw_texts(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(ids)), *batch.columns], names=["id", "word", "seen"])
+def word_sums(packed: DataFrame, names: list[str]) -> DataFrame:
+    """(id, names) added up by id, from (part, data) rows."""
 
-    return counts.select("word", "count").mapInArrow(tidy(rows), "id long, word binary, seen long")
+    def reduce(table: pa.Table) -> pa.Table:
+        found = [unpack(d.as_buffer()) for d in table.column("data")]
+        ids, where = np.unique(np.concatenate([unsqueeze(f[0], int(f[1][0])) for f in found]), return_inverse=True)
+        sums = [np.bincount(where, np.concatenate([f[2 + k] for f in found])).astype(np.int64) for k in range(len(names))]
+        return pa.table({"id": signed(ids)} | dict(zip(names, sums)))
 
+    return packed.select("part", "data").groupBy("part").applyInArrow(reduce, "id long, " + ", ".join(f"{n} long" for n in names))
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, count) of all words of all texts, counting those of training texts only."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+def answers(asked: DataFrame, words: DataFrame, names: list[str]) -> DataFrame:
+    """(block, kind 1, part, data): the named columns of the words that (block, part, data) rows ask for, as
+    they are in the table; asking ids is in their order."""
+    kinds = [words.schema[n].dataType.simpleString() for n in names]
+
+    def reply(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = right.column("id").to_numpy().view(np.uint64)
+        order = np.argsort(ids)
+        ids = ids[order]
+        values = [right.column(n).to_numpy()[order] for n in names]
+        out = []
+        for block, data in zip(left.column("block").to_pylist(), left.column("data")):
+            planes, n = unpack(data.as_buffer())
+            at = np.searchsorted(ids, unsqueeze(planes, int(n[0])))
+            out.append((block, pack(*[tight(v[at]) if kind == "bigint" else v[at] for v, kind in zip(values, kinds)])))
+        blocks, data = list(zip(*out)) if out else ([], [])
+        part = left.column("part")[0].as_py() if out else 0
+        return pa.Table.from_batches([_rows(["block", "kind", "part", "data"], [blocks, [1] * len(out), [part] * len(out), data])])
+
+    return asked.groupBy("part").cogroup(words.select("part", "id", *names).groupBy("part")).applyInArrow(reply, "block long, kind int, part int, data binary")
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "count"])
 
+def _joined(replies: list[list[np.ndarray]]) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*replies)]
+
+
+def pair_seats(pairs: np.ndarray, context: np.ndarray, token: np.ndarray, count: np.ndarray, values: tuple[np.ndarray, np.ndarray], discount: float, number: int) -> np.ndarray:
+    """Tables of each pair in one round, from the round's (log_odds, tables) of the words that context and
+    token point to. Pairs met once have one table. Random numbers depend on the pair and the round alone:
+    whoever seats a pair seats it alike."""
+    log_odds, tables = values
+    out = np.minimum(count, 1).astype(np.float64)
+    some = np.flatnonzero(count > 1)
+    weight = (PAIR_STRENGTH + discount * tables[context[some]].astype(np.float64)) * 10.0 ** log_odds[token[some]].astype(np.float64)
+    out[some] = seat(count[some], weight, discount, mix(pairs[some], 91 + number))
+    return out
+
+
+def seat_pairs(owned: DataFrame, state: DataFrame, parts: int, discount: float, number: int) -> DataFrame:
+    """(id, context_now, token_now): tables of the pairs met more than once, by the word before and by the token.
+
+    Seated anew given the columns log_odds_N and tables_N of the words, N being the round's number.
+    """
+    several = owned.where("kind = 1").select("block", "data")
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for test, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
-                words = lower_ascii(text).split()
-                if test:
-                    for w in words:
-                        if w not in held:
-                            held[w] = 0
-                else:
-                    held.update(words)
-                    held[b""] += 1
-                if len(held) >= HELD_WORDS:
-                    yield out()
-                    held.clear()
-        yield out()
-        held.clear()
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
+                planes, size = unpack(data.as_buffer())[:2]
+                part, found = zip(*_spread(unsqueeze(planes, int(size[0])), [], parts))
+                yield _rows(["block", "part", "data"], [[block] * len(part), part, found])
 
-    texts = docs.select(_held_out().alias("held_out"), F.encode("text", "UTF-8").alias("text"))
-    return texts.mapInArrow(tidy(rows), "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    def seated(left: pa.Table, right: pa.Table) -> pa.Table:
+        planes, size, context, token, count = unpack(left.column("data")[0].as_buffer())
+        ids = unsqueeze(planes, int(size[0]))
+        tables = pair_seats(pair_keys(ids[context], ids[token]), context, token, count.astype(np.int64), _joined(_replies(right, 1)), discount, number)
+        sums = [np.bincount(side, tables, minlength=len(ids)).astype(np.int64) for side in (context, token)]
+        part, data = zip(*_spread(ids, sums, parts))
+        return pa.Table.from_batches([_rows(["part", "data"], [part, data])])
+
+    asked = several.mapInArrow(tidy(asking), "block long, part int, data binary")
+    reply = answers(asked, state, [f"log_odds_{number}", f"tables_{number}"])
+    return word_sums(several.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(seated, "part int, data binary"), ["context_now", "token_now"])
 
 
 def _windows(counts: DataFrame, context: int, sample=None) -> DataFrame:
@@ -411,22 +582,26 @@ def _windows(counts: DataFrame, context: int, sample=None) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = known = 0.0
-        for batch in batches:
-            words, count = raw_texts(batch.column(0)), batch.column(1).to_numpy()
+        for batch in merged(batches):
+            words, count = batch.column("word"), batch.column("count").to_numpy()
             windows, edge = word_windows(words, context)
+            names, where = np.unique(windows, return_inverse=True)
             if sample is None:
                 own = np.ones(len(words))
             else:
-                base = np.exp(batch.column(2).to_numpy()) if batch.num_columns > 2 else sample.value.base(words)
-                own = sample.value.seat(words, count, base, sample.value.tables)
+                if "log_base" in batch.schema.names:
+                    base = np.exp(batch.column("log_base").to_numpy())
+                else:
+                    logs = np.concatenate([[0.0], np.cumsum(sample.value.model.log_odds(names)[where])])
+                    base = np.exp(logs[edge[1:]] - logs[edge[:-1]])
+                own = sample.value.seat(batch.column("id").to_numpy().view(np.uint64), count, base)
                 known += base.sum()
             tables += own.sum()
-            names, where = np.unique(windows, return_inverse=True)
             customers = np.bincount(where, np.repeat(own, np.diff(edge)), minlength=len(names))
             yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(customers)], names=["window", "customers"])
         yield pa.RecordBatch.from_arrays([pa.array([-1, -2], pa.int64()), pa.array([tables, known])], names=["window", "customers"])
 
-    found = counts.where("count > 0").select("word", "count", *[c for c in counts.columns if c == "log_base"]).mapInArrow(tidy(rows), "window long, customers double")
+    found = counts.where("count > 0").select("id", "word", "count", *[c for c in counts.columns if c == "log_base"]).mapInArrow(tidy(rows), "window long, customers double")
     return found.groupBy("window").agg(F.sum("customers").alias("customers"))
 
 
@@ -464,10 +639,8 @@ def with_bases(counts: DataFrame, model: Blocks, name: str) -> DataFrame:
 
     def added(rows: DataFrame, shared) -> DataFrame:
         def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                windows, edge = word_windows(raw_texts(batch.column(0)), shared.value.context)
-                logs = np.concatenate([[0.0], np.cumsum(shared.value.log_odds(windows))])
-                total = batch.column(batch.num_columns - 1).to_numpy() + logs[edge[1:]] - logs[edge[:-1]]
+            for batch in merged(batches):
+                total = batch.column(batch.num_columns - 1).to_numpy() + log_spelling(shared.value, batch.column("word"))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total)], names=batch.schema.names)
 
         return rows.mapInArrow(tidy(one), rows.schema)
@@ -516,7 +689,7 @@ def fit(counts: DataFrame, rounds: int = ROUNDS) -> tuple[list[WordSample], int,
         for number in range(rounds):
             drawn = materialise(seat_blocks(windows, CONTEXT, blocks, top.predict(), SWEEPS * (number + 1)), "byte-tables")
             sample = WordSample(Blocks(drawn, blocks, top.predict(), CONTEXT), discount, n, number, tables)
-            based = with_bases(seen.select("word", "count"), sample.model, "log_base")
+            based = with_bases(seen.select("id", "word", "count"), sample.model, "log_base")
             windows = materialise(_windows(based, CONTEXT, spark.sparkContext.broadcast(replace(sample, model=None))), "windows")
             found = dict(windows.where("window < 0").select("window", "customers").collect())
             tables = found.get(-1, 0.0)
@@ -540,59 +713,82 @@ def fit(counts: DataFrame, rounds: int = ROUNDS) -> tuple[list[WordSample], int,
 
 
 def predictions(counts: DataFrame, samples: list[WordSample]) -> DataFrame:
-    """Word counts (word and count first) with log_odds and spelled: log10 of the averaged predictive
+    """Word counts (id, word, count and more) with log_odds and spelled: log10 of the averaged predictive
     probability of each word, where words that training texts lack are one event, and by their spelling."""
-    width = len(counts.columns)
+    columns = counts.columns
     for k, s in enumerate(samples):
         if isinstance(s.model, Blocks):
             counts = with_bases(counts, s.model, f"log_base_{k}")
     shared = counts.sparkSession.sparkContext.broadcast([replace(s, model=None) if isinstance(s.model, Blocks) else s for s in samples])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, count = raw_texts(batch.column(0)), batch.column(1).to_numpy()
-            total, spelled = 0.0, np.full(len(words), -np.inf)
+        for batch in merged(batches):
+            at = batch.schema.names.index
+            ids, count = batch.column(at("id")).to_numpy().view(np.uint64), batch.column(at("count")).to_numpy()
+            total, spelled = 0.0, np.full(len(ids), -np.inf)
             for k, s in enumerate(shared.value):
-                logs = s.log_base(words) if s.model else batch.column(width + k).to_numpy()
-                total = total + s.probabilities(words, count, np.exp(logs))
+                logs = log_spelling(s.model, batch.column(at("word"))) if s.model else batch.column(at(f"log_base_{k}")).to_numpy()
+                total = total + s.probabilities(ids, count, np.exp(logs))
                 spelled = np.logaddexp(spelled, logs + np.log(s.fresh))
             log_odds = np.log10(total / len(shared.value))
             spelled = np.where(count > 0, log_odds, (spelled - np.log(len(shared.value))) / np.log(10))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(log_odds), pa.array(spelled)], names=[*batch.schema.names[:width], "log_odds", "spelled"])
+            kept = [batch.column(at(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(log_odds.astype(np.float32)), pa.array(spelled.astype(np.float32))], names=[*columns, "log_odds", "spelled"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema[:width])
-    return counts.mapInArrow(tidy(rows), f"{fields}, log_odds double, spelled double")
+    fields = ", ".join(f"{c} {counts.schema[c].dataType.simpleString()}" for c in columns)
+    return counts.mapInArrow(tidy(rows), f"{fields}, log_odds float, spelled float")
 
 
-def fit_pairs(counts: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """The words with log_odds, spelled, seen (count in training texts) and tables (of the restaurant after
-    them), the pairs met more than once with their tables, and the discount of pairs.
+@dataclass
+class Fitted:
+    """The fitted model of a table of texts, all of it but the byte hierarchy distributed.
 
-    Pairs met once have one table. Seatings start from one table a pair; those of pairs are averaged.
+    words: (part, id, seen, log_odds, spelled, seated (tables of the restaurant after the word, added up over
+    the rounds), and log_odds_N and tables_N from which round N seated pairs).
     """
-    words = materialise(with_ids(counts), "word-ids")
-    discount = pair_discount(pairs)
-    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("id")) for c in ("context", "token")])).alias("s")
-    single = materialise(pairs.where("count = 1").select(sides).groupBy("s.side", "s.id").agg(F.count(F.lit(1)).alias("n")), "pairs-once")
-    several = pairs.where("count > 1").withColumn("tables", F.lit(1.0))
-    kept: list[DataFrame] = []
-    for number in range(PAIR_ROUNDS + 1):
-        customers = _tables_by("token", single, several).select("id", F.col("tables").cast("long").alias("count"))
-        eaten = words.join(customers, "id", "left").select("word", F.coalesce("count", F.lit(0)).alias("count"), "id", "seen")
-        eaten = materialise(eaten, "word-customers")
-        last = number == PAIR_ROUNDS
-        samples, _, _ = fit(eaten, ROUNDS if last else 1)
-        odds = predictions(eaten, samples)
-        if not last:
-            several = materialise(seat_pairs(several, _tables_by("context", single, several), odds.where("count > 0"), discount, number), "pairs-seated")
-            kept = [*kept, several][-KEPT:]
-    mean = kept[0]
-    for more in kept[1:]:
-        mean = mean.unionByName(more)
-    mean = mean.groupBy("pair", "context").agg(F.first("count").alias("count"), F.avg("tables").alias("tables"))
-    mean = materialise(mean, "pair-tables")
-    odds = materialise(odds.join(_tables_by("context", single, mean), "id", "left"), "word-odds")
-    return odds, mean, discount
+
+    blocks: DataFrame
+    words: DataFrame
+    counts: DataFrame
+    parts: int
+    discount: float
+    tokens: int
+    types: int
+
+    @property
+    def values(self) -> list[str]:
+        return ["seen", "log_odds", "spelled", "seated", *[f"{c}_{k}" for k in range(PAIR_ROUNDS) for c in ("log_odds", "tables")]]
+
+
+def fit_texts(docs: DataFrame) -> Fitted:
+    """Counts words and pairs, and seats them in turn. Seatings start from one table a pair."""
+    spark = docs.sparkSession
+    blocks = materialise(packed_texts(docs), "texts")
+    size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    words = materialise(word_counts(blocks, parts), "words")
+    n, types = words.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.count_if(F.col("seen") > 0)).first()
+    counts = materialise(pair_counts(blocks, parts), "pair-counts")
+    ones, twos = np.sum([[0, 0], *[unpack(bytes(r.data))[0] for r in counts.where("block = -1").select("data").collect()]], axis=0).tolist()  # two numbers a part
+    discount = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+    owned = materialise(owned_pairs(blocks, counts, parts), "pairs-owned")
+
+    def with_sums(rows: DataFrame, sums: DataFrame) -> DataFrame:
+        return rows.join(sums, "id", "left").na.fill(0, sums.columns[1:])
+
+    state = with_sums(words, word_sums(owned.where("kind = 0"), ["context_once", "token_once", "context_more", "token_more"]))
+    state = state.withColumns({"count": F.expr("token_once + token_more"), "tables": F.expr("context_once + context_more"), "seated": F.lit(0).cast("long")}).drop("context_more", "token_more")
+    state = materialise(state, "word-customers")
+    for number in range(PAIR_ROUNDS):
+        odds = predictions(state, fit(state, 1)[0]).drop("spelled")
+        state = materialise(odds.withColumnsRenamed({"log_odds": f"log_odds_{number}", "tables": f"tables_{number}"}), "word-odds")
+        state = with_sums(state, seat_pairs(owned, state, parts, discount, number))
+        state = state.withColumns({"count": F.expr("token_once + token_now"), "tables": F.expr("context_once + context_now"), "seated": F.expr("seated + context_once + context_now")})
+        state = materialise(state.drop("context_now", "token_now"), "word-customers")
+    out = Fitted(blocks, state, counts, parts, discount, n, types)
+    odds = predictions(state, fit(state)[0])
+    out.words = materialise(odds.select("part", "id", *out.values), "word-odds")
+    return out
 
 
 def language_scores(docs: DataFrame) -> DataFrame:
@@ -604,74 +800,46 @@ def language_scores(docs: DataFrame) -> DataFrame:
     text. Repeated rows count and score each. Without training texts base_score and score are 0, as all
     words are unseen.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    counts = materialise(word_counts(docs), "word-counts")
-    n, types = counts.where("count > 0").agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
-    pairs = materialise(pair_counts(docs), "pair-counts")
-    odds, several, discount = fit_pairs(counts, pairs)
-    blocks = max(1, -(-n * FOLDS // ((FOLDS - 1) * BLOCK_TOKENS)))
-
-    texts = docs.select("doc_id", _held_out().alias("held_out"), F.encode("text", "UTF-8").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
-    texts = texts.repartition(max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block")
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The words of each block (asked 0) and its pairs (asked 1)."""
-        held: dict[tuple[int, int], list[np.ndarray]] = {}
+    small_batches(docs.sparkSession)
+    model = fit_texts(docs)
+    n, discount, parts = model.tokens, model.discount, model.parts
+    unit = n + 0.5 * (model.types + 1)
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block, every = batch.column(0).to_numpy(), _lowered(batch.column(1))
-            for one in np.unique(block).tolist():
-                texts = [every[k] for k in np.flatnonzero(block == one)]
-                for a, b in pieces(texts):
-                    tokens, contexts, _ = text_tokens(texts[a:b])
-                    for asked, keys in enumerate((np.append(tokens, END), pair_keys(contexts, tokens))):
-                        held.setdefault((one, asked), []).append(np.unique(keys))
-                        if len(held[one, asked]) >= 8:
-                            held[one, asked] = [np.unique(np.concatenate(held[one, asked]))]
-        for (one, asked), keys in held.items():
-            keys = signed(np.unique(np.concatenate(keys)))
-            for k in range(0, len(keys), 500_000):
-                part = keys[k : k + 500_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), one, np.int32)), pa.array(np.full(len(part), asked, np.int32)), pa.array(part)], names=["block", "asked", "key"])
-
-    asked = materialise(texts.select("block", "text").mapInArrow(tidy(distinct), "block int, asked int, key long"), "asked")
-    of_word = odds.select(F.col("id").alias("key"), F.col("seen").alias("count"), F.coalesce("tables", F.lit(0.0)).alias("tables"), "log_odds", "spelled")
-    none = F.lit(0.0)
-    of_pair = several.select(F.col("pair").alias("key"), "count", "tables").unionByName(pairs.where("count = 1").select(F.col("pair").alias("key"), "count", F.lit(1.0).alias("tables")))
-    answers = asked.where("asked = 0").join(of_word, "key").unionByName(asked.where("asked = 1").join(of_pair, "key").withColumns({"log_odds": none, "spelled": none}))
-    answers = answers.select("block", "asked", "key", "count", "tables", "log_odds", "spelled")
-    unit = n + 0.5 * (types + 1)
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
+                tokens, _, _ = text_tokens(_block(data.as_buffer())[1])
+                part, found = zip(*_spread(np.unique(np.append(tokens, END)), [], parts))
+                yield _rows(["block", "part", "data"], [[block] * len(part), part, found])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind = right.column("asked").to_numpy()
-        table = []
-        for asked, names in enumerate((("count", "tables", "log_odds", "spelled"), ("count", "tables"))):
-            mine = np.flatnonzero(kind == asked)
-            keys = right.column("key").to_numpy()[mine].view(np.uint64)
-            order = np.argsort(keys)
-            table.append((keys[order], [right.column(c).to_numpy()[mine[order]].astype(float) for c in names]))
-        (words, (seen, of_context, log_odds, spelled)), (known_pairs, (pair_count, pair_tables)) = table
-        every, out = _lowered(left.column("text").combine_chunks()), []
-        for a, b in pieces(every):
-            tokens, contexts, edge = text_tokens(every[a:b])
-            at, before = np.searchsorted(words, tokens), np.searchsorted(words, contexts)
-            pair, met = _find(known_pairs, pair_keys(contexts, tokens))
-            own = np.where(met, pair_count[pair] - discount * pair_tables[pair], 0.0) if len(known_pairs) else np.zeros(len(tokens))
-            new, total = PAIR_STRENGTH + discount * of_context[before], PAIR_STRENGTH + seen[before]
-            known = seen[at] > 0
-            model = np.log10((own + new * 10.0 ** log_odds[at]) / total)
-            by_bytes = np.where(known, model, np.log10(new / total) + spelled[at])
-            values = np.stack([known, np.log10((seen[at] + 0.5) / unit), model, by_bytes])
-            out.append(np.vstack([np.diff(edge), np.add.reduceat(values, edge[:-1], axis=1)]))
-        size, known, base, model, by_bytes = np.concatenate(out, axis=1) if out else np.zeros((5, 0))
-        del table, words, known_pairs
+        table, texts = _block(left.column("data")[0].as_buffer())
+        tokens, contexts, edge, pairs, at, where = _pairs(texts)
+        ids = np.unique(np.append(tokens, END))
+        token, context = np.searchsorted(ids, tokens), np.searchsorted(ids, contexts)
+        seen, log_odds, spelled, seated, *rounds = _joined(_replies(right, 1))
+        count, _ = _counted(_replies(right, 0))
+        tables = np.zeros(len(pairs))
+        for k in range(PAIR_ROUNDS):
+            tables += pair_seats(pairs, context[at], token[at], count, (rounds[2 * k], rounds[2 * k + 1]), discount, k)
+        seen, log_odds, spelled = (x.astype(np.float64) for x in (seen, log_odds, spelled))
+        new, total = PAIR_STRENGTH + discount / PAIR_ROUNDS * seated.astype(np.float64), PAIR_STRENGTH + seen
+        own = (count - discount / PAIR_ROUNDS * tables)[where]
+        model_ = np.log10((own + new[context] * 10.0 ** log_odds[token]) / total[context])
+        known = seen[token] > 0
+        by_bytes = np.where(known, model_, np.log10(new / total)[context] + spelled[token])
+        values = np.stack([known, np.log10((seen + 0.5) / unit)[token], model_, by_bytes])
+        n_known, base, model_, by_bytes = np.add.reduceat(values, edge[:-1], axis=1)
+        size = np.diff(edge)
         release()
         return pa.table({
-            "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(size.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(size), n, dtype=np.int64)), "base_score": pa.array(base), "score": pa.array(model), "spelled_score": pa.array(by_bytes),
+            "doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array(size.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)),
+            "train_tokens": pa.array(np.full(len(size), n, dtype=np.int64)), "base_score": pa.array(base), "score": pa.array(model_), "spelled_score": pa.array(by_bytes),
             "perplexity": pa.array(10.0 ** (-by_bytes / np.maximum(size, 1))),
         })
 
+    asked = model.blocks.select("block", "data").mapInArrow(tidy(asking), "block long, part int, data binary")
+    told = answers(asked, model.words, model.values).unionByName(model.counts.where("block >= 0").select("block", F.lit(0).alias("kind"), "part", "data"))
     ident = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {ident}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double, perplexity double"
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
+    return model.blocks.select("block", "data").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema)

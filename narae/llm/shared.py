@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -106,6 +107,78 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+# ---------------------------------------------------------------------------------------------
+# Packed exchange: what a block of texts asks of a range of keys travels as one row.
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Plain arrays as one compressed value."""
+    head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)) for a in arrays)
+    raw = head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    return struct.pack("<Q", len(raw)) + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    size = struct.unpack_from("<Q", data)[0]
+    raw = pa.decompress(data[8:], size, "zstd", asbytes=True)
+    at, out = 1 + 10 * raw[0], []
+    for k in range(raw[0]):
+        kind, n = struct.unpack_from("<2sQ", raw, 1 + 10 * k)
+        out.append(np.frombuffer(raw, np.dtype("<" + kind.decode()), n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def tight(values: np.ndarray) -> np.ndarray:
+    """Counts in the narrowest type that holds them."""
+    most = int(values.max(initial=0))
+    return values.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+
+
+def squeeze(keys: np.ndarray) -> np.ndarray:
+    """Sorted 64-bit keys as the byte planes of their differences."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    width = (int(steps.max(initial=0)).bit_length() + 7) // 8
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T).ravel()
+
+
+def unsqueeze(planes: np.ndarray, n: int) -> np.ndarray:
+    steps = np.zeros((n, 8), np.uint8)
+    if n:
+        steps[:, : len(planes) // n] = planes.reshape(-1, n).T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def range_bounds(parts: int, bits: int = 64) -> np.ndarray:
+    """The least keys of all ranges but the first."""
+    return np.array([-(-(k << bits) // parts) for k in range(1, parts)], dtype=np.uint64)
+
+
+def range_cuts(keys: np.ndarray, parts: int, bits: int = 64) -> list[tuple[int, int, int]]:
+    """(range, begin, end) of the ranges that sorted keys fall into."""
+    at = [0, *np.searchsorted(keys, range_bounds(parts, bits)).tolist(), len(keys)]
+    return [(k, a, b) for k, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+
+
+def merged(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Batches of some ``rows`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def byte_slices(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of all slices, one after another."""
+    skip = np.cumsum(size) - size
+    return buf[np.arange(int(size.sum())) + np.repeat(begin - skip, size)]
+
+
 #: Bytes of text that numpy steps take at once (a longer text is taken alone).
 PIECE = 4 << 20
 #: Identifiers that are broadcast at most; beyond that they are joined by a shuffle.

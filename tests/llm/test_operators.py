@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from narae.llm import decontaminate, jaccard, matroska, mixing, oracles, pitman_yor, quality, queries, secrets, substring, tokens, warc
+from narae.llm import decontaminate, jaccard, matroska, mixing, oracles, pitman_yor, quality, queries, secrets, shared, substring, tokens, warc
 from narae.llm.components import components
 from oracle import assert_same, database, rows_of
 
@@ -203,14 +203,34 @@ def test_order_of_words_counts(spark):
     out = by_id(pitman_yor.language_scores(docs(spark, rows)))
     assert abs(out[tests[0]].base_score - out[tests[1]].base_score) < 1e-6
     assert out[tests[0]].score > out[tests[1]].score + 10
-    counts, pairs = pitman_yor.word_counts(docs(spark, rows)), pitman_yor.pair_counts(docs(spark, rows))
-    odds, several, discount = pitman_yor.fit_pairs(counts, pairs)
+    # What is left of one after a word is spread over single words: all pairs after it, seated as scoring seats them.
+    model = pitman_yor.fit_texts(docs(spark, rows))
+    words = {np.uint64(r.id % 2**64): r for r in model.words.collect()}
+    pairs = Counter()
+    for i, t, _ in rows:
+        if i not in tests:
+            tokens, before, _ = pitman_yor.text_tokens([t.encode()])
+            pairs.update(zip(before.tolist(), tokens.tolist()))
     own, tables = Counter(), Counter()
-    for r in pairs.where("count = 1").collect() + several.collect():
-        own[r.context] += r["count"]
-        tables[r.context] += r["tables"] if "tables" in r else 1
-    known = {r.id: r for r in odds.collect()}  # what is left of one after a word is spread over single words
-    assert all(known[u].seen == own[u] and abs(known[u].tables - tables[u]) < 1e-6 for u in own) and 0 < discount < 1
+    for (u, w), count in pairs.items():
+        own[u] += count
+        for k in range(pitman_yor.PAIR_ROUNDS):
+            values = (np.array([words[w][f"log_odds_{k}"]], np.float32), np.array([words[u][f"tables_{k}"]]))
+            zero = np.zeros(1, int)
+            tables[u] += pitman_yor.pair_seats(pitman_yor.pair_keys(np.array([u], np.uint64), np.array([w], np.uint64)), zero, zero, np.array([count]), values, model.discount, k)[0]
+    assert all(words[u].seen == own[u] and words[u].seated == tables[u] for u in own) and 0 < model.discount < 1
+    assert min(pairs.values()) == 1 and max(pairs.values()) > 5
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=50), st.integers(1, 9))
+@settings(max_examples=60, deadline=None)
+def test_packed_keys(keys, parts):
+    keys = np.unique(np.array(keys, dtype=np.uint64))
+    assert (shared.unsqueeze(shared.squeeze(keys), len(keys)) == keys).all()
+    cuts = shared.range_cuts(keys, parts)
+    assert sum(b - a for _, a, b in cuts) == len(keys) and all(int(k) * parts >> 64 == p for p, a, b in cuts for k in keys[a:b])
+    back = shared.unpack(shared.pack(keys, shared.tight(np.arange(300)), np.zeros(0)))
+    assert (back[0] == keys).all() and back[1].dtype == np.uint16 and len(back[2]) == 0
 
 
 def test_unseen_words_are_told_by_their_bytes(spark):
@@ -230,7 +250,7 @@ def test_unseen_words_are_told_by_their_bytes(spark):
 
 def test_word_probabilities_sum_to_one(spark):
     rows = [(k, " ".join(f"a{j % (k + 1)}b" for j in range(40)), "a") for k in range(40)]
-    counts = pitman_yor.word_counts(docs(spark, rows)).cache()
+    counts = pitman_yor.word_counts(pitman_yor.packed_texts(docs(spark, rows)), 3).withColumn("count", F.col("seen")).cache()
     samples, n, types = pitman_yor.fit(counts)
     odds = pitman_yor.predictions(counts, samples).where("count > 0").collect()
     unseen = np.mean([s.unseen for s in samples])
@@ -240,13 +260,13 @@ def test_word_probabilities_sum_to_one(spark):
 def test_long_contexts_of_many_windows(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(k, " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(20)), "a") for k in range(60)]
-    counts = pitman_yor.word_counts(docs(spark, rows)).cache()
+    counts = pitman_yor.word_counts(pitman_yor.packed_texts(docs(spark, rows)), 3).withColumn("count", F.col("seen")).cache()
     one, n, types = pitman_yor.fit(counts)
-    whole = {r.word: r for r in pitman_yor.predictions(counts, one).collect()}
+    whole = {bytes(r.word): r for r in pitman_yor.predictions(counts, one).collect()}
     monkeypatch.setattr(pitman_yor, "MOST_WINDOWS", 800)
     samples, n, types = pitman_yor.fit(counts)
     assert all(s.model.context == pitman_yor.CONTEXT and s.model.blocks > 2 for s in samples)
-    odds = {r.word: r for r in pitman_yor.predictions(counts, samples).collect()}
+    odds = {bytes(r.word): r for r in pitman_yor.predictions(counts, samples).collect()}
     seen = [r for r in odds.values() if r["count"] > 0]
     assert len(seen) == types and abs(sum(10**r.log_odds for r in seen) + np.mean([s.unseen for s in samples]) - 1) < 1e-6
     assert odds.keys() == whole.keys() and np.mean([abs(odds[w].spelled - whole[w].spelled) for w in odds]) < 0.2
