@@ -2,7 +2,7 @@
 
 The folder is ``spark.checkpoint.dir`` as the session has it. Where that setting is absent, a session on a
 cluster uses a folder below its warehouse, which is shared as well; a local session uses one of its own.
-The session's settings are never changed.
+The session's settings stay as they are.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+#: Removes an execution's shuffle files at its end; set only while a table is written.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _base(spark: SparkSession) -> str:
@@ -54,7 +56,14 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it from there.
 
     Cuts the lineage: lost executors only cost a re-read, never a recomputation of what came before.
+    The write's own shuffle files go with it, as nothing reads them again.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
