@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narae.llm.shared import (
-    byte_slices, join_texts, lower_ascii, materialise, merged, mix, pack, range_cuts, raw_texts, release, signed, small_batches, squeeze, tidy, tight, unpack, unsqueeze, word_bounds, word_hashes,
+    byte_slices, discard, grouped, join_texts, lower_ascii, materialise, merged, mix, pack, range_cuts, raw_texts, release, signed, small_batches, squeeze, tidy, tight, unpack, unsqueeze, word_bounds, word_hashes,
 )
 
 FOLDS, HELD_OUT = 5, 1
@@ -39,8 +39,8 @@ FOLDS, HELD_OUT = 5, 1
 CONTEXT, MOST_WINDOWS = 4, 2_000_000
 #: Bytes of context that blocks of the hierarchy share.
 SPLIT = 2
-#: Rounds of sampling (the words' seating, then SWEEPS of the bytes'), of which the last KEPT are averaged.
-ROUNDS, SWEEPS, KEPT = 3, 3, 2
+#: Sweeps of the bytes' seating for each of the words', and samples that are averaged at the end.
+SWEEPS, KEPT = 3, 2
 #: Concentration of byte and word restaurants.
 BYTE_STRENGTH, WORD_STRENGTH = 1.0, 10.0
 #: Concentration of the restaurants after a word, and how often their customers are seated anew.
@@ -51,6 +51,8 @@ END = mix(np.zeros(1, dtype=np.uint64))[0]
 EVEN = 1.0 / 251
 #: Customers of a dish that are seated one by one.
 ONE_BY_ONE = 48
+#: Pairs are seated by word probabilities to so many steps of a log10.
+STEPS = 512
 #: Bits of the hash that stands for a pair.
 PAIR_BITS = 56
 #: Bytes of text of a block, and for each range of words and pairs.
@@ -391,7 +393,7 @@ def word_counts(blocks: DataFrame, parts: int) -> DataFrame:
                 table, texts = _block(data.as_buffer())
                 buf, starts = join_texts(texts)
                 begin, end, first = word_bounds(buf, starts)
-                ids, at, where = np.unique(word_hashes(buf, begin, end), return_index=True, return_inverse=True)
+                ids, at, where = grouped(word_hashes(buf, begin, end))
                 training = _training(table, first)
                 count = np.bincount(where[training], minlength=len(ids))
                 size = (end - begin)[at]
@@ -405,7 +407,7 @@ def word_counts(blocks: DataFrame, parts: int) -> DataFrame:
         ids = np.concatenate([unsqueeze(f[1], int(f[0][0])) for f in found])
         count, size, data = (np.concatenate([f[k] for f in found]) for k in (2, 3, 4))
         size = size.astype(np.int64)
-        ids, at, where = np.unique(ids, return_index=True, return_inverse=True)
+        ids, at, where = grouped(ids)
         offsets = np.concatenate([[0], np.cumsum(size[at])])
         chars = byte_slices(data, (np.cumsum(size) - size)[at], size[at])
         words = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(chars)])
@@ -416,11 +418,25 @@ def word_counts(blocks: DataFrame, parts: int) -> DataFrame:
     return packed.groupBy("part").applyInArrow(reduce, "part int, id long, word binary, seen long")
 
 
-def _pairs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Tokens, the tokens before, each text's begin; distinct pairs, a place of each, and the pair of each token."""
+@dataclass
+class Grouped:
+    """Distinct words and pairs of a block: ids, the places in ids of each token and of the one before, each
+    text's begin; pairs, a token at which each ends, and the pair that ends at each token."""
+
+    ids: np.ndarray
+    token: np.ndarray
+    context: np.ndarray
+    edge: np.ndarray
+    pairs: np.ndarray
+    at: np.ndarray
+    where: np.ndarray
+
+
+def _grouped(texts: list[bytes]) -> Grouped:
     tokens, contexts, edge = text_tokens(texts)
-    pairs, at, where = np.unique(pair_keys(contexts, tokens), return_index=True, return_inverse=True)
-    return tokens, contexts, edge, pairs, at, where
+    ids, _, token = grouped(tokens)  # the end is among them
+    context = np.concatenate([[np.searchsorted(ids, END)], token[:-1]])
+    return Grouped(ids, token, context, edge, *grouped(pair_keys(contexts, tokens)))
 
 
 def pair_counts(blocks: DataFrame, parts: int) -> DataFrame:
@@ -431,7 +447,8 @@ def pair_counts(blocks: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
                 table, texts = _block(data.as_buffer())
-                _, _, edge, pairs, _, where = _pairs(texts)
+                tokens, contexts, edge = text_tokens(texts)
+                pairs, _, where = grouped(pair_keys(contexts, tokens))
                 count = np.bincount(where[_training(table, edge)], minlength=len(pairs))
                 part, found = zip(*_spread(pairs, [count], parts, PAIR_BITS))
                 yield _rows(["block", "part", "data"], [[block] * len(part), part, found])
@@ -478,17 +495,18 @@ def owned_pairs(blocks: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
     def split(left: pa.Table, right: pa.Table) -> pa.Table:
         block = left.column("block")[0].as_py()
         _, texts = _block(left.column("data")[0].as_buffer())
-        tokens, contexts, _, _, at, _ = _pairs(texts)
-        count, own = _counted(_replies(right, 0))
-        out = []
-        once, more = at[own & (count == 1)], at[own & (count > 1)]
-        ids = np.unique(np.concatenate([contexts[once], tokens[once], contexts[more], tokens[more]]))
-        sums = [np.bincount(np.searchsorted(ids, side[some]), minlength=len(ids)) for some in (once, more) for side in (contexts, tokens)]
-        out += [(0, part, data) for part, data in _spread(ids, sums, parts)]
-        ids = np.unique(np.concatenate([contexts[more], tokens[more]]))
-        if len(ids):
-            places = [np.searchsorted(ids, side[more]) for side in (contexts, tokens)]
-            out.append((1, 0, pack(squeeze(ids), np.array([len(ids)]), *[tight(x) for x in places], tight(count[own & (count > 1)]))))
+        own = _grouped(texts)
+        count, first = _counted(_replies(right, 0))
+        sides = (own.context, own.token)
+        sums = [np.bincount(side[own.at[first & some]], minlength=len(own.ids)) for some in (count == 1, count > 1) for side in sides]
+        met = np.flatnonzero(np.any(sums, axis=0))
+        out = [(0, part, data) for part, data in _spread(own.ids[met], [x[met] for x in sums], parts)]
+        more = np.flatnonzero(first & (count > 1))
+        if len(more):
+            met = np.flatnonzero(sums[2] + sums[3])
+            place = np.zeros(len(own.ids), np.int64)
+            place[met] = np.arange(len(met))
+            out.append((1, 0, pack(squeeze(own.ids[met]), np.array([len(met)]), *[tight(place[side[own.at[more]]]) for side in sides], tight(count[more]))))
         kind, part, data = list(zip(*out)) if out else ([], [], [])
         release()
         return pa.Table.from_batches([_rows(["block", "kind", "part", "data"], [[block] * len(out), kind, part, data])])
@@ -536,13 +554,13 @@ def _joined(replies: list[list[np.ndarray]]) -> list[np.ndarray]:
 
 
 def pair_seats(pairs: np.ndarray, context: np.ndarray, token: np.ndarray, count: np.ndarray, values: tuple[np.ndarray, np.ndarray], discount: float, number: int) -> np.ndarray:
-    """Tables of each pair in one round, from the round's (log_odds, tables) of the words that context and
-    token point to. Pairs met once have one table. Random numbers depend on the pair and the round alone:
+    """Tables of each pair in one round, from the round's (odds, tables) of the words that context and token
+    point to; odds are in 1/STEPS of a negative log10. Pairs met once have one table. Random numbers depend on the pair and the round alone:
     whoever seats a pair seats it alike."""
-    log_odds, tables = values
+    odds, tables = values
     out = np.minimum(count, 1).astype(np.float64)
     some = np.flatnonzero(count > 1)
-    weight = (PAIR_STRENGTH + discount * tables[context[some]].astype(np.float64)) * 10.0 ** log_odds[token[some]].astype(np.float64)
+    weight = (PAIR_STRENGTH + discount * tables[context[some]].astype(np.float64)) * 10.0 ** (odds[token[some]] / -STEPS)
     out[some] = seat(count[some], weight, discount, mix(pairs[some], 91 + number))
     return out
 
@@ -550,7 +568,7 @@ def pair_seats(pairs: np.ndarray, context: np.ndarray, token: np.ndarray, count:
 def seat_pairs(owned: DataFrame, state: DataFrame, parts: int, discount: float, number: int) -> DataFrame:
     """(id, context_now, token_now): tables of the pairs met more than once, by the word before and by the token.
 
-    Seated anew given the columns log_odds_N and tables_N of the words, N being the round's number.
+    Seated anew given the columns odds_N and tables_N of the words, N being the round's number.
     """
     several = owned.where("kind = 1").select("block", "data")
 
@@ -570,7 +588,7 @@ def seat_pairs(owned: DataFrame, state: DataFrame, parts: int, discount: float,
         return pa.Table.from_batches([_rows(["part", "data"], [part, data])])
 
     asked = several.mapInArrow(tidy(asking), "block long, part int, data binary")
-    reply = answers(asked, state, [f"log_odds_{number}", f"tables_{number}"])
+    reply = answers(asked, state, [f"odds_{number}", f"tables_{number}"])
     return word_sums(several.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(seated, "part int, data binary"), ["context_now", "token_now"])
 
 
@@ -673,43 +691,50 @@ def _gathered(windows: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]
     return keys[order].astype(np.uint64), np.round(customers[order]), float(customers[keys == -1].sum()), float(customers[keys == -2].sum())
 
 
-def fit(counts: DataFrame, rounds: int = ROUNDS) -> tuple[list[WordSample], int, int]:
-    """Samples of the model of single words, its customers and the distinct training words."""
-    spark = counts.sparkSession
-    seen = counts.where("count > 0")
-    n, types, ones, twos = seen.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("count") == 1), F.count_if(F.col("count") == 2)).first()
-    discount = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
-    first = materialise(_windows(counts, CONTEXT), "windows")
-    blocks = max(1, -(-first.count() // MOST_WINDOWS))
-    samples: list[WordSample] = []
-    if blocks > 1:
-        lower = first.where("window >= 0").select(F.shiftright("window", 8 * (CONTEXT - SPLIT)).alias("key")).distinct()
-        top = _top(lower.groupBy(F.shiftright("key", 8).alias("key")).agg(F.count(F.lit(1)).cast("double").alias("value")))
-        windows, tables = first, float(types)
-        for number in range(rounds):
-            drawn = materialise(seat_blocks(windows, CONTEXT, blocks, top.predict(), SWEEPS * (number + 1)), "byte-tables")
-            sample = WordSample(Blocks(drawn, blocks, top.predict(), CONTEXT), discount, n, number, tables)
+class Words:
+    """The sampler of the restaurant of words and of the byte hierarchy below it; the seating of bytes is kept
+    from sample to sample, and so are discounts. Samples may differ in the customers of the words, not in
+    which words have any."""
+
+    def __init__(self, counts: DataFrame):
+        first = materialise(_windows(counts, CONTEXT), "windows")
+        self.blocks = max(1, -(-first.count() // MOST_WINDOWS))
+        self.samples: list[WordSample] = []
+        self.discount = 0.0
+        if self.blocks > 1:
+            lower = first.where("window >= 0").select(F.shiftright("window", 8 * (CONTEXT - SPLIT)).alias("key")).distinct()
+            self.top = _top(lower.groupBy(F.shiftright("key", 8).alias("key")).agg(F.count(F.lit(1)).cast("double").alias("value")))
+            self.windows = first
+            self.tables = float(counts.where("count > 0").count())
+        else:
+            keys, customers, self.tables, _ = _gathered(first)
+            self.restaurants = ByteRestaurants(CONTEXT, keys, customers)  # all samples meet the same windows
+
+    def sample(self, counts: DataFrame) -> WordSample:
+        """Another sample, given the words' customers."""
+        spark = counts.sparkSession
+        seen = counts.where("count > 0")
+        n, ones, twos = seen.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") == 1), F.count_if(F.col("count") == 2)).first()
+        discount = self.discount or (min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5)
+        number = len(self.samples)
+        if self.blocks > 1:
+            drawn = materialise(seat_blocks(self.windows, CONTEXT, self.blocks, self.top.predict(), SWEEPS * (number + 1)), "byte-tables")
+            sample = WordSample(Blocks(drawn, self.blocks, self.top.predict(), CONTEXT), discount, n, number, self.tables)
             based = with_bases(seen.select("id", "word", "count"), sample.model, "log_base")
-            windows = materialise(_windows(based, CONTEXT, spark.sparkContext.broadcast(replace(sample, model=None))), "windows")
-            found = dict(windows.where("window < 0").select("window", "customers").collect())
-            tables = found.get(-1, 0.0)
-            sample.settle(tables, found.get(-2, 0.0), ones)
-            discount = sample.taken
-            samples.append(sample)
-            top = _top(drawn.where("kind = 2").groupBy("key").agg(F.sum("value").alias("value")))
-        return samples[-KEPT:], n, types
-    keys, customers, tables, _ = _gathered(first)
-    restaurants = ByteRestaurants(CONTEXT, keys, customers)  # all passes meet the same windows
-    for number in range(rounds):
-        for sweep in range(SWEEPS):
-            restaurants.sweep(number * SWEEPS + sweep)
-        sample = WordSample(restaurants.predict(), discount, n, number, tables)
-        _, customers, tables, known = _gathered(_windows(counts, CONTEXT, spark.sparkContext.broadcast(sample)))
-        sample.settle(tables, known, ones)
-        discount = sample.taken
-        samples.append(sample)
-        restaurants.seats(customers)
-    return samples[-KEPT:], n, types
+            self.windows = materialise(_windows(based, CONTEXT, spark.sparkContext.broadcast(replace(sample, model=None))), "windows")
+            found = dict(self.windows.where("window < 0").select("window", "customers").collect())
+            self.tables, known = found.get(-1, 0.0), found.get(-2, 0.0)
+            self.top = _top(drawn.where("kind = 2").groupBy("key").agg(F.sum("value").alias("value")))
+        else:
+            for sweep in range(SWEEPS):
+                self.restaurants.sweep(number * SWEEPS + sweep)
+            sample = WordSample(self.restaurants.predict(), discount, n, number, self.tables)
+            _, customers, self.tables, known = _gathered(_windows(counts, CONTEXT, spark.sparkContext.broadcast(sample)))
+            self.restaurants.seats(customers)
+        sample.settle(self.tables, known, ones)
+        self.discount = sample.taken
+        self.samples.append(sample)
+        return sample
 
 
 def predictions(counts: DataFrame, samples: list[WordSample]) -> DataFrame:
@@ -744,7 +769,7 @@ class Fitted:
     """The fitted model of a table of texts, all of it but the byte hierarchy distributed.
 
     words: (part, id, seen, log_odds, spelled, seated (tables of the restaurant after the word, added up over
-    the rounds), and log_odds_N and tables_N from which round N seated pairs).
+    the rounds), and odds_N and tables_N from which round N seated pairs). ``spelled`` is 0 where a word is seen.
     """
 
     blocks: DataFrame
@@ -757,7 +782,7 @@ class Fitted:
 
     @property
     def values(self) -> list[str]:
-        return ["seen", "log_odds", "spelled", "seated", *[f"{c}_{k}" for k in range(PAIR_ROUNDS) for c in ("log_odds", "tables")]]
+        return ["seen", "log_odds", "spelled", "seated", *[f"{c}_{k}" for k in range(PAIR_ROUNDS) for c in ("odds", "tables")]]
 
 
 def fit_texts(docs: DataFrame) -> Fitted:
@@ -779,15 +804,24 @@ def fit_texts(docs: DataFrame) -> Fitted:
     state = with_sums(words, word_sums(owned.where("kind = 0"), ["context_once", "token_once", "context_more", "token_more"]))
     state = state.withColumns({"count": F.expr("token_once + token_more"), "tables": F.expr("context_once + context_more"), "seated": F.lit(0).cast("long")}).drop("context_more", "token_more")
     state = materialise(state, "word-customers")
+    discard(words)
+    words = Words(state)
     for number in range(PAIR_ROUNDS):
-        odds = predictions(state, fit(state, 1)[0]).drop("spelled")
-        state = materialise(odds.withColumnsRenamed({"log_odds": f"log_odds_{number}", "tables": f"tables_{number}"}), "word-odds")
-        state = with_sums(state, seat_pairs(owned, state, parts, discount, number))
-        state = state.withColumns({"count": F.expr("token_once + token_now"), "tables": F.expr("context_once + context_now"), "seated": F.expr("seated + context_once + context_now")})
+        words.sample(state)
+        odds = predictions(state, words.samples[-1:])
+        odds = odds.withColumn(f"odds_{number}", F.round(F.col("log_odds") * -STEPS).cast("long")).withColumnRenamed("tables", f"tables_{number}").drop("log_odds", "spelled")
+        odds, before = materialise(odds, "word-odds"), state
+        sums = seat_pairs(owned, odds, parts, discount, number)
+        state = with_sums(odds, sums).withColumns({"count": F.expr("token_once + token_now"), "tables": F.expr("context_once + context_now"), "seated": F.expr("seated + context_once + context_now")})
         state = materialise(state.drop("context_now", "token_now"), "word-customers")
+        discard(before, odds)
+    discard(owned)
+    for _ in range(KEPT):
+        words.sample(state)
+    odds = predictions(state, words.samples[-KEPT:]).withColumn("spelled", F.expr("if(seen > 0, cast(0 as float), spelled)"))
     out = Fitted(blocks, state, counts, parts, discount, n, types)
-    odds = predictions(state, fit(state)[0])
     out.words = materialise(odds.select("part", "id", *out.values), "word-odds")
+    discard(state)
     return out
 
 
@@ -809,28 +843,28 @@ def language_scores(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
                 tokens, _, _ = text_tokens(_block(data.as_buffer())[1])
-                part, found = zip(*_spread(np.unique(np.append(tokens, END)), [], parts))
+                part, found = zip(*_spread(np.unique(tokens), [], parts))
                 yield _rows(["block", "part", "data"], [[block] * len(part), part, found])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         table, texts = _block(left.column("data")[0].as_buffer())
-        tokens, contexts, edge, pairs, at, where = _pairs(texts)
-        ids = np.unique(np.append(tokens, END))
-        token, context = np.searchsorted(ids, tokens), np.searchsorted(ids, contexts)
+        mine = _grouped(texts)
         seen, log_odds, spelled, seated, *rounds = _joined(_replies(right, 1))
         count, _ = _counted(_replies(right, 0))
-        tables = np.zeros(len(pairs))
+        tables = np.zeros(len(count))
         for k in range(PAIR_ROUNDS):
-            tables += pair_seats(pairs, context[at], token[at], count, (rounds[2 * k], rounds[2 * k + 1]), discount, k)
+            tables += pair_seats(mine.pairs, mine.context[mine.at], mine.token[mine.at], count, rounds[2 * k : 2 * k + 2], discount, k)
         seen, log_odds, spelled = (x.astype(np.float64) for x in (seen, log_odds, spelled))
         new, total = PAIR_STRENGTH + discount / PAIR_ROUNDS * seated.astype(np.float64), PAIR_STRENGTH + seen
-        own = (count - discount / PAIR_ROUNDS * tables)[where]
-        model_ = np.log10((own + new[context] * 10.0 ** log_odds[token]) / total[context])
-        known = seen[token] > 0
-        by_bytes = np.where(known, model_, np.log10(new / total)[context] + spelled[token])
-        values = np.stack([known, np.log10((seen + 0.5) / unit)[token], model_, by_bytes])
-        n_known, base, model_, by_bytes = np.add.reduceat(values, edge[:-1], axis=1)
-        size = np.diff(edge)
+        own = (count - discount / PAIR_ROUNDS * tables)[mine.where]
+        model_ = np.log10((own + new[mine.context] * (10.0**log_odds)[mine.token]) / total[mine.context])
+        known = seen > 0
+        by_bytes = model_.copy()
+        unseen = np.flatnonzero(~known[mine.token])
+        by_bytes[unseen] = np.log10(new / total)[mine.context[unseen]] + spelled[mine.token[unseen]]
+        values = (known.astype(np.float64)[mine.token], np.log10((seen + 0.5) / unit)[mine.token], model_, by_bytes)
+        n_known, base, model_, by_bytes = (np.add.reduceat(v, mine.edge[:-1]) for v in values)
+        size = np.diff(mine.edge)
         release()
         return pa.table({
             "doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array(size.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)),

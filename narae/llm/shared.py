@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narae.session import materialise, scratch_path  # noqa: F401
+from narae.session import discard, materialise, scratch_path  # noqa: F401
 
 #: Words of most operators: runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -112,9 +112,9 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Plain arrays as one compressed value."""
+    """Plain arrays as one compressed value, each by the planes of its bytes."""
     head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)) for a in arrays)
-    raw = head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    raw = head + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays)
     return struct.pack("<Q", len(raw)) + pa.compress(raw, "zstd", asbytes=True)
 
 
@@ -124,8 +124,10 @@ def unpack(data: bytes) -> list[np.ndarray]:
     at, out = 1 + 10 * raw[0], []
     for k in range(raw[0]):
         kind, n = struct.unpack_from("<2sQ", raw, 1 + 10 * k)
-        out.append(np.frombuffer(raw, np.dtype("<" + kind.decode()), n, at))
-        at += out[-1].nbytes
+        form = np.dtype("<" + kind.decode())
+        planes = np.frombuffer(raw, np.uint8, n * form.itemsize, at)
+        out.append(np.ascontiguousarray(planes.reshape(form.itemsize, n).T).view(form).ravel() if n else np.empty(0, form))
+        at += len(planes)
     return out
 
 
@@ -149,6 +151,16 @@ def unsqueeze(planes: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, a place of each, and which of them stands at each place."""
+    order = np.argsort(keys)
+    runs = runs_of(keys[order])
+    where = np.empty(len(keys), np.int64)
+    where[order] = np.repeat(np.arange(len(runs) - 1), np.diff(runs))
+    at = order[runs[:-1]]
+    return keys[at], at, where
+
+
 def range_bounds(parts: int, bits: int = 64) -> np.ndarray:
     """The least keys of all ranges but the first."""
     return np.array([-(-(k << bits) // parts) for k in range(1, parts)], dtype=np.uint64)

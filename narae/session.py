@@ -66,4 +66,14 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialise`` wrote and nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(table.scratch)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)

@@ -215,7 +215,7 @@ def test_order_of_words_counts(spark):
     for (u, w), count in pairs.items():
         own[u] += count
         for k in range(pitman_yor.PAIR_ROUNDS):
-            values = (np.array([words[w][f"log_odds_{k}"]], np.float32), np.array([words[u][f"tables_{k}"]]))
+            values = (np.array([words[w][f"odds_{k}"]]), np.array([words[u][f"tables_{k}"]]))
             zero = np.zeros(1, int)
             tables[u] += pitman_yor.pair_seats(pitman_yor.pair_keys(np.array([u], np.uint64), np.array([w], np.uint64)), zero, zero, np.array([count]), values, model.discount, k)[0]
     assert all(words[u].seen == own[u] and words[u].seated == tables[u] for u in own) and 0 < model.discount < 1
@@ -248,10 +248,15 @@ def test_unseen_words_are_told_by_their_bytes(spark):
     assert all(abs(r.score - r.spelled_score) < 1e-9 for r in out.values() if r.n_known == r.n_tokens)
 
 
+def fitted(counts):
+    words = pitman_yor.Words(counts)
+    return [words.sample(counts) for _ in range(3)][-2:]
+
+
 def test_word_probabilities_sum_to_one(spark):
     rows = [(k, " ".join(f"a{j % (k + 1)}b" for j in range(40)), "a") for k in range(40)]
     counts = pitman_yor.word_counts(pitman_yor.packed_texts(docs(spark, rows)), 3).withColumn("count", F.col("seen")).cache()
-    samples, n, types = pitman_yor.fit(counts)
+    samples, types = fitted(counts), counts.where("count > 0").count()
     odds = pitman_yor.predictions(counts, samples).where("count > 0").collect()
     unseen = np.mean([s.unseen for s in samples])
     assert len(odds) == types and abs(sum(10**r.log_odds for r in odds) + unseen - 1) < 1e-6
@@ -261,10 +266,10 @@ def test_long_contexts_of_many_windows(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(k, " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(20)), "a") for k in range(60)]
     counts = pitman_yor.word_counts(pitman_yor.packed_texts(docs(spark, rows)), 3).withColumn("count", F.col("seen")).cache()
-    one, n, types = pitman_yor.fit(counts)
+    one, types = fitted(counts), counts.where("count > 0").count()
     whole = {bytes(r.word): r for r in pitman_yor.predictions(counts, one).collect()}
     monkeypatch.setattr(pitman_yor, "MOST_WINDOWS", 800)
-    samples, n, types = pitman_yor.fit(counts)
+    samples = fitted(counts)
     assert all(s.model.context == pitman_yor.CONTEXT and s.model.blocks > 2 for s in samples)
     odds = {bytes(r.word): r for r in pitman_yor.predictions(counts, samples).collect()}
     seen = [r for r in odds.values() if r["count"] > 0]
