@@ -67,20 +67,29 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, seeds: np.n
     The n-th next to a dish's t tables opens another with odds weight : n - discount * t. The random
     numbers depend on the seeds alone.
     """
-    order = np.argsort(-customers, kind="stable")
-    c, w, s = customers[order].astype(np.float64), weight[order], seeds[order]
+    order = np.argsort(-customers)
+    c, w, s = customers[order].astype(np.float64), weight[order], mix(seeds[order], SEED)
     tables = np.minimum(c, 1.0)
-    n, turn = 1, 0
+    low = -c
+    n = 1
     while True:
-        m = int(np.searchsorted(-c, -n, side="left"))  # those with more than n customers
+        m = int(np.searchsorted(low, -n, side="left"))  # those with more than n customers
         if not m:
             break
         step = 1 if n < ONE_BY_ONE else max(1, n // 24)
-        come = np.minimum(c[:m] - n, step)
-        odds = w[:m] / (w[:m] + n + (come - 1) / 2 - discount * tables[:m])
-        chance = mix(s[:m] + np.uint64(turn), SEED) / 2.0**64
-        tables[:m] = np.minimum(tables[:m] + np.floor(come * odds + chance), c[:m])
-        n, turn = n + step, turn + 1
+        s[:m] *= np.uint64(0x5851F42D4C957F2D)  # a linear congruential generator a dish, of which the high bits count
+        s[:m] += np.uint64(0x14057B7EF767814F)
+        chance = (s[:m] >> np.uint64(11)) * 2.0**-53
+        if step == 1:
+            odds = tables[:m] * -discount
+            odds += w[:m]
+            odds += n
+            tables[:m] += w[:m] > odds * chance
+        else:
+            come = np.minimum(c[:m] - n, step)
+            odds = w[:m] / (w[:m] + n + (come - 1) / 2 - discount * tables[:m])
+            tables[:m] = np.minimum(tables[:m] + np.floor(come * odds + chance), c[:m])
+        n += step
     out = np.empty_like(tables)
     out[order] = tables
     return out
@@ -435,8 +444,9 @@ class Grouped:
 def _grouped(texts: list[bytes]) -> Grouped:
     tokens, contexts, edge = text_tokens(texts)
     ids, _, token = grouped(tokens)  # the end is among them
-    context = np.concatenate([[np.searchsorted(ids, END)], token[:-1]])
-    return Grouped(ids, token, context, edge, *grouped(pair_keys(contexts, tokens)))
+    context = np.empty_like(token)
+    context[0], context[1:] = np.searchsorted(ids, END), token[:-1]
+    return Grouped(ids, token, context, edge, *grouped(pair_keys(contexts, tokens), PAIR_BITS))
 
 
 def pair_counts(blocks: DataFrame, parts: int) -> DataFrame:
@@ -448,7 +458,7 @@ def pair_counts(blocks: DataFrame, parts: int) -> DataFrame:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
                 table, texts = _block(data.as_buffer())
                 tokens, contexts, edge = text_tokens(texts)
-                pairs, _, where = grouped(pair_keys(contexts, tokens))
+                pairs, _, where = grouped(pair_keys(contexts, tokens), PAIR_BITS)
                 count = np.bincount(where[_training(table, edge)], minlength=len(pairs))
                 part, found = zip(*_spread(pairs, [count], parts, PAIR_BITS))
                 yield _rows(["block", "part", "data"], [[block] * len(part), part, found])

@@ -151,14 +151,26 @@ def unsqueeze(planes: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
-def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys in order, a place of each, and which of them stands at each place."""
-    order = np.argsort(keys)
-    runs = runs_of(keys[order])
-    where = np.empty(len(keys), np.int64)
-    where[order] = np.repeat(np.arange(len(runs) - 1), np.diff(runs))
-    at = order[runs[:-1]]
-    return keys[at], at, where
+def grouped(keys: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of so many bits in order, a place of each, and which of them stands at each place."""
+    # Leading bits and the place in one number sort faster than places by keys; the rest of the bits seldom matters.
+    for_place = max(1, int(len(keys) - 1).bit_length()) if len(keys) else 1
+    cut = max(0, bits + for_place - 64)
+    both = (keys >> np.uint64(cut)) << np.uint64(for_place)
+    both |= np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    both &= np.uint64((1 << for_place) - 1)
+    order = both.astype(np.int32 if for_place < 32 else np.int64)
+    ordered = keys[order]
+    if len(keys) and (ordered[1:] < ordered[:-1]).any():
+        order = np.argsort(keys)
+        ordered = keys[order]
+    new = np.empty(len(keys), bool)
+    new[:1] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    where = np.empty(len(keys), order.dtype)
+    where[order] = np.cumsum(new, dtype=order.dtype) - 1
+    return ordered[new], order[new], where
 
 
 def range_bounds(parts: int, bits: int = 64) -> np.ndarray:
