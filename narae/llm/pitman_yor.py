@@ -13,7 +13,9 @@ restaurant's rule, given everyone else (for dishes with many customers, later on
 expected number of new tables, randomly rounded). Predictive probabilities are averaged over samples.
 
 Counts of words and of pairs (word before, token) over all training texts and their seatings stay
-distributed; words are joined by 64-bit hashes (``word_hashes``) in pairs and scores. Up to MOST_WINDOWS
+distributed. Texts are written once in blocks; what a block has of words and pairs travels packed, by ranges
+of hashes (64 bits a word, PAIR_BITS a pair), and answers come back in the same order. Random numbers hang on
+the pair, so that every block seats its pairs alike and tables need no exchange. Up to MOST_WINDOWS
 windows, the byte hierarchy is gathered. Beyond, it stays distributed in blocks of contexts with the same
 two nearest bytes, each with its own discounts; only the contexts of one byte and none are gathered, and
 the blocks' predictions are broadcast in turn. Contexts have the same length either way.
@@ -424,7 +426,7 @@ def word_counts(blocks: DataFrame, parts: int) -> DataFrame:
         return pa.table({"part": part, "id": signed(ids), "word": words, "seen": np.bincount(where, count).astype(np.int64)})
 
     packed = blocks.select("data").mapInArrow(tidy(rows), "part int, data binary")
-    return packed.groupBy("part").applyInArrow(reduce, "part int, id long, word binary, seen long")
+    return packed.repartition(parts, "part").groupBy("part").applyInArrow(reduce, "part int, id long, word binary, seen long")
 
 
 @dataclass
@@ -480,7 +482,7 @@ def pair_counts(blocks: DataFrame, parts: int) -> DataFrame:
         return pa.Table.from_batches([_rows(["block", "part", "data"], [[*blocks[order], -1], [part] * len(out), out])])
 
     packed = blocks.select("block", "data").mapInArrow(tidy(rows), "block long, part int, data binary")
-    return packed.groupBy("part").applyInArrow(reduce, "block long, part int, data binary")
+    return packed.repartition(parts, "part").groupBy("part").applyInArrow(reduce, "block long, part int, data binary")
 
 
 def _replies(table: pa.Table, kind: int) -> list[list[np.ndarray]]:
@@ -495,6 +497,11 @@ def _counted(replies: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     return count, np.concatenate([np.unpackbits(r[1], count=len(r[0])).astype(bool) for r in replies])
 
 
+def _by_block(left: DataFrame, right: DataFrame, parts: int):
+    """Both sides by block, over a number of tasks that grows with the input."""
+    return left.repartition(parts, "block").groupBy("block").cogroup(right.repartition(parts, "block").groupBy("block"))
+
+
 def owned_pairs(blocks: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
     """(block, kind, part, data) of the pairs that each block is the first to have, so of each pair once.
 
@@ -522,7 +529,7 @@ def owned_pairs(blocks: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
         return pa.Table.from_batches([_rows(["block", "kind", "part", "data"], [[block] * len(out), kind, part, data])])
 
     replies = counts.where("block >= 0").select("block", F.lit(0).alias("kind"), "part", "data")
-    return blocks.select("block", "data").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(split, "block long, kind int, part int, data binary")
+    return _by_block(blocks.select("block", "data"), replies, parts).applyInArrow(split, "block long, kind int, part int, data binary")
 
 
 def word_sums(packed: DataFrame, names: list[str]) -> DataFrame:
@@ -599,7 +606,7 @@ def seat_pairs(owned: DataFrame, state: DataFrame, parts: int, discount: float,
 
     asked = several.mapInArrow(tidy(asking), "block long, part int, data binary")
     reply = answers(asked, state, [f"odds_{number}", f"tables_{number}"])
-    return word_sums(several.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(seated, "part int, data binary"), ["context_now", "token_now"])
+    return word_sums(_by_block(several, reply, parts).applyInArrow(seated, "part int, data binary"), ["context_now", "token_now"])
 
 
 def _windows(counts: DataFrame, context: int, sample=None) -> DataFrame:
@@ -886,4 +893,4 @@ def language_scores(docs: DataFrame) -> DataFrame:
     told = answers(asked, model.words, model.values).unionByName(model.counts.where("block >= 0").select("block", F.lit(0).alias("kind"), "part", "data"))
     ident = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {ident}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double, perplexity double"
-    return model.blocks.select("block", "data").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema)
+    return _by_block(model.blocks.select("block", "data"), told, parts).applyInArrow(score, schema)

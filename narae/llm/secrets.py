@@ -7,15 +7,18 @@ credential name within NAMED tokens or an assignment mark within MARKED; only a
 the one before may continue it; all others are outside by construction. So the best path of a text falls apart into those of its short runs of
 free tokens, each between two outside tokens, and decoding runs one by one is exact.
 
-Trained on tags that the patterns give, by a bounded sample of distinct runs: one half of it is for runs
-with a tagged secret, the other for runs without.
+Trained on tags that the patterns give, by a bounded sample of distinct runs (one half of it is for runs with
+a tagged secret, the other for runs without), and on made-up lines: credentials of many forms, most of which no
+pattern knows, and look-alikes such as dates, addresses, versions and identifiers.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -215,6 +218,55 @@ def weak_tags(run: list[Token], matches: list[tuple[int, int, int, int]]) -> lis
     return tags
 
 
+# --- made-up lines ---------------------------------------------------------------------------
+
+_LOWER, _UPPER, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+_MIXED = _LOWER + _UPPER + "0123456789"
+#: Credentials by form: what stands around one, and how its parts are drawn (alphabet, least and most length).
+CREDENTIALS = {
+    "pwd": ("pwd: {}", [(_MIXED, 8, 16)]), "passwd": ("passwd {}", [(_MIXED, 10, 18)]), "bearer": ("Authorization: Bearer {}", [(_MIXED + "-_", 24, 48)]),
+    "basic": ("authorization basic {}", [(_MIXED + "+/", 20, 40)]), "letters": ("secret key {}", [(_LOWER + _UPPER, 16, 32)]), "private": ("private key = {}", [(_MIXED + "+/", 32, 64)]),
+    "prefixed": ("{}", [("ghp_", 0, 0), (_MIXED, 36, 36)]), "dashed": ("{}", [("xoxb-", 0, 0), ("0123456789", 10, 12), ("-", 0, 0), (_MIXED, 24, 24)]), "short": ("{}", [("sk-", 0, 0), (_MIXED, 32, 48)]),
+    "cloud": ("{}", [("AIza", 0, 0), (_MIXED + "-_", 35, 35)]), "web": ("auth {}", [("eyJ", 0, 0), (_MIXED, 20, 30), (".eyJ", 0, 0), (_MIXED, 30, 60), (".", 0, 0), (_MIXED + "-_", 43, 43)]),
+    "session": ("access credentials: {}", [(_HEX, 32, 40)]), "assigned": ("export KEY={}", [(_MIXED, 20, 40)]), "quoted": ('"credential": "{}"', [(_MIXED, 20, 32)]),
+}
+#: Look-alikes that are no secrets, in the same way.
+LOOKALIKES = {
+    "date": ("on {}", [("2024-0", 0, 0), ("123456789", 1, 1), ("-1", 0, 0), ("0123456789", 1, 1), ("T10:", 0, 0), ("12345", 2, 2), (":00Z", 0, 0)]), "phone": ("call {}", [("+1 (", 0, 0), ("23456789", 3, 3), (") 555-", 0, 0), ("0123456789", 4, 4)]),
+    "address": ("see {}", [("https://example.org/", 0, 0), (_LOWER, 4, 9), ("/", 0, 0), (_LOWER, 3, 8), ("?page=", 0, 0), ("0123456789", 1, 4)]), "version": ("release {}", [("v", 0, 0), ("123456789", 1, 2), (".", 0, 0), ("0123456789", 1, 3), (".", 0, 0), ("0123456789", 1, 5)]),
+    "camel": ("call {} first", [("get", 0, 0), (_UPPER, 1, 1), (_LOWER, 3, 8), (_UPPER, 1, 1), (_LOWER, 3, 8)]), "file": ("in {}", [("src/", 0, 0), (_LOWER, 3, 8), ("/", 0, 0), (_UPPER, 1, 1), (_LOWER, 4, 9), ("2.java", 0, 0)]),
+    "uuid": ("record {}", [(_HEX, 8, 8), ("-", 0, 0), (_HEX, 4, 4), ("-4", 0, 0), (_HEX, 3, 3), ("-a", 0, 0), (_HEX, 3, 3), ("-", 0, 0), (_HEX, 12, 12)]), "number": ("order {} of", [("0123456789", 8, 16)]),
+    "mail": ("write to {}", [(_LOWER, 3, 8), (".", 0, 0), (_LOWER, 4, 9), ("0123456789", 1, 3), ("@example.com", 0, 0)]), "time": ("token: at {}", [("1", 0, 0), ("012", 1, 1), (":", 0, 0), ("12345", 2, 2)]), "key": ("the key to {}", [(_LOWER, 4, 10)]),
+    "named": ("a note: {}", [(_UPPER, 1, 1), (_LOWER, 4, 10)]), "product": ("model {}", [(_UPPER, 2, 3), ("0123456789", 3, 5), ("-", 0, 0), (_UPPER, 1, 2)]),
+}
+#: Made-up lines of each form.
+MADE = 24
+
+
+def made_lines(forms: dict, each: int = MADE, seed: int = 0) -> Iterator[tuple[str, bytes, Span]]:
+    """(form, line, where the drawn value stands in it). The same for the same seed."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices(_LOWER, k=rng.randint(2, 9)))
+    for form, (template, parts) in sorted(forms.items()):
+        for _ in range(each):
+            drawn = "".join("".join(rng.choices(alphabet, k=rng.randint(least, most))) if most else alphabet for alphabet, least, most in parts)
+            head, tail = template.split("{}")
+            before = "".join(word() + " " for _ in range(rng.randint(0, 6))) + head
+            after = tail + "".join(" " + word() for _ in range(rng.randint(0, 6)))
+            yield form, (before + drawn + after).encode(), (len(before), len(before) + len(drawn))
+
+
+def made_runs(credentials: dict | None = None, lookalikes: dict | None = None) -> list[Sample]:
+    out = []
+    for forms, secret in ((CREDENTIALS if credentials is None else credentials, True), (LOOKALIKES if lookalikes is None else lookalikes, False)):
+        for _, line, (a, b) in made_lines(forms):
+            of_file = file_features(line)
+            for run in runs(line):
+                tags = weak_tags(run, [(3, a, b, a)] if secret else [])
+                out.append((features(line, run, of_file), allowed(run), tags, 1))
+    return out
+
+
 # --- the field -------------------------------------------------------------------------------
 
 
@@ -320,11 +372,21 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
 
 def training_runs(docs: DataFrame, most: int = MOST_RUNS) -> list[Sample]:
     """At most ``most`` distinct runs (by features and weak tags) with their numbers, those of the smallest
-    hash: up to a half of them with a tagged secret, and as many without. Copies take no further place."""
+    hash: up to a half of them with a tagged secret, and as many without. Copies take no further place.
+
+    A task passes on no more than its own smallest hashes, which hold all of its runs that are among the
+    smallest of all; before runs come to the driver, a threshold on the hash leaves some three times as many.
+    """
+    half = {True: most // 2, False: most - most // 2}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, dict[str, list]] = {True: {}, False: {}}
+        least = {True: "~", False: "~"}  # keys beyond are not among the smallest
+
+        def smallest(secret: bool) -> list[str]:
+            return heapq.nsmallest(half[secret], held[secret])
+
         for batch in batches:
-            found = []
             for text in _texts(batch.column(0)):
                 own = runs(text)
                 if own:
@@ -333,23 +395,34 @@ def training_runs(docs: DataFrame, most: int = MOST_RUNS) -> list[Sample]:
                         if len(run) <= LONGEST_RUN:
                             tags = weak_tags(run, matches)
                             sample = json.dumps([features(text, run, of_file), np.isfinite(allowed(run)).astype(int).tolist(), tags])
-                            found.append((hashlib.md5(sample.encode()).hexdigest(), any(tags), sample))
-            kinds = (pa.string(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*found)) or [[]] * 3, kinds)], names=["key", "secret", "sample"])
+                            key, secret = hashlib.md5(sample.encode()).hexdigest(), any(tags)
+                            if key <= least[secret]:
+                                held[secret].setdefault(key, [sample, 0])[1] += 1
+                            if len(held[secret]) >= 2 * half[secret] + 1000:
+                                kept = smallest(secret)
+                                held[secret], least[secret] = {k: held[secret][k] for k in kept}, kept[-1] if kept else ""
+        found = [(k, secret, *held[secret][k]) for secret in (True, False) for k in smallest(secret)]
+        kinds = (pa.string(), pa.bool_(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*found)) or [[]] * 4, kinds)], names=["key", "secret", "sample", "n"])
+
+    sampled = docs.select(F.encode("text", "UTF-8").alias("text")).mapInArrow(tidy(rows), "key string, secret boolean, sample string, n long")
+    sampled = materialise(sampled.groupBy("key", "secret").agg(F.first("sample").alias("sample"), F.sum("n").alias("n")), "training-runs")
+    number = dict(sampled.groupBy("secret").count().collect())
+
+    def taken(secret: bool) -> DataFrame:
+        share = min(1.0, 3.0 * half[secret] / max(number.get(secret, 0), 1))
+        below = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") < F.lit(int(share * 2**32))
+        return sampled.where((F.col("secret") == secret) & below).orderBy("key").limit(half[secret])
 
-    sampled = docs.select(F.encode("text", "UTF-8").alias("text")).mapInArrow(tidy(rows), "key string, secret boolean, sample string")
-    sampled = materialise(sampled.groupBy("key", "secret").agg(F.first("sample").alias("sample"), F.count(F.lit(1)).alias("n")), "training-runs")
-    half = lambda secret, size: sampled.where(F.col("secret") == secret).orderBy("key").limit(size)
     out = []
-    for r in sorted(half(True, most // 2).unionByName(half(False, most - most // 2)).collect(), key=lambda r: r.key):
+    for r in sorted(taken(True).unionByName(taken(False)).collect(), key=lambda r: r.key):
         rows_, mask, tags = json.loads(r.sample)
         out.append((rows_, np.where(np.array(mask, dtype=bool), 0.0, -np.inf), tags, r.n))
     return out
 
 
 def fit_field(docs: DataFrame, most: int = MOST_RUNS) -> Field:
-    samples = training_runs(docs, most)
-    return train(samples) if samples else Field({}, np.zeros((1, 3)), _transitions(np.full((3, 3), 0.0)))
+    return train([*made_runs(), *training_runs(docs, most)])
 
 
 def _points(text: bytes, offsets: list[int]) -> dict[int, int]:
