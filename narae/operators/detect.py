@@ -1,12 +1,13 @@
 """Detectors: the token table in, one row a finding out.
 
-Each detector is a join with a small rule table or a projection over tokens; none looks at the text,
-and none shuffles. Findings carry code point and UTF-8 byte ranges.
+A detector lists rules over the columns of a token, or over the characters of a word; all rules together are
+one projection, so that linting reads the token table once for tokens and once for characters. None looks at
+the text, and none shuffles. Findings carry code point and UTF-8 byte ranges.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ DWAE_SUFFIXES = ["게", "게요", "면", "고", "는", "겠", "면서", "도록"
 EURYEO_FORMS = [("할려고", "하려고"), ("할려면", "하려면"), ("먹을려고", "먹으려고"), ("먹을려면", "먹으려면"), ("읽을려고", "읽으려고"), ("읽을려면", "읽으려면"), ("잡을려고", "잡으려고"), ("잡을려면", "잡으려면")]
 EURYEO_CONTEXT = [("갈려고", "가려고"), ("갈려면", "가려면")]
 ANH_DOE = "^않(되|돼|된|될|됨|됩|됐)"
+DEPENDENT_NOUNS = [("de", "데"), ("chae", "채"), ("deut", "듯"), ("mankeum", "만큼"), ("daero", "대로"), ("beop", "법"), ("ri", "리")]
 SUBJECT_NOUNS = ["나무", "사과", "바다", "학교", "의자", "모자", "친구", "연필", "동생"]
 PARTICLE_NOUNS = (
     "책 연필 사과 친구 동생 의자 학교 나무 문서 파일 값 글 댓글 사용자 프로젝트 코드 자료 결과 정보 문장 문제 시간 회의 방법 이유 작업 계획 서비스 제품 기능 화면 규칙 단어 문법 검사기"
@@ -34,37 +36,64 @@ AFTER_FINAL = [("topic", "는", "은"), ("object", "를", "을"), ("comitative",
 AFTER_VOWEL = [("topic", "은", "는"), ("object", "을", "를"), ("comitative", "과", "와"), ("instrumental", "으로", "로")]
 
 
-def _words(found: DataFrame) -> DataFrame:
-    return found.where("kind = 'word'")
+@dataclass(frozen=True)
+class Rule:
+    """A finding wherever ``when`` holds: on a token, or on a character of a word (``offset``)."""
+
+    when: Column
+    offset: Column
+    original: Column
+    suggestion: Column
+    turn: int
+    name: Column
+    severity: Column
+    safe: Column
+
+
+def _word() -> Column:
+    return F.col("kind") == "word"
+
+
+def _rule(name: str, when: Column, offset: Column, original: Column, suggestion: Column, turn: int) -> Rule:
+    rule = RULES[name]
+    return Rule(when, offset, original, suggestion, turn, F.lit(name), F.lit(rule.severity), F.lit(rule.safety == "safe"))
 
 
 def _allowed(name: str, config: Config) -> bool:
     return name not in config.disabled and PROFILES[RULES[name].profile] <= config.level
 
 
-def _finding(rows: DataFrame, name: str | Column, offset: Column, original: Column, suggestion: Column, turn: int, severity: Column | None = None, safe: Column | None = None) -> DataFrame:
+def _findings(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """All findings of the rules, in one pass over the rows."""
+    kind = "struct<offset:int,original:string,suggestion:string,rule_id:string,severity:string,safe:boolean,turn:int>"
+    each = [
+        F.when(r.when, F.struct(r.offset.cast("int"), r.original, r.suggestion, r.name, r.severity, r.safe, F.lit(r.turn)).cast(kind))
+        for r in rules
+    ]
+    found = rows.select("doc_id", "kind", "start", "byte_start", F.explode(F.array(*each) if each else F.array().cast(f"array<{kind}>")).alias("f")).where("f is not null")
+    return _placed(found.select("doc_id", "kind", "start", "byte_start", "f.*"))
+
+
+def _placed(found: DataFrame) -> DataFrame:
     """Findings at an offset into their token. Offsets into words are three bytes a character."""
-    if isinstance(name, str):
-        severity, safe, name = F.lit(RULES[name].severity), F.lit(RULES[name].safety == "safe"), F.lit(name)
-    start = F.col("start") + offset
-    byte_start = F.col("byte_start") + F.when(F.col("kind") == "word", offset * 3).otherwise(offset)
-    return rows.select(
-        "doc_id", start.alias("start"), (start + F.char_length(original)).cast("long").alias("end"), byte_start.alias("byte_start"),
-        (byte_start + F.octet_length(original)).alias("byte_end"), original.alias("original"), suggestion.alias("suggestion"), name.alias("rule_id"),
-        severity.alias("severity"), safe.alias("safe"), F.lit(turn).alias("turn"),
+    start = F.col("start") + F.col("offset")
+    byte_start = F.col("byte_start") + F.when(_word(), F.col("offset") * 3).otherwise(F.col("offset"))
+    return found.select(
+        "doc_id", start.alias("start"), (start + F.char_length("original")).cast("long").alias("end"), byte_start.alias("byte_start"),
+        (byte_start + F.octet_length("original")).alias("byte_end"), "original", "suggestion", "rule_id", "severity", "safe", "turn",
     )
 
 
-def _empty(found: DataFrame) -> DataFrame:
-    none = F.lit("")
-    return _finding(found.limit(0), "grammar.copula.anieyo", F.lit(0), none, none, 0)
+def _whole(name: str, when: Column, suggestion: Column, turn: int, config: Config) -> list[Rule]:
+    """A finding on each whole word for which ``when`` holds."""
+    return [_rule(name, _word() & when, F.lit(0), F.col("surface"), suggestion, turn)] if _allowed(name, config) else []
 
 
-def _whole(found: DataFrame, name: str, when: Column, suggestion: Column, turn: int, config: Config) -> DataFrame:
-    """A finding on each whole word for which ``when`` holds."""
-    if not _allowed(name, config):
-        return _empty(found)
-    return _finding(_words(found).where(when), name, F.lit(0), F.col("surface"), suggestion, turn)
+def _places(found: DataFrame, firsts: set[str]) -> DataFrame:
+    """The words that have one of the characters, a row for each of their places; rest: the word from there on."""
+    words = found.where(_word() & F.col("surface").rlike(f"[{''.join(sorted(firsts))}]"))
+    places = words.withColumn("offset", F.explode(F.sequence(F.lit(0), F.char_length("surface") - 1)))
+    return places.withColumn("rest", F.expr("substring(surface, offset + 1)"))
 
 
 def literals(found: DataFrame, config: Config) -> DataFrame:
@@ -73,15 +102,16 @@ def literals(found: DataFrame, config: Config) -> DataFrame:
     Patterns may go on after their word. A prefix pattern needs a word begin that no letter, digit
     or underscore of the range touches.
     """
-    rules = F.broadcast(enabled(literal_table(found.sparkSession), config))  # some 120 rows
-    words = _words(found).withColumn("offset", F.explode(F.sequence(F.lit(0), F.char_length("surface") - 1)))
-    words = words.withColumn("first", F.substring("surface", F.col("offset") + 1, F.lit(1))).drop("turn")
-    rest = F.concat(F.substring(F.col("surface"), F.col("offset") + 1, F.lit(2**30)), F.col("ahead"))
+    table = enabled(literal_table(found.sparkSession), config)  # some 120 rows
+    firsts = {r[0] for r in table.select("first").distinct().collect()}
+    if not firsts:
+        return _findings(found, [])
+    places = _places(found, firsts).drop("turn").withColumn("first", F.substring("rest", 1, 1)).where(F.col("first").isin(sorted(firsts)))
     free = ~F.col("before").rlike("[\\p{IsAlphabetic}\\p{N}_]")
     place = (F.col("boundary") == "substring") | (F.col("offset") == 0) & free
-    joined = words.join(rules, "first").where(place & rest.startswith(F.col("wrong")))
-    out = _finding(joined, F.col("rule_id"), F.col("offset"), F.col("wrong"), F.col("right"), 0, F.col("severity"), F.col("safe"))
-    return out.drop("turn").withColumn("turn", F.when(F.col("rule_id").isin([r[0] for r in _forms()]), 2).otherwise(0))
+    joined = places.join(F.broadcast(table), "first").where(place & F.concat("rest", "ahead").startswith(F.col("wrong")))
+    turn = F.when(F.col("rule_id").isin([r[0] for r in _forms()]), 2).otherwise(0)
+    return _placed(joined.select("doc_id", "kind", "start", "byte_start", "offset", F.col("wrong").alias("original"), F.col("right").alias("suggestion"), "rule_id", "severity", "safe", turn.alias("turn")))
 
 
 def _forms() -> list[tuple]:
@@ -90,193 +120,204 @@ def _forms() -> list[tuple]:
     return FORMS
 
 
-def doubled_particles(found: DataFrame, config: Config) -> DataFrame:
+def doubled_particles(config: Config) -> list[Rule]:
     """A particle twice at the end of a word that begins before: of a longer run its last pair, if runs pair up so."""
     name = "grammar.particle.duplicate"
     if not _allowed(name, config):
-        return _empty(found)
-    run = F.regexp_extract("surface", "(를+|을+|은+|는+)$", 1)
-    size = F.char_length("surface")
-    words = _words(found).withColumn("run", run).where((F.char_length("run") >= 2) & (F.char_length("run") % 2 == 0) & (size > 2))
-    return _finding(words, name, size - 2, F.substring("surface", -2, 2), F.substring("surface", -1, 1), 2)
+        return []
+    run, size = F.char_length(F.regexp_extract("surface", "(를+|을+|은+|는+)$", 1)), F.char_length("surface")
+    twice = F.col("surface").rlike("(를를|을을|은은|는는)$") & (run % 2 == 0) & (size > 2)
+    return [_rule(name, _word() & twice, size - 2, F.substring("surface", -2, 2), F.substring("surface", -1, 1), 2)]
 
 
-def doe_to_dwae(found: DataFrame, config: Config) -> DataFrame:
-    """Forms of 되다 that need 돼 and the other way round, anywhere in a word; the form 되도 as a whole word."""
+def doe_to_dwae(config: Config) -> list[Rule]:
+    """Forms of 되다 that need 돼 and the other way round, anywhere in a word (rules over its characters); the
+    form 되도 as a whole word."""
     name = "grammar.conjugation.doe-to-dwae"
     if not _allowed(name, config):
-        return _empty(found)
-    forms = F.array(*[F.struct(F.lit(a).alias("wrong"), F.lit(b).alias("right")) for a, b in DOE_FORMS])
-    words = _words(found).where(F.col("surface").rlike("되서|되요|되야|됀|됄|됌|^되도$"))
-    places = words.withColumn("offset", F.explode(F.sequence(F.lit(0), F.char_length("surface") - 1))).withColumn("form", F.explode(forms))
-    inner = places.where(F.substring(F.col("surface"), F.col("offset") + 1, F.char_length("form.wrong")) == F.col("form.wrong"))
-    whole = _finding(words.where("surface = '되도'"), name, F.lit(0), F.col("surface"), F.lit("돼도"), 3)
-    return _finding(inner, name, F.col("offset"), F.col("form.wrong"), F.col("form.right"), 3).unionByName(whole)
+        return []
+    out = [_rule(name, F.col("rest").startswith(a), F.col("offset"), F.lit(a), F.lit(b), 3) for a, b in DOE_FORMS]
+    return [*out, _rule(name, (F.col("surface") == "되도") & (F.col("offset") == 0), F.lit(0), F.col("surface"), F.lit("돼도"), 3)]
 
 
-def dwae_to_doe(found: DataFrame, config: Config) -> DataFrame:
+def dwae_to_doe(config: Config) -> list[Rule]:
     pattern = f"돼({'|'.join(DWAE_SUFFIXES)})$"
-    return _whole(found, "grammar.conjugation.dwae-to-doe", F.col("surface").rlike(pattern), F.regexp_replace("surface", pattern, "되$1"), 4, config)
+    return _whole("grammar.conjugation.dwae-to-doe", F.col("surface").rlike(pattern), F.regexp_replace("surface", pattern, "되$1"), 4, config)
 
 
-def _first_form(found: DataFrame, name: str, forms: list[tuple[str, str]], turn: int, config: Config) -> DataFrame:
+def _first_form(name: str, forms: list[tuple[str, str]], turn: int, config: Config) -> list[Rule]:
     """Whole words with the first of the forms replaced, the longest of those at the same place."""
     places = F.array(*[F.struct(F.locate(a, F.col("surface")).alias("at"), F.lit(-len(a)).alias("size"), F.lit(a).alias("wrong"), F.lit(b).alias("right")) for a, b in forms])
     first = F.array_min(F.filter(places, lambda p: p["at"] > 0))
-    fixed = F.concat(F.expr("substring(surface, 1, form.at - 1)"), F.col("form.right"), F.expr("substring(surface, form.at - form.size)"))
-    words = found.withColumn("form", first).where("form is not null")
-    return _whole(words, name, F.lit(True), fixed, turn, config)
+    fixed = F.concat(F.substring(F.col("surface"), F.lit(1), first["at"] - 1), first["right"], F.substring(F.col("surface"), first["at"] - first["size"], F.lit(2**30)))
+    return _whole(name, F.col("surface").rlike("|".join(a for a, _ in forms)), fixed, turn, config)
 
 
-def euryeo(found: DataFrame, config: Config) -> DataFrame:
-    return _first_form(found, "grammar.ending.euryeo", EURYEO_FORMS, 5, config)
+def euryeo(config: Config) -> list[Rule]:
+    return _first_form("grammar.ending.euryeo", EURYEO_FORMS, 5, config)
 
 
-def euryeo_context(found: DataFrame, config: Config) -> DataFrame:
-    return _first_form(found, "grammar.ending.euryeo-context", EURYEO_CONTEXT, 6, config)
+def euryeo_context(config: Config) -> list[Rule]:
+    return _first_form("grammar.ending.euryeo-context", EURYEO_CONTEXT, 6, config)
 
 
-def colloquial_yong(found: DataFrame, config: Config) -> DataFrame:
-    return _whole(found, "grammar.ending.colloquial-yong", F.col("surface").rlike("(해|세)용$"), F.regexp_replace("surface", "용$", "요"), 7, config)
+def colloquial_yong(config: Config) -> list[Rule]:
+    return _whole("grammar.ending.colloquial-yong", F.col("surface").rlike("(해|세)용$"), F.regexp_replace("surface", "용$", "요"), 7, config)
 
 
-def seumnida(found: DataFrame, config: Config) -> DataFrame:
+def seumnida(config: Config) -> list[Rule]:
     """-읍니다 and -읍니까: the stem takes ㅂ after a vowel or ㄹ, else 습."""
     stem = F.regexp_extract("surface", "^(.+)읍니[다까]$", 1)
     last, tail = F.substring(stem, -1, 1), F.substring("surface", -2, 2)
     open_ = final(last).isin(0, RIEUL)
     changed = F.concat(F.expr("substring(surface, 1, char_length(surface) - 4)"), with_final(last, BIEUP), tail)
-    return _whole(found, "grammar.ending.seumnida", stem != "", F.when(open_, changed).otherwise(F.concat(stem, F.lit("습"), tail)), 8, config)
+    return _whole("grammar.ending.seumnida", F.col("surface").rlike("^.+읍니[다까]$"), F.when(open_, changed).otherwise(F.concat(stem, F.lit("습"), tail)), 8, config)
 
 
-def sipsio(found: DataFrame, config: Config) -> DataFrame:
-    return _whole(found, "grammar.ending.sipsio", F.col("surface").endswith("십시요"), F.regexp_replace("surface", "요$", "오"), 8, config)
+def sipsio(config: Config) -> list[Rule]:
+    return _whole("grammar.ending.sipsio", F.col("surface").endswith("십시요"), F.regexp_replace("surface", "요$", "오"), 8, config)
 
 
-def anieyo(found: DataFrame, config: Config) -> DataFrame:
-    return _whole(found, "grammar.copula.anieyo", F.col("surface") == "아니예요", F.lit("아니에요"), 8, config)
+def anieyo(config: Config) -> list[Rule]:
+    return _whole("grammar.copula.anieyo", F.col("surface") == "아니예요", F.lit("아니에요"), 8, config)
 
 
-def anh_doe(found: DataFrame, config: Config) -> DataFrame:
+def anh_doe(config: Config) -> list[Rule]:
     when = F.col("surface").rlike(ANH_DOE) & (F.col("surface") != "않되")
-    return _whole(found, "grammar.negation.anh-doe", when, F.regexp_replace("surface", "^않", "안 "), 8, config)
+    return _whole("grammar.negation.anh-doe", when, F.regexp_replace("surface", "^않", "안 "), 8, config)
 
 
-def dependent_nouns(found: DataFrame, config: Config) -> DataFrame:
+def dependent_nouns(config: Config) -> list[Rule]:
     """Dependent nouns written onto the word before: by the last place of the noun in the word."""
-    stem, rest, last = F.col("stem"), F.col("rest"), F.substring("stem", -1, 1)
-    adnominal = last.isin("은", "는", "을")
-    rules = [
-        ("de", "데", (stem != "쓸") & (final(last) == RIEUL) & rest.rlike("^(가|를|도|는|에|까지|마다)")),
-        ("chae", "채", (stem != "산") & (final(last) == NIEUN) & rest.startswith("로")),
-        ("deut", "듯", ~stem.rlike("(그럴|번|반)$") & (adnominal | final(last).isin(NIEUN, RIEUL)) & rest.rlike("^[하싶이]")),
-        ("mankeum", "만큼", ~stem.isin("마을", "가을", "노을", "은") & adnominal),
-        ("daero", "대로", ~stem.isin("마을", "가을", "노을") & adnominal),
-        ("beop", "법", stem.endswith("는") & rest.rlike("^[이입도]")),
-        ("ri", "리", ~stem.isin("물", "멀", "빨", "랠", "칼") & (final(last) == RIEUL) & rest.rlike("^[가는도]") & (F.col("gap") != "") & F.col("next").startswith("없")),
-    ]
     out = []
-    for key, noun, holds in rules:
+    for key, noun in DEPENDENT_NOUNS:
         pattern = f"^(.+){noun}(.*)$"
-        words = found.withColumn("stem", F.regexp_extract("surface", pattern, 1)).withColumn("rest", F.regexp_extract("surface", pattern, 2))
-        out.append(_whole(words, f"spacing.dependent-noun.{key}", F.col("surface").contains(noun) & (stem != "") & holds, F.concat(stem, F.lit(f" {noun}"), rest), 8, config))
-    return reduce(DataFrame.unionByName, out)
+        stem, rest = F.regexp_extract("surface", pattern, 1), F.regexp_extract("surface", pattern, 2)
+        last = F.substring(stem, -1, 1)
+        adnominal = last.isin("은", "는", "을")
+        holds = {
+            "de": lambda: (stem != "쓸") & (final(last) == RIEUL) & rest.rlike("^(가|를|도|는|에|까지|마다)"),
+            "chae": lambda: (stem != "산") & (final(last) == NIEUN) & rest.startswith("로"),
+            "deut": lambda: ~stem.rlike("(그럴|번|반)$") & (adnominal | final(last).isin(NIEUN, RIEUL)) & rest.rlike("^[하싶이]"),
+            "mankeum": lambda: ~stem.isin("마을", "가을", "노을", "은") & adnominal,
+            "daero": lambda: ~stem.isin("마을", "가을", "노을") & adnominal,
+            "beop": lambda: stem.endswith("는") & rest.rlike("^[이입도]"),
+            "ri": lambda: ~stem.isin("물", "멀", "빨", "랠", "칼") & (final(last) == RIEUL) & rest.rlike("^[가는도]") & (F.col("gap") != "") & F.col("next").startswith("없"),
+        }[key]()
+        out += _whole(f"spacing.dependent-noun.{key}", F.col("surface").contains(noun) & (stem != "") & holds, F.concat(stem, F.lit(f" {noun}"), rest), 8, config)
+    return out
 
 
-def deun_choice(found: DataFrame, config: Config) -> DataFrame:
+def deun_choice(config: Config) -> list[Rule]:
     """던지 at the end of a word and in the next: both. The middle one of three is found twice."""
     name = "grammar.ending.deun-choice"
     if not _allowed(name, config):
-        return _empty(found)
-    words = _words(found).where(F.col("surface").contains("던지"))
-    first = words.where(F.col("surface").endswith("던지") & F.col("next").contains("던지"))
-    size = F.locate("던지", F.col("surface")) + 1
-    second = words.where(F.col("previous").endswith("던지")).withColumn("part", F.substring(F.col("surface"), F.lit(1), size))
-    fixed = lambda c: F.concat(F.expr(f"substring({c}, 1, char_length({c}) - 2)"), F.lit("든지"))
-    return _finding(first, name, F.lit(0), F.col("surface"), fixed("surface"), 9).unionByName(_finding(second, name, F.lit(0), F.col("part"), fixed("part"), 9))
+        return []
+    first = F.col("surface").endswith("던지") & F.col("next").contains("던지")
+    second = F.col("surface").contains("던지") & F.col("previous").endswith("던지")
+    part = F.substring(F.col("surface"), F.lit(1), F.locate("던지", F.col("surface")) + 1)
+    fixed = lambda c: F.concat(F.substring(c, F.lit(1), F.char_length(c) - 2), F.lit("든지"))
+    return [_rule(name, _word() & first, F.lit(0), F.col("surface"), fixed(F.col("surface")), 9), _rule(name, _word() & second, F.lit(0), part, fixed(part), 9)]
 
 
-def particles(found: DataFrame, config: Config) -> DataFrame:
-    """Particles that do not fit the final of the noun before; only in the strict profile.
+def particles(config: Config) -> list[Rule]:
+    """Particles that do not fit the final of the noun before; only in the strict profile. Rules over characters.
 
     After a final the forms are found anywhere in a word; after a vowel (and 이 for 가) only behind a
     listed noun, at a word's end. The noun is the Hangul before, also from before the range.
     """
     if config.level < PROFILES["strict"]:
-        return _empty(found)
-    words = _words(found).withColumn("offset", F.explode(F.sequence(F.lit(0), F.char_length("surface") - 1)))
+        return []
     noun = F.concat(F.col("lead"), F.substring(F.col("surface"), F.lit(1), F.col("offset")))
-    words = words.withColumn("noun", noun).withColumn("last", F.substring("noun", -1, 1)).withColumn("rest", F.expr("substring(surface, offset + 1)"))
-    words = words.where("noun != ''")
+    last, rest = F.substring(noun, -1, 1), F.col("rest")
     ends = (F.col("after") == "") | F.col("after").rlike(f"(?U)[\\s{''.join(chr(92) + c for c in PARTICLE_STOPS)}]")
-    listed = F.col("noun").isin(PARTICLE_NOUNS)
+    listed = noun.isin(PARTICLE_NOUNS)
+    out = []
 
-    def one(name: str, wrong: str, right: str, holds: Column, turn: int) -> DataFrame:
+    def one(name: str, wrong: str, right: str, holds: Column, turn: int) -> None:
         name = f"grammar.particle.{name}-allomorph"
-        if not _allowed(name, config):
-            return _empty(found)
-        rows = words.where(F.col("rest").startswith(wrong) & holds)
-        start = -F.char_length("lead")
-        return _finding(rows, name, start, F.concat("noun", F.lit(wrong)), F.concat("noun", F.lit(right)), turn)
+        if _allowed(name, config):
+            when = rest.startswith(wrong) & (noun != "") & holds
+            out.append(_rule(name, when, -F.char_length("lead"), F.concat(noun, F.lit(wrong)), F.concat(noun, F.lit(right)), turn))
 
-    out = []
     for k, (name, wrong, right) in enumerate(AFTER_FINAL):
-        closed = (final(F.col("last")) > 0) & (F.col("last") != wrong)
-        closed &= (final(F.col("last")) != RIEUL) if name == "instrumental" else F.lit(True)
-        out.append(one(name, wrong, right, closed & (listed if name == "topic" else F.lit(True)), 10 + k))
+        closed = (final(last) > 0) & (last != wrong)
+        closed &= (final(last) != RIEUL) if name == "instrumental" else F.lit(True)
+        one(name, wrong, right, closed & (listed if name == "topic" else F.lit(True)), 10 + k)
     for k, (name, wrong, right) in enumerate(AFTER_VOWEL):
-        out.append(one(name, wrong, right, listed & (final(F.col("last")) == 0) & (F.col("rest") == wrong) & ends, 14 + k))
-    out.append(one("subject", "이", "가", F.col("noun").isin(SUBJECT_NOUNS) & (final(F.col("last")) == 0) & (F.col("rest") == "이") & ends, 18))
-    return reduce(DataFrame.unionByName, out)
+        one(name, wrong, right, listed & (final(last) == 0) & (rest == wrong) & ends, 14 + k)
+    one("subject", "이", "가", noun.isin(SUBJECT_NOUNS) & (final(last) == 0) & (rest == "이") & ends, 18)
+    return out
 
 
-def commas(found: DataFrame, config: Config) -> DataFrame:
+def commas(config: Config) -> list[Rule]:
     """Runs of commas, and a comma right before Hangul (the last of a run where doubled ones are allowed)."""
     twice, space = "punctuation.duplicate.comma", "punctuation.space-after-comma"
-    rows = found.where("kind = 'comma'").withColumn("hangul", is_syllable(F.substring("ahead", 1, 1)) & (F.col("ahead") != ""))
+    comma, size = F.col("kind") == "comma", F.char_length("surface")
+    hangul = is_syllable(F.substring("ahead", 1, 1)) & (F.col("ahead") != "")
     spaced, doubled = space not in config.disabled, twice not in config.disabled
-    size = F.char_length("surface")
-    out = _empty(found)
+    out = []
     if doubled:
-        right = F.when(F.col("hangul"), F.lit(", ")).otherwise(F.lit(",")) if spaced else F.lit(",")
-        severity, safe = F.lit("warning"), F.lit(True)
-        out = _finding(rows.where(size > 1), F.lit(twice), F.lit(0), F.col("surface"), right, 19, severity, safe)
+        right = F.when(hangul, F.lit(", ")).otherwise(F.lit(",")) if spaced else F.lit(",")
+        out.append(Rule(comma & (size > 1), F.lit(0), F.col("surface"), right, 19, F.lit(twice), F.lit("warning"), F.lit(True)))
     if spaced:
-        single = rows.where(F.col("hangul") & (size == 1 if doubled else F.lit(True)))
-        out = out.unionByName(_finding(single, space, size - 1, F.lit(","), F.lit(", "), 19))
+        out.append(_rule(space, comma & hangul & (size == 1 if doubled else F.lit(True)), size - 1, F.lit(","), F.lit(", "), 19))
     return out
 
 
-def sentence_marks(found: DataFrame, config: Config) -> DataFrame:
+def sentence_marks(config: Config) -> list[Rule]:
     """A sentence mark right before Hangul, unless a digit stands before it."""
     name = "punctuation.space-after-sentence-mark"
     if name in config.disabled:
-        return _empty(found)
-    rows = found.where((F.col("kind") == "mark") & ~F.col("before").rlike("^[0-9]$"))
-    return _finding(rows, name, F.lit(0), F.col("surface"), F.concat("surface", F.lit(" ")), 19)
+        return []
+    return [_rule(name, (F.col("kind") == "mark") & ~F.col("before").rlike("^[0-9]$"), F.lit(0), F.col("surface"), F.concat("surface", F.lit(" ")), 19)]
 
 
-def blanks_before_marks(found: DataFrame, config: Config) -> DataFrame:
+def blanks_before_marks(config: Config) -> list[Rule]:
     name = "punctuation.no-space-before-mark"
-    if name in config.disabled:
-        return _empty(found)
-    return _finding(found.where("kind = 'blank'"), name, F.lit(0), F.col("surface"), F.lit(""), 19)
+    return [] if name in config.disabled else [_rule(name, F.col("kind") == "blank", F.lit(0), F.col("surface"), F.lit(""), 19)]
 
 
-def repeated_words(found: DataFrame, config: Config) -> DataFrame:
+def repeated_words(config: Config) -> list[Rule]:
     """A word and the same word after white space; each word takes part in one finding at most."""
     name = "repetition.adjacent-word"
     if name in config.disabled:
-        return _empty(found)
-    rows = _words(found).where((F.col("next") == F.col("surface")) & (F.col("repeats") % 2 == 0) & (F.col("surface") != "그때"))
-    both = F.concat(F.col("surface"), F.col("gap"), F.col("surface"))
-    return _finding(rows, name, F.lit(0), both, F.col("surface"), 20)
+        return []
+    when = _word() & (F.col("next") == F.col("surface")) & (F.col("repeats") % 2 == 0) & (F.col("surface") != "그때")
+    return [_rule(name, when, F.lit(0), F.concat("surface", "gap", "surface"), F.col("surface"), 20)]
+
+
+#: Rules over tokens, and rules over the characters of words with the characters that they start with.
+OF_TOKENS = {
+    "doubled_particles": doubled_particles, "dwae_to_doe": dwae_to_doe, "euryeo": euryeo, "euryeo_context": euryeo_context, "colloquial_yong": colloquial_yong, "seumnida": seumnida, "sipsio": sipsio,
+    "anieyo": anieyo, "anh_doe": anh_doe, "dependent_nouns": dependent_nouns, "deun_choice": deun_choice, "commas": commas, "sentence_marks": sentence_marks, "blanks_before_marks": blanks_before_marks,
+    "repeated_words": repeated_words,
+}
+OF_PLACES = {
+    "doe_to_dwae": (doe_to_dwae, {a[0] for a, _ in DOE_FORMS}), "particles": (particles, {wrong[0] for _, wrong, _ in AFTER_FINAL + AFTER_VOWEL} | {"이"}),
+}
+
+
+def _token_findings(found: DataFrame, names, config: Config) -> DataFrame:
+    return _findings(found, [rule for n in names for rule in OF_TOKENS[n](config)])
+
+
+def _place_findings(found: DataFrame, names, config: Config) -> DataFrame:
+    rules, firsts = [], set()
+    for n in names:
+        make, own = OF_PLACES[n]
+        some = make(config)
+        rules += some
+        firsts |= own if some else set()
+    if not rules:
+        return _findings(found, [])
+    places = _places(found, firsts).where(F.substring("rest", 1, 1).isin(sorted(firsts)))
+    return _findings(places, rules)
 
 
+#: Each detector alone, over a token table.
 DETECTORS = {
-    "literals": literals, "doubled_particles": doubled_particles, "doe_to_dwae": doe_to_dwae, "dwae_to_doe": dwae_to_doe, "euryeo": euryeo, "euryeo_context": euryeo_context,
-    "colloquial_yong": colloquial_yong, "seumnida": seumnida, "sipsio": sipsio, "anieyo": anieyo, "anh_doe": anh_doe, "dependent_nouns": dependent_nouns, "deun_choice": deun_choice,
-    "particles": particles, "commas": commas, "sentence_marks": sentence_marks, "blanks_before_marks": blanks_before_marks, "repeated_words": repeated_words,
+    "literals": literals, **{n: lambda found, config, n=n: _token_findings(found, [n], config) for n in OF_TOKENS}, **{n: lambda found, config, n=n: _place_findings(found, [n], config) for n in OF_PLACES},
 }
 
 
@@ -293,10 +334,11 @@ def without_known_words(findings: DataFrame, config: Config) -> DataFrame:
 def lint(docs: DataFrame, config: Config = Config(), packs: list[PackRule] | None = None) -> DataFrame:
     """All findings in (doc_id, text[, source_kind]) rows. Order them by start, end, rule_id, turn.
 
-    Tokens are made once and written to the shared folder; each detector reads the columns it needs.
+    Tokens are made once and written to the shared folder; rules over tokens, rules over the characters of
+    words and literal forms each read it once.
     """
     found = materialise(tokens(docs), "tokens")
-    every = reduce(DataFrame.unionByName, [d(found, config) for d in DETECTORS.values()]).select(*COLUMNS)
+    every = _token_findings(found, OF_TOKENS, config).unionByName(_place_findings(found, OF_PLACES, config)).unionByName(literals(found, config)).select(*COLUMNS)
     if packs:
         every = every.unionByName(pack_findings(docs, packs, config).select(*COLUMNS))
     return without_known_words(every, config)

@@ -77,3 +77,17 @@ def discard(*tables: DataFrame) -> None:
         context = table.sparkSession.sparkContext
         target = context._jvm.org.apache.hadoop.fs.Path(table.scratch)
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Bytes of a table for each core up to which it is dealt to all cores.
+SMALL = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table too small to have a partition for each core, dealt to all of them; any other as it is.
+
+    A file of one row group is read by one task, whatever comes after. Only some megabytes are moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) <= SMALL * cores else df

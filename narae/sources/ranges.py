@@ -17,6 +17,9 @@ KINDS = {"plain_text": "plain", "markdown": "markdown", "python": "python", "rus
 Range = tuple[int, int]
 
 _TOKEN = re.compile(f"[^{WHITE}]+")
+_BLANKS = frozenset(WHITE.replace("\u2000-\u200a", "".join(map(chr, range(0x2000, 0x200B)))))
+#: What a token must have somewhere to be an identifier; its last stop does not count.
+_MARK = re.compile(f"[@/\\\\#]|\\.(?=[^{WHITE}])|www\\.")
 _OPENERS = "\"'()[]{}<>“”‘’"
 _CLOSERS = _OPENERS + ".,!?;:"
 _FILE_NAME = re.compile(r".+\.[A-Za-z0-9_-]{1,63}[가-힣]*", re.DOTALL)
@@ -32,9 +35,14 @@ def is_identifier(token: str, tags: bool) -> bool:
 def without_identifiers(text: str, ranges: list[Range], tags: bool) -> list[Range]:
     out = []
     for start, end in ranges:
-        for m in _TOKEN.finditer(text, start, end):
-            token = m.group().lstrip(_OPENERS)
-            begin = m.end() - len(token)
+        done = start
+        while m := _MARK.search(text, done, end):
+            begin = m.start()
+            while begin > done and text[begin - 1] not in _BLANKS:
+                begin -= 1
+            done = _TOKEN.match(text, begin, end).end()
+            token = text[begin:done].lstrip(_OPENERS)
+            begin = done - len(token)
             token = token.rstrip(_CLOSERS)
             if token and is_identifier(token, tags):
                 out.append((start, begin))

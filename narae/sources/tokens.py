@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from narae.session import spread
 from narae.sources.ranges import WHITE, prose_ranges
 
 #: Characters after a word that literal patterns may look at.
 AHEAD = 24
 
-_MARKS = re.compile(r"(?P<word>[가-힣]+)|(?P<comma>,+)|(?P<blank>[ \t]+)(?=[.!?])|(?P<mark>[.!?])(?=[가-힣])")
-_LEAD = re.compile("[가-힣]*$")
+_MARKS = re.compile(r"(?P<word>[가-힣]+)|(?P<comma>,,+|,(?=[가-힣]))|(?<=[ \t])(?P<blank>[.!?])|(?P<mark>[.!?])(?=[가-힣])")
+_FIRST, _LAST = "가", "힣"
 _FIELDS = [
     ("doc_id", pa.int64()), ("range_no", pa.int32()), ("token_no", pa.int32()), ("kind", pa.string()), ("start", pa.int64()), ("byte_start", pa.int64()), ("surface", pa.string()),
     ("lead", pa.string()), ("before", pa.string()), ("ahead", pa.string()), ("after", pa.string()), ("previous", pa.string()), ("next", pa.string()), ("repeats", pa.int32()), ("gap", pa.string()),
@@ -31,7 +32,7 @@ SCHEMA = "doc_id long, range_no int, token_no int, kind string, start long, byte
 def tokens_of(text: str, kind: str) -> list[tuple]:
     """Rows of one text, without its id.
 
-    kind: word, comma (a run), blank (a run before a mark) or mark (before Hangul). lead: Hangul right
+    kind: word, comma (a run of several, or one before Hangul), blank (a run before a mark) or mark (before Hangul). lead: Hangul right
     before the range that the word continues; before: the character before, ahead: the text that
     follows, both within the range; after: the character that follows in the whole text. previous and
     next: the neighbouring words, where only white space lies between; repeats: how many equal words
@@ -40,30 +41,48 @@ def tokens_of(text: str, kind: str) -> list[tuple]:
     out = []
     size = at = 0
     for number, (begin, end) in enumerate(prose_ranges(text, kind)):
-        found = [m for m in _MARKS.finditer(text, begin, end)]
-        words = [m for m in found if m.lastgroup == "word"]
-        near = [not text[a.end() : b.start()].strip(_STRIP) for a, b in zip(words, words[1:])]
+        found = list(_spans(text, begin, end))
+        words = [(a, b) for a, b, name in found if name == "word"]
+        near = [not text[a[1] : b[0]].strip(_STRIP) for a, b in zip(words, words[1:])]
         turn, repeats = 0, 0
-        for m in found:
-            start, stop = m.span()
+        for start, stop, name in found:
             size += len(text[at:start].encode())
             at = start
             before = text[start - 1] if start > begin else ""
             lead = previous = following = gap = ""
-            if m.lastgroup == "word":
+            own = text[start:stop]
+            if name == "word":
                 if start == begin and begin:
-                    lead = _LEAD.search(text[max(0, begin - 64) : begin]).group()
+                    first = begin
+                    while first and _FIRST <= text[first - 1] <= _LAST:
+                        first -= 1
+                    lead = text[first:begin]
                 if turn and near[turn - 1]:
-                    previous = words[turn - 1].group()
+                    previous = text[slice(*words[turn - 1])]
                 if turn < len(near) and near[turn]:
-                    following = words[turn + 1].group()
+                    following = text[slice(*words[turn + 1])]
                 gap = _GAP.match(text, stop, end).group()
-                repeats = repeats + 1 if previous == m.group() else 0
+                repeats = repeats + 1 if previous == own else 0
                 turn += 1
-            out.append((number, len(out), m.lastgroup, start, size, m.group(), lead, before, text[stop : min(end, stop + AHEAD)], text[stop : stop + 1], previous, following, repeats, gap))
+            out.append((number, len(out), name, start, size, own, lead, before, text[stop : min(end, stop + AHEAD)], text[stop : stop + 1], previous, following, repeats, gap))
     return out
 
 
+def _spans(text: str, begin: int, end: int) -> Iterator[tuple[int, int, str]]:
+    """Begin, end and kind of the tokens of a range. Blanks are told by the mark behind them."""
+    for m in _MARKS.finditer(text, begin, end):
+        start, stop = m.span()
+        if m.lastgroup == "blank":
+            first = start
+            while first > begin and text[first - 1] in " \t":
+                first -= 1
+            if first < start:
+                yield first, start, "blank"
+            if not (stop < end and _FIRST <= text[stop] <= _LAST):
+                continue
+        yield start, stop, m.lastgroup if m.lastgroup != "blank" else "mark"
+
+
 _STRIP = WHITE.replace("\u2000-\u200a", "".join(map(chr, range(0x2000, 0x200B))))
 _GAP = re.compile(f"[{re.escape(_STRIP)}]*")
 
@@ -84,7 +103,7 @@ def tokens(docs: DataFrame) -> DataFrame:
                     out = []
             yield _batch(out)
 
-    return wanted.select(F.col("doc_id").cast("long"), "text", kind.alias("source_kind")).mapInArrow(rows, SCHEMA)
+    return spread(wanted.select(F.col("doc_id").cast("long"), "text", kind.alias("source_kind"))).mapInArrow(rows, SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -113,4 +132,4 @@ def range_table(docs: DataFrame) -> DataFrame:
             columns = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in RANGES.split(", ")])
 
-    return docs.where("text is not null").select(F.col("doc_id").cast("long"), "text", kind.alias("source_kind")).mapInArrow(rows, RANGES)
+    return spread(docs.where("text is not null").select(F.col("doc_id").cast("long"), "text", kind.alias("source_kind"))).mapInArrow(rows, RANGES)
