@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from narae.llm.components import components
 from narae.llm.shared import (
-    MOST_BROADCAST, NO_ID, PIECE, join_texts, lower_ascii, materialise, mix, only_listed, pieces, raw_texts, row_key, runs_of, signed, small_batches, window_hashes, windows_inside, word_bounds, word_hashes, tidy,
+    MOST_BROADCAST, NO_ID, PIECE, join_texts, lower_ascii, materialise, mix, only_listed, parts_for, pieces, raw_texts, row_key, runs_of, signed, small_batches, window_hashes, windows_inside, word_bounds, word_hashes, tidy,
 )
 
 #: Elements of the rows of a block at most; larger blocks are split.
@@ -365,7 +365,7 @@ def _promising(members: DataFrame, bounds: Bounds, parts: int) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             keep = block
-            if 1 < len(block) <= MOST_COMPARED:
+            if len(block) > 1:
                 near = may_link([r[1] for r in block], [r[2] for r in block], bounds)
                 keep = [r for r, k in zip(block, near) if k]
             nodes = {r[0] for r in keep} | ({hub} if keep else set())
@@ -381,8 +381,11 @@ def _promising(members: DataFrame, bounds: Bounds, parts: int) -> DataFrame:
         if block:
             yield done()
 
-    placed = members.select("hub", "node", "size", "sketch").repartition(parts, "hub").sortWithinPartitions("hub", "node")
-    return placed.mapInArrow(tidy(rows), "hub long, node long")
+    # Large blocks pass where they stand: only those that are compared are brought together.
+    large = members.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_COMPARED).select("hub")
+    small = members.select("hub", "node", "size", "sketch").join(large, "hub", "left_anti")
+    placed = small.repartition(parts, "hub").sortWithinPartitions("hub", "node")
+    return placed.mapInArrow(tidy(rows), "hub long, node long").unionByName(members.select("hub", "node").join(large, "hub", "left_semi"))
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -441,7 +444,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     the links of all of them; a null doc_id comes after all others and stays null as component.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(docs)
     bounds = Bounds(num, den)
     small_batches(spark)
     first = materialise(_first_pass(docs, n, bounds, parts), "jaccard-first")

@@ -211,6 +211,21 @@ MOST_BROADCAST = 1_000_000
 NO_ID = 2**63 - 1
 
 
+#: Bytes of input for each part of an exchange: a part is held by one task.
+PART_BYTES = 16 << 20
+
+
+def parts_for(docs: DataFrame) -> int:
+    """Parts of an exchange over ``docs``: the session's number, or more where the input asks for it.
+
+    The size is the plan's (of files: theirs); where the plan has none, texts are measured.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 2
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+
+
 def row_key(name: str = "doc_id") -> Column:
     """An identifier as a long, null last."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))

@@ -1,9 +1,10 @@
 """Substring dedup by level-wise doubling.
 
-Windows repeated at one length alone are extended to twice that length (to the target length at
-last). At the first length only the window of smallest hash within each target window is counted:
-equal target windows agree on it, so no candidate is lost, and about a quarter of the windows is
-left. Windows travel as packed hashes, dealt out by hash; what repeats within one piece of input is
+Lengths double up to the target length (each is half of the next, rounded up, down to FIRST words or
+fewer; 13 words: 7, 13; 50 words: 7, 13, 25, 50). Windows repeated at one length alone are extended to the
+next, until the target length is reached or no candidates survive. Below the target length only the window
+of smallest hash within each target window is counted: equal target windows agree on it, so no candidate is
+lost, and at the first length about a quarter of the windows is left. Windows travel as packed hashes, dealt out by hash; what repeats within one piece of input is
 settled there and sends one representative, so that a passage shared by a third of all documents
 costs one entry a piece. Texts move only for documents with surviving candidates.
 """
@@ -18,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narae.llm.shared import NO_ID, join_texts, materialise, mix, only_listed, pieces, raw_texts, row_key, runs_of, small_batches, tidy, window_hashes, windows_inside, word_bounds, word_hashes
+from narae.llm.shared import NO_ID, join_texts, materialise, mix, only_listed, parts_for, pieces, raw_texts, row_key, runs_of, small_batches, tidy, window_hashes, windows_inside, word_bounds, word_hashes
 
 WINDOW = 13
+#: Words of a window at the first length at most.
+FIRST = 7
 
 #: Rows of the exchanges: documents (their words as a whole), windows to be counted, and findings.
 DOCUMENT, ASKED, FOUND = 0, 1, 2
@@ -142,11 +145,19 @@ def _several(first: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[_group_start(first)] != keys[_group_last(first)]
 
 
+def levels(window: int) -> list[int]:
+    """The window lengths, from the first to the target."""
+    out = [window]
+    while out[0] > FIRST or len(out) == 1:
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, removals): every row's (key, n_words, sha of all words), and by key the low hashes
     of its windows that also start in a document with a smaller key."""
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    length = -(-window // 2)  # doubled, it covers the window
+    parts = parts or parts_for(docs)
+    lengths = levels(window)
     small_batches(docs.sparkSession)
     texts = docs.select(row_key().alias("_key"), F.encode("text", "UTF-8").alias("_text"))
 
@@ -163,37 +174,54 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, parts: int | None =
                 ]
                 at, text = windows_inside(first, window)
                 if len(at):
-                    low = _least_hashes(word_hashes(buf, begin, end), length, window)[at]
+                    low = _least_hashes(word_hashes(buf, begin, end), lengths[0], window)[at]
                     new = np.ones(len(low), dtype=bool)
                     new[1:] = (low[1:] != low[:-1]) | (text[1:] != text[:-1])
                     low, own = low[new], keys[text[new]]
-                    rows += _ask(low, np.zeros_like(low), own, parts, lambda first: _group_start(first) != _group_last(first))
+                    rows += _ask(low, np.zeros_like(low), own, parts, _settled)
                 yield _batch(rows)
 
-    counted = _exchange(texts.mapInArrow(tidy(first_level), _ROWS), _several, parts, "substring-1")
-    candidates = materialise(_collected(counted, parts), "substring-candidates")
+    def next_level(before: int, length: int) -> Callable:
+        """Of the windows that survived at the length before, what they are at this one."""
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                all_keys, all_texts, found = batch.column(0).to_numpy(), raw_texts(batch.column(1)), batch.column(2)
+                for a, b in pieces(all_texts):
+                    low, high, own = [], [], []
+                    for key, text, known in zip(all_keys[a:b], all_texts[a:b], found.slice(a, b - a)):
+                        buf, starts = join_texts([text])
+                        begin, end, _ = word_bounds(buf, starts)
+                        words = word_hashes(buf, begin, end)
+                        at = np.flatnonzero(_member(_least_hashes(words, before, window), np.frombuffer(known.as_buffer(), np.uint64)))
+                        low.append(_least_hashes(words, length, window)[at])
+                        # The target windows are told apart by a second hash.
+                        high.append(window_hashes(word_hashes(buf, begin, end, 1), window, 1)[at] if length == window else np.zeros(len(at), np.uint64))
+                        own.append(np.full(len(at), key))
+                    low, high, own = np.concatenate(low), np.concatenate(high), np.concatenate(own)
+                    if len(low):
+                        yield _batch(_ask(low, high, own, parts, _settled if length < window else lambda first: ~first))
+
+        return rows
 
-    def last_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_keys, all_texts, found = batch.column(0).to_numpy(), raw_texts(batch.column(1)), batch.column(2)
-            for a, b in pieces(all_texts):
-                low, high, own = [], [], []
-                for key, text, known in zip(all_keys[a:b], all_texts[a:b], found.slice(a, b - a)):
-                    buf, starts = join_texts([text])
-                    begin, end, _ = word_bounds(buf, starts)
-                    words = word_hashes(buf, begin, end)
-                    known = np.frombuffer(known.as_buffer(), np.uint64)
-                    at = np.flatnonzero(_member(_least_hashes(words, length, window), known))
-                    low.append(window_hashes(words, window)[at])
-                    high.append(window_hashes(word_hashes(buf, begin, end, 1), window, 1)[at])
-                    own.append(np.full(len(at), key))
-                low, high, own = np.concatenate(low), np.concatenate(high), np.concatenate(own)
-                if len(low):
-                    yield _batch(_ask(low, high, own, parts, lambda first: ~first))
-
-    wanted = only_listed(texts, candidates.select("_key"), "_key").join(candidates, "_key").select("_key", "_text", "found")
-    removals = _exchange(wanted.mapInArrow(tidy(last_level), _ROWS), lambda first, keys: keys != keys[_group_start(first)], parts, "substring-2")
-    return counted.where(F.col("kind") == DOCUMENT), _collected(removals, parts)
+    counted = _exchange(texts.mapInArrow(tidy(first_level), _ROWS), _several, parts, "substring-1")
+    documents = counted.where(F.col("kind") == DOCUMENT)
+    survivors = materialise(_collected(counted, parts), "substring-candidates")
+    for before, length in zip(lengths, lengths[1:]):
+        if survivors.limit(1).count() == 0:
+            return documents, survivors
+        wanted = only_listed(texts, survivors.select("_key"), "_key").join(survivors, "_key").select("_key", "_text", "found")
+        test = _several if length < window else lambda first, keys: keys != keys[_group_start(first)]
+        found = _exchange(wanted.mapInArrow(tidy(next_level(before, length)), _ROWS), test, parts, f"substring-{length}")
+        survivors = _collected(found, parts)
+        if length < window:
+            survivors = materialise(survivors, "substring-candidates")
+    return documents, survivors
+
+
+def _settled(first: np.ndarray) -> np.ndarray:
+    """Entries of windows that several documents of one piece have."""
+    return _group_start(first) != _group_last(first)
 
 
 def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:

@@ -591,7 +591,7 @@ def brute_substrings(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window, piece", [(13, 1 << 22), (13, 200), (4, 300), (1, 1 << 22)])
+@pytest.mark.parametrize("window, piece", [(13, 1 << 22), (13, 200), (4, 300), (1, 1 << 22), (20, 300), (45, 300)])
 def test_substrings_equal_brute_force(spark, monkeypatch, window, piece):
     from narae.llm import shared
 
