@@ -8,9 +8,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from narae.functions.catalogue import RULES, Config
-from narae.operators.candidates import confidence, merged, policy, rank_score, spacing_candidates, spelling_candidates, with_evidence  # noqa: F401
+from narae.operators.candidates import merged, rank_score, spacing_candidates, spelling_candidates, with_evidence
 from narae.operators.detect import lint
 from narae.operators.fix import fix
+from narae.operators.standard import ContextRanker, Scorer, standard
 from narae.sources.tokens import tokens
 
 
@@ -32,6 +33,21 @@ def lint_json(spark: SparkSession, request: str) -> str:
     return json.dumps(out, ensure_ascii=False)
 
 
+def lint_standard_json(spark: SparkSession, request: str, lexicon, scorer: Scorer | None = None) -> str:
+    """The same by the standard pipeline: findings and dictionary candidates with evidence, corrected texts."""
+    data = json.loads(request)
+    docs = spark.createDataFrame([(0, data["text"], data.get("sourceKind", "plain_text"))], "doc_id long, text string, source_kind string")
+    out = standard(docs, lexicon, config_of(data.get("config", {})), scorer, data.get("includeReview", True))
+    row = json.loads(out.select(F.to_json(F.struct("diagnostics", "fixed_text", "review_fixed_text"))).first()[0])
+    found = [{k: v for k, v in d.items() if k != "turn"} for d in row.get("diagnostics", [])]
+    return json.dumps({"version": 1, "diagnostics": found, "fixedText": row["fixed_text"], "reviewFixedText": row["review_fixed_text"]}, ensure_ascii=False)
+
+
+def lint_context_json(spark: SparkSession, request: str, lexicon, manifest: str) -> str:
+    """The same, candidates ranked by a context model given in its JSON form."""
+    return lint_standard_json(spark, request, lexicon, ContextRanker.load(manifest))
+
+
 def lint_with_lexicon(spark: SparkSession, docs, lexicon, config: Config = Config()):
     """Findings, and candidates for words out of a lexicon as review findings beside them."""
     found = lint(docs, config)
@@ -46,6 +62,15 @@ def rule_catalogue_json() -> str:
     return json.dumps({"version": 1, "ruleCount": len(rows), "rules": rows}, ensure_ascii=False)
 
 
+def rule_catalogue_markdown() -> str:
+    """The catalogue as a document, a section a rule."""
+    out = [f"# {len(RULES)} rules", ""]
+    for r in RULES.values():
+        out += [f'<a id="{r.id}"></a>', f"## `{r.id}`: {r.title}", "", r.message, "", f"- category: `{r.category}`", f"- confidence: `{r.confidence}`", f"- correction: `{r.safety}`", f"- profile: `{r.profile}`"]
+        out += [f"- example: `{a}` → `{b}`" for a, b in list(zip(r.incorrect, r.correct))[:1]] + [""]
+    return "\n".join(out)
+
+
 def explain(rule_id: str) -> str:
     """A rule in a few lines. An unknown id raises KeyError."""
     r = RULES[rule_id]

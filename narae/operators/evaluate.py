@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from narae.functions.catalogue import PROFILES, Config
+from narae.operators.detect import lint
+from narae.operators.fix import fix
+from narae.session import materialise
+
 #: Normal quantile of two-sided 95 per cent.
 Z = 1.959963984540054
 
@@ -174,6 +179,57 @@ def corpus_problems(cases: DataFrame, expected: DataFrame | None = None) -> Data
     return out
 
 
+def corpus_findings(cases: DataFrame) -> DataFrame:
+    """(case_id, rule_id, start, end (UTF-8 bytes), original, suggestion) of corpus cases (as read_corpus() reads
+    them, with case_id), each linted by its own profile."""
+    out = None
+    rows = cases.select(F.xxhash64("case_id").alias("doc_id"), "case_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("sourceKind", F.lit("plain_text")).alias("source_kind"), F.coalesce("profile", F.lit("default")).alias("profile"))
+    for profile in PROFILES:
+        mine = rows.where(F.col("profile") == profile).drop("profile")
+        found = lint(mine, Config(profile)).join(mine.select("doc_id", "case_id"), "doc_id")
+        found = found.select("case_id", "rule_id", F.col("byte_start").alias("start"), F.col("byte_end").alias("end"), "original", "suggestion")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def expectations(cases: DataFrame) -> DataFrame:
+    """(case_id, rule_id, start, end, original, suggestions): detailed ones, and rules alone beyond those."""
+    detailed = cases.select("case_id", F.explode("expectedDiagnostics").alias("d")).select(
+        "case_id", F.col("d.ruleId").alias("rule_id"), F.col("d.range.start").cast("long").alias("start"), F.col("d.range.end").cast("long").alias("end"), F.col("d.original").alias("original"), F.col("d.suggestions").alias("suggestions")
+    )
+    named = F.coalesce("expectedRuleIds", F.array().cast("array<string>"))
+    done = F.transform(F.coalesce("expectedDiagnostics", F.array()), lambda d: d["ruleId"])
+    plain = cases.where(F.size(F.coalesce(F.col("expectedDiagnostics"), F.array())) == 0).select("case_id", F.explode(named).alias("rule_id"))
+    none = F.lit(None)
+    rest = cases.where(F.size(F.coalesce(F.col("expectedDiagnostics"), F.array())) > 0).select("case_id", F.explode(F.array_except(named, done)).alias("rule_id"))
+    bare = plain.unionByName(rest).select("case_id", "rule_id", none.cast("long").alias("start"), none.cast("long").alias("end"), none.cast("string").alias("original"), none.cast("array<string>").alias("suggestions"))
+    return detailed.unionByName(bare)
+
+
+def corpus_report(corpus: DataFrame, gates: dict | None = None) -> tuple[dict, bool]:
+    """A corpus run end to end: what it is made of, its problems, metrics, failing cases and gates.
+
+    gates: least values by metric. Passed is a run without problems of the corpus and without failing gates;
+    the report has counts and one row a metric, not the cases themselves.
+    """
+    names = {"id": "case_id", "caseType": "case_type", "documentId": "document_id", "errorFamilies": "error_families", "expectedRuleIds": "expected_rule_ids"}
+    cases = materialise(corpus.withColumn("case_id", F.trim("id")), "corpus")
+    shown = cases.withColumnsRenamed({k: v for k, v in names.items() if k != "id"})
+    detailed = F.transform(F.coalesce("expectedDiagnostics", F.array()), lambda d: d["ruleId"])
+    shown = shown.withColumn("expected_rule_ids", F.concat(F.coalesce("expected_rule_ids", F.array().cast("array<string>")), detailed))
+    wanted = expectations(cases)
+    actual = materialise(corpus_findings(cases), "corpus-findings")
+    counts = materialise(matched_in_detail(wanted, actual, cases), "corpus-counts")
+    docs = cases.where("expectedFixedText is not null").select(F.xxhash64("case_id").alias("doc_id"), "case_id", "text", F.coalesce("sourceKind", F.lit("plain_text")).alias("source_kind"), F.col("expectedFixedText").alias("expected_fixed_text"))
+    failures = case_failures(counts, fix(docs).withColumnRenamed("fixed", "fixed_text"))
+    total, clean = totals(counts).first().asDict(), specificity(shown, actual).first().asDict()
+    problems = {r.problem: r["count"] for r in corpus_problems(shown, wanted).groupBy("problem").count().collect()}
+    metrics = total | {"specificity": clean["specificity"]}
+    failed = [(k, metrics.get(k), least) for k, least in (gates or {}).items() if metrics.get(k) is None or metrics[k] < least]
+    report = {"dataset": dataset_metadata(shown).first().asDict(), "problems": problems, "metrics": metrics, "failures": {r.reason: r["count"] for r in failures.groupBy("reason").count().collect()}, "failedGates": failed}
+    return report, not problems and not failed
+
+
 def latency(samples: DataFrame, size: float) -> DataFrame:
     """Least, mean, median and 95th percentile of ``ms`` and the rate at the median, for texts of ``size`` bytes."""
     out = samples.agg(F.min("ms").alias("least"), F.avg("ms").alias("mean"), F.percentile("ms", F.lit(0.5)).alias("p50"), F.percentile("ms", F.lit(0.95)).alias("p95"))

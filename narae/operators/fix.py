@@ -12,14 +12,22 @@ from narae.session import materialise
 MOST_PASSES = 32
 
 
+def standing(docs: DataFrame, findings: DataFrame) -> DataFrame:
+    """The findings whose ``original`` still stands at their range in the texts."""
+    texts = docs.select("doc_id", F.col("text").alias("_text"))
+    there = F.substring(F.col("_text"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    return findings.join(texts, "doc_id").where(there == F.col("original")).drop("_text")
+
+
 def accepted(findings: DataFrame, review: bool = False, ties: str = "rule_id") -> DataFrame:
     """(doc_id, edits): in order, the findings that a pass applies, none overlapping the one before.
 
     Only safe ones unless ``review``; findings left out do not stand in the way of others. Equal
-    ranges go by ``ties``.
+    ranges go by ``ties``: a column, or "safe" for safe ones first, then by rule.
     """
     rows = findings if review else findings.where("safe")
-    edit = F.struct("start", "end", F.col(ties).alias("tie"), "turn", "original", "suggestion", "rule_id")
+    tie = F.when(F.col("safe"), F.concat(F.lit("0"), F.col("rule_id"))).otherwise(F.concat(F.lit("1"), F.col("rule_id"))) if ties == "safe" else F.col(ties)
+    edit = F.struct("start", "end", tie.alias("tie"), "turn", "original", "suggestion", "rule_id")
     lists = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(edit)).alias("all"))
     kind = lists.schema["all"].dataType.simpleString()
     start = F.struct(F.lit(0).cast("long").alias("stop"), F.array().cast(kind).alias("kept"))

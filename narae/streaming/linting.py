@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from narae.functions.catalogue import Config
 from narae.operators.detect import lint
+from narae.sources.files import source_kind
 
 EDITS = "uri string, version long, start_line int, start_character int, end_line int, end_character int, text string"
 
@@ -26,6 +29,42 @@ def watch(spark: SparkSession, folder: str, schema: str, sink: Callable[[DataFra
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def watch_files(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], config: Config = Config(), checkpoint: str | None = None, interval: str | None = None) -> StreamingQuery:
+    """Lints supported text files that arrive below a folder or are written anew; ``sink`` gets the findings
+    with their paths. Files that are not UTF-8 are left out."""
+    stream = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(folder)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        texts = rows.where(F.expr("is_valid_utf8(cast(content as string))")).withColumn("source_kind", source_kind(F.col("path"))).where("source_kind is not null")
+        docs = texts.select(F.xxhash64("path").alias("doc_id"), "path", F.decode("content", "UTF-8").alias("text"), "source_kind")
+        sink(lint(docs, config).join(docs.select("doc_id", "path"), "doc_id"), number)
+
+    writer = stream.writeStream.foreachBatch(batch)
+    if checkpoint:
+        writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def watch_configurations(spark: SparkSession, folder: str, docs: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str | None = None, interval: str | None = None) -> StreamingQuery:
+    """Lints all documents again whenever configurations (JSON files) arrive in a folder: by the latest of them."""
+    from narae.api import config_of
+
+    stream = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.json").load(folder)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        latest = rows.orderBy(F.desc("modificationTime"), F.desc("path")).select("content").first()
+        if latest:
+            sink(lint(docs(), config_of(json.loads(bytes(latest.content).decode()))), number)
+
+    writer = stream.writeStream.foreachBatch(batch)
+    if checkpoint:
+        writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
 def offset_of(text: str, line: int, character: int) -> int:
     """Code point offset of a 0-based line and UTF-16 position; beyond the end of a line, its end."""
     lines = text.splitlines(keepends=True) or [""]

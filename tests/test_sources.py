@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from narae.functions import hangul
-from narae.functions.catalogue import Config
+from narae.functions.catalogue import RULES, Config
 from narae.operators.detect import lint
 from narae.sources import files
 from narae.sources.ranges import is_identifier, prose_ranges
@@ -91,10 +91,14 @@ def test_reports(spark):
     docs = spark.createDataFrame([(1, "가\n 몇일")], "doc_id long, text string")
     found = files.with_lines(lint(docs), docs).withColumn("path", F.lit("a b/c.md")).withColumn("message", F.lit("m"))
     assert files.report_lines(found).first().value == "a b/c.md:2:2: error [spelling.lexical.myeochil] m → 며칠"
-    log = json.loads(files.sarif(found).first().value)
+    log = json.loads("".join(files.sarif(found, list(RULES.values()))))
+    assert len(log["runs"][0]["tool"]["driver"]["rules"]) == 116 and json.loads("".join(files.sarif(found.limit(0))))["runs"][0]["results"] == []
     result = log["runs"][0]["results"][0]
     assert log["version"] == "2.1.0" and result["level"] == "error"
     assert result["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "a%20b/c.md"
+    paths = {"/a b/é~*.md": "file:///a%20b/%C3%A9~%2A.md", "C:\\x\\y.md": "file:///C:/x/y.md", "//host/s.md": "file://host/s.md", "a:b.md": "a%3Ab.md"}
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", files.artifact_uri(F.col("p")).alias("u"))
+    assert {r.p: r.u for r in rows.collect()} == paths
     assert files.fails(found, "error") and not files.fails(found.limit(0))
 
 
