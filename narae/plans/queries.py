@@ -21,6 +21,7 @@ from narae.operators.fix import accepted, applied
 from narae.plans.fixture import KOREAN, korean_documents
 from narae.session import materialise
 from narae.sources import files
+from narae.operators.standard import tokens_in_ranges, with_parts_of_speech
 from narae.sources.tokens import range_table, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -292,15 +293,48 @@ SOURCES = [
 ]
 
 
-@query()
+#: Ranges and bytes of prose in each frame by hand; marks of comments are identifiers, as they have a slash.
+_FRAMES = [(4, 22, "글"), (2, 13, "#"), (3, 16, "//"), (4, 18, "//")]
+_MARKUP = r"[\s`<>\[\]!~\\*]+"
+
+
+def _core(token: str) -> str:
+    return f"""rtrim(ltrim({token}, '"''()[]{{}}<>“”‘’'), '"''()[]{{}}<>“”‘’.,!?;:')"""
+
+
+def _is_identifier(c: str) -> str:
+    return f"""({c} <> '' AND (contains({c}, '://') OR contains({c}, '@') OR contains({c}, '/') OR contains({c}, '\\') OR starts_with({c}, 'www.')
+  OR regexp_full_match({c}, '(?s).+\\.[A-Za-z0-9_-]{{1,63}}[가-힣]*') OR (f = 0 AND starts_with({c}, '#') AND length({c}) > 1)))"""
+
+
+@query(f"""WITH k(f, ranges, bytes, mark) AS (VALUES {_table([(k, *x) for k, x in enumerate(_FRAMES)])}),
+l AS (SELECT doc_id, f, ranges, bytes, mark || ' ' || regexp_replace(coalesce(text, ''), '{_MARKUP}', ' ', 'g') AS line FROM documents JOIN k ON doc_id % {len(_FRAMES)} = f),
+t AS (SELECT doc_id, f, {_core('token')} AS c FROM (SELECT doc_id, f, unnest(string_split(line, ' ')) AS token FROM l)),
+n AS (SELECT doc_id, count(*) AS n, sum(strlen(c)) AS b FROM t WHERE {_is_identifier('c')} GROUP BY doc_id),
+e AS (SELECT *, {_core("string_split(line, ' ')[-1]")} AS last FROM l)
+SELECT doc_id, CAST(ranges + 1 + coalesce(n, 0) - CASE WHEN f >= 2 THEN 1 ELSE 0 END - CASE WHEN {_is_identifier('last')} AND ends_with(line, last) THEN 1 ELSE 0 END AS BIGINT) AS ranges,
+  CAST(bytes + strlen(line) - coalesce(b, 0) AS BIGINT) AS prose_bytes FROM e LEFT JOIN n USING (doc_id)""")
 def source_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prose of documents inside program text and Markdown of four kinds. (Scanners are beyond SQL.)"""
-    kinds = spark.createDataFrame([(k, *s) for k, s in enumerate(SOURCES)], "k int, source_kind string, frame string")
+    """Prose of documents that stand, without markup, in Markdown and in comments of three kinds of programs."""
+    kinds = spark.createDataFrame([(k, *s, mark) for k, (s, (_, _, mark)) in enumerate(zip(SOURCES, _FRAMES))], "k int, source_kind string, frame string, mark string")
     docs = _read(spark, sf_dir, "documents").join(F.broadcast(kinds), F.pmod(F.col("doc_id"), F.lit(len(SOURCES))) == F.col("k"))
-    docs = docs.select("doc_id", "source_kind", F.concat("frame", F.coalesce("text", F.lit(""))).alias("text"))
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), _MARKUP, " ")
+    docs = docs.select("doc_id", "source_kind", F.concat("frame", "mark", F.lit(" "), plain).alias("text"))
     return range_table(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("ranges"), F.sum(F.col("byte_end") - F.col("byte_start")).alias("prose_bytes"))
 
 
+@query(f"""WITH {KOREAN}, a AS (SELECT doc_id, start AS at_, start + length(word) - CASE WHEN start % 3 = 0 THEN 1 ELSE 0 END AS stop, 'p' || length(word) AS pos FROM words WHERE length(word) > 1)
+SELECT w.doc_id, w.start AS start_cp, w.word AS surface, a.pos FROM words w LEFT JOIN a ON a.doc_id = w.doc_id AND a.at_ = w.start AND a.stop = w.start + length(w.word)""")
+def analysed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with the part of speech of the analysed token at just their place; a third of the tokens ends short."""
+    docs = korean_documents(spark, sf_dir)
+    words = tokens(docs).where("kind = 'word'").select("doc_id", "start", "surface")
+    size = F.char_length("surface")
+    analysed = words.where(size > 1).select("doc_id", "start", (F.col("start") + size - F.when(F.col("start") % 3 == 0, 1).otherwise(0)).alias("end"), F.concat(F.lit("p"), size.cast("string")).alias("pos"))
+    found = with_parts_of_speech(words, tokens_in_ranges(analysed, range_table(docs)))
+    return found.select("doc_id", F.col("start").alias("start_cp"), "surface", "pos")
+
+
 @query(f"WITH {KOREAN} SELECT doc_id, start AS start_cp, word AS surface FROM words")
 def hangul_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokens(korean_documents(spark, sf_dir)).where("kind = 'word'")
@@ -539,18 +573,21 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = lambda c: F.when(c % 3 == 0, "train").when(c % 3 == 1, "dev").otherwise("release_holdout")
     items = _read(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), "text", split(F.col("item_id")).alias("split"))
     turns = _read(spark, sf_dir, "conversations").select(F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("id"), "text", split(F.col("turn")).alias("split"))
-    return items.unionByName(turns)
+    again = turns.where(F.length("text") % 2 == 0).select(F.concat(F.lit("v"), "id").alias("id"), F.concat("text", F.lit(" ok")).alias("text"), F.lit("extra").alias("split"))
+    return items.unionByName(turns).unionByName(again)
 
 
 _RECORDS = """r AS (SELECT 'b' || item_id AS id, text, ['train', 'dev', 'release_holdout'][item_id % 3 + 1] AS split FROM benchmark
-UNION ALL SELECT 'c-' || conv_id || '-' || turn, text, ['train', 'dev', 'release_holdout'][turn % 3 + 1] FROM conversations),
+UNION ALL SELECT 'c-' || conv_id || '-' || turn, text, ['train', 'dev', 'release_holdout'][turn % 3 + 1] FROM conversations
+UNION ALL SELECT 'vc-' || conv_id || '-' || turn, text || ' ok', 'extra' FROM conversations WHERE length(text) % 2 = 0),
 n AS (SELECT id, split, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM r)"""
 
 
 @query("""WITH d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t, doc_id % 3 AS s FROM documents)
-SELECT a.doc_id AS left_id, b.doc_id AS right_id FROM d a JOIN d b ON a.t = b.t AND a.s <> b.s AND a.doc_id < b.doc_id""")
+SELECT DISTINCT least(a.doc_id, b.doc_id) AS left_id, greatest(a.doc_id, b.doc_id) AS right_id
+FROM d a JOIN (SELECT t, s, min(doc_id) AS doc_id FROM d WHERE t <> '' GROUP BY t, s) b ON a.t = b.t AND a.s <> b.s""")
 def leaks_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal normalised texts in different splits."""
+    """Equal normalised texts in different splits: each with the first of every other split."""
     docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.pmod(F.col("doc_id"), F.lit(3)).alias("split"))
     return curate.leaks(docs, "exact_text", hangul.normalised(F.col("text"))).select("left_id", "right_id")
 
@@ -564,7 +601,7 @@ SELECT x AS left_id, y AS right_id, round(common / (p + q - common), 9) AS score
 
 @query(_near_sql(5, 0.5, "AND a.split <> b.split", _RECORDS))
 def leaks_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar texts of benchmark items and conversation turns in different splits."""
+    """Similar texts of benchmark items, conversation turns and turns with two words more, in different splits."""
     return curate.similar_pairs(_records(spark, sf_dir), least=0.5).select("left_id", "right_id", F.round("score", 9).alias("score"))
 
 
