@@ -47,14 +47,31 @@ def test_run(spark):
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 50
 
 
-def test_the_entry_works_without_these_operators(tmp_path):
+def test_the_library_works_without_these_operators(tmp_path):
+    """Without both folders and the pipeline: the entry imports, and tests of the library pass."""
     import shutil
     import subprocess
 
     root = os.path.dirname(corpus_pipeline.__file__)
-    for name in ("__spark_entry__.py", "narae"):
+    for name in ("__spark_entry__.py", "narae", "tests"):
         target = tmp_path / name
         (shutil.copytree if os.path.isdir(f"{root}/{name}") else shutil.copy)(f"{root}/{name}", target)
     shutil.rmtree(tmp_path / "narae" / "llm")
+    shutil.rmtree(tmp_path / "tests" / "llm")
     code = "import __spark_entry__ as e; q = e.queries(); assert 'lint_counts' in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    settings = os.environ | {"PYTHONPATH": str(tmp_path)}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=settings)
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "tests/test_rules.py", "tests/test_sources.py"], cwd=tmp_path, check=True, env=settings, timeout=600)
+
+
+def test_a_broken_operator_is_not_taken_for_an_absent_one(tmp_path):
+    import shutil
+    import subprocess
+
+    root = os.path.dirname(corpus_pipeline.__file__)
+    for name in ("__spark_entry__.py", "corpus_pipeline.py", "narae"):
+        target = tmp_path / name
+        (shutil.copytree if os.path.isdir(f"{root}/{name}") else shutil.copy)(f"{root}/{name}", target)
+    (tmp_path / "narae" / "llm" / "queries.py").write_text("import no_such_module")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    assert done.returncode and "no_such_module" in done.stderr
