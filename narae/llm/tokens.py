@@ -9,6 +9,7 @@ system that Spark reaches.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -33,11 +34,16 @@ LANES, BLOCK = 1024, 1 << 18
 #: Ids of a file, beyond which it ends after the current document.
 FILE_IDS = 1 << 21
 #: Words that a worker remembers the ids of; of more it keeps the first, which are the frequent ones.
-CACHE_WORDS, KEPT_WORDS = 600_000, 200_000
+CACHE_WORDS, KEPT_WORDS = 1_000_000, 300_000
 #: Stands between words that are encoded together; words that have it in them are encoded alone.
 DIVIDER = b"|"
 
 
+# Normaliser and split of vocabularies whose texts fall apart into words. Others take whole texts.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
 # --- coding ----------------------------------------------------------------------------------
 
 
@@ -179,7 +185,7 @@ def plain_form(text: bytes) -> bytes:
 
     A stop between a letter (A-Z) and white space is a piece of its own, so it may as well be set off.
     Letters may be lower-cased ahead of the tokenizer, unless a combining mark (U+0300 to U+037F)
-    could first compose with one.
+    could first compose with one, or a special token come of it.
     """
     data = np.frombuffer(text, np.uint8)
     if len(data) > 2:
@@ -188,19 +194,23 @@ def plain_form(text: bytes) -> bytes:
         inner = inner[_LETTER[data[inner - 1]] & _WHITE[data[inner + 1]]]
         if len(inner):
             text = np.insert(data, inner, 32).tobytes()
-    return text if b"\xcc" in text or b"\xcd" in text else lower_ascii(text)
+    return text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else lower_ascii(text)
 
 
 class WordEncoder:
     """Ids of whole texts, with the ids of words remembered.
 
-    The tokenizer's pieces never span white space and it drops white space, so a text's ids are those
-    of its words (as split at ASCII blanks) in turn. Each distinct word is encoded by the tokenizer.
+    Where the tokenizer's pieces never span white space and it drops white space (as its normaliser and
+    split tell), a text's ids are those of its words (as split at ASCII blanks) in turn, and each distinct
+    word is encoded by the tokenizer. With any other vocabulary whole texts are.
     """
 
     def __init__(self, path: str, most: int = 0, kept: int = 0):
         self.path, self._tokenizer = path, None
         self.most, self.kept = most or CACHE_WORDS, kept or KEPT_WORDS
+        form = json.loads(self.tokenizer.to_str())
+        split = form.get("pre_tokenizer") or {}
+        self.by_words = form.get("normalizer") == WORD_NORMALIZER and split.get("type") == "Sequence" and split["pretokenizers"][0] == WORD_SPLIT
         alone = self.tokenizer.encode(DIVIDER.decode(), add_special_tokens=False).ids
         self.divider = alone[0] if len(alone) == 1 else -1
         self.numbers = _Numbers()
@@ -216,10 +226,11 @@ class WordEncoder:
         return self._tokenizer
 
     def rest(self) -> None:
-        """Between tasks the tokenizer goes, and words beyond those to be kept if they are few."""
-        self._tokenizer = None
-        if self.most < CACHE_WORDS and len(self.numbers) > self.kept:
-            self.forget()
+        """Between tasks the tokenizer goes, and words beyond those to be kept, if few are remembered."""
+        if self.most < CACHE_WORDS:
+            self._tokenizer = None
+            if len(self.numbers) > self.kept:
+                self.forget()
 
     def forget(self) -> None:
         """Keeps the first words."""
@@ -230,6 +241,9 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text with the end id, and all those ids."""
+        if not self.by_words:
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            return np.fromiter(map(len, coded), np.int64, len(coded)) + 1, np.fromiter(chain.from_iterable([*c, END_ID] for c in coded), np.uint32)
         if len(self.numbers) > self.most:
             self.forget()
         words = [plain_form(t).split() for t in texts]

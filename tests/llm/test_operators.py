@@ -731,6 +731,16 @@ def test_decoding_equals_enumeration():
         assert field.decode(scores) == list(best)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_vocabulary(name):
+    coder = tokens.WordEncoder(public_tokenizers.path(name))
+    texts = ["Hello, World.  It's 3.14!", "", "<|ENDOFTEXT|> and <|endoftext|>. E\u0301 A. b", "  two\n\nlines  ", "ÀÉ Straße ǅ İ"]
+    counts, ids = coder.encode([t.encode() for t in texts])
+    expected = [[*coder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert counts.tolist() == [len(e) for e in expected] and ids.tolist() == sum(expected, [])
+    assert coder.by_words == (name == "word_bpe_49k.json")
+
+
 def test_forgotten_words(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_WORDS", 5)
     monkeypatch.setattr(tokens, "KEPT_WORDS", 3)
