@@ -254,24 +254,36 @@ def _segment(view: memoryview, start: int, end: int, packets: list[Packet], cues
 # --- DataFrames ------------------------------------------------------------------------------
 
 PACKETS = "key long, packet int, track int, cluster int, timestamp_ns long, byte_offset long, byte_length long, keyframe boolean, lacing int"
+#: What is wrong with a media value, in a row without a packet.
+PROBLEM = ", problem string"
 
 
-def packet_table(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """One row a packet of every media value. A null value has no packets; damaged media raises."""
+def packet_table(media: DataFrame, key: str = "doc_id", column: str = "media", strict: bool = True) -> DataFrame:
+    """One row a packet of every media value. A null value has no packets.
+
+    Damaged media raises, or, unless ``strict``, gives one row that names the ``problem`` and no packet.
+    """
+    schema = PACKETS if strict else PACKETS + PROBLEM
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in PACKETS.split(", ")]
+        names = [f.split()[0] for f in schema.split(", ")]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.string()][: len(names)]
         for batch in batches:
             out: list[tuple] = []
             for ident, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if data.is_valid:
-                    packets, _ = parse_matroska(data.as_py())
-                    out += [(ident, k, *p) for k, p in enumerate(packets)]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
+                    try:
+                        packets, _ = parse_matroska(data.as_py())
+                    except ValueError as error:
+                        if strict:
+                            raise
+                        out.append((ident, *[None] * (len(names) - 2), str(error)))
+                        continue
+                    out += [(ident, k, *p, *[None] * (not strict)) for k, p in enumerate(packets)]
             columns = list(zip(*out)) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return media.select(F.col(key).cast("long"), F.col(column)).mapInArrow(tidy(rows), PACKETS)
+    return media.select(F.col(key).cast("long"), F.col(column)).mapInArrow(tidy(rows), schema)
 
 
 def pad(data: bytes, unit: int = FRAME) -> bytes:

@@ -102,8 +102,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A document that is taken k times and a part has k rows with its whole text and one row with the
     first words of it, up to the cut. Documents of which nothing is taken are absent, and so are
-    those without words. ``n_chars`` follows the text. Rows with the same id are taken to have the
-    same text and source (the identity of a document); rows may repeat.
+    those without words. ``n_chars`` follows the text. Rows with the same id, size and source share what
+    the mix takes of them, in order of their texts; rows may repeat.
     """
     def identity(size: str) -> Column:
         return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col(size), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
@@ -112,7 +112,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = docs.withColumn("_words", word_count(F.col("text"))).withColumn("_key", identity("_words"))
     rows = rows.join(taken.where("_taken > 0"), "_key")
     # Repeated rows share what the mix takes of their id: each has the even part, the first ones one more.
-    turn = F.row_number().over(W.partitionBy("_key").orderBy(F.lit(1)))
+    turn = F.row_number().over(W.partitionBy("_key").orderBy("text"))
     even = F.floor(F.col("_taken") / F.col("_rows")).cast("long")
     rows = rows.withColumn("_own", even + F.when(turn <= F.col("_taken") - even * F.col("_rows"), 1).otherwise(0))
     whole, part = F.floor(F.col("_own") / F.col("_words")).cast("int"), (F.col("_own") % F.col("_words")).cast("int")

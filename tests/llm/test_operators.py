@@ -162,6 +162,13 @@ def test_media_digest(spark):
     assert [(r.track, r.timestamp_ns, r.byte_length) for r in table] == [(1, 0, 576), (1, 10_000_000, 576)]
 
 
+def test_damaged_media_is_named(spark):
+    media = matroska.media_column(docs(spark, [(1, "x" * 1000, "a"), (2, "y" * 50, "a")]))
+    cut = media.withColumn("media", F.when(F.col("doc_id") == 2, F.expr("substring(media, 1, octet_length(media) - 40)")).otherwise(F.col("media")))
+    rows = matroska.packet_table(cut, strict=False).collect()
+    assert {r.key for r in rows if r.problem is None} == {1} and [(r.key, r.packet) for r in rows if r.problem] == [(2, None)]
+
+
 # --- op 3 ------------------------------------------------------------------------------------
 
 
