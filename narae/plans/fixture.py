@@ -53,7 +53,7 @@ SENTENCES = [
 def korean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, lang, source): every document, its whole text and a sentence."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = spark.createDataFrame(list(enumerate(SENTENCES)), "k int, sentence string")
+    rows = spark.range(1).select(F.posexplode(F.array(*[F.lit(s) for s in SENTENCES])).alias("k", "sentence"))
     joined = docs.join(F.broadcast(rows), F.pmod(F.col("doc_id"), F.lit(len(SENTENCES))) == F.col("k"))
     return joined.select("doc_id", F.concat_ws(" ", F.coalesce("text", F.lit("")), "sentence").alias("text"), "lang", "source")
 

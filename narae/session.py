@@ -89,5 +89,6 @@ def spread(df: DataFrame) -> DataFrame:
     A file of one row group is read by one task, whatever comes after. Only some megabytes are moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) <= SMALL * cores else df
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return df.repartition(cores) if size <= SMALL * cores else df
