@@ -122,3 +122,106 @@ least_of AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_of USING (doc_id)
 """
+
+
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII expression."""
+    step = "lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END"
+    byte = f"lambda c, b: list_reduce(generate_series(1, 8)::UBIGINT[], {step}, xor(c, b))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda ch: ord(ch)::UBIGINT), {byte}, 4294967295::UBIGINT), 4294967295::UBIGINT)"
+
+
+def _conversations() -> str:
+    """The cheapest edits turn by turn: of each state the best of all audits so far, compared as they are."""
+    named = "replace(replace({0}, 'u', 'user:' || chr(10)), 'a', 'assistant:' || chr(10))"
+    return f"""
+WITH RECURSIVE filled AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fault FROM conversations),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy FROM filled WHERE fault <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM hurt),
+judged AS (
+  SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN again THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS former FROM placed),
+said(state, role, then_state) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+runs(state, then_state, k, roles) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 1, 'u'), (1, 2, 1, 'u'), (2, 3, 1, 'a'), (3, 2, 1, 'u'),
+  (0, 3, 2, 'ua'), (1, 3, 2, 'ua'), (2, 2, 2, 'au'), (3, 3, 2, 'ua')),
+kinds AS (SELECT initial, fault FROM judged GROUP BY ALL),
+moves AS (
+  SELECT initial, fault, r.state, r.then_state, 5 * k + 2 AS cost, repeat('I', k) || 'D' AS code, roles AS inserted, '' AS role FROM kinds, runs r
+  UNION ALL
+  SELECT initial, fault, r.state, t.then_state, 5 * k + CASE WHEN fault = 3 THEN 5 ELSE 0 END, repeat('I', k) || 'K', roles, 'k' FROM kinds JOIN said t ON t.role = initial JOIN runs r ON r.then_state = t.state WHERE fault NOT IN (1, 2)
+  UNION ALL
+  SELECT initial, fault, r.state, t.then_state, 5 * k + 1 + CASE WHEN fault = 3 THEN 5 ELSE 0 END, repeat('I', k) || 'R', roles, t.role FROM kinds, runs r JOIN said t ON r.then_state = t.state WHERE t.role <> 's' AND fault NOT IN (1, 2)),
+steps AS (
+  SELECT conv_id, i, state, then_state, cost, code,
+         {named.format("inserted")} || CASE m.role WHEN '' THEN '' WHEN 'k' THEN j.role || ':' || text || chr(10) WHEN 'u' THEN 'user:' || text || chr(10) ELSE 'assistant:' || text || chr(10) END AS lines
+  FROM judged j JOIN moves m ON m.initial = j.initial AND m.fault = j.fault),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, 0 AS cost, '' AS audit, '' AS lines FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, then_state, cost, audit, lines FROM (
+    SELECT w.conv_id, s.i, s.then_state, w.cost + s.cost AS cost, w.audit || s.code AS audit, w.lines || s.lines AS lines,
+           row_number() OVER (PARTITION BY w.conv_id, s.then_state ORDER BY w.cost + s.cost, w.audit || s.code) AS n
+    FROM walk w JOIN steps s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.i = w.i + 1 AND s.state = w.state) WHERE n = 1),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (former IS NOT NULL AND former || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+ended AS (
+  SELECT w.conv_id, w.cost + 5 * k AS cost, audit || repeat('I', k) AS audit, lines || {named.format("roles")} AS lines FROM walk w LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id JOIN runs r ON r.state = w.state
+  WHERE w.i = coalesce(c.n, 0) AND r.then_state IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + 5 * k, audit || repeat('I', k)) = 1)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(cost AS BIGINT) AS cost, audit, sha256(CASE WHEN lines = '' THEN '' ELSE left(lines, length(lines) - 1) END) AS repaired_sha256
+FROM ended e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+SQL["op12_repair_conversations"] = _conversations()
+
+
+def _tree(name: str, leaves: str, levels: int) -> str:
+    """Tables name_0.. of a forest's levels (tree, i, h, n) over leaves (tree, i, h), and name_runs_0.. of their runs."""
+    out = [f"{name}_0 AS (SELECT tree, i, h, count(*) OVER (PARTITION BY tree) AS n FROM {leaves})"]
+    for k in range(levels):
+        out.append(f"{name}_runs_{k} AS (SELECT tree, i // 8 AS p, list(h ORDER BY i) AS hs, any_value(n) AS n FROM {name}_{k} GROUP BY tree, i // 8)")
+        out.append(f"{name}_{k + 1} AS (SELECT tree, p AS i, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h, count(*) OVER (PARTITION BY tree) AS n FROM {name}_runs_{k})")
+    return ", ".join(out)
+
+
+def _walk(name: str, start: str, runs: str, levels: int) -> str:
+    """Tables name_1.. that carry (row, tree, i, proof, now) of a start table up a forest's levels."""
+    out = []
+    for k in range(levels):
+        before = start if not k else f"{name}_{k}"
+        left, right = "array_to_string(hs[1:CAST(i % 8 AS BIGINT)], '')", "array_to_string(hs[CAST(i % 8 AS BIGINT) + 2:], '')"
+        out.append(f"{name}_{k + 1} AS (SELECT row, w.tree, i // 8 AS i, proof || {left} || {right} AS proof, CASE WHEN n = 1 THEN now ELSE sha256({left} || now || {right}) END AS now FROM {before} w JOIN {runs}_runs_{k} r ON r.tree = w.tree AND r.p = i // 8)")
+    return ", ".join(out)
+
+
+def _merkle(levels: int = 8, more: int = 3) -> str:
+    """For trees of up to 8^8 leaves, and 8^3 trees."""
+    part = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    head = " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    changed = f"CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+    return f"""
+WITH made AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '+' || lang END AS tree, sha256({head} || {part('text')}) AS leaf, sha256({head} || {part('other')}) AS shown
+  FROM (SELECT *, {changed} AS other FROM documents)),
+rows AS (SELECT *, row_number() OVER (ORDER BY tree, doc_id NULLS FIRST, leaf) AS row, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM made),
+leaves AS (SELECT tree, i, leaf AS h FROM rows), {_tree('d', 'leaves', levels)},
+subroots AS (SELECT tree AS own, h, row_number() OVER (ORDER BY tree) - 1 AS i FROM d_{levels}),
+tops AS (SELECT '' AS tree, i, h FROM subroots), {_tree('t', 'tops', more)},
+begun AS (SELECT row, tree, i, '' AS proof, shown AS now FROM rows), {_walk('w', 'begun', 'd', levels)},
+again AS (SELECT row, '' AS tree, s.i, proof, now FROM w_{levels} w JOIN subroots s ON s.own = w.tree), {_walk('v', 'again', 't', more)}
+SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = t.h AS verified
+FROM rows r JOIN v_{more} v ON v.row = r.row JOIN subroots s ON s.own = r.tree, t_{more} t
+"""
+
+
+SQL["op13_merkle"] = _merkle()

@@ -1,4 +1,4 @@
-"""The registered queries of the ten dealt operators."""
+"""The registered queries of the dealt operators."""
 
 from __future__ import annotations
 
@@ -73,6 +73,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(_read(spark, sf_dir, "documents"))
 
 
+def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narae.llm.conversations import damaged, repair_digest
+
+    return repair_digest(damaged(_read(spark, sf_dir, "conversations")))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narae.llm.merkle import manifest
+
+    return manifest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_matroska": op2_matroska,
@@ -84,4 +96,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_substring": op9_substring,
     "op10_secrets": op10_secrets,
+    "op12_repair_conversations": op12_repair_conversations,
+    "op13_merkle": op13_merkle,
 }
