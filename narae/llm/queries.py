@@ -73,6 +73,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(_read(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narae.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from narae.llm.conversations import damaged, repair_digest
 
@@ -96,6 +102,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_substring": op9_substring,
     "op10_secrets": op10_secrets,
+    "op11_toxicity": op11_toxicity,
     "op12_repair_conversations": op12_repair_conversations,
     "op13_merkle": op13_merkle,
 }
