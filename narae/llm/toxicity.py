@@ -46,6 +46,8 @@ PIECES, WIDE = 24, 32
 WORST = 3
 ROUNDS, COST = 5, 1.0
 FOLDS, THRESHOLD = 5, 0.5
+#: Pairs of pieces that go through the kernel together.
+PAIRS = 4096
 #: Bytes of text that are judged together.
 SLICE = 4 << 20
 #: Words that a worker remembers.
@@ -71,8 +73,8 @@ def alphabet_of(pieces: list[str]) -> dict[str, int]:
 def subsequence_kernel(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Sum over common subsequences of ORDER characters, DECAY to the power of both spreads.
 
-    rows: (n, length) characters; others: (width, n or 1, m) characters in columns, padded with -1. Gives (n, m).
-    One step a character of the rows, over all pairs at once.
+    rows: (n, length) characters, 0 for one that matches none; others: (width, n, m) characters in columns. Gives (n, m). One step a character of the rows,
+    over all pairs at once.
     """
     width, n, m = len(others), len(rows), others.shape[2]
     square = DECAY * DECAY
@@ -96,49 +98,60 @@ def subsequence_kernel(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
     return total * square**ORDER
 
 
-def self_kernel(rows: np.ndarray) -> np.ndarray:
-    """The kernel of each row with itself; characters outside the alphabet match only their own place."""
-    own = np.where(rows == 0, 10_000 + np.arange(rows.shape[1], dtype=np.int16)[None, :], rows)
-    return subsequence_kernel(own, np.ascontiguousarray(own.T)[:, :, None])[:, 0]
+def self_kernel(pieces: list[str]) -> np.ndarray:
+    """The kernel of each of some pieces of one length with itself."""
+    rows = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(pieces), -1)
+    return subsequence_kernel(rows, np.ascontiguousarray(rows.T)[:, :, None])[:, 0]
 
 
-def in_columns(pieces: list[str], alphabet: dict[str, int]) -> np.ndarray:
-    """Pieces of any lengths as columns for the kernel."""
-    out = np.full((max(map(len, pieces)), 1, len(pieces)), -1, np.int16)
-    for k, p in enumerate(pieces):
-        out[: len(p), 0, k] = coded([p], alphabet)[0]
-    return out
-
-
-def own_weights(pieces: list[str]) -> np.ndarray:
-    """The kernel of each piece with itself, of any characters."""
-    out = np.zeros(len(pieces), np.float32)
-    for k, p in enumerate(pieces):
-        if len(p) >= ORDER:
-            out[k] = self_kernel(coded([p], alphabet_of([p])))[0]
-    return out
+def letter_masks(rows: np.ndarray, letters: int) -> np.ndarray:
+    """(n, words) bit masks: for each character of the alphabet whether a row has it once, twice and three times."""
+    counts = np.zeros((len(rows), letters + 1), np.int16)
+    for i in range(rows.shape[1]):
+        counts[np.arange(len(rows)), rows[:, i]] += 1
+    bits = np.concatenate([counts[:, 1:] >= k for k in (1, 2, 3)], axis=1)
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
 
 
 class Landmarks:
-    """The squared normalised kernel of pieces with some landmarks."""
+    """The squared normalised kernel of pieces with some landmarks.
+
+    Only pairs with ORDER characters in common can have a common subsequence; all others are left out before.
+    """
 
     def __init__(self, pieces: list[str]) -> None:
         self.pieces, self.alphabet = pieces, alphabet_of(pieces)
-        self.columns, self.norms = in_columns(pieces, self.alphabet), own_weights(pieces)
+        self.norms = np.array([self_kernel([p])[0] if len(p) >= ORDER else 1 for p in pieces], np.float32)
+        self.by_size = []  # (numbers, characters, masks, often) of the landmarks of a length
+        sizes = np.array([len(p) for p in pieces])
+        for size in np.unique(sizes).tolist():
+            of = np.flatnonzero(sizes == size)
+            rows = coded([pieces[k] for k in of], self.alphabet)
+            often = np.array([max(pieces[k].count(c) for c in pieces[k]) > 3 for k in of])  # beyond what masks can tell
+            self.by_size.append((of, rows.T.copy(), letter_masks(rows, len(self.alphabet)), often))
 
     def likeness(self, asked: list[str]) -> np.ndarray:
-        """(asked, landmarks); a piece has at most WIDE characters. Those of one length go together, in small blocks."""
+        """(asked, landmarks); a piece has at most WIDE characters. Pairs of the same lengths go together, in small blocks."""
         out = np.zeros((len(asked), len(self.pieces)), np.float32)
         sizes = np.fromiter(map(len, asked), np.int32, len(asked))
-        block = max(64, 1 << 14 >> max(0, len(self.pieces).bit_length() - 1))
         for size in np.unique(sizes[sizes >= ORDER]).tolist():
             at = np.flatnonzero(sizes == size)
             rows = coded([asked[k] for k in at], self.alphabet)
-            for begin in range(0, len(at), block):
-                some = rows[begin : begin + block]
-                both = subsequence_kernel(some, self.columns)
-                both /= np.sqrt(self_kernel(some)[:, None] * self.norms)
-                out[at[begin : begin + block]] = both * both
+            masks, own = letter_masks(rows, len(self.alphabet)), np.zeros(len(at), np.float32)
+            met = []
+            for of, columns, theirs, often in self.by_size:
+                common = np.bitwise_count(masks[:, None, :] & theirs[None, :, :]).sum(axis=2)
+                met.append(np.nonzero((common >= ORDER) | often))
+            some = np.unique(np.concatenate([r for r, _ in met]))
+            for begin in range(0, len(some), PAIRS):
+                part = some[begin : begin + PAIRS]
+                own[part] = self_kernel([asked[k] for k in at[part]])
+            for (of, columns, _, _), (r, z) in zip(self.by_size, met):
+                for begin in range(0, len(r), PAIRS):
+                    a, b = r[begin : begin + PAIRS], z[begin : begin + PAIRS]
+                    both = subsequence_kernel(rows[a], columns[:, b][:, :, None])[:, 0]
+                    out[at[a], of[b]] = both * both / (own[a] * self.norms[of[b]])
         return out
 
 
