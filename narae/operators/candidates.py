@@ -10,11 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from narae.functions.hangul import word_distance
+from narae.operators import neighbours
 
 # Candidates of a word, a document and a span, and edits.
 PER_WORD, PER_DOCUMENT, PER_SPAN = 32, 32, 8
-MOST_EDITS = 2
 SPELLING, SPACING = "spelling.lexical.candidate", "spacing.lexical.candidate"
 # Fixed values of the shipped ranking models: weights (int8) and their scales.
 RANK_SCALE = 0.031496062992125984
@@ -31,39 +30,15 @@ def unknown_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return words.select(F.col("surface").alias("word")).distinct().join(lexicon.select(F.col("surface").alias("word")), "word", "left_anti")
 
 
-def near_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+def near_words(words: DataFrame, lexicon: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(word, replacement, edits, sounds, freq, score): the best entries within two edits of unknown words.
 
-    Entries at most one longer or shorter; two characters at least. Within two edits, one of three segments of
-    an entry stands untouched in the word, at most two places off: words meet entries by segments.
+    Entries at most one longer or shorter; words of two characters at least. ``index``: a stored deletion_index of
+    the lexicon, else one is built. The result is that of all pairs; see neighbours.py for the way.
     """
     unknown = unknown_words(words, lexicon).where(F.char_length("word") >= 2)
-    cut = lambda text, begin, size: F.substring(text, begin + 1, size)
-
-    def segment(n: Column, k: int) -> tuple[Column, Column]:
-        """Begin and size of a segment of an entry of n characters."""
-        at = lambda j: F.floor(n * j / (MOST_EDITS + 1)).cast("int")
-        return at(k), at(k + 1) - at(k)
-
-    size = F.char_length("surface")
-    own = [F.struct(size.alias("size"), F.lit(k).alias("part"), cut(F.col("surface"), *segment(size, k)).alias("chars")) for k in range(MOST_EDITS + 1)]
-    entries = lexicon.select(F.col("surface").alias("replacement"), "freq", F.inline(F.array(*own)))
-    asked = []
-    for longer in (-1, 0, 1):
-        n = F.char_length("word") + longer
-        for k in range(MOST_EDITS + 1):
-            begin, wide = segment(n, k)
-            for off in range(-MOST_EDITS, MOST_EDITS + 1):
-                inside = (begin + off >= 0) & (begin + off + wide <= F.char_length("word"))
-                asked.append(F.when(inside, F.struct(n.alias("size"), F.lit(k).alias("part"), cut(F.col("word"), begin + off, wide).alias("chars"))))
-    near = unknown.select("word", F.explode(F.array_distinct(F.array_compact(F.array(*asked)))).alias("k")).select("word", "k.*")
-    met = near.join(entries, ["size", "part", "chars"]).select("word", "replacement", "freq").distinct()
-    joined = met.withColumn("edits", F.levenshtein("word", "replacement", MOST_EDITS)).where("edits >= 0")
-    joined = joined.withColumn("sounds", word_distance(F.col("word"), F.col("replacement")))
-    score = 1 / (1 + F.col("edits")) + 0.35 / (1 + F.col("sounds")) + F.least(F.log(F.col("freq") + 1), F.lit(16.0)) / 64
-    best = W.partitionBy("word").orderBy(F.desc("score"), "replacement")
-    scored = joined.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))).withColumn("place", F.row_number().over(best))
-    return scored.where(F.col("place") <= PER_WORD).select("word", "replacement", "edits", "sounds", "freq", "score")
+    near = neighbours.nearest(unknown, neighbours.deletion_index(lexicon) if index is None else index, PER_WORD)
+    return near.select("word", "replacement", "edits", "sounds", "freq", "score")
 
 
 def _per_document(rows: DataFrame, *order: Column | str) -> DataFrame:

@@ -7,16 +7,23 @@ the text, and none shuffles. Findings carry code point and UTF-8 byte ranges.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from narae.functions import automaton
 from narae.functions.catalogue import PROFILES, RULES, Config, PackRule, enabled, is_dictionary_rule, literal_table
 from narae.functions.hangul import BIEUP, NIEUN, RIEUL, final, is_syllable, with_final
-from narae.session import materialise
-from narae.sources.tokens import range_table, tokens
+from narae.session import materialise, spread
+from narae.sources.ranges import prose_ranges
+from narae.sources.tokens import tokens
 
+#: Patterns, entries or words up to which a table of them is broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 COLUMNS = ["doc_id", "start", "end", "byte_start", "byte_end", "original", "suggestion", "rule_id", "severity", "safe", "turn"]
 
 # Forms, suffixes, nouns and particles that the rules name.
@@ -328,7 +335,8 @@ def without_known_words(findings: DataFrame, config: Config) -> DataFrame:
         return findings
     listed = findings.sparkSession.createDataFrame([(w,) for w in known], "original string")
     lexical = is_dictionary_rule(F.col("rule_id"))
-    return findings.where(~lexical).unionByName(findings.where(lexical).join(F.broadcast(listed), "original", "left_anti").select(*COLUMNS))
+    listed = F.broadcast(listed) if len(known) <= MOST_BROADCAST else listed
+    return findings.where(~lexical).unionByName(findings.where(lexical).join(listed, "original", "left_anti").select(*COLUMNS))
 
 
 def lint(docs: DataFrame, config: Config = Config(), packs: list[PackRule] | None = None) -> DataFrame:
@@ -344,29 +352,82 @@ def lint(docs: DataFrame, config: Config = Config(), packs: list[PackRule] | Non
     return without_known_words(every, config)
 
 
+#: Characters of text that the automata of a pack run over at once (a longer text is taken alone).
+_AT_ONCE = 2 << 20
+
+
+def pattern_places(docs: DataFrame, patterns: list[str]) -> DataFrame:
+    """(doc_id, number, start, byte_start, before, after) of each place of each pattern in the linted ranges.
+
+    number: the pattern's in the list; before and after: the characters around the place, within its range. Places
+    of one pattern in one range do not overlap, the first one counts. All patterns are found in one pass over a
+    text for each block of them; the blocks' tables, of bounded size each, go to the workers once.
+    """
+    automata = docs.sparkSession.sparkContext.broadcast(automaton.blocks(patterns))
+    sizes = np.array([len(p) for p in patterns], np.int64)
+    kind = F.col("source_kind") if "source_kind" in docs.columns else F.lit("plain_text")
+    source = spread(docs.where("text is not null").select("doc_id", "text", kind.alias("_kind")))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, number long, start long, byte_start long, before string, after string"
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, kinds = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            begin = held = 0
+            for k, text in enumerate(texts):
+                held += len(text)
+                if held >= _AT_ONCE or k + 1 == len(texts):
+                    yield _places_of(texts[begin : k + 1], kinds[begin : k + 1], batch.column(0).slice(begin, k + 1 - begin), automata.value, sizes)
+                    begin, held = k + 1, 0
+
+    return source.mapInArrow(rows, schema)
+
+
+def _places_of(texts: list[str], kinds: list[str], idents: pa.Array, automata: list, sizes: np.ndarray) -> pa.RecordBatch:
+    spans = [(k, a, b) for k, (text, kind) in enumerate(zip(texts, kinds)) for a, b in prose_ranges(text, kind)]
+    codes = [automaton.code_points(t) for t in texts]
+    # All ranges in one row, a gap before each and at the end; where each range begins there, and in its text.
+    gap = np.array([automaton.GAP], np.uint32)
+    row = np.concatenate([x for k, a, b in spans for x in (gap, codes[k][a:b])] + [gap])
+    text_of, first, size = (np.array(x, np.int64) for x in (zip(*[(k, a, b - a) for k, a, b in spans]) if spans else ([], [], [])))
+    at = np.cumsum(size + 1) - size
+    found = [machine.places(row) for machine in automata]
+    ends, numbers = (np.concatenate(x) for x in zip(*found))
+    starts = ends - sizes[numbers]
+    span = np.searchsorted(at, starts, side="right") - 1
+    order = np.lexsort((starts, numbers, span))
+    starts, numbers, span = starts[order], numbers[order], span[order]
+    keep = automaton.apart(starts, sizes[numbers], span * len(sizes) + numbers)
+    starts, numbers, span = starts[keep], numbers[keep], span[keep]
+    place, text = starts - at[span] + first[span], text_of[span]
+    # Bytes before each place, by the widths of the characters before it in its text.
+    bytes_at = np.zeros(len(starts), np.int64)
+    for k in np.unique(text).tolist():
+        c = codes[k]
+        widths = np.cumsum(1 + (c > 0x7F).astype(np.int8) + (c > 0x7FF) + (c > 0xFFFF), dtype=np.int64)
+        mine = text == k
+        bytes_at[mine] = np.concatenate([[0], widths])[place[mine]]
+    shown = lambda c: pa.array(["" if x == automaton.GAP else chr(x) for x in c.tolist()], pa.string())
+    return pa.RecordBatch.from_arrays(
+        [idents.take(pa.array(text)), pa.array(numbers), pa.array(place), pa.array(bytes_at), shown(row[starts - 1]), shown(row[starts + sizes[numbers]])],
+        names=["doc_id", "number", "start", "byte_start", "before", "after"],
+    )
+
+
 def pack_findings(docs: DataFrame, packs: list[PackRule], config: Config = Config()) -> DataFrame:
     """Findings of rule packs: every pattern's places from left to right that do not overlap, in plain
     text ranges, of which those that meet their boundary are reported."""
     spark: SparkSession = docs.sparkSession
     rows = [
-        (r.id, r.severity, PROFILES[r.profile], r.safe_fix, p.wrong, p.right, p.boundary) for r in packs for p in r.patterns if PROFILES[r.profile] <= config.level and r.id not in config.disabled
+        (r.id, r.severity, r.safe_fix, p.wrong, p.right, p.boundary) for r in packs for p in r.patterns if PROFILES[r.profile] <= config.level and r.id not in config.disabled
     ]
-    rules = spark.createDataFrame(rows, "rule_id string, severity string, level int, safe boolean, wrong string, right string, boundary string")
-    ranges = range_table(docs).join(docs.select("doc_id", "text"), "doc_id")
-    prose = ranges.select("doc_id", F.col("start").alias("_at"), F.col("byte_start").alias("_byte"), F.expr("substring(text, cast(start + 1 as int), cast(end - start as int))").alias("prose"))
-    joined = prose.join(F.broadcast(rules), F.col("prose").contains(F.col("wrong")))
-    pieces = F.split(F.col("prose"), F.concat(F.lit("\\Q"), F.col("wrong"), F.lit("\\E")), -1)
-    places = joined.withColumn("pieces", pieces).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("pieces") - 1)))
-    head = F.expr("array_join(slice(pieces, 1, k), wrong)")
-    places = places.withColumn("head", head)
-    begin, stop = F.substring("wrong", 1, 1), F.substring("wrong", -1, 1)
-    following = F.expr("substring(prose, char_length(head) + char_length(wrong) + 1, 1)")
+    rules = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "number long, rule_id string, severity string, safe boolean, wrong string, right string, boundary string")
+    places = pattern_places(docs, [r[3] for r in rows]) if rows else docs.select("doc_id").where("false").select("doc_id", *[F.lit(None).cast(t).alias(n) for n, t in (("number", "long"), ("start", "long"), ("byte_start", "long"), ("before", "string"), ("after", "string"))])
+    found = places.join(F.broadcast(rules) if len(rows) <= MOST_BROADCAST else rules, "number")
     letter = "[\\p{IsAlphabetic}\\p{N}_]"
-    left = ~begin.rlike(letter) | ~F.substring("head", -1, 1).rlike(letter)
-    right = ~stop.rlike(letter) | ~following.rlike(letter)
+    left = ~F.substring("wrong", 1, 1).rlike(letter) | ~F.col("before").rlike(letter)
+    right = ~F.substring("wrong", -1, 1).rlike(letter) | ~F.col("after").rlike(letter)
     holds = F.when(F.col("boundary") == "word", left & right).when(F.col("boundary") == "prefix", left).when(F.col("boundary") == "suffix", right).otherwise(True)
-    start, byte = F.col("_at") + F.char_length("head"), F.col("_byte") + F.octet_length("head")
-    return places.where(holds).select(
-        "doc_id", start.alias("start"), (start + F.char_length("wrong")).alias("end"), byte.alias("byte_start"), (byte + F.octet_length("wrong")).alias("byte_end"),
+    return found.where(holds).select(
+        "doc_id", "start", (F.col("start") + F.char_length("wrong")).alias("end"), "byte_start", (F.col("byte_start") + F.octet_length("wrong")).alias("byte_end"),
         F.col("wrong").alias("original"), F.col("right").alias("suggestion"), "rule_id", "severity", "safe", F.lit(1).alias("turn"),
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from narae.functions import hangul
-from narae.functions.catalogue import PROFILES, RULES, Config, boundary_of, literal_table, rule_pack, rule_table
+from narae.functions.catalogue import PROFILES, RULES, Config, PackRule, Pattern, boundary_of, literal_table, rule_pack, rule_table
 from narae.functions.rule_tables import FORMS, LITERALS
 from narae.operators import authoring, candidates, curate, detect, evaluate
 from narae.operators.fix import accepted, applied
@@ -237,6 +237,17 @@ def lint_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("rule_id", "original").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("doc_id").alias("documents"))
 
 
+#: Boundaries of the patterns of word_pack, in turn.
+_TURNS = ["substring", "word", "prefix", "suffix"]
+
+
+def word_pack(spark: SparkSession, sf_dir: str, most: int = 1000) -> list:
+    """A rule pack of the commonest words of three letters and more: they contain each other, and overlap."""
+    words = curate.word_frequencies(_read(spark, sf_dir, "documents"), r"\p{L}{3,}", 1).orderBy(F.desc("frequency"), "surface").limit(most)
+    found = [r.surface for r in words.collect()]
+    return [PackRule(f"pack.{b}", "info", "a common word", tuple(Pattern(w, w + "!", b) for w in found[k :: len(_TURNS)])) for k, b in enumerate(_TURNS)]
+
+
 _SAFE = sorted(r.id for r in RULES.values() if r.safety == "safe")
 
 
@@ -391,6 +402,24 @@ def changed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("conv_id", "turn", F.col("s.start").cast("long").alias("start_cp"), F.col("s.end").cast("long").alias("end_cp"), F.col("s.before").alias("original"), F.col("s.after").alias("replacement"))
 
 
+@query(f"""WITH t AS (SELECT unnest(string_split_regex(coalesce(text, ''), '\\s+')) AS token FROM documents),
+g AS (SELECT token, count(*) AS n FROM (SELECT token, 0 AS f, {_core('token')} AS c FROM t) WHERE NOT {_is_identifier('c')} GROUP BY token),
+w AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) - 1 AS k FROM (SELECT unnest(regexp_extract_all(text, '\\p{{L}}{{3,}}')) AS w FROM documents) GROUP BY w QUALIFY k < 1000),
+r AS (SELECT w AS wrong, ['substring', 'word', 'prefix', 'suffix'][k % 4 + 1] AS boundary FROM w),
+pieces AS (SELECT wrong, boundary, n, string_split(token, wrong) AS p FROM g JOIN r ON contains(token, wrong)),
+cuts AS (SELECT *, unnest(generate_series(1, len(p) - 1)) AS k FROM pieces),
+near AS (SELECT wrong, boundary, n,
+  regexp_matches(CASE WHEN p[k] = '' AND k > 1 THEN wrong ELSE p[k] END, '[\\p{{L}}\\p{{N}}_]$') AS joined_left,
+  regexp_matches(CASE WHEN p[k + 1] = '' AND k + 1 < len(p) THEN wrong ELSE p[k + 1] END, '^[\\p{{L}}\\p{{N}}_]') AS joined_right FROM cuts)
+SELECT wrong AS original, boundary, CAST(sum(n) AS BIGINT) AS findings FROM near
+WHERE boundary = 'substring' OR (boundary = 'word' AND NOT joined_left AND NOT joined_right) OR (boundary = 'prefix' AND NOT joined_left) OR (boundary = 'suffix' AND NOT joined_right)
+GROUP BY wrong, boundary""")
+def lint_word_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a pack of a thousand patterns made from the documents' own words, by pattern."""
+    found = detect.pack_findings(_read(spark, sf_dir, "documents"), word_pack(spark, sf_dir), ALL)
+    return found.groupBy("original", F.replace("rule_id", F.lit("pack.")).alias("boundary")).agg(F.count(F.lit(1)).alias("findings"))
+
+
 # --- candidates and ranking ------------------------------------------------------------------
 
 LEXICON = [("며칠", "noun", 900), ("동안", "noun", 700), ("지쳤고", "verb", 50), ("데이터", "noun", 800), ("베이스", "noun", 300), ("데이터베이스", "noun", 400), ("문서", "noun", 600), ("역할", "noun", 500), ("만날", "verb", 90), ("때", "noun", 1000), ("확인", "noun", 450), ("사과", "noun", 350), ("여기", "noun", 640), ("빈칸", "noun", 80), ("사는", "verb", 70), ("법이다", "noun", 60)]
@@ -405,13 +434,48 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(korean_documents(spark, sf_dir)).where("kind = 'word'")
 
 
-@query()
+def _near(words: str, entries: str) -> str:
+    """Table near (word, replacement, edits, sounds, score): the 32 best entries of each word, from all pairs.
+
+    DuckDB's levenshtein counts bytes, so the characters of a pair are numbered first. Tables: (word), (surface, freq).
+    """
+    numbered = lambda c: f"array_to_string(list_transform(string_split({c}, ''), lambda x: chr(CAST(list_position(letters, x) + 40 AS INTEGER))), '')"
+    code = lambda c: f"(ord(substr({c}, k, 1)) - 44032)"
+    hangul = " AND ".join(f"{code(c)} BETWEEN 0 AND 11171" for c in ("word", "surface"))
+    part = lambda f: f"CASE WHEN {f.format(code('word'))} <> {f.format(code('surface'))} THEN 1 ELSE 0 END"
+    parts = " + ".join(map(part, ("floor({} / 588)", "floor({} / 28) % 21", "{} % 28")))
+    apart = f"CASE WHEN {hangul} THEN {parts} ELSE CASE WHEN substr(word, k, 1) <> substr(surface, k, 1) THEN 1 ELSE 0 END END"
+    return f"""pairs AS (SELECT word, surface, freq, list_distinct(string_split(word || surface, '')) AS letters FROM {words} w JOIN {entries} e
+  ON abs(length(word) - length(surface)) <= 1 WHERE length(word) >= 2 AND word NOT IN (SELECT surface FROM {entries})),
+close AS (SELECT word, surface, freq, CASE WHEN strlen(word) = length(word) AND strlen(surface) = length(surface) THEN levenshtein(word, surface) ELSE levenshtein({numbered('word')}, {numbered('surface')}) END AS edits FROM pairs),
+heard AS (SELECT word, surface, freq, edits, (SELECT CAST(sum({apart}) AS INTEGER) FROM unnest(generate_series(1, least(length(word), length(surface)))) t(k)) AS sounds FROM close WHERE edits <= 2),
+near AS (SELECT word, surface AS replacement, edits, sounds, least(1.0, 1 / (1 + edits) + 0.35 / (1 + sounds) + least(ln(freq + 1), 16.0) / 64) AS score
+  FROM heard QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC, surface) <= {candidates.PER_WORD})"""
+
+
+@query(f"""WITH {KOREAN}, {_LEX}, asked AS (SELECT DISTINCT word FROM words), {_near('asked', 'lex')}
+SELECT doc_id, start AS start_cp, word AS original, replacement, CAST(edits AS INTEGER) AS edits, round(score, 9) AS score FROM words JOIN near USING (word)
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, start, start + length(word), replacement) <= 32""")
 def near_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near lexicon words for unknown ones. (DuckDB's levenshtein counts bytes.)"""
+    """Near lexicon words for unknown ones, the 32 best of a document."""
     found = candidates.spelling_candidates(_words(spark, sf_dir), _lexicon(spark))
     return found.select("doc_id", F.col("start").alias("start_cp"), "original", "replacement", "edits", F.round("score", 9).alias("score"))
 
 
+_LETTERS = "\\p{L}{2,}"
+
+
+@query(f"""WITH lex AS (SELECT surface, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(text, '{_LETTERS}')) AS surface FROM conversations) GROUP BY surface),
+asked AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_LETTERS}')) AS word FROM benchmark), {_near('asked', 'lex')}
+SELECT word, replacement, CAST(edits AS INTEGER) AS edits, sounds, round(score, 9) AS score FROM near""")
+def near_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of benchmark items that no conversation has, and the nearest of all words of conversations."""
+    lexicon = curate.word_frequencies(_read(spark, sf_dir, "conversations"), _LETTERS, 1).withColumnRenamed("frequency", "freq")
+    words = curate.word_frequencies(_read(spark, sf_dir, "benchmark"), _LETTERS, 1)
+    found = candidates.near_words(words.select("surface"), materialise(lexicon, "lexicon"))
+    return found.select("word", "replacement", "edits", "sounds", F.round("score", 9).alias("score"))
+
+
 _SPLIT = """SELECT doc_id, start, word AS original, l.surface || ' ' || r.surface AS replacement, least(ln(l.freq + r.freq + 2) / 32, 1.0) AS score
 FROM words JOIN lex l ON starts_with(word, l.surface) JOIN lex r ON r.surface = substr(word, length(l.surface) + 1) WHERE word NOT IN (SELECT surface FROM lex)"""
 _JOIN = """SELECT doc_id, start, word || then_gap || next, word || next, least(ln(freq + 1) / 16, 1.0) FROM words JOIN lex ON surface = word || next WHERE regexp_full_match(then_gap, '\\s+')"""
