@@ -18,6 +18,7 @@ from narae.functions.catalogue import PROFILES, RULES, Config, PackRule, Pattern
 from narae.functions.rule_tables import FORMS, LITERALS
 from narae.operators import authoring, candidates, curate, detect, evaluate
 from narae.operators.fix import accepted, applied
+from narae.operators.groups import similar_groups
 from narae.plans.fixture import KOREAN, korean_documents
 from narae.session import materialise
 from narae.sources import files
@@ -669,6 +670,23 @@ def leaks_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.similar_pairs(_records(spark, sf_dir), least=0.5).select("left_id", "right_id", F.round("score", 9).alias("score"))
 
 
+_GROUPS = _near_sql(5, 0.5, "AND a.split <> b.split", _RECORDS)
+
+
+@query(f"""WITH RECURSIVE pairs AS ({_GROUPS}), {_RECORDS},
+ways AS (SELECT left_id AS a, right_id AS b FROM pairs UNION ALL SELECT right_id, left_id FROM pairs),
+reach(a, b) AS (SELECT DISTINCT a, a FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),
+least_of AS (SELECT a AS id, min(b) AS group_id FROM reach GROUP BY a),
+counted AS (SELECT a AS id, count(*) AS links FROM ways GROUP BY a),
+placed AS (SELECT r.id, r.split, coalesce(group_id, r.id) AS group_id, coalesce(links, 0) AS links FROM r LEFT JOIN least_of USING (id) LEFT JOIN counted USING (id)),
+wide AS (SELECT group_id, count(*) AS members, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits FROM placed GROUP BY group_id)
+SELECT id, group_id, CAST(links AS BIGINT) AS links, members, splits FROM placed JOIN wide USING (group_id)""")
+def leak_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of leaks_near, a row each: the group of similar records in other splits that it belongs to."""
+    found = similar_groups(_records(spark, sf_dir), least=0.5)
+    return found.select("id", "group_id", F.col("links").cast("long").alias("links"), F.col("members").cast("long").alias("members"), F.array_join("splits", ",").alias("splits"))
+
+
 @query(_near_sql(3, 0.5, "", "n AS (SELECT conv_id || '-' || turn AS id, 0 AS split, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations)"))
 def duplicates_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns with similar sets of three characters."""
@@ -747,15 +765,33 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.cache_split(docs, cache, "rules-1")[1].select("doc_id", "key")
 
 
-@query(f"SELECT * FROM (VALUES {_table([(r.id, r.category, r.severity, r.profile, r.safety, r.confidence, len(r.incorrect)) for r in RULES.values()])}) t(rule_id, category, severity, profile, safety, confidence, patterns)")
-def rule_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rule_table(spark).select("rule_id", "category", "severity", "profile", "safety", "confidence", F.size("incorrect").alias("patterns"))
+_CATALOGUE = [(r.id, r.category, r.severity, r.profile, r.safety, r.confidence, [p for p in r.incorrect if "가" <= p[0] <= "힣"]) for r in RULES.values()]
 
 
-@query("SELECT role, array_to_string(list_sort(list(DISTINCT turn)), ',') AS turns FROM conversations GROUP BY role")
+@query(f"""WITH {KOREAN}, plain AS (SELECT doc_id, replace(replace(replace(text, 'http://a.kr/몇일', ''), '#몇일', ''), '몇일.txt파일', '') AS text FROM ko),
+p(rule_id, pattern) AS (VALUES {_table([(r[0], x) for r in _CATALOGUE for x in r[-1]])}),
+n AS (SELECT rule_id, count(DISTINCT doc_id) AS documents FROM p JOIN plain ON contains(text, pattern) GROUP BY rule_id)
+SELECT t.*, coalesce(documents, 0) AS documents FROM (VALUES {_table([(*r[:-1], len(r[-1])) for r in _CATALOGUE])}) t(rule_id, category, severity, profile, safety, confidence, patterns) LEFT JOIN n USING (rule_id)""")
+def rule_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules, and in how many documents any of a rule's own Korean forms stands, whatever is around it."""
+    forms = [(r[0], x) for r in _CATALOGUE for x in r[-1]]
+    places = detect.pattern_places(korean_documents(spark, sf_dir), [x for _, x in forms]).select("number", "doc_id")
+    named = spark.createDataFrame([(k, r) for k, (r, _) in enumerate(forms)], "number long, rule_id string")
+    counts = places.join(F.broadcast(named), "number").groupBy("rule_id").agg(F.countDistinct("doc_id").alias("documents"))
+    size = F.size(F.filter("incorrect", lambda p: p.rlike("^[가-힣]"))).alias("patterns")
+    rules = rule_table(spark).select("rule_id", "category", "severity", "profile", "safety", "confidence", size)
+    return rules.join(counts, "rule_id", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
+
+
+@query("""WITH c AS (SELECT conv_id, list(DISTINCT role) FILTER (turn % 2 = 0) AS even, list(DISTINCT role) FILTER (turn % 2 = 1) AS odd FROM conversations GROUP BY conv_id)
+SELECT conv_id, array_to_string(list_sort(list_filter(coalesce(even, []), lambda x: NOT list_contains(coalesce(odd, []), x))), ',') AS missing,
+  array_to_string(list_sort(list_filter(coalesce(odd, []), lambda x: NOT list_contains(coalesce(even, []), x))), ',') AS unexpected FROM c""")
 def role_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sets to compare: the turns of each role."""
-    return _read(spark, sf_dir, "conversations").groupBy("role").agg(F.array_join(F.array_sort(F.collect_set("turn")).cast("array<string>"), ",").alias("turns"))
+    """Sets compared: the roles of a conversation's even turns with those of its odd ones."""
+    roles = lambda k: F.collect_set(F.when(F.col("turn") % 2 == k, F.col("role")))
+    sets = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(roles(0).alias("even"), roles(1).alias("odd"))
+    both = sets.withColumn("d", evaluate.set_difference(F.col("even"), F.col("odd")))
+    return both.select("conv_id", F.array_join(F.array_sort("d.missing"), ",").alias("missing"), F.array_join(F.array_sort("d.unexpected"), ",").alias("unexpected"))
 
 
 # --- authoring -------------------------------------------------------------------------------
@@ -763,8 +799,12 @@ def role_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SEEDS = [(n.rsplit(".", 1)[0], a, b, "high" if f == "safe" else "medium", p) for n, _, p, f, pairs in LITERALS for a, b in pairs]
 
 
-def _seeds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_SEEDS, "family string, wrong string, right string, confidence string, profile string")
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seed of a part and of one of the bundled pairs in turn."""
+    pairs = spark.createDataFrame([(k, *s) for k, s in enumerate(_SEEDS)], "k long, family string, wrong string, right string, confidence string, profile string")
+    parts = _read(spark, sf_dir, "part").select("p_partkey", F.pmod(F.col("p_partkey"), F.lit(len(_SEEDS))).alias("k"), "p_name")
+    both = parts.join(F.broadcast(pairs), "k")
+    return both.select("family", F.concat_ws(" ", "wrong", "p_name").alias("wrong"), F.concat_ws(" ", "right", "p_name", F.col("p_partkey").cast("string")).alias("right"), "confidence", "profile")
 
 
 def _letters(names, k: str) -> str:
@@ -777,10 +817,11 @@ _SLUG = f"""trim(regexp_replace(array_to_string(list_transform(string_split(good
 
 
 @query(f"""SELECT family || '.' || {_SLUG} AS rule_id, CASE WHEN starts_with(family, 'spelling.') THEN 'error' WHEN starts_with(family, 'style.') OR starts_with(family, 'advanced.') THEN 'info' ELSE 'warning' END AS severity,
-confidence, profile, profile = 'default' AS default_enabled, confidence = 'high' AND profile = 'default' AS safe, wrong, good AS "right" FROM (VALUES {_table(_SEEDS)}) s(family, wrong, good, confidence, profile)""")
+confidence, profile, profile = 'default' AS default_enabled, confidence = 'high' AND profile = 'default' AS safe, wrong, good AS "right" FROM (SELECT family, s.wrong || ' ' || p_name AS wrong, s.good || ' ' || p_name || ' ' || p_partkey AS good, confidence, profile
+  FROM part JOIN (VALUES {_table([(k, *s) for k, s in enumerate(_SEEDS)])}) s(k, family, wrong, good, confidence, profile) ON p_partkey % {len(_SEEDS)} = k)""")
 def seed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalogue rows made from seeds, with romanised ids."""
-    return authoring.rules_of_seeds(_seeds(spark))
+    """Catalogue rows made from seeds of parts, with romanised ids."""
+    return authoring.rules_of_seeds(_seeds(spark, sf_dir))
 
 
 @query("WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS t FROM part) SELECT a.t AS wrong, b.t AS other FROM w a JOIN w b ON a.t <> b.t AND contains(a.t, b.t)")
