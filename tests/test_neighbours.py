@@ -40,14 +40,14 @@ def all_pairs(words, lexicon):
     return out
 
 
-@pytest.mark.parametrize("block", [8, 1024])
+@pytest.mark.parametrize("block", [48, 1024])
 def test_near_words_equal_all_pairs(spark, monkeypatch, block):
     """Words of 1 to 6 characters of few and of many syllables, words with one ending, and long ones; ties by frequency."""
     monkeypatch.setattr(neighbours, "BLOCK", block)
     rng = random.Random(block)
     pick = lambda letters, low, high: "".join(rng.choice(letters) for _ in range(rng.randint(low, high)))
     make = lambda: rng.choice([lambda: pick("가각나다라", 1, 6), lambda: pick("값읽닭뷁a1é", 2, 3), lambda: pick("가나다", 1, 3) + "하다", lambda: pick("가나다라마바", 10, 14)])()
-    lexicon = {make(): rng.choice([1, 2, 5, 1000, 10**8]) for _ in range(500)}
+    lexicon = {make(): rng.choice([1, 2, 5, 1000, 10**8]) for _ in range(400)}
     base = pick("가나다라마바", 13, 13)
     lexicon |= {base: 3, base[:5] + "하" + base[5:]: 4}
     words = {make() for _ in range(250)} | {base[:3] + base[4:], base[:12] + "거", base + "가"}
