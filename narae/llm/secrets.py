@@ -4,8 +4,9 @@ The field tags tokens as secret begin, inside or outside from their shape, neigh
 features of the file, and is decoded by Viterbi. A token may begin a secret if it has eight or more
 characters and a digit, changes from lower to upper case, is long and of high entropy, follows a
 credential name within NAMED tokens or an assignment mark within MARKED; only a token that touches
-the one before may continue it; all others are outside by construction. So the best path of a text falls apart into those of its short runs of
-free tokens, each between two outside tokens, and decoding runs one by one is exact.
+the one before may continue it; all others are outside by construction. So the best path of a text falls apart into those of its runs of
+free tokens, each between two outside tokens, and decoding runs one by one is exact. A run may be as long as its text: tokens
+stream through the decoder, which holds the best path into each tag as its spans alone.
 
 Trained on tags that the patterns give, by a bounded sample of distinct runs (one half of it is for runs with
 a tagged secret, the other for runs without), and on made-up lines: credentials of many forms, most of which no
@@ -20,8 +21,10 @@ import json
 import math
 import random
 import re
-from collections import Counter
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter, deque
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -57,11 +60,16 @@ _CASED = re.compile(rb"[a-z][A-Z]")
 _LONG = re.compile(rb"[A-Za-z0-9+/_-]{%d,}" % LEAST_LONG)
 _ASSIGNED = re.compile(rb"[:=]")
 _WORD = re.compile(rb"\S+")
+_ALIKE = re.compile(rb"[0-9]+|[A-Z]+|[a-z]+|[^0-9A-Za-z]+")
+_BLANK, _OF_TOKEN = frozenset(b" \t\n\r\x0b\x0c"), frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+#: Tokens before one that may name it, and tokens whose scores are remembered, with their greatest length.
+BACK, REMEMBERED, LONGEST_REMEMBERED = 5, 1 << 15, 64
 _DIGITS = b"0123456789"
 _HEX_FLAG = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
 
 Span = tuple[int, int]
 Token = tuple[int, int, bytes, bool]
+Scores = tuple[float, float, float]
 #: Features, penalties and tags of a run, and how often it occurs.
 Sample = tuple[list[list[str]], np.ndarray, list[int], int]
 
@@ -96,50 +104,66 @@ def _bits(token: bytes) -> float:
 
 def may_begin(token: bytes) -> bool:
     """Whether a token may begin a secret wherever it stands."""
-    if len(token) >= 8 and any(c in _DIGITS for c in token):
+    if len(token) >= 8 and _NUMBER.search(token):
         return True
     return _CASED.search(token) is not None or len(token) >= LEAST_LONG and _bits(token) >= LEAST_BITS
 
 
-def _announced(text: bytes) -> set[int]:
-    """Starts of the tokens that a name or an assignment mark announces; single marks are none."""
+def _announced(text: bytes) -> bytearray:
+    """1 at the starts of the tokens that a name or an assignment mark announces; single marks are none."""
     low = text.lower()
-    after = [(m.end(), MARKED) for m in _ASSIGNED.finditer(text)]
+    out = bytearray(len(text))
+
+    def announce(pattern: re.Pattern, data: bytes, most: int) -> None:
+        for mark in pattern.finditer(data):
+            for _, m in zip(range(most), _TOKEN.finditer(text, mark.end())):
+                if m.group()[:1].isalnum() or m.end() - m.start() > 1:
+                    out[m.start()] = 1
+
+    announce(_ASSIGNED, text, MARKED)
     if any(n in low for n in NAMES):
-        after += [(m.end(), NAMED) for m in _NAMES.finditer(low)]
-    out = set()
-    for at, most in after:
-        for _, m in zip(range(most), _TOKEN.finditer(text, at)):
-            if m.group()[:1].isalnum() or m.end() - m.start() > 1:
-                out.add(m.start())
+        announce(_NAMES, low, NAMED)
     return out
 
 
-def runs(text: bytes) -> list[list[Token]]:
-    """The maximal runs of tokens that are free to be other than outside; the last field: free to begin."""
+def run_tokens(text: bytes) -> Iterator[tuple[bool, Token]]:
+    """The tokens of the maximal runs that are free to be other than outside, and whether each starts a run.
+
+    The last field of a token: free to begin. Holds a flag a byte and eight bytes a place, whatever a run's length.
+    """
     announced = _announced(text)
-    places = sorted({*announced, *(m.start() for p in (_CASED, _LONG, _NUMBER) for m in p.finditer(text))})
-    out: list[list[Token]] = []
-    done = 0
-    for place in places:
-        if place < done:
-            continue
-        start = place
-        while start > done and not text[start - 1 : start].isspace():
+    places = [np.flatnonzero(np.frombuffer(announced, np.uint8))]
+    places += [np.fromiter((m.start() for m in p.finditer(text)), np.int64) for p in (_CASED, _LONG, _NUMBER)]
+    places = np.unique(np.concatenate(places))
+    last, k = -1, 0
+    while k < len(places):
+        start = int(places[k])  # every token that may begin holds a place
+        done, inside = _WORD.match(text, start).end(), False
+        while start and text[start] in _OF_TOKEN and text[start - 1] in _OF_TOKEN:
             start -= 1
-        done = _WORD.match(text, place).end()
-        run: list[Token] = []
         for m in _TOKEN.finditer(text, start, done):
-            begins = m.start() in announced or may_begin(m.group())
-            if run or begins:
-                run.append((m.start(), m.end(), m.group(), begins))
-        if run:
-            gap = out and text[out[-1][-1][1] : run[0][0]]
-            if out and not gap.strip() and run[0][0] > out[-1][-1][1]:
-                out[-1] += run  # neighbours with only a blank between share a path
-            else:
-                out.append(run)
-    return out
+            begins = announced[m.start()] == 1 or may_begin(m.group())
+            if not inside and not begins:
+                done = m.end()
+                break
+            # neighbours with only a blank between share a path
+            yield not inside and (last < 0 or last == m.start() or bool(text[last : m.start()].strip())), (m.start(), m.end(), m.group(), begins)
+            inside, last = True, m.end()
+        k = int(np.searchsorted(places, done))
+
+
+def runs(text: bytes, longest: int | None = None) -> Iterator[list[Token]]:
+    """The runs one by one; those of more than ``longest`` tokens are left out without being held."""
+    run: list[Token] = []
+    for first, token in run_tokens(text):
+        if first:
+            if run and (longest is None or len(run) <= longest):
+                yield run
+            run = []
+        if longest is None or len(run) <= longest:
+            run.append(token)
+    if run and (longest is None or len(run) <= longest):
+        yield run
 
 
 def file_features(text: bytes) -> list[str]:
@@ -151,15 +175,13 @@ def file_features(text: bytes) -> list[str]:
 
 def _shape(token: bytes) -> list[str]:
     n = len(token)
-    digits = sum(48 <= c <= 57 for c in token)
-    upper = sum(65 <= c <= 90 for c in token)
-    lower = sum(97 <= c <= 122 for c in token)
-    kinds = [0 if 48 <= c <= 57 else 1 if 65 <= c <= 90 else 2 if 97 <= c <= 122 else 3 for c in token]
-    switches = sum(a != b for a, b in zip(kinds, kinds[1:])) / n
+    counts = Counter(token)
+    digits, upper, lower = (sum(counts[c] for c in part) for part in (range(48, 58), range(65, 91), range(97, 123)))
+    switches = (sum(1 for _ in _ALIKE.finditer(token)) - 1) / n
     entropy = _bits(token)
     out = [f"length={min(7, n.bit_length() * 2 + (n >> (n.bit_length() - 2) & 1) - 6)}" if n > 1 else "length=1", f"switches={min(4, int(switches * 8))}", f"entropy={min(8, int(entropy * 2))}"]
     out.append("case=" + "".join(name for name, k in (("d", digits), ("U", upper), ("l", lower), ("s", n - digits - upper - lower)) if k))
-    if all(c in b"0123456789abcdef" for c in token) and digits < n:
+    if digits < n and all(c in b"0123456789abcdef" for c in counts):
         out.append("hex")
     if digits == n:
         out.append("number")
@@ -167,26 +189,53 @@ def _shape(token: bytes) -> list[str]:
     return out
 
 
+def _preceding(text: bytes, at: int) -> list[tuple[int, bytes]]:
+    """(end, token) of the BACK tokens before a token's start, whole, in order."""
+    out: list[tuple[int, bytes]] = []
+    while len(out) < BACK:
+        while at and text[at - 1] in _BLANK:
+            at -= 1
+        if not at:
+            break
+        end = at
+        at -= 1
+        while text[end - 1] in _OF_TOKEN and at and text[at - 1] in _OF_TOKEN:
+            at -= 1
+        out.append((end, text[at:end]))
+    return out[::-1]
+
+
+def _named(token: bytes) -> bool:
+    return len(token) < LONGEST_REMEMBERED and token.lower() in NAMES
+
+
+Around = tuple[str, ...]
+
+
+def surroundings(text: bytes, run: Iterable[Token]) -> Iterator[Around]:
+    """For each token of a run, the features of its neighbours."""
+    place = name_at = -BACK - 1  # numbers of the token and of the last name
+    left_end, left = -1, b""
+    for start, end, token, _ in run:
+        if left_end < 0:
+            before = _preceding(text, start)
+            left_end, left = before[-1] if before else (0, b"")
+            name_at = max((k - len(before) for k, (_, t) in enumerate(before) if _named(t)), default=name_at)
+            place = 0
+        kind = left.decode(errors="replace") if len(left) == 1 else "name" if name_at == place - 1 else "word"
+        follower = text[end : end + 2]
+        single = follower and follower[0] not in _BLANK and not (len(follower) == 2 and follower[0] in _OF_TOKEN and follower[1] in _OF_TOKEN)
+        after = follower[:1].decode(errors="replace") if single else "other"
+        out = ("gap=1" if left_end < start else "gap=0", f"before={kind}", f"after={after}")
+        yield (*out, "named") if place - name_at <= BACK else out
+        if _named(token):
+            name_at = place
+        left_end, left, place = end, token, place + 1
+
+
 def features(text: bytes, run: list[Token], of_file: list[str]) -> list[list[str]]:
     """Active features of each token of a run."""
-    first = run[0][0]
-    before = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text, max(0, first - 96), first)][-5:]
-    last = run[-1][1]
-    after = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text, last, min(len(text), last + 32))][:1]
-    line = [*before, *run, *after]
-    out = []
-    for k in range(len(before), len(before) + len(run)):
-        token = line[k][2]
-        own = ["bias", *of_file, *_shape(token)]
-        previous = line[k - 1] if k else (0, 0, b"")
-        own.append(f"gap={int(previous[1] < line[k][0])}")
-        own.append("before=" + (previous[2].decode(errors="replace") if len(previous[2]) == 1 else "name" if previous[2].lower() in NAMES else "word"))
-        if any(t[2].lower() in NAMES for t in line[max(0, k - 5) : k]):
-            own.append("named")
-        following = line[k + 1] if k + 1 < len(line) else (0, 0, b"")
-        own.append("after=" + (following[2].decode(errors="replace") if len(following[2]) == 1 and following[0] == line[k][1] else "other"))
-        out.append(own)
-    return out
+    return [["bias", *of_file, *_shape(token[2]), *around] for token, around in zip(run, surroundings(text, run))]
 
 
 def allowed(run: list[Token]) -> np.ndarray:
@@ -275,24 +324,67 @@ class Field:
 
     def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray):
         self.names, self.emit, self.move = names, emit, move
-
-    def unary(self, rows: list[list[str]], mask: np.ndarray) -> np.ndarray:
-        known = [[self.names[f] for f in row if f in self.names] for row in rows]
-        return np.array([self.emit[k].sum(axis=0) for k in known]).reshape(-1, 3) + mask
-
-    def decode(self, scores: np.ndarray) -> list[int]:
-        """The best path between two outside tokens."""
-        move = self.move
-        best, back = scores[0] + move[OUTSIDE], []
-        for row in scores[1:]:
-            paths = best[:, None] + move
-            back.append(paths.argmax(axis=0))
-            best = paths.max(axis=0) + row
-        tag = int((best + move[:, OUTSIDE]).argmax())
-        path = [tag]
-        for pointers in reversed(back):
-            path.append(int(pointers[path[-1]]))
-        return path[::-1]
+        self.remembered: dict[tuple | bytes, Scores] = {}
+
+    def scores(self, key: tuple | bytes) -> Scores:
+        """The summed weights of a token's shape, or of a tuple of features."""
+        out = self.remembered.get(key)
+        if out is None:
+            known = [self.names[f] for f in (_shape(key) if isinstance(key, bytes) else key) if f in self.names]
+            out = tuple(self.emit[known].sum(axis=0).tolist())
+            if len(key) <= LONGEST_REMEMBERED:
+                if len(self.remembered) >= REMEMBERED:
+                    self.remembered.clear()
+                self.remembered[key] = out
+        return out
+
+    def spans(self, text: bytes, tokens: Iterable[Token], of_file: list[str]) -> list[Span]:
+        """The spans of a run's best path between two outside tokens.
+
+        Of the best path into each tag, its score and spans are held: those behind as a chain that paths share,
+        and the last one. Of equal paths, that with the lower tag wins.
+        """
+        move = self.move.tolist()
+        to_outside, to_begin, to_inside = ([row[tag] for row in move] for tag in (OUTSIDE, BEGIN, INSIDE))
+        base = self.scores(("bias", *of_file))
+        never = (-math.inf, None, None)
+        # (score, chain of spans, open span) by the tag of the token before, which is outside at first
+        paths = ((0.0, None, None), never, never)
+        touched = -1
+        held: deque[Token] = deque()
+
+        def best(to: list[float]) -> tuple[float, tuple | None, Span | None]:
+            score, at = paths[0][0] + to[0], 0
+            for k in (BEGIN, INSIDE):
+                if paths[k][0] + to[k] > score:
+                    score, at = paths[k][0] + to[k], k
+            return score, paths[at][1], paths[at][2]
+
+        def passed() -> Iterator[Token]:
+            for token in tokens:
+                held.append(token)
+                yield token
+
+        for around in surroundings(text, passed()):
+            start, end, token, begins = held.popleft()
+            shape, near = self.scores(token), self.scores(around)
+            score, chain, last = best(to_outside)
+            outside = (score + base[0] + shape[0] + near[0], (chain, last) if last else chain, None)
+            begin = inside = never
+            if begins:
+                score, chain, last = best(to_begin)
+                begin = (score + base[1] + shape[1] + near[1], (chain, last) if last else chain, (start, end))
+            if touched == start:
+                score, chain, last = best(to_inside)
+                if last:
+                    inside = (score + base[2] + shape[2] + near[2], chain, (last[0], end))
+            paths, touched = (outside, begin, inside), end
+        _, chain, last = best(to_outside)
+        out = [last] if last else []
+        while chain:
+            chain, span = chain
+            out.append(span)
+        return out[::-1]
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -348,20 +440,22 @@ def train(samples: list[Sample]) -> Field:
 
 
 def field_spans(text: bytes, field: Field) -> list[Span]:
-    """Byte spans that the field tags as secrets."""
+    """Byte spans that the field tags as secrets. Beside the text, memory grows with its places and spans only."""
     out: list[Span] = []
     of_file: list[str] | None = None
-    for run in runs(text):
+    for _, run in groupby(_numbered(text), key=lambda t: t[0]):
         of_file = of_file or file_features(text)
-        tags = field.decode(field.unary(features(text, run, of_file), allowed(run)))
-        for (start, end, *_), tag in zip(run, tags):
-            if tag == BEGIN:
-                out.append((start, end))
-            elif tag == INSIDE:
-                out[-1] = (out[-1][0], end)
+        out += field.spans(text, (token for _, token in run), of_file)
     return out
 
 
+def _numbered(text: bytes) -> Iterator[tuple[int, Token]]:
+    number = 0
+    for first, token in run_tokens(text):
+        number += first
+        yield number, token
+
+
 # --- DataFrames ------------------------------------------------------------------------------
 
 
@@ -388,19 +482,20 @@ def training_runs(docs: DataFrame, most: int = MOST_RUNS) -> list[Sample]:
 
         for batch in batches:
             for text in _texts(batch.column(0)):
-                own = runs(text)
-                if own:
-                    matches, of_file = base_matches(text), file_features(text)
-                    for run in own:
-                        if len(run) <= LONGEST_RUN:
-                            tags = weak_tags(run, matches)
-                            sample = json.dumps([features(text, run, of_file), np.isfinite(allowed(run)).astype(int).tolist(), tags])
-                            key, secret = hashlib.md5(sample.encode()).hexdigest(), any(tags)
-                            if key <= least[secret]:
-                                held[secret].setdefault(key, [sample, 0])[1] += 1
-                            if len(held[secret]) >= 2 * half[secret] + 1000:
-                                kept = smallest(secret)
-                                held[secret], least[secret] = {k: held[secret][k] for k in kept}, kept[-1] if kept else ""
+                matches = None
+                for run in runs(text, LONGEST_RUN):
+                    if matches is None:
+                        matches, of_file = base_matches(text), file_features(text)
+                        starts, longest = [m[1] for m in matches], max((m[2] - m[1] for m in matches), default=0)
+                    near = matches[bisect_left(starts, run[0][0] - longest) : bisect_left(starts, run[-1][1])]
+                    tags = weak_tags(run, near)
+                    sample = json.dumps([features(text, run, of_file), np.isfinite(allowed(run)).astype(int).tolist(), tags])
+                    key, secret = hashlib.md5(sample.encode()).hexdigest(), any(tags)
+                    if key <= least[secret]:
+                        held[secret].setdefault(key, [sample, 0])[1] += 1
+                    if len(held[secret]) >= 2 * half[secret] + 1000:
+                        kept = smallest(secret)
+                        held[secret], least[secret] = {k: held[secret][k] for k in kept}, kept[-1] if kept else ""
         found = [(k, secret, *held[secret][k]) for secret in (True, False) for k in smallest(secret)]
         kinds = (pa.string(), pa.bool_(), pa.string(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*found)) or [[]] * 4, kinds)], names=["key", "secret", "sample", "n"])
@@ -427,7 +522,7 @@ def fit_field(docs: DataFrame, most: int = MOST_RUNS) -> Field:
 
 def _points(text: bytes, offsets: list[int]) -> dict[int, int]:
     """Byte offsets as code points."""
-    starts = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
+    starts = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80, dtype=np.int32)
     return {o: int(starts[o - 1]) if o else 0 for o in offsets}
 
 
@@ -443,9 +538,10 @@ def secret_spans(docs: DataFrame, field: Field) -> DataFrame:
         for batch in batches:
             found = []
             for text in _texts(batch.column(1)):
-                spans = [m[:3] for m in base_matches(text)]
-                base = list(spans)
-                spans += [(3, a, b) for a, b in field_spans(text, shared.value) if not any(a < y and x < b for _, x, y in base)]
+                spans = [m[:3] for m in base_matches(text)]  # by start
+                starts, ends = [s[1] for s in spans], [0, *accumulate((s[2] for s in spans), max)]
+                # A span meets a pattern's if one of those that start before its end ends behind its start.
+                spans += [(3, a, b) for a, b in field_spans(text, shared.value) if ends[bisect_left(starts, b)] <= a]
                 if spans:
                     at = _points(text, [o for s in spans for o in s[1:]])
                     spans.sort(key=lambda s: (s[1], s[0]))

@@ -706,10 +706,37 @@ def test_long_texts_without_blanks():
     for text in ("漢字かな" * 400_000 + "1", "x" * 5_000_000 + "1", "aB3" * 1_000_000, " " * 5_000_000 + "password=abcdefghijkl1", "password" * 400_000):
         start = time.perf_counter()
         data = text.encode()
-        secrets.base_matches(data), secrets.runs(data)
+        secrets.base_matches(data), list(secrets.runs(data))
         assert time.perf_counter() - start < 10
 
 
+def test_runs_as_long_as_their_text():
+    import tracemalloc
+
+    field = secrets.train(secrets.made_runs())
+    line = b"pwd: CorrectHorseBatteryStaple9"
+    alone = secrets.field_spans(line, field)
+    assert alone == [(5, len(line))]
+    for filler in (b"key=value; " * 30_000, b"a1=b2;" * 60_000, b"aB3" * 400_000 + b" "):
+        data = b"plain words\n" + filler + line
+        tracemalloc.start()
+        spans = secrets.field_spans(data, field)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len({first for first, _ in secrets._numbered(data)}) <= 2
+        assert spans[-1] == (len(data) - len(line) + 5, len(data)) and peak < 40 * len(data) + (4 << 20)
+    assert list(secrets.runs(data, 10)) == [] or max(map(len, secrets.runs(data, 10))) <= 10
+
+
+def test_neighbours_are_whole_tokens():
+    """Tokens before and after a run count as they are, however long."""
+    for size in (20, 90, 5000):
+        data = b"password " + b"x" * size + b" = Zx81kQpLm27sTw0 " + b"y" * size
+        rows = [row for run in secrets.runs(data) for t, row in zip(run, secrets.features(data, run, [])) if t[2].startswith(b"Zx81")]
+        assert len(rows) == 1 and {"named", "before==", "after=other"} <= set(rows[0])
+    assert secrets._preceding(b"a  bb=" + b"c" * 300 + b" \xc3\xa9 ", 310) == [(1, b"a"), (5, b"bb"), (6, b"="), (306, b"c" * 300), (308, b"\xc3"), (309, b"\xa9")][-5:]
+
+
 def test_base_spans_by_hand():
     cases = {
         "password = 'abcdefghijkl'": "assign:0:24", "PASSWD:abcdefghijk": "", "Secret\": \"ab+/_.=-cdef12": "assign:0:24", "apikey=abcdefghijkl api_key  =abcdefghijkl": "assign:0:19,assign:20:42",
@@ -726,16 +753,29 @@ def test_decoding_equals_enumeration():
     import itertools
 
     rng = np.random.default_rng(5)
-    for _ in range(40):
-        n = int(rng.integers(1, 6))
-        scores = rng.normal(size=(n, 3))
-        scores[rng.random((n, 3)) < 0.2] = -np.inf
-        scores[:, 0] = rng.normal(size=n)
+    pieces = [b"key", b"=", b"Zx81kQpLm27", b" ", b"abcDef", b".", b"pwd", b": ", b"12345678"]
+    seen = 0
+    for _ in range(300):
+        text = b"".join(pieces[k] for k in rng.integers(0, len(pieces), 7))
+        of_file = secrets.file_features(text)
+        expected = []
+        own = list(secrets.runs(text))
+        names = sorted({f for run in own for row in secrets.features(text, run, of_file) for f in row})
         move = rng.normal(size=(3, 3))
         move[0, 2] = -np.inf
-        field = secrets.Field({}, np.zeros((1, 3)), move)
-        best = max(itertools.product(range(3), repeat=n), key=lambda p: sum(scores[t, p[t]] for t in range(n)) + sum(move[a, b] for a, b in zip([0, *p], [*p, 0])))
-        assert field.decode(scores) == list(best)
+        field = secrets.Field({f: k for k, f in enumerate(names)}, rng.normal(size=(len(names) + 1, 3)), move)
+        for run in own:
+            scores = np.array([field.emit[[field.names[f] for f in row]].sum(axis=0) for row in secrets.features(text, run, of_file)]) + secrets.allowed(run)
+            n = len(run)
+            best = max(itertools.product(range(3), repeat=n), key=lambda p: sum(scores[t, p[t]] for t in range(n)) + sum(move[a, b] for a, b in zip([0, *p], [*p, 0])))
+            for (start, end, *_), tag in zip(run, best):
+                if tag == 1:
+                    expected.append((start, end))
+                elif tag == 2:
+                    expected[-1] = (expected[-1][0], end)
+        assert secrets.field_spans(text, field) == expected
+        seen += len(expected)
+    assert seen > 100
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
