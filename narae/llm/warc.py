@@ -33,6 +33,8 @@ URN = "urn:narae:page:"
 #: Stands for a page without id.
 NO_PAGE = "urn:narae:none"
 END = b"\r\n\r\n"
+#: Names of archives that Spark reads whole, and of all others.
+WHOLE, SPLIT = "*.gz", "{*[^z],*[^g]z,*[^.]gz,gz,z}"
 #: Bytes of a header at most.
 MOST_HEAD = 1 << 16
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -250,7 +252,9 @@ def read_warc(spark, path: str, chunk: int = CHUNK, keep_data: bool = True) -> D
     digest and length of the payload it stands for. Damaged archives raise.
 
     Archives of others are read as well: blocks without an HTTP header are payload as a whole, and lengths
-    and digests that are not declared are not checked. Spark holds one line (up to a line feed) at a time.
+    and digests that are not declared are not checked. Spark holds one line (up to a line feed) at a time. Archives
+    without gzip may be split by Spark: the lines of each go to one task, in order. Segments must follow their record
+    in the same archive.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,10 +266,16 @@ def read_warc(spark, path: str, chunk: int = CHUNK, keep_data: bool = True) -> D
         parser.close()
         yield _batch(parser, len(parser.rows))
 
-    # Whole-file gzip is never split, so a task sees each archive from its start, in order. A line is what stands
-    # before a line feed, carriage returns included, and an archive ends with one: joined, lines are its bytes.
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary"))
-    return lines.mapInArrow(tidy(rows), CHUNKS)
+    # A line is what stands before a line feed, carriage returns included, and an archive ends with one: joined,
+    # lines are its bytes. Whole-file gzip is never split, so a task sees each archive from its start, in order.
+    # Spark splits any other file, so its lines are put in order first; sorting spills.
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true")
+    value = F.col("value").cast("binary").alias("value")
+    whole = lines.option("pathGlobFilter", WHOLE).text(path).select(value)
+    split = lines.option("pathGlobFilter", SPLIT).text(path)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")]
+    ordered = split.select(value, *place).repartition("file").sortWithinPartitions("file", "block", "line").select("value")
+    return whole.mapInArrow(tidy(rows), CHUNKS).unionByName(ordered.mapInArrow(tidy(rows), CHUNKS))
 
 
 def _batch(parser: Parser, most: int) -> pa.RecordBatch:

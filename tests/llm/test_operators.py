@@ -414,6 +414,33 @@ def test_archives_of_others(spark, tmp_path):
     assert max(r.byte_length for r in rows) <= warc.CHUNK
 
 
+def test_archives_that_spark_splits(spark, tmp_path):
+    """Plain archives of many splits, beside a gzipped one, equal what a parser reads from their bytes."""
+    import gzip
+
+    rng = random.Random(4)
+    wanted = {}
+    for name in ("a.warc", "b.warc", "c.warc.gz", "gz", "z"):
+        data = b""
+        for k in range(30):
+            block = b"\n".join(bytes(rng.choices(b"abc \r", k=rng.randint(0, 90))) for _ in range(rng.randint(0, 400)))
+            data += b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x:%s-%d>\r\nContent-Length: %d\r\n\r\n" % (name.encode(), k, len(block)) + block + b"\r\n\r\n"
+            wanted[f"urn:x:{name}-{k}"] = block
+        (tmp_path / name).write_bytes(gzip.compress(data) if name.endswith(".warc.gz") else data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        assert spark.read.text(str(tmp_path / "a.warc")).rdd.getNumPartitions() > 5
+        rows = warc.read_warc(spark, str(tmp_path), 1000).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.record_id, r.chunk_no)):
+        got[r.record_id] = got.get(r.record_id, b"") + r.data
+    assert got == wanted
+    assert all(r.digest == base64.b32encode(hashlib.sha1(wanted[r.record_id]).digest()).decode() for r in rows if r["last"])
+
+
 def test_least_payload(spark):
     pages = spark.createDataFrame([(1, "u", "ab", "t", "d"), (2, "u", "ab", "t", "d")], PAGES)
     assert {r.record_type for r in warc.warc_digest(pages, least=3).collect()} == {"response"}
