@@ -15,6 +15,7 @@ from narae import api
 from narae.functions.catalogue import PROFILES, RULES, SEVERITIES, Config, rule_table
 from narae.operators.detect import lint
 from narae.operators.fix import fix
+from narae.operators.stored import lint_stored
 from narae.sources import files
 
 SETTINGS = ".narae.json"
@@ -33,6 +34,7 @@ def _parser() -> argparse.ArgumentParser:
     parser.add_argument("--fix", action="store_true", help="write safe corrections back")
     parser.add_argument("--dry-run", action="store_true", help="with --fix: show what would change")
     parser.add_argument("--review", action="store_true", help="with --fix: corrections for review too")
+    parser.add_argument("--results", metavar="FOLDER", help="keep findings there, and lint only texts that it lacks")
     parser.add_argument("--rules", action="store_true")
     parser.add_argument("--explain", metavar="RULE")
     return parser
@@ -145,7 +147,7 @@ def main(arguments: list[str]) -> int:
             changes += 1
             print(f"{row.path}:{row.d.line}\n- {row.d.before}\n+ {row.d.after}")
         return int(changes > 0)
-    found = lint(docs, config)
+    found = lint_stored(docs, options.results, config) if options.results else lint(docs, config)
     shown = files.with_lines(found, docs).join(docs.select("doc_id", "path"), "doc_id").join(F.broadcast(rule_table(spark).select("rule_id", "message")), "rule_id")
     if options.format == "sarif":
         for line in files.sarif(shown, list(RULES.values())):

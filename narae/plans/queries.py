@@ -19,8 +19,9 @@ from narae.functions.rule_tables import FORMS, LITERALS
 from narae.operators import authoring, candidates, curate, detect, evaluate
 from narae.operators.fix import accepted, applied
 from narae.operators.groups import similar_groups
+from narae.operators.stored import lint_stored
 from narae.plans.fixture import KOREAN, korean_documents
-from narae.session import materialise
+from narae.session import materialise, scratch_path
 from narae.sources import files
 from narae.operators.standard import tokens_in_ranges, with_parts_of_speech
 from narae.sources.tokens import range_table, tokens
@@ -199,6 +200,15 @@ def lint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("doc_id").alias("documents"))
 
 
+@query(f"WITH {KOREAN}, f AS ({_body_sql(BODY)}) SELECT rule_id, count(*) AS findings, count(DISTINCT doc_id) AS documents FROM f GROUP BY rule_id")
+def lint_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all rules by rule, of which those of English documents come from an earlier run's store."""
+    docs, folder = korean_documents(spark, sf_dir), scratch_path(spark, "results")
+    lint_stored(docs.where("lang = 'en'"), folder, ALL)
+    found = lint_stored(docs, folder, ALL)
+    return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("doc_id").alias("documents"))
+
+
 _DEFAULT = sorted(r.id for r in RULES.values() if PROFILES[r.profile] == 0)
 
 
