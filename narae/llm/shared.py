@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narae.session import discard, materialise, scratch_path  # noqa: F401
+from narae.session import discard, materialise, release, scratch_path, small_batches, tidy  # noqa: F401
 
 #: Words of most operators: runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -260,32 +259,3 @@ def runs_of(values: np.ndarray) -> np.ndarray:
 def raw_texts(column) -> list[bytes]:
     """The bytes of a binary Arrow column; null counts as empty."""
     return [v.as_buffer().to_pybytes() if v.is_valid else b"" for v in column]
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Rows go to Python workers some megabytes at a time, unless the session has its own setting.
-
-    Spark's default of 64 MB a batch is held several times over: by the JVM outside its heap, by the
-    worker, and as the rows made of it.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name) in ("67108864b", "67108864", "64MB", "64m"):
-        spark.conf.set(name, "8m")
-
-
-def release() -> None:
-    """Gives freed memory back to the system: workers outlive their tasks, and share an executor's memory."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
-def tidy(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function over Arrow batches that ends with release()."""
-
-    def run(batches: Iterator) -> Iterator:
-        yield from rows(batches)
-        release()
-
-    return run

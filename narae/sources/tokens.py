@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narae.session import spread
+from narae.session import rows_of, small_batches, spread, tidy
 from narae.sources.ranges import WHITE, prose_ranges
 
 #: Characters after a word that literal patterns may look at.
@@ -90,20 +90,21 @@ _GAP = re.compile(f"[{re.escape(_STRIP)}]*")
 def tokens(docs: DataFrame) -> DataFrame:
     """The token table of (doc_id, text[, source_kind]) rows. A null text has no tokens."""
     kind = F.col("source_kind") if "source_kind" in docs.columns else F.lit("plain_text")
+    small_batches(docs.sparkSession)
     # Nothing but Hangul, doubled commas and blanks before marks can meet a rule.
     wanted = docs.where(F.col("text").rlike("[가-힣]|,,|[ \\t][.!?]"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for ident, text, form in zip(*(c.to_pylist() for c in batch.columns)):
+            for ident, text, form in rows_of(batch):
                 out += [(ident, *row) for row in tokens_of(text, form)]
                 if len(out) >= 20_000:
                     yield _batch(out)
                     out = []
             yield _batch(out)
 
-    return spread(wanted.select(F.col("doc_id").cast("long"), "text", kind.alias("source_kind"))).mapInArrow(rows, SCHEMA)
+    return spread(wanted.select(F.col("doc_id").cast("long"), "text", kind.alias("source_kind"))).mapInArrow(tidy(rows), SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -117,11 +118,12 @@ RANGES = "doc_id long, range_no int, start long, end long, byte_start long, byte
 def range_table(docs: DataFrame) -> DataFrame:
     """(doc_id, range_no, start, end, byte_start, byte_end) of the linted ranges of each document."""
     kind = F.col("source_kind") if "source_kind" in docs.columns else F.lit("plain_text")
+    small_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for ident, text, form in zip(*(c.to_pylist() for c in batch.columns)):
+            for ident, text, form in rows_of(batch):
                 size = at = 0
                 for number, (a, b) in enumerate(prose_ranges(text, form)):
                     size += len(text[at:a].encode())
@@ -132,4 +134,4 @@ def range_table(docs: DataFrame) -> DataFrame:
             columns = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in RANGES.split(", ")])
 
-    return spread(docs.where("text is not null").select(F.col("doc_id").cast("long"), "text", kind.alias("source_kind"))).mapInArrow(rows, RANGES)
+    return spread(docs.where("text is not null").select(F.col("doc_id").cast("long"), "text", kind.alias("source_kind"))).mapInArrow(tidy(rows), RANGES)
