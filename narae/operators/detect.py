@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from narae.functions import automaton
 from narae.functions.catalogue import PROFILES, RULES, Config, PackRule, enabled, is_dictionary_rule, literal_table
 from narae.functions.hangul import BIEUP, NIEUN, RIEUL, final, is_syllable, with_final
-from narae.session import materialise, spread
+from narae.session import materialise, rows_of, small_batches, spread, tidy
 from narae.sources.ranges import prose_ranges
 from narae.sources.tokens import tokens
 
@@ -363,6 +363,7 @@ def pattern_places(docs: DataFrame, patterns: list[str]) -> DataFrame:
     of one pattern in one range do not overlap, the first one counts. All patterns are found in one pass over a
     text for each block of them; the blocks' tables, of bounded size each, go to the workers once.
     """
+    small_batches(docs.sparkSession)
     automata = docs.sparkSession.sparkContext.broadcast(automaton.blocks(patterns))
     sizes = np.array([len(p) for p in patterns], np.int64)
     kind = F.col("source_kind") if "source_kind" in docs.columns else F.lit("plain_text")
@@ -371,15 +372,16 @@ def pattern_places(docs: DataFrame, patterns: list[str]) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, kinds = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            begin = held = 0
-            for k, text in enumerate(texts):
+            texts, kinds, begin, held = [], [], 0, 0
+            for k, (_, text, kind) in enumerate(rows_of(batch)):
+                texts.append(text)
+                kinds.append(kind)
                 held += len(text)
-                if held >= _AT_ONCE or k + 1 == len(texts):
-                    yield _places_of(texts[begin : k + 1], kinds[begin : k + 1], batch.column(0).slice(begin, k + 1 - begin), automata.value, sizes)
-                    begin, held = k + 1, 0
+                if held >= _AT_ONCE or k + 1 == batch.num_rows:
+                    yield _places_of(texts, kinds, batch.column(0).slice(begin, k + 1 - begin), automata.value, sizes)
+                    texts, kinds, begin, held = [], [], k + 1, 0
 
-    return source.mapInArrow(rows, schema)
+    return source.mapInArrow(tidy(rows), schema)
 
 
 def _places_of(texts: list[str], kinds: list[str], idents: pa.Array, automata: list, sizes: np.ndarray) -> pa.RecordBatch:
