@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 
 from narae.functions.catalogue import Config
 from narae.operators.detect import lint
-from narae.session import materialise
+from narae.session import materialise, small_batches, tidy
 
 MOST_PASSES = 32
 #: Characters of a document after which its findings may be dealt to another task.
@@ -68,7 +68,7 @@ def selected(findings: DataFrame, review: bool = False, ties: str = "rule_id") -
                 stop = end if start >= stop else stop
             yield batch.filter(pa.array(keep, pa.bool_())).select(columns)
 
-    return ordered.mapInArrow(kept, ordered.select(*columns).schema)
+    return ordered.mapInArrow(tidy(kept), ordered.select(*columns).schema)
 
 
 def accepted(findings: DataFrame, review: bool = False, ties: str = "rule_id") -> DataFrame:
@@ -97,6 +97,7 @@ def _edited(text: pd.Series, starts: pd.Series, ends: pd.Series, originals: pd.S
 def applied(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """``docs`` with ``fixed``: the text with the edits made, each only where its original stands. Documents without
     edits keep theirs, which then doesn't leave the JVM."""
+    small_batches(docs.sparkSession)
     joined = docs.join(edits.withColumnRenamed("edits", "_edits"), "doc_id", "left")
     some = F.col("_edits").isNotNull()
     part = lambda name: F.col(f"_edits.{name}")
