@@ -80,10 +80,11 @@ def similar_groups(records: DataFrame, n: int = LEAK_GRAM, least: float = LEAK_S
     splits: how many records its group has, and from which splits. Records of empty texts link with nothing.
     """
     shown = records.select("id", "split", (text if text is not None else normalised(F.col("text"))).alias("_text"))
-    some = materialise(shown.where("_text != ''").withColumn("class", F.sha2("_text", 256)), "records")
-    # One record stands for all of its text; how many of each split a class has is kept as rows.
-    classes = some.groupBy("class").agg(F.min("id").alias("id"), F.first("_text").alias("text"), F.min("split").alias("low"), F.max("split").alias("high"))
+    shown = shown.withColumn("class", F.when(F.col("_text") != "", F.sha2("_text", 256)))
+    # One record stands for all of its text, which is stored with it alone; how many of each split a class has is kept as rows.
+    classes = shown.where("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("_text").alias("text"), F.min("split").alias("low"), F.max("split").alias("high"))
     classes = materialise(classes, "classes")
+    records = materialise(shown.select("id", "split", "class"), "records")
     pairs = similar_pairs(classes.select("id", F.lit(0).alias("split"), "text"), n, least, across_splits=False, text=F.col("text"))
     names = classes.select("id", "class", "low", "high")
     side = lambda k: names.select(*[F.col(c).alias(f"{k}_{c}") for c in names.columns])
@@ -91,7 +92,7 @@ def similar_groups(records: DataFrame, n: int = LEAK_GRAM, least: float = LEAK_S
     if across_splits:  # classes of one and the same split have no link
         pairs = pairs.where("left_low != left_high or right_low != right_high or left_low != right_low")
     pairs = materialise(pairs.select(F.col("left_class").alias("a"), F.col("right_class").alias("b")), "pairs")
-    counts = materialise(some.groupBy("class", "split").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")), "counts")
+    counts = materialise(records.where("class is not null").groupBy("class", "split").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")), "counts")
     # Links of a record: all records of its class and of those that its class is linked with, without its own (split).
     ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(classes.select(F.col("class").alias("a"), F.col("class").alias("b")))
     met = ways.join(counts.select(F.col("class").alias("b"), "split", "n"), "b")
@@ -104,5 +105,5 @@ def similar_groups(records: DataFrame, n: int = LEAK_GRAM, least: float = LEAK_S
     kept = materialise(kept.where("links > 0").select("class", "split", "n", "first", "links", "least"), "linked")
     groups = kept.groupBy("least").agg(F.min("first").alias("group_id"), F.sum("n").alias("members"), F.array_sort(F.collect_set("split")).alias("splits"))
     rows = kept.join(groups, "least").select("class", "split", "group_id", "links", "members", "splits")
-    placed = shown.withColumn("class", F.sha2("_text", 256)).join(rows, ["class", "split"], "left")
+    placed = records.join(rows, ["class", "split"], "left")
     return placed.select("id", "split", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("splits", F.array("split")).alias("splits"))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from narae.operators import evaluate, groups
+from narae.operators import evaluate, groups, similar
 
 
 @pytest.mark.parametrize("few", [0, 100_000])
@@ -55,6 +55,18 @@ def test_copies_stay_single_rows(spark):
     assert [tuple(r) for r in out.select("group_id", "links", "members", F.size("splits")).distinct().collect()] == [("c00000", 5000, 10_000, 2)]
 
 
+def test_texts_are_stored_once_and_packed(spark, monkeypatch):
+    stored = []
+    for module in (groups, similar):
+        monkeypatch.setattr(module, "materialise", lambda df, name, *a, f=module.materialise: stored.append((name, df.columns)) or f(df, name, *a))
+    rows = [("a", "the same text", "x"), ("b", "The  same text", "y"), ("c", "the same texts", "y"), ("d", "", "x"), ("e", None, "y"), ("f", "another", None)]
+    out = groups.similar_groups(spark.createDataFrame(rows, "id string, text string, split string"), 5, 0.5).collect()
+    assert {r.id: (r.group_id, r.links, r.members) for r in out} == {"a": ("a", 2, 3), "b": ("a", 1, 3), "c": ("a", 1, 3), "d": ("d", 0, 1), "e": ("e", 0, 1), "f": ("f", 0, 1)}
+    # Records, classes and the texts to be met all held the text before.
+    assert [name for name, columns in stored if "text" in columns or "_text" in columns] == ["classes"]
+    assert [columns for name, columns in stored if name == "texts"] == [["own", "pack"]]
+
+
 def test_quantiles(spark, monkeypatch):
     rng = random.Random(2)
     values = [rng.choice([rng.random(), 5.0, rng.random() * 1e6, -3.0]) for _ in range(3000)]
