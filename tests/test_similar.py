@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from narae.operators import curate, similar
@@ -58,3 +59,41 @@ def test_blocks_are_bounded():
     assert similar.blocks_of(10, 1000, 8) == 1
     assert similar.blocks_of(40_000, 20_000_000, 8) == 7
     assert similar.blocks_of(400_000, 200_000_000, 8) == 40
+
+
+def test_rounds_copy_the_texts_a_bounded_number_of_times():
+    for blocks, cores in ((1, 4), (9, 6), (21, 6), (42, 12), (420, 12)):
+        rounds = similar.rounds_of(blocks, cores)
+        assert [k for a, b in rounds for k in range(a, b)] == list(range(blocks * (blocks + 1) // 2))
+        assert all(b - a <= max(blocks, similar.CELLS_OF_A_CORE * cores) for a, b in rounds)
+    # All cells at once copied each text once for each block before.
+    assert max(2 * (b - a) / 420 for a, b in similar.rounds_of(420, 12)) <= 2
+
+
+def test_pairs_met_in_several_rounds_equal_brute_force(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(similar, "MOST_TEXTS", 20)
+    monkeypatch.setattr(similar, "CELLS_OF_A_CORE", 0, raising=False)
+    monkeypatch.setattr(similar, "materialise", lambda df, name, *a, f=similar.materialise: stored.append((name, df.columns)) or f(df, name, *a))
+    texts = _texts("abc")
+    rows = spark.createDataFrame([(f"r{k:03}", None if k == 7 else k % 3, t) for k, t in enumerate(texts)], "id string, split int, text string")
+    for across in (False, True):
+        out = curate.similar_pairs(rows, 3, 0.5, across, F.col("text")).collect()
+        wanted = {p for p in _brute(texts, 3, 0.5) if not across or p[0] % 3 != p[1] % 3 and 7 not in p[:2]}
+        assert {(int(r.left_id[1:]), int(r.right_id[1:]), r.score) for r in out} == wanted and len(out) == len(wanted)
+    # Seven blocks are 28 cells, in four rounds; texts are packed.
+    assert [name for name, _ in stored] == (["texts"] + ["met"] * 4) * 2
+    assert stored[0][1] == ["own", "pack"]
+
+
+def test_packs_give_back_their_rows(monkeypatch):
+    rows = [(k % 4, k, None if k % 5 == 0 else f"s{k % 2}", "text " * (k % 7)) for k in range(60)]
+    names = ["own", "id", "split", "text"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[k : k + 25]], pa.schema([("own", pa.int32()), ("id", pa.int64()), ("split", pa.string()), ("text", pa.string())])) for k in range(0, 60, 25)]
+    for most in (1, 1 << 20):
+        monkeypatch.setattr(similar, "PACKED", most)
+        packs = list(similar._packed(iter(batches)))
+        assert len(packs) == (3 if most == 1 else 1) and all(len(set(p["own"].to_pylist())) == p.num_rows for p in packs)
+        back = similar._unpacked(iter(p.rename_columns(["side", "pack"]) for p in packs))
+        assert sorted(back.select(["side", *names[1:]]).to_pylist(), key=lambda r: r["id"]) == [dict(zip(["side", *names[1:]], r)) for r in rows]
+    assert similar._unpacked(iter([])) is None
