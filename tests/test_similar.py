@@ -86,6 +86,33 @@ def test_pairs_met_in_several_rounds_equal_brute_force(spark, monkeypatch):
     assert stored[0][1] == ["own", "pack"]
 
 
+def test_cells_read_blocks_where_they_are_stored(spark, monkeypatch):
+    plans, owns = [], []
+    monkeypatch.setattr(similar, "MOST_TEXTS", 20)
+
+    def stored(df, name, *a, f=similar.materialise):
+        if name == "met":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = f(df, name, *a)
+        if name == "texts":
+            owns.extend(r.own for r in out.select("own").collect())
+        return out
+
+    monkeypatch.setattr(similar, "materialise", stored)
+    files = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    rows = spark.createDataFrame([(k, k % 3, t) for k, t in enumerate(_texts("abc"))], "id int, split int, text string").repartition(5)
+    one = curate.similar_pairs(rows, 3, 0.5, True, F.col("text"))
+    plans.append(one._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(similar, "CELLS_OF_A_CORE", 0)
+    several = curate.similar_pairs(rows, 3, 0.5, True, F.col("text"))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, several.collect()))
+    # Each round shuffled a copy of both blocks of a cell before, and a block was as many rows as its texts came from tasks.
+    assert len(plans) == 5 and not any("Exchange" in p for p in plans)
+    assert sorted(owns) == sorted([*range(7)] * 2)
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) == files
+    assert curate.similar_pairs(rows.where("id < 0"), 3, 0.5, True, F.col("text")).collect() == []
+
+
 def test_packs_give_back_their_rows(monkeypatch):
     rows = [(k % 4, k, None if k % 5 == 0 else f"s{k % 2}", "text " * (k % 7)) for k in range(60)]
     names = ["own", "id", "split", "text"]
