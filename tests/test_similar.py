@@ -124,3 +124,57 @@ def test_packs_give_back_their_rows(monkeypatch):
         back = similar._unpacked(iter(p.rename_columns(["side", "pack"]) for p in packs))
         assert sorted(back.select(["side", *names[1:]]).to_pylist(), key=lambda r: r["id"]) == [dict(zip(["side", *names[1:]], r)) for r in rows]
     assert similar._unpacked(iter([])) is None
+
+
+def _of_blocks(parts, n, least, across=False):
+    names = pa.schema([("side", pa.int32()), ("id", pa.int64()), ("split", pa.int32()), ("text", pa.string())])
+    packs, at = [], 0
+    for texts in parts:
+        rows = pa.table([[0] * len(texts), [*range(at, at + len(texts))], [k % 3 for k in range(at, at + len(texts))], texts], schema=names)
+        packs.append(similar._block(rows, n))
+        at += len(texts)
+    return pa.RecordBatch.from_arrays([pa.array([0]), pa.array([len(parts) - 1]), pa.array(packs[:1], pa.binary()), pa.array(packs[-1:], pa.binary())], names=["low", "high", "first", "second"])
+
+
+def test_cells_read_numbered_grams_and_look_at_no_text(monkeypatch):
+    texts = _texts("ab한글\U0001f600") + _texts("abcdef", 5)
+    half = len(texts) // 2
+    for parts in ([texts], [texts[:half], texts[half:]], [texts[:half], ["q" * 40, "xyz"]]):
+        for n in (1, 3, 5):
+            every = sum(parts, [])
+            wanted = {p for p in _brute(every, n, 0.5) if len(parts) == 1 or p[0] < len(parts[0]) <= p[1]}
+            batch = _of_blocks(parts, n, 0.5)
+            with monkeypatch.context() as here:
+                # Each cell numbered the grams of all its texts anew before, so that this work grew with the square of the texts.
+                here.setattr(similar, "gram_sets", None)
+                here.setattr(similar, "_grams", None)
+                found = [tuple(r.values()) for out in similar._met(n, 0.5, False)(iter([batch])) for r in out.select(["left_id", "right_id", "score"]).to_pylist()]
+            assert set(found) == wanted and len(found) == len(wanted)
+
+
+def test_bounds_leave_out_no_similar_pair(monkeypatch):
+    texts = _texts("abcdef") + _texts("uvwxyz", 7)
+    before = np.arange(len(texts))[:, None] < np.arange(len(texts))[None]
+    wanted = {least: _brute(texts, 3, least) for least in (0.3, 0.5, 0.9)}
+    # From columns that tell nothing to one for each gram; pairs looked at one by one, or never.
+    for wide, most, at_a_time, alone in ((0.1, 1 << 15, 4096, 0), (0.5, 1 << 15, 7, 50_000), (1.4, 64, 4096, 1e9), (1.4, 1 << 15, 50, 1e9), (3, 1 << 15, 4096, 1)):
+        for name, value in (("WIDE", wide), ("MOST_WIDE", most), ("AT_A_TIME", at_a_time), ("ONE_BY_ONE", alone)):
+            monkeypatch.setattr(similar, name, value)
+        for least, pairs in wanted.items():
+            found = similar.Cell(texts, 3, least).tile(0, len(texts), 0, len(texts), before)
+            assert set(zip(*(x.tolist() for x in found))) == pairs and pairs
+
+
+def test_unlike_texts_are_settled_by_one_product():
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(300)) for _ in range(60)] + ["".join(rng.choice("tuvwxyz") for _ in range(300)) for _ in range(60)]
+    cell = similar.Cell(texts, 5, 0.5)
+    counted = []
+    cell._counted = lambda gram, row, rows, columns, width, kind: counted.append((rows, width)) or similar.Cell._counted(cell, gram, row, rows, columns, width, kind)
+    x, y, _ = cell.near(0, 60, 60, 120)
+    assert not len(x) and not counted  # no gram in common
+    x, y, _ = cell.near(0, 60, 0, 60)
+    assert set(zip(x.tolist(), y.tolist())) == {(k, k) for k in range(60)}
+    assert len(counted) == 1 and counted[0][1] < 2 * 300
+    kinds = similar._kinds(texts)
+    assert len(set(kinds[:60].tolist()) & set(kinds[60:].tolist())) == 0
