@@ -178,3 +178,19 @@ def test_unlike_texts_are_settled_by_one_product():
     assert len(counted) == 1 and counted[0][1] < 2 * 300
     kinds = similar._kinds(texts)
     assert len(set(kinds[:60].tolist()) & set(kinds[60:].tolist())) == 0
+
+
+def test_tiles_of_many_similar_pairs_are_counted_by_columns_and_lists(monkeypatch):
+    for name, value in (("ONE_BY_ONE", 1e9), ("A_HIT", 0), ("STRIP", 8)):
+        monkeypatch.setattr(similar, name, value)
+    texts = _texts("abc") + _texts("abcdef", 9)
+    before = np.arange(len(texts))[:, None] < np.arange(len(texts))[None]
+    wanted = _brute(texts, 3, 0.5)
+    for often, at_once, at_a_time in ((0.3, 50, 4096), (0.02, 1 << 22, 5), (1, 1 << 22, 4096)):
+        for name, value in (("OFTEN", often), ("AT_ONCE", at_once), ("AT_A_TIME", at_a_time)):
+            monkeypatch.setattr(similar, name, value)
+        cell = similar.Cell(texts, 3, 0.5)
+        exact = []
+        cell._exactly = lambda gram, row, rows, columns, kind, cell=cell, exact=exact: exact.append(columns.listed()[1] < columns.grams) or similar.Cell._exactly(cell, gram, row, rows, columns, kind)
+        found = cell.tile(0, len(texts), 0, len(texts), before)
+        assert set(zip(*(x.tolist() for x in found))) == wanted and exact == [True]
